@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory.llm import quality_rules
+from territory.llm import quality_rules, simhash_dedup
 from territory.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return groups.select("doc_id", simhash_dedup.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_quality_rules": op6_quality_rules}
+    return {"op4_simhash_dedup": op4_simhash_dedup, "op6_quality_rules": op6_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
