@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory.llm import quality_rules, simhash_dedup
+from territory.llm import quality_rules, simhash_dedup, url_filters
 from territory.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
     return groups.select("doc_id", simhash_dedup.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -23,8 +27,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_simhash_dedup": op4_simhash_dedup, "op6_quality_rules": op6_quality_rules}
+    return {"op1_url_filters": op1_url_filters, "op4_simhash_dedup": op4_simhash_dedup, "op6_quality_rules": op6_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules.oracle_sql()}
+    return {"op1_url_filters": url_filters.oracle_sql(), "op6_quality_rules": quality_rules.oracle_sql()}

@@ -1,0 +1,54 @@
+import duckdb
+import pandas as pd
+
+from territory.llm import url_filters as U
+
+
+def page(url, *tags):
+    return url, "<html><head>" + "".join(tags) + "</head><body>x</body></html>"
+
+
+def canon(u):
+    return f'<link href="{u}" rel="canonical">'
+
+
+def refresh(u):
+    return f"<META http-equiv='Refresh' content='0; URL={u}'>"
+
+
+PAGES = [
+    page("http://A.example.net/en/1?x=1#f"),
+    page("https://b.example.net/de/1"),
+    page("https://free.example.com/en/1", canon("https://bad.example.com/de/9")),
+    page("https://free2.example.com/en/1#z", refresh("//free.example.com/en/1")),
+    page("https://free3.example.com/en/1?a=1&b=2", canon("https://c.example.org/fr/1"), refresh("https://x.net/")),
+    page("https://c.example.org/fr/1"),
+    page("https://hub.example.com/a/b", canon("c")),
+    page("https://hub.example.com/a/c", refresh("/z?x=1&amp;y=2")),
+    page("https://hub.example.com/z?x=1&y=2", canon("https://evil.net/p")),
+    page("https://solo.example.com/x"),
+    page("no scheme here", canon("https://evil.net/p")),
+    page("https://net"), page("https://net/"), page("https://notnet/"), page("https://xexample.net/en/"), page("://odd/x"), page("https://q.net?x=/"),
+    ("https://dup.example.com/", None), ("https://dup.example.com/", ""), (None, "<link rel=canonical href=https://evil.net/p>"), ("", ""),
+]
+
+
+def test_verdicts_and_oracle(spark):
+    rows = [(i if i != 9 else None, u, h, "x", "y") for i, (u, h) in enumerate(PAGES)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, verdict string, rule string")
+    got = U.judge(df).select("page_id", "host", "path", "rule", "verdict").toPandas()
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html", "verdict", "rule"])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    want = con.sql(U.oracle_sql()).df()
+    key = lambda d: sorted(map(repr, d[["page_id", "host", "path", "rule", "verdict"]].astype(object).where(d.notna(), None).values.tolist()))
+    assert key(got) == key(want)
+    by = {r.page_id: r for r in got.itertuples()}
+    assert (by[0].host, by[0].path, by[0].rule, by[0].verdict) == ("a.example.net", "/en/1", "example.net/en/", "allow")
+    assert by[1].verdict == "block" and by[2].verdict == "block" and by[3].verdict == "block"
+    assert by[4].verdict == "allow"  # an explicit allow in its class
+    assert [by[i].verdict for i in (6, 7, 8)] == ["block"] * 3
+    assert by[11].verdict == "allow" and by[12].verdict == "block" and by[13].verdict == "allow" and by[14].rule == "net/"
+    assert by[10].host == "" and by[10].path == "" and by[10].verdict == "allow"
+    assert U.judge(df.limit(0)).count() == 0
