@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory.llm import quality_rules, simhash_dedup, url_filters
+from territory.llm import pii, quality_rules, secret_scan, simhash_dedup, url_filters
 from territory.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,13 +21,22 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash_dedup.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find(table(spark, sf_dir, "documents", "doc_id", "text")).drop("n_format")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_url_filters": op1_url_filters, "op4_simhash_dedup": op4_simhash_dedup, "op6_quality_rules": op6_quality_rules}
+    every = (op1_url_filters, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
