@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory.llm import pii, quality_rules, secret_scan, simhash_dedup, url_filters
+from territory.llm import html_extract, pii, quality_rules, secret_scan, simhash_dedup, url_filters
 from territory.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
     return groups.select("doc_id", simhash_dedup.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -35,7 +39,7 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_url_filters, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans)
+    every = (op1_url_filters, op2_html_extraction, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans)
     return {f.__name__: f for f in every}
 
 
