@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory.llm import html_extract, pii, quality_rules, secret_scan, simhash_dedup, url_filters
+from territory.llm import html_extract, pii, quality_rules, secret_scan, simhash_dedup, toxicity, url_filters
 from territory.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +38,13 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find(table(spark, sf_dir, "documents", "doc_id", "text")).drop("n_format")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_url_filters, op2_html_extraction, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans)
+    every = (op1_url_filters, op2_html_extraction, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity)
     return {f.__name__: f for f in every}
 
 
