@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from territory.llm import html_extract, pii, quality_rules, secret_scan, simhash_dedup, toxicity, url_filters
+from territory.llm import html_extract, line_dedup, pii, quality_rules, secret_scan, simhash_dedup, toxicity, url_filters
 from territory.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,10 +43,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"), count="n_removed").select("doc_id", "n_removed", "text")
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_url_filters, op2_html_extraction, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity)
+    every = (op1_url_filters, op2_html_extraction, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_line_dedup)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters.oracle_sql(), "op6_quality_rules": quality_rules.oracle_sql()}
+    return {"op1_url_filters": url_filters.oracle_sql(), "op6_quality_rules": quality_rules.oracle_sql(), "op9_line_dedup": line_dedup.oracle_sql()}
