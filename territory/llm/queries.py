@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from territory.llm import html_extract, line_dedup, pii, quality_rules, secret_scan, simhash_dedup, toxicity, url_filters
+from territory.llm import decontamination, html_extract, line_dedup, pii, quality_rules, secret_scan, simhash_dedup, toxicity, url_filters
 from territory.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +48,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"), count="n_removed").select("doc_id", "n_removed", "text")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
+    spans = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["item"], m["start"], m["end"])), ",")
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), items.alias("item_ids"), spans.alias("spans"))
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_url_filters, op2_html_extraction, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_line_dedup)
+    every = (op1_url_filters, op2_html_extraction, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_line_dedup, op10_decontamination)
     return {f.__name__: f for f in every}
 
 
