@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territory.llm import decontamination, html_extract, line_dedup, pii, quality_rules, secret_scan, simhash_dedup, toxicity, url_filters
+from territory.llm import decontamination, html_extract, line_dedup, piece_codec, pii, quality_rules, secret_scan, simhash_dedup, toxicity, url_filters
 from territory.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_dedup.near_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
     return groups.select("doc_id", simhash_dedup.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -56,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_url_filters, op2_html_extraction, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_line_dedup, op10_decontamination)
+    every = (op1_url_filters, op2_html_extraction, op3_piece_codec, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_line_dedup, op10_decontamination)
     return {f.__name__: f for f in every}
 
 
