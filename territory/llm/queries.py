@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     every = (op1_url_filters, op2_html_extraction, op3_piece_codec, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_line_dedup, op10_decontamination)
-    return {f.__name__: f for f in every}
+    return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,32 @@
+import random
+
+import duckdb
+import pandas as pd
+
+from territory.llm import quality_rules as R
+
+
+def test_counts_and_verdicts(spark):
+    r = random.Random(6)
+    parts = ["the", "of,", "word", "und", "x#%", "ab", "\n", "\n\n", "\t", "é", "||", "long" * 5, "same line here\n", "\x0b"]
+    rows = [(i, " ".join(r.choice(parts) for _ in range(r.choice([0, 3, 20, 80, 200])))) for i in range(120)]
+    rows += [(500, None), (501, ""), (502, " \n\t"), (503, "a b a b a b a b"), (504, "w " * 40_000), (505, "the " + "clean words of prose and more " * 3 + " ".join(f"w{i} of the" for i in range(60)))]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n_words int, kept string")
+    got = R.judge(df).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").toPandas()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = con.sql(R.oracle_sql()).df()[list(got.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+    by = got.set_index("doc_id")
+    assert by.loc[503, "n_repeat_words"] == 8 and by.loc[500, "base_failed"] and not by.loc[501, "kept"] and by.loc[504, "n_repeat_words"] == 40_000 and by.loc[505, "kept"]
+    kept = R.keep(df)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.collect()} == set(got[got.kept].doc_id)
+    twice = df.unionAll(df.limit(3).select("doc_id", "text", "n_words", "kept"))
+    assert R.judge(twice).count() == len(rows) + 3 and R.judge(df.limit(0)).count() == 0
+    assert R.judge(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first().n_words == 2
+
+
+def test_threshold_table_compiles_to_one_expression():
+    rules = (R.Rule("mean_word_chars", 1.0, None), R.Rule("dup_line_share", None, 0.5))
+    assert R.compile_rules(rules) == "coalesce(mean_word_chars >= 1.0D and dup_line_share <= 0.5D, false)"
+    assert R.compile_rules(()) == "coalesce(true, false)"
