@@ -1,19 +1,435 @@
-"""Registered queries of the engine's own operators."""
+"""Registered queries of the engine's own operators, each with DuckDB SQL over the same tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from territory.functions import codes, urls
+from territory.operators import catalog as C
+from territory.operators import census as J
+from territory.operators import diagnostic as D
+from territory.operators import geometry as G
+from territory.operators import network as N
+from territory.operators.filters import code_rule
+from territory.operators.reader import filter_layer, union_by_name
+from territory.plans import bridge as B
+from territory.plans import sources as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+_MUNI = "SELECT code_muni, name_muni, code_state, abbrev_state, code_region, name_region FROM municipalities"
+
+
+def query(sql: str | None = None, *ctes: str):
+    """Register a function under its name, with its SQL after WITH and the named common tables."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+        return f
+
+    return add
+
+
+def _munis(spark: SparkSession, d: str) -> DataFrame:
+    return B.municipalities(spark, d).drop("custkey")
+
+
+# Reading by code
+
+
+@query(_MUNI, B.MUNICIPALITIES)
+def read_all(spark, d):
+    return filter_layer(_munis(spark, d), "municipality", "all")
+
+
+@query(_MUNI + " WHERE abbrev_state = 'SP'", B.MUNICIPALITIES)
+def read_code_uf(spark, d):
+    return filter_layer(_munis(spark, d), "read_municipality", " sp ")
+
+
+@query(_MUNI + " WHERE abbrev_state = 'MG'", B.MUNICIPALITIES)
+def read_code_uf_num(spark, d):
+    return filter_layer(_munis(spark, d), "municipality", "31")
+
+
+@query(_MUNI + " WHERE code_muni BETWEEN 3300000 AND 3399999 AND code_muni = (SELECT min(code_muni) FROM municipalities WHERE code_state = 33)", B.MUNICIPALITIES)
+def read_code_muni(spark, d):
+    m = _munis(spark, d)
+    code = m.where("code_state = 33").agg(F.min("code_muni")).first()[0]
+    return filter_layer(m, "municipality", code)
+
+
+@query(_MUNI + " WHERE lower(name_region) = 'asia'", B.MUNICIPALITIES)
+def read_code_region(spark, d):
+    return filter_layer(_munis(spark, d), "region", "Asia", "v1")
+
+
+@query(
+    """SELECT code, CASE WHEN t = '' OR lower(t) = 'all' THEN 'all' WHEN letters OR len(n) <= 2 THEN 'all' WHEN len(n) = 7 THEN 'code_muni' ELSE 'own_code' END AS v1_sliced,
+  CASE WHEN t = '' OR lower(t) = 'all' THEN 'all' WHEN letters THEN 'unit' WHEN n <> '' THEN 'own_code' ELSE 'all' END AS v1_national,
+  CASE WHEN t = '' OR lower(t) = 'all' THEN 'all' WHEN letters THEN 'unit' WHEN n <> '' AND len(n) <= 2 AND k IN (SELECT code_state FROM units) THEN 'unit' WHEN len(n) = 7 THEN 'code_muni' WHEN n <> '' THEN 'own_code' ELSE 'all' END AS v2
+FROM (SELECT code, trim(coalesce(code, '')) AS t, regexp_replace(coalesce(code, ''), '[^0-9]', '', 'g') AS n, try_cast(regexp_replace(coalesce(code, ''), '[^0-9]', '', 'g') AS INTEGER) AS k,
+  regexp_matches(trim(coalesce(code, '')), '^[A-Za-z]+$') AS letters FROM inputs)""",
+    B.MUNICIPALITIES,
+    "inputs AS (SELECT DISTINCT unnest([abbrev_state, code_state::VARCHAR, code_muni::VARCHAR, ' ' || lower(abbrev_state) || ' ', abbrev_state || code_state::VARCHAR, n_, 'all', '', NULL]) AS code FROM (SELECT *, custkey::VARCHAR AS n_ FROM municipalities))",
+)
+def read_v1_vs_v2_code(spark, d):
+    m = B.municipalities(spark, d)
+    state = F.col("code_state").cast("string")
+    every = F.array("abbrev_state", state, F.col("code_muni").cast("string"), F.concat(F.lit(" "), F.lower("abbrev_state"), F.lit(" ")), F.concat("abbrev_state", state), F.col("custkey").cast("string"), F.lit("all"), F.lit(""), F.lit(None).cast("string"))
+    c = F.col("code")
+    return m.select(F.explode(every).alias("code")).distinct().select("code", code_rule(c, "v1", True).alias("v1_sliced"), code_rule(c, "v1", False).alias("v1_national"), code_rule(c, "v2", False).alias("v2"))
+
+
+@query(
+    """SELECT v AS value, u.code_state AS uf_code, u.abbrev_state AS uf_abbrev FROM (SELECT v, CASE WHEN trim(v) IN (SELECT abbrev_state FROM units27) OR upper(trim(v)) IN (SELECT abbrev_state FROM units27) THEN NULL ELSE try_cast(substr(regexp_replace(v, '[^0-9]', '', 'g'), 1, 2) AS INTEGER) END AS two,
+  len(regexp_replace(v, '[^0-9]', '', 'g')) >= 2 AS enough FROM inputs) LEFT JOIN units27 u ON upper(trim(v)) = u.abbrev_state OR (enough AND two = u.code_state)""",
+    f"units27(code_state, abbrev_state) AS (VALUES {', '.join(f"({c}, '{a}')" for c, a, _ in codes.UF)})",
+    "inputs AS (SELECT DISTINCT unnest([p_brand, p_partkey::VARCHAR, upper(substr(p_name, 1, 2)), ' mg ', 'ZZ', '31-06200', 'all', '']) AS v FROM part)",
+)
+def normalize_uf(spark, d):
+    p = B.read(spark, d, "part")
+    v = F.array("p_brand", F.col("p_partkey").cast("string"), F.upper(F.substring("p_name", 1, 2)), F.lit(" mg "), F.lit("ZZ"), F.lit("31-06200"), F.lit("all"), F.lit(""))
+    return p.select(F.explode(v).alias("value")).distinct().select("value", codes.normalize_uf(F.col("value")).alias("u")).select("value", F.col("u.code").alias("uf_code"), F.col("u.abbrev").alias("uf_abbrev"))
+
+
+@query("SELECT code_muni::VARCHAR AS code, regexp_replace(name_muni, '[^0-9]', '', 'g') AS digits, regexp_matches(abbrev_state, '^[A-Za-z]+$') AS alpha, lower(abbrev_state) AS uf FROM municipalities", B.MUNICIPALITIES)
+def code_text_functions(spark, d):
+    m = B.municipalities(spark, d)
+    return m.select(codes.code_text(F.col("code_muni").cast("double")).alias("code"), codes.digits(F.col("name_muni")).alias("digits"), codes.is_alpha(F.col("abbrev_state")).alias("alpha"), F.lower(codes.abbrev_from_code(F.substring(F.col("code_muni").cast("string"), 1, 2))).alias("uf"))
+
+
+# Catalogs
+
+
+@query("SELECT DISTINCT geo, year::INTEGER AS year FROM catalog_v1", B.CATALOG_V1)
+def catalog_years(spark, d):
+    return B.catalog_v1(spark, d).where(F.col("year").rlike("^[0-9]+$")).select("geo", F.col("year").cast("int").alias("year")).distinct()
+
+
+@query("SELECT geo, max(year::INTEGER) AS latest_year FROM catalog_v1 GROUP BY geo", B.CATALOG_V1)
+def catalog_latest(spark, d):
+    return C.latest_year(B.catalog_v1(spark, d))
+
+
+@query("SELECT DISTINCT geo FROM catalog_v1", B.CATALOG_V1)
+def catalog_tokens(spark, d):
+    return B.catalog_v1(spark, d).select("geo").distinct()
+
+
+_SIMPLE = "SELECT geo, year, download_path, p_partkey FROM (SELECT *, contains(download_path, 'simplified') AS m, bool_or(contains(download_path, 'simplified')) OVER (PARTITION BY geo, year) AS any_ FROM catalog_v1)"
+
+
+@query(_SIMPLE + " WHERE m OR NOT any_", B.CATALOG_V1)
+def catalog_simplified_fallback(spark, d):
+    return C.variant(B.catalog_v1(spark, d), True, flag=F.contains("download_path", F.lit("simplified"))).select("geo", "year", "download_path", "p_partkey")
+
+
+@query(_SIMPLE + " WHERE m", B.CATALOG_V1)
+def catalog_strict(spark, d):
+    return C.variant(B.catalog_v1(spark, d), True, flag=F.contains("download_path", F.lit("simplified")), fallback=False).select("geo", "year", "download_path", "p_partkey")
+
+
+_PRUNE = "SELECT geo, year, code, code_abbrev, p_partkey FROM (SELECT *, {m} AS m, bool_or({m}) OVER (PARTITION BY geo, year) AS any_ FROM catalog_v1) WHERE m OR NOT any_"
+
+
+@query(_PRUNE.format(m="(contains(code, '31') OR code_abbrev = 'MG')"), B.CATALOG_V1)
+def catalog_uf_prune(spark, d):
+    return C.prune_by_uf(B.catalog_v1(spark, d), 31, by_prefix=False).select("geo", "year", "code", "code_abbrev", "p_partkey")
+
+
+@query(_PRUNE.format(m="(starts_with(code, '31') OR code_abbrev = 'MG')"), B.CATALOG_V1)
+def catalog_uf_prune_prefix(spark, d):
+    return C.prune_by_uf(B.catalog_v1(spark, d), 31).select("geo", "year", "code", "code_abbrev", "p_partkey")
+
+
+@query("SELECT name AS file_name, 'https://files.example.org/' || name AS download_url, split_part(name, '_', 1) AS geo, try_cast(regexp_extract(name, '(\\d+)', 1) AS INTEGER) AS year, contains(lower(name), 'simplified') AS simplified FROM assets WHERE name LIKE '%.parquet'", B.ASSETS)
+def asset_parse(spark, d):
+    return C.parse_assets(B.assets(spark, d))
+
+
+@query("SELECT name AS file_name, 'https://files.example.org/' || name AS download_url, regexp_extract(name, '{r}', 1)::INTEGER AS year, regexp_extract(name, '{r}', 2) AS dataset, regexp_extract(name, '{r}', 3) AS version FROM assets WHERE regexp_matches(name, '{r}')".replace("{r}", C.CENSUS_FILE), B.ASSETS)
+def census_asset_parse(spark, d):
+    return C.parse_census(B.assets(spark, d))
+
+
+_BEST = "SELECT dataset, year, version, file_name FROM (SELECT *, row_number() OVER (PARTITION BY year, dataset ORDER BY {o} DESC, file_name) AS rn FROM census_catalog) WHERE rn = 1"
+
+
+@query(_BEST.format(o="version"), B.CENSUS_CATALOG)
+def census_best_version_lex(spark, d):
+    return C.best_version(B.census_catalog(spark, d), lexical=True)
+
+
+@query(_BEST.format(o="split_part(version, '.', 2)::INTEGER"), B.CENSUS_CATALOG)
+def census_best_version_semver(spark, d):
+    return C.best_version(B.census_catalog(spark, d))
+
+
+@query("SELECT DISTINCT year, dataset FROM census_catalog", B.CENSUS_CATALOG)
+def census_datasets_by_year(spark, d):
+    return B.census_catalog(spark, d).select("year", "dataset").distinct()
+
+
+# Census join
+
+_FIRST = """first_census AS (SELECT * FROM (SELECT *, try_cast(code_tract AS DOUBLE)::BIGINT AS k, row_number() OVER (PARTITION BY code_tract ORDER BY line, v001, situation) AS rn FROM census) WHERE rn = 1),
+joined AS (SELECT t.code_tract, t.custkey, t.zone, c.line AS censo_line, c.v001 AS censo_v001, c.situation AS censo_situation FROM tracts t LEFT JOIN first_census c ON t.code_tract::BIGINT = c.k)"""
+
+
+def _joined(spark: SparkSession, d: str, prefix: str = "censo_") -> DataFrame:
+    order = [F.col("line"), F.col("v001"), F.col("situation")]
+    return J.join_census(B.tracts(spark, d), B.census_table(spark, d), order=order, prefix=prefix)
+
+
+@query("SELECT * FROM joined", B.TRACTS, B.CENSUS, _FIRST)
+def join_census_first(spark, d):
+    return _joined(spark, d)
+
+
+@query("SELECT count(*)::BIGINT AS n_rows, count(censo_line)::BIGINT AS n_joined, count(*) FILTER (censo_line IS NULL)::BIGINT AS n_unmatched FROM joined", B.TRACTS, B.CENSUS, _FIRST)
+def join_census_stats(spark, d):
+    return J.join_stats(_joined(spark, d), "censo_line")
+
+
+@query("SELECT code_tract, custkey, zone, censo_v001 AS c10_v001, censo_line AS c10_line, censo_situation AS c10_situation FROM joined WHERE zone = 'F'", B.TRACTS, B.CENSUS, _FIRST)
+def join_census_prefix(spark, d):
+    return _joined(spark, d, "c10_").where("zone = 'F'")
+
+
+@query("SELECT custkey, k FROM (SELECT custkey, coalesce(try_cast(code_text AS BIGINT), try_cast(code_text AS DOUBLE)::BIGINT) AS k FROM (SELECT custkey, CASE WHEN custkey % 3 = 0 THEN code_muni::VARCHAR || '.0' WHEN custkey % 3 = 1 THEN code_muni::VARCHAR ELSE name_muni END AS code_text FROM municipalities))", B.MUNICIPALITIES)
+def key_normalisation(spark, d):
+    m = B.municipalities(spark, d)
+    text = F.when(F.col("custkey") % 3 == 0, F.concat(F.col("code_muni").cast("string"), F.lit(".0"))).when(F.col("custkey") % 3 == 1, F.col("code_muni").cast("string")).otherwise(F.col("name_muni"))
+    return m.select("custkey", codes.integer_key(text).alias("k"))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, NULL::VARCHAR AS city FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, 'S' || s_nationkey::VARCHAR FROM supplier")
+def union_layers_by_name(spark, d):
+    a = B.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    b = B.read(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_nationkey").cast("string")).alias("city"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"))
+    return union_by_name([a, b])
+
+
+# Roads
+
+
+@query("SELECT way_id, highway, n_refs::BIGINT AS n_refs FROM osm_ways", B.NETWORK)
+def osm_ways(spark, d):
+    return N.ways(B.elements(spark, d)).select("way_id", "highway", F.size("nodes").cast("bigint").alias("n_refs"))
+
+
+@query("SELECT way_id, highway, name, oneway FROM osm_ways", B.NETWORK)
+def osm_tag_defaults(spark, d):
+    return N.ways(B.elements(spark, d)).drop("nodes")
+
+
+@query("SELECT node_id, x, y FROM osm_nodes", B.NETWORK)
+def osm_nodes_valid(spark, d):
+    return N.valid_nodes(B.elements(spark, d))
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    e = B.elements(spark, d)
+    return N.links(N.ways(e), N.valid_nodes(e))
+
+
+@query("SELECT way_id, n_points::BIGINT AS n_points, x0, y0, x1, y1 FROM osm_links", B.NETWORK)
+def osm_links_points(spark, d):
+    a, b = F.element_at("points", 1), F.element_at("points", -1)
+    return _links(spark, d).select("way_id", F.size("points").cast("bigint").alias("n_points"), a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"))
+
+
+@query("SELECT x, y FROM osm_ends", B.NETWORK)
+def osm_endpoints(spark, d):
+    return G.endpoints(_links(spark, d).select(F.array("points").alias("parts")), "parts")
+
+
+@query("SELECT (row_number() OVER (ORDER BY x, y) - 1)::BIGINT AS node_id, x, y FROM osm_ends", B.NETWORK)
+def osm_node_ids(spark, d):
+    return N.build_network(B.elements(spark, d))[1]
+
+
+# Geometry
+
+
+@query("SELECT vec_id, list_min(xs) AS xmin, list_min(ys) AS ymin, list_max(xs) AS xmax, list_max(ys) AS ymax FROM (SELECT vec_id, [embedding[2 * i + 1]::DOUBLE FOR i IN range(32)] AS xs, [embedding[2 * i + 2]::DOUBLE FOR i IN range(32)] AS ys FROM embeddings)")
+def bbox_feature(spark, d):
+    return B.lines(spark, d).select("vec_id", G.bbox_of(F.col("points")).alias("b")).select("vec_id", "b.*")
+
+
+@query("SELECT label, min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM points GROUP BY label", B.POINTS)
+def bbox_extent(spark, d):
+    return G.extent(B.points(spark, d), "x", "y", "label")
+
+
+@query("SELECT vec_id FROM (SELECT vec_id, [embedding[2 * i + 1]::DOUBLE FOR i IN range(4)] AS xs, [embedding[2 * i + 2]::DOUBLE FOR i IN range(4)] AS ys FROM embeddings) WHERE list_max(xs) >= -0.1 AND list_min(xs) <= 0.05 AND list_max(ys) >= 0.0 AND list_min(ys) <= 0.08")
+def bbox_filter(spark, d):
+    return B.lines(spark, d).where(G.bbox_intersects(G.bbox_of(F.slice("points", 1, 4)), -0.1, 0.0, 0.05, 0.08)).select("vec_id")
+
+
+@query(f"SELECT vec_id, x, y FROM points p WHERE x BETWEEN -0.2 AND 0.25 AND y BETWEEN -0.2 AND 0.24 AND {B.inside_sql('p.x', 'p.y')}", B.POINTS, B.RING_SQL)
+def clip_points(spark, d):
+    return G.clip_points(B.points(spark, d), "x", "y", B.RING).select("vec_id", "x", "y")
+
+
+@query(
+    "SELECT vec_id, label, box FROM points JOIN boxes ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax",
+    B.POINTS,
+    "boxes AS (SELECT vec_id AS box, least(embedding[1], embedding[3])::DOUBLE AS xmin, greatest(embedding[1], embedding[3])::DOUBLE AS xmax, least(embedding[2], embedding[4])::DOUBLE AS ymin, greatest(embedding[2], embedding[4])::DOUBLE AS ymax FROM embeddings WHERE vec_id % 20 = 0)",
+)
+def grid_join_points(spark, d):
+    polygons = B.boxes(spark, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("box"), F.col("points").alias("ring"))
+    return G.grid_join(B.points(spark, d), polygons, "x", "y", "ring", 0.05).select("vec_id", "label", "box")
+
+
+@query(
+    "SELECT vec_id, count(*)::BIGINT AS n_pieces, count(*) FILTER (before IS NULL OR before <> seq + t1)::BIGINT AS n_parts, round(sum(sqrt((ex - sx) ** 2 + (ey - sy) ** 2)), 6) AS length FROM (SELECT *, lag(seq + t2) OVER (PARTITION BY vec_id ORDER BY seq, t1) AS before FROM kept) GROUP BY vec_id",
+    B.LINE_SEGMENTS,
+    B.RING_SQL,
+    B.clip_sql("vertices", "ring", "vec_id"),
+)
+def clip_lines(spark, d):
+    cut = G.clip_lines(B.lines(spark, d), "points", B.RING)
+    return cut.select("vec_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.col("n_parts").cast("bigint").alias("n_parts"), F.round("length", 6).alias("length"))
+
+
+@query(
+    "SELECT vec_id, count(*)::BIGINT AS n_edges, round(sum(sx * ey - ex * sy) / 2, 6) AS area FROM (SELECT vec_id, sx, sy, ex, ey FROM a_kept UNION ALL SELECT vec_id, sx, sy, ex, ey FROM b_kept) GROUP BY vec_id",
+    "corners AS (SELECT vec_id, least(embedding[1], embedding[3])::DOUBLE AS x0, greatest(embedding[1], embedding[3])::DOUBLE AS x1, least(embedding[2], embedding[4])::DOUBLE AS y0, greatest(embedding[2], embedding[4])::DOUBLE AS y1 FROM embeddings WHERE embedding[1] <> embedding[3] AND embedding[2] <> embedding[4])",
+    "box_edges AS (SELECT vec_id, 0 AS seq, x0 AS cx, y0 AS cy, x1 AS dx, y0 AS dy FROM corners UNION ALL SELECT vec_id, 1, x1, y0, x1, y1 FROM corners UNION ALL SELECT vec_id, 2, x1, y1, x0, y1 FROM corners UNION ALL SELECT vec_id, 3, x0, y1, x0, y0 FROM corners)",
+    "box_segments AS (SELECT vec_id, seq, cx AS ax, cy AS ay, dx AS bx, dy AS by_ FROM box_edges)",
+    B.RING_SQL,
+    "ring_segments AS (SELECT vec_id, e AS seq, cx AS ax, cy AS ay, dx AS bx, dy AS by_ FROM ring, corners)",
+    B.clip_sql("box_segments", "ring", "vec_id", prefix="a_"),
+    B.clip_sql("ring_segments", "box_edges", "vec_id", "s.vec_id = r.vec_id", "b_"),
+)
+def clip_polygons(spark, d):
+    return G.clip_polygons(B.boxes(spark, d), "points", B.RING).select("vec_id", F.size("edges").cast("bigint").alias("n_edges"), F.round("area", 6).alias("area"))
+
+
+# Requests and names
+
+
+_WFS = "'https://x.example.org/ows' || CASE WHEN code_muni % 2 = 0 THEN '?k=1' ELSE '' END"
+
+
+@query(
+    f"SELECT code_muni, e || CASE WHEN contains(e, '?') THEN '&' ELSE '?' END || 'service=WFS&version=2.0.0&request=GetFeature&typeNames=car%3Aarea_' || lower(abbrev_state) || '&srsName=EPSG%3A4674&outputFormat=application%2Fjson' || CASE WHEN code_muni % 3 = 0 THEN '&CQL_FILTER=' || replace(url_encode('cod = ' || code_muni::VARCHAR), '%20', '+') ELSE '&bbox=' || url_encode(code_state::VARCHAR || ',1,2,3,EPSG:4674') END AS url FROM (SELECT *, {_WFS} AS e FROM municipalities)",
+    B.MUNICIPALITIES,
+)
+def wfs_urls(spark, d):
+    m = B.municipalities(spark, d)
+    e = F.concat(F.lit("https://x.example.org/ows"), F.when(F.col("code_muni") % 2 == 0, "?k=1").otherwise(""))
+    cql = F.when(F.col("code_muni") % 3 == 0, S.server_filter(F.lit("code"), F.lit("cod"), F.col("code_muni"), F.col("name_muni")))
+    box = urls.bbox_text(F.col("code_state"), F.lit(1), F.lit(2), F.lit(3))
+    return m.select("code_muni", urls.wfs_url(e, urls.fill_uf(F.lit("car:area_{uf}"), F.col("abbrev_state")), F.lit("EPSG:4674"), cql, box).alias("url"))
+
+
+@query(
+    "SELECT code_muni, 'https://y.example.org/MapServer/' || (code_muni % 9)::VARCHAR || '/query?outFields=%2A&f=geojson&outSR=4674&where=' || CASE WHEN code_muni % 2 = 0 THEN '1%3D1' ELSE replace(url_encode('cod = ' || code_muni::VARCHAR), '%20', '+') END || CASE WHEN code_muni % 3 = 0 THEN '&geometry=' || code_state::VARCHAR || '%2C1%2C2%2C3&geometryType=esriGeometryEnvelope&inSR=4674&spatialRel=esriSpatialRelIntersects' ELSE '' END AS url FROM municipalities",
+    B.MUNICIPALITIES,
+)
+def arcgis_urls(spark, d):
+    m = B.municipalities(spark, d)
+    where = F.when(F.col("code_muni") % 2 != 0, S.server_filter(F.lit("code"), F.lit("cod"), F.col("code_muni"), F.col("name_muni")))
+    box = F.when(F.col("code_muni") % 3 == 0, urls.bbox_text(F.col("code_state"), F.lit(1), F.lit(2), F.lit(3)))
+    return m.select("code_muni", urls.arcgis_url(F.lit("https://y.example.org/MapServer/"), F.col("code_muni") % 9, F.lit("EPSG:4674"), where, box).alias("url"))
+
+
+@query("SELECT code_muni, '[out:json][timeout:' || greatest(10, least(600, custkey))::VARCHAR || '];(way[\"highway\"](' || code_region::VARCHAR || ',' || code_state::VARCHAR || ',3,' || custkey::VARCHAR || ');>;);out body;' AS ql FROM municipalities WHERE custkey > 0", B.MUNICIPALITIES)
+def overpass_ql(spark, d):
+    m = B.municipalities(spark, d).where("custkey > 0")
+    return m.select("code_muni", urls.overpass_query(F.col("code_state"), F.col("code_region"), F.col("custkey"), F.lit(3), F.col("custkey").cast("int")).alias("ql"))
+
+
+@query("SELECT code_muni, CASE WHEN custkey % 3 = 0 THEN 'cod = ' || code_muni::VARCHAR WHEN custkey % 3 = 1 THEN 'municipio = ''' || replace(replace(name_muni, '#', ''''), '''', '''''') || '''' END AS filter FROM municipalities", B.MUNICIPALITIES)
+def server_filter_text(spark, d):
+    m = B.municipalities(spark, d)
+    cut = F.when(F.col("custkey") % 3 == 0, "code").when(F.col("custkey") % 3 == 1, "name").otherwise("bbox")
+    field = F.when(F.col("custkey") % 3 == 0, "cod").otherwise("municipio")
+    return m.select("code_muni", S.server_filter(cut, field, F.col("code_muni"), F.replace("name_muni", F.lit("#"), F.lit("'"))).alias("filter"))
+
+
+@query("SELECT page_id, 'https://mirror.example.org/data/' || list_last(string_split(rtrim(url, '/'), '/')) AS mirror FROM pages")
+def mirror_urls(spark, d):
+    return B.read(spark, d, "pages").select("page_id", urls.mirror_url("https://mirror.example.org/data/", F.col("url")).alias("mirror"))
+
+
+@query("SELECT code_muni::VARCHAR AS code, name_muni, abbrev_state || ' - ' || name_muni AS label FROM municipalities WHERE contains(lower(name_muni), '00012') ORDER BY name_muni", B.MUNICIPALITIES)
+def muni_picker(spark, d):
+    m = B.municipalities(spark, d).where(F.contains(F.lower("name_muni"), F.lower(F.lit("00012"))))
+    return m.select(codes.code_text(F.col("code_muni")).alias("code"), "name_muni", F.concat_ws(" - ", "abbrev_state", "name_muni").alias("label")).orderBy("name_muni")
+
+
+def _sources_sql() -> str:
+    q = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({i}, {q(s.id)}, {q(s.axis)}, {q(s.name)}, {q(s.protocol)}, {q(s.cut)}, {q(S.AXES.index(s.axis))})" for i, s in enumerate(S.SOURCES))
+    return f"sources(pos, id, axis, name, protocol, cut, axis_pos) AS (VALUES {rows})"
+
+
+@query("SELECT axis, axis_pos, string_agg(id, ',' ORDER BY pos) AS ids, count(*)::BIGINT AS n FROM sources GROUP BY axis, axis_pos ORDER BY axis_pos", _sources_sql())
+def sources_by_axis(spark, d):
+    t = S.table(spark).groupBy("axis", "axis_pos").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"), F.count("*").alias("n"))
+    return t.select("axis", "axis_pos", F.array_join(F.transform("s", lambda x: x["id"]), ",").alias("ids"), "n").orderBy("axis_pos")
+
+
+@query("SELECT id || '_' || code_muni::VARCHAR AS layer, name || ' - ' || name_muni AS title FROM sources, municipalities WHERE protocol <> 'basemap' AND custkey % 50 = 1", B.MUNICIPALITIES, _sources_sql())
+def layer_names(spark, d):
+    m = B.municipalities(spark, d).where("custkey % 50 = 1")
+    pairs = m.crossJoin(F.broadcast(S.table(spark).where("protocol <> 'basemap'")))  # the registry's 29 rows, by design
+    return pairs.select(urls.layer_name(F.col("id"), F.col("code_muni")).alias("layer"), urls.display_name(F.col("name"), F.col("name_muni"), F.col("code_muni")).alias("title"))
+
+
+@query("SELECT code_muni FROM municipalities WHERE custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)", B.MUNICIPALITIES)
+def pending_sources(spark, d):
+    done = B.read(spark, d, "orders").select(F.col("o_custkey").alias("custkey"))
+    return B.municipalities(spark, d).join(done, "custkey", "left_anti").select("code_muni")
+
+
+@query(
+    """SELECT source_id, event_id, CASE WHEN NOT known THEN 'skipped' WHEN have THEN 'skipped' WHEN kind = 'error' THEN 'failed' WHEN n = 0 THEN 'skipped' WHEN needs AND n_in = 0 THEN 'skipped' ELSE 'ok' END AS status,
+  CASE WHEN NOT known THEN 'unsupported' WHEN have THEN 'exists' WHEN kind = 'error' THEN 'fetch_error' WHEN n = 0 THEN 'empty' WHEN needs AND n_in = 0 THEN 'empty_after_clip' END AS message
+FROM (SELECT 's' || (event_id % 30)::VARCHAR AS source_id, event_id, event_id % 30 <> 29 AS known, event_id % 7 = 0 AS have, event_type AS kind, user_id % 4 AS n, event_id % 2 = 0 AS needs, user_id % 3 AS n_in FROM events)"""
+)
+def run_report(spark, d):
+    e = B.read(spark, d, "events")
+    states = e.select(F.concat(F.lit("s"), (F.col("event_id") % 30).cast("string")).alias("source_id"), "event_id", (F.col("event_id") % 30 != 29).alias("supported"), (F.col("event_id") % 7 == 0).alias("exists"), (F.col("event_type") == "error").alias("fetch_failed"), (F.col("user_id") % 4).alias("n_fetched"), (F.col("event_id") % 2 == 0).alias("clipped"), (F.col("user_id") % 3).alias("n_kept"))
+    return D.report(states).select("source_id", "event_id", "status", "message")
+
+
+@query("SELECT status, count(*)::BIGINT AS n FROM (SELECT CASE WHEN event_id % 30 = 29 OR event_id % 7 = 0 THEN 'skipped' WHEN event_type = 'error' THEN 'failed' WHEN user_id % 4 = 0 OR (event_id % 2 = 0 AND user_id % 3 = 0) THEN 'skipped' ELSE 'ok' END AS status FROM events) GROUP BY status")
+def run_summary(spark, d):
+    return run_report(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT code_muni, name_muni, custkey FROM (SELECT *, row_number() OVER (PARTITION BY code_state ORDER BY name_muni DESC, custkey DESC) AS rn FROM municipalities) WHERE rn = 1", B.MUNICIPALITIES)
+def last_wins(spark, d):
+    m = B.municipalities(spark, d)
+    return m.groupBy("code_state").agg(F.max_by(F.struct("code_muni", "name_muni", "custkey"), F.struct("name_muni", "custkey")).alias("m")).select("m.*")
+
+
+@query("SELECT code_state, name_muni AS first_name, code_muni AS first_code FROM (SELECT *, row_number() OVER (PARTITION BY code_state ORDER BY custkey) AS rn FROM municipalities) WHERE rn = 1", B.MUNICIPALITIES)
+def first_row(spark, d):
+    w = W.partitionBy("code_state").orderBy("custkey")
+    return B.municipalities(spark, d).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("code_state", F.col("name_muni").alias("first_name"), F.col("code_muni").alias("first_code"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Tracts with their census table's columns."""
+    return join_census_first(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
