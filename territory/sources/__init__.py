@@ -1 +1,52 @@
+"""Data sources: GeoPackage, GeoJSON, WFS, ArcGIS REST, Overpass, GeoParquet."""
 
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Names looked for where a file's metadata names no geometry column.
+GEOMETRY_NAMES = ("geometry", "geom", "wkb_geometry", "_geometry")
+DEFAULT_CRS = 4674
+
+
+def register(spark: SparkSession) -> None:
+    """Make the Python data sources known to a session, with filters pushed down to them."""
+    from territory.sources.gpkg import GeoPackage
+    from territory.sources.remote import ArcGis, GeoJson, Overpass, Wfs
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    for s in (GeoPackage, GeoJson, Wfs, ArcGis, Overpass):
+        spark.dataSource.register(s)
+
+
+def geometry_of(names: list[str], geo_metadata: str | bytes | None) -> tuple[str | None, int]:
+    """(geometry column, EPSG code) by a GeoParquet file's ``geo`` metadata, else by name, else none and the default."""
+    by_name = next((n for n in GEOMETRY_NAMES if n in names), None)
+    try:
+        geo = json.loads(geo_metadata) if geo_metadata else {}
+    except ValueError:
+        geo = {}
+    column = geo.get("primary_column") or by_name
+    crs = ((geo.get("columns") or {}).get(column) or {}).get("crs")
+    code = (crs.get("id") or {}).get("code") if isinstance(crs, dict) else None
+    return column, int(code) if code is not None else DEFAULT_CRS
+
+
+def read_geoparquet(spark: SparkSession, path: str, footer: str | None = None) -> DataFrame:
+    """A layer with its geometry as WKB in ``geometry``, the CRS in the column's metadata. ``footer`` is the ``geo`` text
+    where the caller has it; a local file's own is read."""
+    df = spark.read.parquet(path)
+    if footer is None and "://" not in path:
+        import os
+
+        import pyarrow.parquet as pq
+
+        one = path if os.path.isfile(path) else next((os.path.join(path, n) for n in sorted(os.listdir(path)) if n.endswith(".parquet")), None)
+        footer = (pq.read_schema(one).metadata or {}).get(b"geo") if one else None
+    column, code = geometry_of(df.columns, footer)
+    if column is None:
+        return df
+    return df.select(*(F.col(f"`{c}`").alias("geometry", metadata={"crs": f"EPSG:{code}"}) if c == column else F.col(f"`{c}`") for c in df.columns))
