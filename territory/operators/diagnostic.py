@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from territory.functions.codes import normalize_uf_value
 from territory.operators import geometry as G
 from territory.operators import network as N
+from territory.operators import overlay
 from territory.plans.sources import PROTOCOLS, Source, by_id
 
 REPORT = "source_id string, status string, message string"
@@ -56,7 +57,9 @@ def stamped(layer: DataFrame, source: Source) -> DataFrame:
 
 
 def clip_layer(layer: DataFrame, ring: G.Ring) -> DataFrame:
-    """Cut a layer to a ring by what its geometry is: columns x and y, or a line (``points``), or a ring (``ring``)."""
+    """Cut a layer to a ring by what its geometry is: WKB (``geometry``), a line (``points``), a ring (``ring``), or x and y."""
+    if "geometry" in layer.columns:
+        return overlay.clip_layer(layer, overlay.ring_overlay(ring))
     if "ring" in layer.columns:
         return G.clip_polygons(layer, "ring", ring)
     if "points" in layer.columns:

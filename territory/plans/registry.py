@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from territory.functions import codes, urls
+from territory.functions import codes, urls, wkb
 from territory.operators import catalog as C
 from territory.operators import census as J
 from territory.operators import diagnostic as D
 from territory.operators import geometry as G
 from territory.operators import network as N
+from territory.operators import overlay
 from territory.operators.filters import code_rule
 from territory.operators.reader import filter_layer, union_by_name
 from territory.plans import bridge as B
@@ -301,8 +302,7 @@ def clip_lines(spark, d):
     return cut.select("vec_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.col("n_parts").cast("bigint").alias("n_parts"), F.round("length", 6).alias("length"))
 
 
-@query(
-    "SELECT vec_id, count(*)::BIGINT AS n_edges, round(sum(sx * ey - ex * sy) / 2, 6) AS area FROM (SELECT vec_id, sx, sy, ex, ey FROM a_kept UNION ALL SELECT vec_id, sx, sy, ex, ey FROM b_kept) GROUP BY vec_id",
+_BOXES = (
     "corners AS (SELECT vec_id, least(embedding[1], embedding[3])::DOUBLE AS x0, greatest(embedding[1], embedding[3])::DOUBLE AS x1, least(embedding[2], embedding[4])::DOUBLE AS y0, greatest(embedding[2], embedding[4])::DOUBLE AS y1 FROM embeddings WHERE embedding[1] <> embedding[3] AND embedding[2] <> embedding[4])",
     "box_edges AS (SELECT vec_id, 0 AS seq, x0 AS cx, y0 AS cy, x1 AS dx, y0 AS dy FROM corners UNION ALL SELECT vec_id, 1, x1, y0, x1, y1 FROM corners UNION ALL SELECT vec_id, 2, x1, y1, x0, y1 FROM corners UNION ALL SELECT vec_id, 3, x0, y1, x0, y0 FROM corners)",
     "box_segments AS (SELECT vec_id, seq, cx AS ax, cy AS ay, dx AS bx, dy AS by_ FROM box_edges)",
@@ -311,10 +311,30 @@ def clip_lines(spark, d):
     B.clip_sql("box_segments", "ring", "vec_id", prefix="a_"),
     B.clip_sql("ring_segments", "box_edges", "vec_id", "s.vec_id = r.vec_id", "b_"),
 )
+
+
+@query(
+    "SELECT vec_id, count(*)::BIGINT AS n_edges, round(sum(sx * ey - ex * sy) / 2, 6) AS area FROM (SELECT vec_id, sx, sy, ex, ey FROM a_kept UNION ALL SELECT vec_id, sx, sy, ex, ey FROM b_kept) GROUP BY vec_id",
+    *_BOXES,
+)
 def clip_polygons(spark, d):
     return G.clip_polygons(B.boxes(spark, d), "points", B.RING).select("vec_id", F.size("edges").cast("bigint").alias("n_edges"), F.round("area", 6).alias("area"))
 
 
+@query(
+    "SELECT vec_id, round(sum(sx * ey - ex * sy) / 2, 6) AS area FROM (SELECT vec_id, sx, sy, ex, ey FROM a_kept UNION ALL SELECT vec_id, sx, sy, ex, ey FROM b_kept) GROUP BY vec_id",
+    *_BOXES,
+)
+def clip_wkb_polygons(spark, d):
+    """The same through WKB, with rings put together again."""
+    part = F.array(F.array(F.concat("points", F.slice("points", 1, 1))))
+    layer = B.boxes(spark, d).select("vec_id", wkb.wkb_encode(F.lit("Polygon"), part).alias("geometry"))
+    cut = overlay.clip_layer(layer, overlay.ring_overlay(B.RING)).select("vec_id", wkb.wkb_decode(F.col("geometry"))["parts"].alias("parts"))
+    edge = lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: r[i - 1]["x"] * r[i]["y"] - r[i]["x"] * r[i - 1]["y"])
+    area = F.aggregate(F.flatten(F.transform(F.flatten("parts"), edge)), F.lit(0.0), lambda s, x: s + x) / 2
+    return cut.select("vec_id", F.round(area, 6).alias("area"))
+
+
 # Requests and names
 
 
@@ -388,9 +408,9 @@ def layer_names(spark, d):
     return pairs.select(urls.layer_name(F.col("id"), F.col("code_muni")).alias("layer"), urls.display_name(F.col("name"), F.col("name_muni"), F.col("code_muni")).alias("title"))
 
 
-@query("SELECT code_muni FROM municipalities WHERE custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)", B.MUNICIPALITIES)
+@query("SELECT code_muni FROM municipalities WHERE custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)", B.MUNICIPALITIES)
 def pending_sources(spark, d):
-    done = B.read(spark, d, "orders").select(F.col("o_custkey").alias("custkey"))
+    done = B.read(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("custkey"))
     return B.municipalities(spark, d).join(done, "custkey", "left_anti").select("code_muni")
 
 
