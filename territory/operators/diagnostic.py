@@ -12,6 +12,8 @@ from territory.functions.codes import normalize_uf_value
 from territory.operators import geometry as G
 from territory.operators import network as N
 from territory.operators import overlay
+from territory.operators.municipalities import in_box
+from territory.operators.reader import read_geo
 from territory.plans.sources import PROTOCOLS, Source, by_id
 
 REPORT = "source_id string, status string, message string"
@@ -50,6 +52,13 @@ class LayerStore:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
+    def register_views(self) -> list[str]:
+        """Every layer as a temporary view of its name."""
+        names = sorted(self.layers())
+        for n in names:
+            self.read(n).createOrReplaceTempView(n)
+        return names
+
 
 def stamped(layer: DataFrame, source: Source) -> DataFrame:
     """Lineage as columns: the day of extraction and the protocol."""
@@ -58,6 +67,8 @@ def stamped(layer: DataFrame, source: Source) -> DataFrame:
 
 def clip_layer(layer: DataFrame, ring: G.Ring) -> DataFrame:
     """Cut a layer to a ring by what its geometry is: WKB (``geometry``), a line (``points``), a ring (``ring``), or x and y."""
+    if {"xmin", "ymin", "xmax", "ymax"} <= set(layer.columns):
+        layer = in_box(layer, *G.ring_bbox(ring))
     if "geometry" in layer.columns:
         return overlay.clip_layer(layer, overlay.ring_overlay(ring))
     if "ring" in layer.columns:
@@ -67,6 +78,34 @@ def clip_layer(layer: DataFrame, ring: G.Ring) -> DataFrame:
     return G.clip_points(layer, "x", "y", ring)
 
 
+def fetcher(spark: SparkSession, bbox: tuple[float, float, float, float], catalogs: dict[str, DataFrame], resolve: Callable[[str], str] = lambda p: p, page_size: int = 1000, overpass: str = "https://overpass-api.de/api/interpreter") -> Callable[[Source, dict], DataFrame]:
+    """How each protocol's rows are had: by server filter or box, a catalog's files, or a road query."""
+    box = ",".join(map(str, bbox))
+
+    def remote(kind: str, layer_option: str, cond: str, s: Source, place: dict) -> DataFrame:
+        o = {"endpoint": s.endpoint, layer_option: s.layer.replace("{uf}", (place["uf"] or "").lower()), "srs": s.srs, "pageSize": str(page_size)}
+        if s.cut == "code":
+            o[cond] = f"{s.field} = {place['code']}"
+        elif s.cut == "name":
+            o[cond] = "{} = '{}'".format(s.field, place["name"].replace("'", "''"))
+        else:
+            o["bbox"] = box
+        return spark.read.format(kind).options(**o).load()
+
+    def fetch(s: Source, place: dict) -> DataFrame:
+        if s.protocol == "wfs":
+            return remote("wfs", "typeName", "cql", s, place)
+        if s.protocol == "arcgis":
+            return remote("arcgis", "layerId", "where", s, place)
+        if s.protocol == "osm":
+            west, south, east, north = bbox
+            q = f'[out:json][timeout:180];(way["highway"]({south},{west},{north},{east});>;);out body;'
+            return spark.read.format("overpass").options(endpoint=overpass, query=q).load()
+        return read_geo(spark, s.layer, catalogs[s.endpoint], resolve, s.endpoint, code=place["code"] if s.cut == "code" else "all")
+
+    return fetch
+
+
 def run_diagnostic(
     spark: SparkSession, ids: Iterable[str], code_muni: int, store: LayerStore, fetch: Callable[[Source, dict], DataFrame], ring: Callable[[], G.Ring | None], name_muni: str = "", force: bool = False
 ) -> DataFrame:
