@@ -1,0 +1,40 @@
+"""What the plans of the queries hold: no Python where none is wanted, columns and nothing else from the scans."""
+
+import re
+
+import pytest
+
+from territory.llm import queries as Q
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("sf")
+    spark.createDataFrame([(1, "a b c\nd\ne", "en", "s", 9), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "https://a.example.org/", "<p>x</p>"), (2, None, None)], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame([(1, "some text of an item that is long enough")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    return str(d)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("name", ["op1_url_filters", "op6_quality_rules", "op9_line_dedup"])
+def test_native_operators_run_no_python(spark, sf, name):
+    text = plan(Q.queries()[name](spark, sf))
+    assert not re.search("Python|Pandas|Arrow", text) and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize("name", [n for n in Q.queries() if n != "pipeline"])
+def test_queries_read_the_columns_they_need(spark, sf, name):
+    for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan(Q.queries()[name](spark, sf))):
+        assert not {"lang", "source", "n_chars", "quality"} & {c.split(":")[0] for c in schema.split(",")}
+
+
+@pytest.mark.parametrize("name", list(Q.queries()))
+def test_queries_take_empty_tables(spark, sf, name, tmp_path):
+    for t in ("documents", "pages", "benchmark", "labels"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert Q.queries()[name](spark, str(tmp_path)).count() == 0
