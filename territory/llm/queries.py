@@ -54,10 +54,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    """A row for every contaminated document: the items it holds passages of, and where."""
+    found = decontamination.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")).where("size(matches) > 0")
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"])))
     spans = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["item"], m["start"], m["end"])), ",")
-    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), items.alias("item_ids"), spans.alias("spans"))
+    return found.select("doc_id", F.lit(True).alias("contaminated"), items.alias("item_ids"), spans.alias("spans"))
 
 
 def queries() -> dict[str, Query]:
