@@ -214,9 +214,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
     ids = cut(fingerprints(docs, id_col, text, size))
     distinct = cut(ids.groupBy("fp").agg(F.min("id").alias("low")))
     linked = connected_components(links(distinct.select("fp"), radius, tree_limit))
-    rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    groups = rooted.join(smallest, "root").select("fp", "component_id")
+    rooted = linked.join(distinct, linked.node == distinct.fp).select("fp", "low", F.col("component").alias("root"))
+    # The smallest ids of the classes are written down, so that the join below meets plain exchanges, whose hot keys Spark splits.
+    smallest = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
+    found = rooted.join(smallest, "root").select("fp", "component_id")
+    groups = distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
     return ids.join(groups, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
