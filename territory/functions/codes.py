@@ -75,4 +75,6 @@ def code_text(c: Column) -> Column:
 def integer_key(c: Column) -> Column:
     """Canonical BIGINT of a numeric or text key (``'310620005000001.0'`` too); null if it is none."""
     text = F.trim(c.cast("string"))
-    return F.coalesce(text.try_cast("bigint"), F.round(text.try_cast("double")).try_cast("bigint"))
+    whole, number = text.rlike(r"^[+-]?[0-9]{1,19}$"), text.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$")
+    # a cast that fails is slow even where it may, so only texts that look like numbers are cast
+    return F.when(whole, text.try_cast("bigint")).when(number, F.round(text.try_cast("double")).try_cast("bigint"))

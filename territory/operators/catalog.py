@@ -30,7 +30,8 @@ def file_geo(c: Column) -> Column:
 
 def file_year(c: Column) -> Column:
     """The first run of digits."""
-    return F.regexp_extract(c, r"(\d+)", 1).try_cast("int")
+    found = F.regexp_extract(c, r"(\d+)", 1)
+    return F.when(found != "", found.try_cast("int"))
 
 
 def file_simplified(c: Column) -> Column:
