@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 1. quality rules drop the documents that fail; 2. line dedup removes repeated three-line passages from the texts; 3. SimHash
-near-dedup keeps the smallest id of each group of near copies; 4. benchmark decontamination drops documents that hold a
+near-dedup, with the exact links of five-word shingles, keeps the smallest id of each group of near copies; 4. benchmark decontamination drops documents that hold a
 passage of a benchmark item; 5. SentencePiece encoding gives what is left as ids, with the next best segmentations.
 
 All stages but the last return the columns of documents. ``n_chars`` follows the text where a stage changes it.
@@ -30,8 +30,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Op 4: one document of each group of near copies, the one of the smallest id."""
-    return simhash_dedup.keep_one(docs)
+    """Op 4, and five-word Jaccard similarity of 0.8: one document of each group of near copies, the one of the smallest id."""
+    return simhash_dedup.keep_one(docs, similar=True)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from territory.llm.common import cut
 from territory.llm.components import connected_components
+from territory.llm.shingle_links import shingle_set, signature, similar_links
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Most fingerprints in one BK-tree.
@@ -55,17 +56,20 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * total > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, fp long) of every row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, named: bool = False) -> DataFrame:
+    """(id, fp long) of every row; with ``named`` also s, the signature of its set of five-word shingles."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.large_binary() if pa.types.is_large_string(b.column(1).type) else pa.binary())
-            fps = pa.array((fingerprint(t, size) for t in texts.to_pylist()), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["id", "fp"])
+            texts = texts.to_pylist()
+            made = [pa.array((fingerprint(t, size) for t in texts), pa.int64())]
+            if named:
+                made.append(pa.array((signature(shingle_set(t)) for t in texts), pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["id", "fp", "s"][: 1 + len(made)])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind.simpleString()}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind.simpleString()}, fp long" + ", s long" * named)
 
 
 class BKTree:
@@ -209,11 +213,21 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_limit: int = TREE_LIMIT, bl
     return dealt.mapInPandas(partial(_units, radius=radius), "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, tree_limit: int = TREE_LIMIT) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id that the row's fingerprint reaches."""
-    ids = cut(fingerprints(docs, id_col, text, size))
+def _set_edges(ids: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Edges (a, b) that join the fingerprints of texts with similar sets of five-word shingles, or the same set."""
+    sets = connected_components(similar_links(docs.select(F.col(text).cast("string").alias("t"))))
+    pairs = ids.select("fp", "s").distinct().join(sets, F.col("s") == F.col("node"), "left").select("fp", F.coalesce("component", "s").alias("c"))
+    lows = pairs.groupBy("c").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top").select("c", "b")
+    return cut(pairs.join(lows, "c").where("fp <> b").select(F.col("fp").alias("a"), "b"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, tree_limit: int = TREE_LIMIT, similar: bool = False) -> DataFrame:
+    """(id, fp, component_id): component_id is the smallest id that the row's fingerprint reaches; with ``similar`` also over
+    texts whose five-word shingles have a Jaccard similarity of 0.8."""
+    ids = cut(fingerprints(docs, id_col, text, size, similar))
     distinct = cut(ids.groupBy("fp").agg(F.min("id").alias("low")))
-    linked = connected_components(links(distinct.select("fp"), radius, tree_limit))
+    edges = links(distinct.select("fp"), radius, tree_limit)
+    linked = connected_components(edges.unionAll(_set_edges(ids, docs, text)) if similar else edges)
     rooted = linked.join(distinct, linked.node == distinct.fp).select("fp", "low", F.col("component").alias("root"))
     # The smallest ids of the classes are written down, so that the join below meets plain exchanges, whose hot keys Spark splits.
     smallest = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
