@@ -4,8 +4,8 @@ One pass over the page keeps the stack of open elements. For every root-to-leaf
 are summed over its text nodes; the ratios of both to the number of nodes are smoothed over the paths that come next to
 it in the page (Gaussian weights, ``REACH`` to each side), fused into one score, and paths that reach ``LAMBDA`` standard
 deviations are content. Two kinds of prior knowledge are fused in: paths through boilerplate (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, hidden or raw elements, by tag, role, class or id) score zero, and where the
-page marks its article, paths through it pass while the others do not. Headings beside content are content.
+sidebars, notices, adverts, forms, comments, hidden or raw elements, by tag, role, class or id) score zero, and all
+paths through what the page marks as its article pass, beside those that the scores choose. Headings beside content are content.
 
 The text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones
 dropped and the rest joined in page order by a blank line. Nothing else is dropped or capped.
@@ -196,7 +196,6 @@ def extract(page: str | None) -> str:
         return ""
     nodes: list[tuple[_Open | None, str]] = []
     sums: dict[tuple[str, bool], list[int]] = {}
-    article = False
     for el, raw in chunks(page):
         if el is None:
             if nodes and nodes[-1][0] is not None:
@@ -209,18 +208,14 @@ def extract(page: str | None) -> str:
             continue  # the heading of the site's own header
         nodes.append((el, text))
         if s := text.strip():
-            article |= el[3]
             t = sums.setdefault((el[1], el[3]), [0, 0, 0])
             t[0], t[1], t[2] = t[0] + len(s), t[1] + len(_PUNCT.findall(s)), t[2] + 1
-    if article:
-        chosen = {k for k in sums if k[1]}
-    else:
-        keys, scores = list(sums), path_scores([tuple(x) for x in sums.values()])
-        mean = sum(scores) / len(scores) if scores else 0
-        bar = LAMBDA * math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores)) if scores else 0
-        chosen = {k for k, x in zip(keys, scores, strict=True) if x >= bar}
-        beside = {k[0].rpartition("/")[0] for k in chosen}
-        chosen |= {k for k in keys if _in_heading(k[0]) and k[0].rpartition("/")[0] in beside}
+    keys, scores = list(sums), path_scores([tuple(x) for x in sums.values()])
+    mean = sum(scores) / len(scores) if scores else 0
+    bar = LAMBDA * math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores)) if scores else 0
+    chosen = {k for k, x in zip(keys, scores, strict=True) if k[1] or x >= bar}
+    beside = {k[0].rpartition("/")[0] for k in chosen if not k[1]}
+    chosen |= {k for k in keys if not k[1] and _in_heading(k[0]) and k[0].rpartition("/")[0] in beside}
     blocks, at = [], []
     for el, text in [*nodes, (None, "")]:
         if el is not None:

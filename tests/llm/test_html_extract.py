@@ -23,6 +23,11 @@ CASES = [
 ]
 
 
+def test_teaser_article_does_not_hide_the_body():
+    page = f"<body><article><p>Read on.</p></article><div id='content'><h2>Head</h2><p>{PARA}</p><p>{PARA}</p></div><div><span>x</span></div></body>"
+    assert H.extract(page) == f"Read on.\n\nHead\n\n{PARA}\n\n{PARA}"
+
+
 @pytest.mark.parametrize("page,want", CASES)
 def test_extract(page, want):
     assert H.extract(page) == want
