@@ -291,6 +291,16 @@ def grid_join_points(spark, d):
     return G.grid_join(B.points(spark, d), polygons, "x", "y", "ring", 0.05).select("vec_id", "label", "box")
 
 
+@query(
+    "SELECT vec_id, label, box FROM points JOIN boxes ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax",
+    B.POINTS,
+    "boxes AS (SELECT vec_id AS box, least(embedding[1], embedding[3])::DOUBLE AS xmin, greatest(embedding[1], embedding[3])::DOUBLE AS xmax, least(embedding[2], embedding[4])::DOUBLE AS ymin, greatest(embedding[2], embedding[4])::DOUBLE AS ymax FROM embeddings)",
+)
+def grid_join_points_whole(spark, d):
+    polygons = B.boxes(spark, d).select(F.col("vec_id").alias("box"), F.col("points").alias("ring"))
+    return G.grid_join(B.points(spark, d), polygons, "x", "y", "ring", 0.05).select("vec_id", "label", "box")
+
+
 @query(
     "SELECT vec_id, count(*)::BIGINT AS n_pieces, count(*) FILTER (before IS NULL OR before <> seq + t1)::BIGINT AS n_parts, round(sum(sqrt((ex - sx) ** 2 + (ey - sy) ** 2)), 6) AS length FROM (SELECT *, lag(seq + t2) OVER (PARTITION BY vec_id ORDER BY seq, t1) AS before FROM kept) GROUP BY vec_id",
     B.LINE_SEGMENTS,
