@@ -418,6 +418,12 @@ def layer_names(spark, d):
     return pairs.select(urls.layer_name(F.col("id"), F.col("code_muni")).alias("layer"), urls.display_name(F.col("name"), F.col("name_muni"), F.col("code_muni")).alias("title"))
 
 
+@query("SELECT id || '_' || code_muni::VARCHAR AS layer, name || ' - ' || name_muni AS title FROM sources, municipalities WHERE protocol <> 'basemap'", B.MUNICIPALITIES, _sources_sql())
+def layer_names_whole(spark, d):
+    pairs = B.municipalities(spark, d).crossJoin(F.broadcast(S.table(spark).where("protocol <> 'basemap'")))  # the registry's 29 rows, by design
+    return pairs.select(urls.layer_name(F.col("id"), F.col("code_muni")).alias("layer"), urls.display_name(F.col("name"), F.col("name_muni"), F.col("code_muni")).alias("title"))
+
+
 @query("SELECT code_muni FROM municipalities WHERE custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)", B.MUNICIPALITIES)
 def pending_sources(spark, d):
     done = B.read(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("custkey"))

@@ -23,3 +23,11 @@ def test_grid_join_of_all_boxes(spark):
     part = entry.queries()["grid_join_points"](spark, DATA).count()
     print(f"pairs: {part} of {len(got)}")
     assert len(got) > part
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
+def test_layer_names_of_all_municipalities(spark):
+    got, want = sides(spark, "layer_names_whole")
+    part = entry.queries()["layer_names"](spark, DATA).count()
+    print(f"names: {part} of {len(got)}")
+    assert got == want and len(got) > part
