@@ -9,10 +9,12 @@ a shard that is named by the blocks agreed on; the loss is none. Each shard's di
 BK-tree, whose children hang on the integer Hamming distance to their parent, and a search follows only the edges within
 the radius. Trees live where their shard is shuffled to instead of being broadcast: all the trees together grow with the
 corpus and have no size bound. A shard of more than ``tree_limit`` fingerprints is split into parts; each pair of parts is
-a unit of its own (the tree of one, searched for the other's rows), so no task holds an unbounded shard. A unit returns a
-spanning forest of its links, at most one edge a fingerprint, from which distributed star rounds make the components.
+a unit of its own (the tree of one, searched for the other's rows), so no task holds an unbounded shard. A unit returns the
+stars of its components, at most one edge a fingerprint, from which distributed star rounds make the components. How many
+blocks there are follows the number of fingerprints: it changes the plan and never the links.
 
-Copies share a fingerprint and are counted once. Defined results: a row with a null id takes part and gets its group's
+Copies share a fingerprint and are counted once; the classes are written down before the copies meet them, so that Spark
+splits the copies of one fingerprint among tasks. Defined results: a row with a null id takes part and gets its group's
 smallest id; repeated rows stay repeated; an empty table gives an empty table; other columns are not read.
 """
 
@@ -135,24 +137,27 @@ class Forest:
 
 
 def spanning_links(tree: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (values) of a spanning forest of the links between a part's tree and other rows, or among the tree's own if
-    there are no other rows."""
-    own = not len(rows)
+    """Edges (values) with the components of the links between a part's tree and other rows, or among the tree's own if
+    there are no other rows: from each value to the smallest of its component, so that rounds over all units are few."""
     nodes = np.unique(tree)
-    bk, seek = BKTree(nodes.tolist()), nodes if own else np.unique(rows)
-    base = 0 if own else len(nodes)
-    forest, every = Forest(base + len(seek)), nodes if own else np.concatenate([nodes, seek])
-    edges: list[tuple[int, int]] = []
+    seek = np.unique(rows) if len(rows) else nodes
+    every = np.union1d(nodes, seek)
+    bk, node_at, seek_at = BKTree(nodes.tolist()), np.searchsorted(every, nodes).tolist(), np.searchsorted(every, seek)
+    label = np.arange(len(every))
+    forest = Forest(len(every))
     if len(seek) < SMALL:
-        hits = ((n, (i,)) for i, v in enumerate(seek.tolist()) for n in bk.near(v, radius))
+        hits = ((n, np.array([i])) for i, v in enumerate(seek.tolist()) for n in bk.near(v, radius))
     else:
-        hits = ((n, found.tolist()) for n, found in bk.near_all(seek, radius))
+        hits = bk.near_all(seek, radius)
     for n, found in hits:
-        edges += [(n, base + i) for i in found if forest.join(n, base + i)]
-    if not edges:
-        return every[:0], every[:0]
-    at = np.array(edges)
-    return every[at[:, 0]], every[at[:, 1]]
+        met = np.append(seek_at[found], node_at[n])
+        known = np.unique(label[met])  # values of one label are joined already: a dense unit costs a join a label, not a link
+        for x in known[1:].tolist():
+            forest.join(int(known[0]), x)
+        label[met] = forest.top(int(known[0]))
+    top = np.fromiter(map(forest.top, range(len(every))), np.int64, len(every))
+    far = np.flatnonzero(top != np.arange(len(every)))
+    return every[far], every[top[far]]
 
 
 def _blocks_for(n: int) -> int:
@@ -232,8 +237,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
     # The smallest ids of the classes are written down, so that the join below meets plain exchanges, whose hot keys Spark splits.
     smallest = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
     found = rooted.join(smallest, "root").select("fp", "component_id")
-    groups = distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return ids.join(groups, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    groups = cut(distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
+    return ids.join(groups.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex_digits(fp):
