@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         if named is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        _delete_at_end(spark, sc.getCheckpointDir())
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the folder deleted when the driver's JVM ends."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder, deleted when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    _delete_at_end(spark, path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet below the checkpoint folder and read again: a cut of the lineage in few bytes, of which
+    later plans read the columns they need."""
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,6 +64,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def plain(unique: DataFrame, *keys: str) -> DataFrame:
+    """An aggregate's rows, dealt anew by a hash of their keys' hashes. A join on the keys then puts an exchange of its own
+    on either side, and Spark splits the other side's hot keys, which it does not where an aggregate stands between."""
+    return unique.repartition(F.xxhash64(*keys))
+
+
 def whole_text(column: str = "text") -> Column:
     """The whole text; null is empty."""
     return F.coalesce(F.col(column), F.lit(""))
