@@ -1,18 +1,28 @@
 """Op 2. HTML extraction by tag-path ratios.
 
-One pass over the page keeps the stack of open elements. For every root-to-leaf tag path the text's length and punctuation
-are summed over its text nodes; the ratios of both to the number of nodes are smoothed over the paths that come next to
-it in the page (Gaussian weights, ``REACH`` to each side), fused into one score, and paths that reach ``LAMBDA`` standard
-deviations are content. Two kinds of prior knowledge are fused in: paths through boilerplate (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, hidden or raw elements, by tag, role, class or id) score zero, and all
-paths through what the page marks as its article pass, beside those that the scores choose. Headings beside content are content.
+One pass over the page keeps the stack of open elements. A tag path goes from the root to the element that holds a text
+node; a step is the tag, for containers with its id or class. Menus, headers, footers, sidebars, notices, adverts, forms,
+comments, hidden and raw elements are boilerplate by tag, role, class or id, and their text takes no part. For every other
+path the text's length and punctuation are summed over its text nodes. The score of every page's every path is made so:
+
+1. ratios: characters a node and punctuation marks a node;
+2. smoothing: both over the paths next to it in the page (Gaussian weights, ``REACH`` to each side);
+3. fusing: ratio of length x (1 + ratio of punctuation), and on top of it a prior times the page's best such value. The
+   prior is 1 inside what the page marks as its article, and the share of the page's weight below the content root for paths
+   there: the deepest container that holds at least ``SHARE`` of the weight (fused ratio x nodes). An element whose class or
+   id names boilerplate beside words of its own (``share-story``) has no prior: its ratios alone decide;
+4. threshold: paths that reach ``LAMBDA`` standard deviations of the fused ratios are content. Headings beside content that
+   has no prior are content, too.
+
+A standard deviation is at most half of the best value, so a prior of ``SHARE`` always reaches the threshold: nothing in the
+article or below the content root is dropped for being short.
 
 The text: character references are decoded, white space inside a block becomes one space, blocks are trimmed, empty ones
 dropped and the rest joined in page order by a blank line. Nothing else is dropped or capped.
 
 Defined results: null or empty html has empty text; broken markup is read as far as a browser would (an unclosed comment
 or script runs to the end); repeated rows are judged one by one; a null url stays null; extra columns are not read. Time
-and memory are linear in the page.
+and memory are linear in the page, however deep its elements: paths are numbers with a parent each.
 """
 
 from __future__ import annotations
@@ -21,12 +31,13 @@ import html as _html
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LAMBDA, SIGMA, REACH = 0.8, 0.5, 2
+LAMBDA, SIGMA, REACH, SHARE = 0.8, 0.5, 2, 0.5
 
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +52,14 @@ BOILER_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu footer sidebar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus breadcrumb breadcrumbs pagination pager widget widgets toolbar masthead topbar disclaimer".split()
 )
+#: Of these, the ones that make an article element boilerplate.
+ARTICLE_BOILER = {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "sponsored", "promo", "related", "recommended"}
+#: Words that say nothing beside boilerplate's: with these alone a class is boilerplate for sure.
+NEUTRAL_WORDS = set(
+    "list lists box boxes container wrapper wrap section sections area block blocks bar links link posts post articles items item site page top bottom left right inner outer holder panel unit units slot slots form thread "
+    "threads text message messages header head title body button buttons icon icons reader readers user users global primary secondary main middle center row col column group set tab tabs fixed sticky js the by of and our your for "
+    "google media inline".split()
+)
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Elements that a new one of the same group closes, as browsers do.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -54,40 +73,83 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _PUNCT = re.compile(r"[.,;:!?¿¡…、。]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-#: What stands on the stack: tag, path, boilerplate, inside an article, inside a header.
-_Open = tuple[str, str, bool, bool, bool]
+#: Tags that can be a content root, whose class or id is part of the path.
+CONTAINERS = set("article center div dl main ol section table tbody td tr ul blockquote details fieldset figure".split())
+
+_CLEAR, _SUSPECT, _BOILER = 0, 1, 2
+
+
+class _Open(NamedTuple):
+    """What stands on the stack: path is a number of ``Paths``, boiler one of the three above, article 2 inside an article
+    element and 1 inside another mark of the article."""
+
+    tag: str
+    path: int
+    boiler: int
+    article: int
+    header: bool
+    heading: bool
+
+
+class Paths:
+    """The tag paths of a page: a number for each, its parent and its last step. Number 0 is the root's parent."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self._at = [-1], [""], {}
+
+    def step(self, parent: int, tag: str, name: str) -> int:
+        at = self._at.get((parent, tag, name))
+        if at is None:
+            at = self._at[parent, tag, name] = len(self.parent)
+            self.parent.append(parent)
+            self.tag.append(tag)
+        return at
 
 
-def _flags(tag: str, attrs: str, inside: _Open) -> tuple[bool, bool, bool]:
-    _, _, boiler, article, header = inside
-    if boiler:
-        return True, article, header
-    words, plain = set(), tag in ("html", "body")
-    if tag in BOILER:
-        return True, article, header
-    if attrs and not attrs.isspace():
+def _named(values: list[str]) -> int:
+    """Whether classes and ids name boilerplate: for sure if one has no word of its own beside it."""
+    found = _CLEAR
+    for token in " ".join(values).split():
+        words = {w.lower() for w in _WORD.findall(token) if not w.isdigit()}
+        if own := words & BOILER_WORDS:
+            if words - own <= NEUTRAL_WORDS:
+                return _BOILER
+            found = _SUSPECT
+    return found
+
+
+def _opened(tag: str, attrs: str, inside: _Open, paths: Paths) -> _Open:
+    boiler, article, header = inside.boiler, inside.article, inside.header
+    plain, names, marked = tag in ("html", "body"), [], tag in ("article", "main")
+    if boiler < _BOILER and tag in BOILER:
+        boiler = _BOILER
+    if boiler < _BOILER and attrs and not attrs.isspace():
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
-                words.update(w.lower() for w in _WORD.findall(value))
-            elif name == "role" and value.strip().lower() in BOILER_ROLES and not plain:
-                return True, article, header
-            elif name == "role" and value.strip().lower() in ("main", "article"):
-                words.add("role-main")
+                names.append(value)
+            elif name == "role" and (role := value.strip().lower()) and not plain:
+                marked = marked or role in ("main", "article")
+                if role in BOILER_ROLES:
+                    boiler = _BOILER
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-                return True, article, header
-    if words & BOILER_WORDS and not plain and tag != "main":
-        only = tag == "article" and not words & {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "sponsored", "promo", "related", "recommended"}
-        if not only:
-            return True, article, header
-    if tag == "article" and article and inside[1].rfind("/article") >= 0:
-        return True, article, header  # an article inside an article is a comment on it
-    return False, article or tag in ("article", "main") or "role-main" in words, header or tag == "header" or "header" in words and tag not in HEADINGS and not plain
+                boiler = _BOILER
+        if names and not plain and tag != "main":
+            # an article may be called after its place or its topic, if it isn't called a comment or an advert
+            named = _named(names)
+            if tag != "article" or {w.lower() for v in names for w in _WORD.findall(v)} & ARTICLE_BOILER:
+                boiler = max(boiler, named)
+    if tag == "article" and article == 2:
+        boiler = _BOILER  # an article inside an article is a comment on it
+    heading = inside.heading or tag in HEADINGS
+    words = {w.lower() for v in names for w in _WORD.findall(v)} if names and tag not in HEADINGS and not plain else ()
+    path = paths.step(inside.path, tag, " ".join(names) if tag in CONTAINERS else "") if boiler < _BOILER else inside.path
+    return _Open(tag, path, boiler, max(article, 2 if tag == "article" else int(marked)), header or tag == "header" or "header" in words, heading)
 
 
-def chunks(page: str) -> Iterator[tuple[_Open | None, str]]:
+def chunks(page: str, paths: Paths) -> Iterator[tuple[_Open | None, str]]:
     """The page's text nodes with the innermost open element; (None, "") where a block begins or ends."""
-    stack: list[_Open] = [("", "", False, False, False)]
+    stack: list[_Open] = [_Open("", 0, _CLEAR, 0, False, False)]
     lower, pos, n, quotes = None, 0, len(page), True
     while pos < n:
         lt = page.find("<", pos)
@@ -167,17 +229,16 @@ def chunks(page: str) -> Iterator[tuple[_Open | None, str]]:
             continue
         if attrs.endswith("/") and tag not in BLOCKS:
             continue
-        top = stack[-1]
-        stack.append((tag, f"{top[1]}/{tag}" if len(stack) < 256 else top[1], *_flags(tag, attrs, top)))
+        stack.append(_opened(tag, attrs, stack[-1], paths))
 
 
 _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def path_scores(paths: list[tuple[int, int, int]]) -> list[float]:
+def path_ratios(sums: list[tuple[int, int, int]]) -> list[float]:
     """Smoothed and fused ratios of paths in page order; each has (text length, punctuation, nodes)."""
-    length = [c / n for c, _, n in paths]
-    punct = [p / n for _, p, n in paths]
+    length = [c / n for c, _, n in sums]
+    punct = [p / n for _, p, n in sums]
     weight = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(REACH + 1)]
 
     def smooth(x: list[float]) -> list[float]:
@@ -190,36 +251,78 @@ def path_scores(paths: list[tuple[int, int, int]]) -> list[float]:
     return [a * (1 + b) for a, b in zip(smooth(length), smooth(punct), strict=True)]
 
 
+def below_root(own: list[int], weights: list[float], paths: Paths) -> tuple[set[int], float]:
+    """Of the paths ``own``, those below the content root, and the root's share of the weight; none if no container has
+    enough."""
+    weight = [0.0] * len(paths.parent)
+    for p, w in zip(own, weights, strict=True):
+        weight[p] += w
+    for p in range(len(weight) - 1, 0, -1):  # a path's number is larger than its parent's
+        weight[paths.parent[p]] += weight[p]
+    root, least = 0, SHARE * weight[0]
+    for p in range(1, len(weight)):  # those that hold half are on one way down, but for two equal halves: the first counts
+        if weight[p] >= least > 0 and paths.tag[p] in CONTAINERS and _is_below(p, root, paths):
+            root = p
+    if not root:
+        return set(), 0.0
+    inside = [False] * len(weight)
+    inside[root] = True
+    for p in range(root + 1, len(weight)):
+        inside[p] = inside[paths.parent[p]]
+    return {p for p in own if inside[p]}, weight[root] / weight[0]
+
+
+def _is_below(p: int, root: int, paths: Paths) -> bool:
+    while p > root:
+        p = paths.parent[p]
+    return p == root
+
+
+def select(keys: list[tuple[int, bool, bool]], sums: list[tuple[int, int, int]], paths: Paths) -> set[tuple[int, bool, bool]]:
+    """The keys (path, inside an article, suspect) whose score reaches the threshold."""
+    if not keys:
+        return set()
+    ratio = path_ratios(sums)
+    top, mean = max(ratio), sum(ratio) / len(ratio)
+    bar = LAMBDA * math.sqrt(sum((x - mean) ** 2 for x in ratio) / len(ratio))
+    clear = [i for i, k in enumerate(keys) if not k[2]]
+    below, share = below_root([keys[i][0] for i in clear], [ratio[i] * sums[i][2] for i in clear], paths)
+    prior = [0.0 if suspect else 1.0 if article else share if path in below else 0.0 for path, article, suspect in keys]
+    return {k for k, x, y in zip(keys, ratio, prior, strict=True) if x + y * top >= bar}
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    nodes: list[tuple[_Open | None, str]] = []
-    sums: dict[tuple[str, bool], list[int]] = {}
-    for el, raw in chunks(page):
+    nodes: list[tuple[tuple[int, bool, bool] | None, str]] = []
+    sums: dict[tuple[int, bool, bool], list[int]] = {}
+    headings: set[tuple[int, bool, bool]] = set()
+    paths = Paths()
+    for el, raw in chunks(page, paths):
         if el is None:
             if nodes and nodes[-1][0] is not None:
                 nodes.append((None, ""))
             continue
-        if el[2] or el[4] and el[0] not in HEADINGS and not _in_heading(el[1]):
+        if el.boiler == _BOILER or el.header and not el.heading:
             continue
         text = _html.unescape(raw) if "&" in raw else raw
-        if el[4] and not el[3] and text.strip():
+        if el.header and not el.article and text.strip():
             continue  # the heading of the site's own header
-        nodes.append((el, text))
+        key = el.path, el.article > 0, el.boiler == _SUSPECT
+        nodes.append((key, text))
         if s := text.strip():
-            t = sums.setdefault((el[1], el[3]), [0, 0, 0])
+            t = sums.setdefault(key, [0, 0, 0])
             t[0], t[1], t[2] = t[0] + len(s), t[1] + len(_PUNCT.findall(s)), t[2] + 1
-    keys, scores = list(sums), path_scores([tuple(x) for x in sums.values()])
-    mean = sum(scores) / len(scores) if scores else 0
-    bar = LAMBDA * math.sqrt(sum((x - mean) ** 2 for x in scores) / len(scores)) if scores else 0
-    chosen = {k for k, x in zip(keys, scores, strict=True) if k[1] or x >= bar}
-    beside = {k[0].rpartition("/")[0] for k in chosen if not k[1]}
-    chosen |= {k for k in keys if not k[1] and _in_heading(k[0]) and k[0].rpartition("/")[0] in beside}
+            if el.heading:
+                headings.add(key)
+    chosen = select(list(sums), [tuple(x) for x in sums.values()], paths)
+    beside = {paths.parent[k[0]] for k in chosen if not k[1]}
+    chosen |= {k for k in headings if not k[1] and not k[2] and paths.parent[k[0]] in beside}
     blocks, at = [], []
-    for el, text in [*nodes, (None, "")]:
-        if el is not None:
-            if not text.strip() or (el[1], el[3]) in chosen:
+    for key, text in [*nodes, (None, "")]:
+        if key is not None:
+            if key in chosen or not text.strip():
                 at.append(text)
         elif at:
             if b := " ".join("".join(at).split()):
@@ -228,10 +331,6 @@ def extract(page: str | None) -> str:
     return "\n\n".join(blocks)
 
 
-def _in_heading(path: str) -> bool:
-    return any(f"/{h}/" in f"{path}/" for h in HEADINGS) if "/h" in path else False
-
-
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row."""
 
