@@ -9,7 +9,11 @@ No piece goes on over the start of a run of spaces, over a line end or from a le
 there, and paths of units add up. A unit's forward Viterbi scores give its best path; with the backward ones they give the
 loss of its second best. The N best segmentations of a text differ from its best in the N - 1 units of least loss; for
 those alone the search goes backward from the unit's end, A-star with the forward scores as exact heuristics, which yields
-paths in order of score. Units are remembered in two generations of bounded size, since words repeat.
+paths in order of score.
+
+Memory. Units are solved once and remembered, since words repeat: in flat arrays and one dictionary, which are emptied when
+they hold ``REMEMBERED`` bytes. Texts are encoded about ``TOGETHER`` characters at a time and a longer text in parts of as
+many, and each such group's rows are handed over before the next one is read. No result depends on what is remembered.
 
 Encoding is lossless: decoding any of the N segmentations gives the text back, whatever its characters (a leading space is
 added and taken off, as the model's own normalizer does; a U+2581 in the text goes by bytes, so that it stays itself).
@@ -24,6 +28,7 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 from operator import itemgetter
 from typing import NamedTuple
 
@@ -35,10 +40,12 @@ from pyspark.sql import functions as F
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 RANK_SHIFT, BYTE_SCORE = 2.7, -12.0
-#: Most units remembered in a generation, and the longest that is.
-REMEMBERED, LONGEST = 120_000, 48
+#: Most bytes of units remembered, about; most units whose N best paths are, and the longest of those.
+REMEMBERED, LISTED, LONGEST = 28 << 20, 5_000, 48
+#: Bytes that a unit takes besides its characters and ids: a string, a number, a place in the dictionary and in the arrays.
+OVERHEAD = 190
 #: The longest unit that is solved in numpy, and about how many characters of texts are encoded together.
-VECTOR_LENGTH, TOGETHER = 28, 1_500_000
+VECTOR_LENGTH, TOGETHER = 28, 800_000
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 #: What no piece may hold for units to be apart: a line end, or a space after another character.
@@ -71,8 +78,6 @@ def _hash(p: str) -> np.uint64:
 
 
 class Unit(NamedTuple):
-    """Plain tuples stand for it where many are made."""
-
     ids: bytes  # int32, little-endian
     score: float
     loss: float  # of the second best path; inf if there is one path only
@@ -87,10 +92,31 @@ class Pieces:
         if any(map(_APART.search, piece)):
             raise ValueError("pieces of this vocabulary go over the ends of units")
         self.apart = _unit_pattern(piece)
-        self.new: dict[str, Unit] = {}
-        self.old: dict[str, Unit] = {}
         self.best: dict[str, list] = {}
         self._hashed: tuple | None = None
+        self._empty()
+
+    def _empty(self) -> None:
+        """Remember no unit: ``at`` has a unit's number, the arrays its first id's place, count of ids, score and loss."""
+        self.at: dict[str, int] = {}
+        self.held, self.used = 0, 0  # bytes, ids
+        self.ids, self.start, self.count = np.zeros(1 << 12, np.int32), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32)
+        self.score, self.loss = np.zeros(1 << 10), np.zeros(1 << 10)
+
+    def _remember(self, units: list[str], ids: np.ndarray, count: np.ndarray, score: np.ndarray, loss: np.ndarray) -> None:
+        lo, hi, end = len(self.at), len(self.at) + len(units), self.used + len(ids)
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while hi > len(self.start):
+            for name in ("start", "count", "score", "loss"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, np.zeros_like(old)]))
+        self.ids[self.used : end] = ids
+        self.start[lo:hi] = self.used + np.cumsum(count) - count
+        self.count[lo:hi], self.score[lo:hi], self.loss[lo:hi] = count, score, loss
+        self.at.update(zip(units, range(lo, hi), strict=True))
+        self.used = end
+        self.held += sum(map(len, units)) + 4 * len(ids) + OVERHEAD * len(units)
 
     @classmethod
     def load(cls, path: str = MODEL_PATH) -> Pieces:
@@ -190,21 +216,34 @@ class Pieces:
             self._hashed = h, bits, ids.astype(np.int32), score
         return self._hashed
 
-    def solve_many(self, units: list[str]) -> dict[str, Unit]:
-        """``solve`` of many units, those of one length together in numpy."""
-        out: dict[str, Unit] = {}
+    def _solved(self, units: list[str]) -> Iterator[tuple]:
+        """(units, ids, counts of ids, scores, losses) of blocks of the units, those of one length together in numpy."""
         by: dict[int, list[str]] = {}
+        one: list[str] = []
         for u in units:
             if len(u) <= VECTOR_LENGTH and u != "\n":
                 by.setdefault(len(u), []).append(u)
             else:
-                out[u] = self.solve(u)
+                one.append(u)
         for n, us in by.items():
             for lo in range(0, len(us), 2048):
-                self._solve_length(us[lo : lo + 2048], n, out)
+                odd = yield from self._solve_length(us[lo : lo + 2048], n)
+                one += odd
+        for lo in range(0, len(one), 2048):
+            found = [self.solve(u) for u in one[lo : lo + 2048]]
+            ids = np.frombuffer(b"".join(x.ids for x in found), "<i4")
+            yield one[lo : lo + 2048], ids, np.array([len(x.ids) // 4 for x in found]), np.array([x.score for x in found]), np.array([x.loss for x in found])
+
+    def solve_many(self, units: list[str]) -> dict[str, Unit]:
+        """``solve`` of many units."""
+        out = {}
+        for us, ids, count, score, loss in self._solved(units):
+            ends = np.cumsum(count)
+            out |= {u: Unit(ids[e - c : e].astype("<i4").tobytes(), float(x), float(y)) for u, e, c, x, y in zip(us, ends, count, score, loss, strict=True)}
         return out
 
-    def _solve_length(self, us: list[str], n: int, out: dict[str, Unit]) -> None:
+    def _solve_length(self, us: list[str], n: int):
+        """Yields a block of the units of length n; returns those whose best path goes by bytes."""
         hashes, bits, piece_id, piece_score = self._table()
         w, most = len(us), min(n, self.longest)
         code = np.frombuffer("".join(us).encode("utf-32-le", "surrogatepass"), "<u4").reshape(w, n).astype(np.uint64)
@@ -249,12 +288,13 @@ class Pieces:
             part = chosen[:, size:]
             part[mine] = ids[size][mine]
         path = on > 0
-        flat, count = chosen[path], path.sum(axis=1)
-        ends = np.cumsum(count) * 4
-        data, loss = flat.astype("<i4").tobytes(), np.maximum(0.0, f[:, n] - second)
-        by_bytes = ((chosen < 0) & path).any(axis=1)
-        for k, (u, hi, c, s, x, odd) in enumerate(zip(us, ends.tolist(), count.tolist(), f[:, n].tolist(), loss.tolist(), by_bytes.tolist(), strict=True)):
-            out[u] = self.solve(u) if odd else (data[hi - 4 * c : hi], s, x)
+        odd = ((chosen < 0) & path).any(axis=1)
+        if odd.any():
+            path[odd] = False
+        fine = ~odd
+        loss = np.maximum(0.0, f[:, n] - second)
+        yield [u for u, x in zip(us, fine.tolist(), strict=True) if x], chosen[path], path.sum(axis=1)[fine], f[fine, n], loss[fine]
+        return [u for u, x in zip(us, odd.tolist(), strict=True) if x]
 
     def n_best(self, u: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a unit: backward A-star, forward scores as exact heuristics."""
@@ -280,63 +320,71 @@ class Pieces:
         return self.apart.findall(" " + t) if t else []
 
     def learn(self, units: set[str]) -> None:
-        """Have all these units in the new generation."""
-        if len(self.new) >= REMEMBERED:
-            self.old, self.new = self.new, {}
-        fresh = [u for u in units if u not in self.new]
-        for u in fresh:
-            if (x := self.old.get(u)) is not None:
-                self.new[u] = x
-        self.new.update(self.solve_many([u for u in fresh if u not in self.new]))
-
-    def forget_long(self, units: set[str]) -> None:
-        for u in units:
-            if len(u) > LONGEST:
-                self.new.pop(u, None)
-
-    def encode_all(self, texts: list[str], n: int = N_BEST) -> list[tuple[bytes, float, list]]:
-        """For each text: ids as int32 bytes, score, the next n - 1 segmentations as (score, edits (at, how many ids, new ids))."""
-        split = [self.units(t) for t in texts]
-        every = set().union(*split)
-        self.learn(every)
-        out = []
-        for units in split:
-            got = list(map(self.new.__getitem__, units))
-            ids, score = b"".join(map(itemgetter(0), got)), sum(map(itemgetter(1), got))
-            out.append((ids, score, self._others(units, got, score, n) if n > 1 and got else []))
-        self.forget_long(every)
-        return out
-
-    def encode(self, t: str, n: int = N_BEST) -> tuple[bytes, float, list]:
+        """Have all these units remembered."""
+        if self.held > REMEMBERED:
+            self._empty()
+        for block in self._solved([u for u in units if u not in self.at]):
+            self._remember(*block)
+
+    def _parts(self, texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
+        """The units of the texts, and how many each text has; a long text comes alone, in several parts."""
+        if len(texts) > 1 or len(texts[0]) <= TOGETHER:
+            split = [self.units(t) for t in texts]
+            yield list(chain.from_iterable(split)), list(map(len, split))
+            return
+        part, size = [], 0
+        for m in self.apart.finditer(" " + texts[0]):
+            part.append(m[0])
+            size += len(m[0])
+            if size >= TOGETHER:
+                yield part, [len(part)]
+                part, size = [], 0
+        yield part, [len(part)]
+
+    def encode_all(self, texts: list[str], n: int = N_BEST) -> list[tuple[np.ndarray, float, list]]:
+        """For each text: ids as int32, score, the next n - 1 segmentations as (score, edits (at, how many ids, new ids))."""
+        if not texts:
+            return []
+        made: list[list] = [[[], 0.0, []] for _ in texts]  # parts of the ids, score, the units of least loss
+        for flat, sizes in self._parts(texts):
+            self.learn(set(flat))
+            at = np.fromiter(map(self.at.__getitem__, flat), np.int64, len(flat))
+            count = self.count[at].astype(np.int64)
+            ends = np.cumsum(count)
+            ids = self.ids[np.repeat(self.start[at] - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            score, loss, lo = self.score[at], self.loss[at], 0
+            for out, size in zip(made, sizes, strict=True):
+                hi = lo + size
+                if size:
+                    first, last = int(ends[lo] - count[lo]), int(ends[hi - 1])
+                    before = sum(map(len, out[0]))
+                    if n > 1:
+                        for i in _least(loss[lo:hi], n - 1):
+                            begin = int(ends[lo + i] - count[lo + i])
+                            out[2].append((float(loss[lo + i]), before + begin - first, flat[lo + i], ids[begin : int(ends[lo + i])].tolist(), float(score[lo + i])))
+                    out[0].append(ids[first:last])
+                    out[1] += float(score[lo:hi].sum())
+                lo = hi
+        return [(np.concatenate(parts) if parts else np.zeros(0, np.int32), score, self._others(where, score, n)) for parts, score, where in made]
+
+    def encode(self, t: str, n: int = N_BEST) -> tuple[np.ndarray, float, list]:
         return self.encode_all([t], n)[0]
 
     def _paths(self, u: str, n: int) -> list[tuple[float, list[int]]]:
         if len(u) > LONGEST:
             return self.n_best(u, n)
         if (x := self.best.get(u)) is None or len(x) < n:
-            if len(self.best) >= REMEMBERED // 4:
+            if len(self.best) >= LISTED:
                 self.best.clear()
             self.best[u] = x = self.n_best(u, n)
         return x[:n]
 
-    def _others(self, units: list[str], got: list[Unit], score: float, n: int) -> list:
-        losses = list(map(itemgetter(2), got))
-        least = [x for x in heapq.nsmallest(n - 1, set(losses)) if x < math.inf]
-        where: list[int] = []
-        for x in least:
-            i = -1
-            while len(where) < n - 1:
-                try:
-                    i = losses.index(x, i + 1)
-                except ValueError:
-                    break
-                where.append(i)
+    def _others(self, where: list[tuple], score: float, n: int) -> list:
+        """``where``: (loss, place of the first id, unit, best ids, score) of units that hold the n - 1 of least loss."""
         combos: list[tuple[float, tuple]] = [(0.0, ())]
-        starts = np.cumsum([0, *map(len, map(itemgetter(0), got))]) // 4 if where else []
-        for i in where:
-            best = np.frombuffer(got[i][0], "<i4").tolist()
-            alt = [(got[i][1] - s, ids) for s, ids in self._paths(units[i], n) if ids != best][: n - 1]
-            more = [(c + max(0.0, loss), (*e, (int(starts[i]), len(best), ids))) for c, e in combos for loss, ids in alt]
+        for _, at, unit, best, own in sorted(where, key=itemgetter(0, 1))[: n - 1]:
+            alt = [(own - s, ids) for s, ids in self._paths(unit, n) if ids != best][: n - 1]
+            more = [(c + max(0.0, loss), (*e, (at, len(best), ids))) for c, e in combos for loss, ids in alt]
             combos = heapq.nsmallest(n, combos + more, key=lambda c: (c[0], len(c[1]), c[1]))
         return [(score - c, sorted(e)) for c, e in combos if e][: n - 1]
 
@@ -345,6 +393,16 @@ class Pieces:
         return b"".join(map(self.text.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
+def _least(loss: np.ndarray, n: int) -> list[int]:
+    """Where the n least finite losses are, in order of (loss, place)."""
+    if len(loss) > n:
+        may = np.flatnonzero(loss <= np.partition(loss, n - 1)[n - 1])
+        may = may[np.argsort(loss[may], kind="stable")][:n]
+    else:
+        may = np.argsort(loss, kind="stable")
+    return [i for i in may.tolist() if loss[i] < math.inf]
+
+
 def apply_edits(ids: list[int], edits: list) -> list[int]:
     """The ids of another segmentation."""
     out, at = [], 0
@@ -365,16 +423,16 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, n: int = N_BEST, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _resident(model)
         for b in batches:
-            parts, scores, others, same = [], [], [], []
+            done = 0
             for texts in _together(b.column(1)):
-                for t, (ids, s, more) in zip(texts, worker.encode_all(texts, n), strict=True):
-                    parts.append(ids)
-                    scores.append(s)
-                    others.append([{"score": c, "edits": [{"at": a, "n": k, "ids": x} for a, k, x in e]} for c, e in more])
-                    same.append(worker.decode(np.frombuffer(ids, "<i4").tolist()) == t)
-            size = np.array([len(p) // 4 for p in parts], np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(scores, pa.float64()), lists, pa.array(others, _NBEST), pa.array(same)], [id_col, "n_pieces", "score", "ids", "nbest", "round_trip"])
+                found = worker.encode_all(texts, n)
+                same = [worker.decode(ids.tolist()) == t for t, (ids, _, _) in zip(texts, found, strict=True)]
+                size = np.array([len(ids) for ids, _, _ in found], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate([ids for ids, _, _ in found])))
+                others = pa.array([[{"score": c, "edits": [{"at": a, "n": k, "ids": x} for a, k, x in e]} for c, e in more] for _, _, more in found], _NBEST)
+                scores = pa.array([x for _, x, _ in found], pa.float64())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(texts)), pa.array(size), scores, lists, others, pa.array(same)], [id_col, "n_pieces", "score", "ids", "nbest", "round_trip"])
+                done += len(texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string")).mapInArrow(run, f"`{id_col}` {kind}, {_SCHEMA}")

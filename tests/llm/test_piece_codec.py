@@ -1,5 +1,7 @@
 import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -34,8 +36,8 @@ def every_path(p, s):
     return out
 
 
-def ids_of(raw):
-    return np.frombuffer(raw, "<i4").tolist()
+def ids_of(ids):
+    return ids.tolist()
 
 
 def test_n_best_matches_every_path():
@@ -91,15 +93,47 @@ def test_round_trips_and_the_library_reads_the_ids(pieces):
         assert all(pieces.decode(C.apply_edits(ids, e)) == t for _, e in others)
 
 
-def test_memory_is_bounded_and_forgetting_changes_nothing(pieces, monkeypatch):
+def plainly(found):
+    return [(ids.tolist(), score, others) for ids, score, others in found]
+
+
+def test_forgetting_and_parts_change_nothing(pieces, monkeypatch):
     ts = texts()[:14]
-    want = [pieces.encode(t) for t in ts]
-    monkeypatch.setattr(C, "REMEMBERED", 5)
-    assert [pieces.encode(t) for t in ts * 2] == want * 2
-    assert all(len(u) <= C.LONGEST for u in pieces.new)
+    want = plainly(pieces.encode(t) for t in ts)
+    assert plainly(pieces.encode_all(ts)) == want
+    monkeypatch.setattr(C, "REMEMBERED", 500)
+    assert plainly(pieces.encode(t) for t in ts * 2) == want * 2
+    monkeypatch.setattr(C, "TOGETHER", 1000)
+    for (ids, score, others), (ids2, score2, others2) in zip(plainly(pieces.encode(t) for t in ts), want, strict=True):
+        assert ids == ids2 and abs(score - score2) < 1e-6 * max(1, abs(score)) and [e for _, e in others] == [e for _, e in others2]
+
+
+_MEASURE = """
+import random, sys
+from territory.llm import piece_codec as C
+import pyarrow as pa
+now = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Pss_Anon")) / 1024
+r, p = random.Random(1), C.Pieces.load()
+base, most = now(), 0
+for _ in range(12):  # ever new words
+    texts = pa.array([" ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(400)) for _ in range(700)])
+    for t in C._together(texts):
+        p.encode_all(t)
+        most = max(most, now())
+print(most - base, p.held)
+"""
+
+
+def test_a_workers_memory_is_bounded():
+    """Peak private memory over 12 batches of words that do not repeat."""
+    run = subprocess.run([sys.executable, "-c", _MEASURE], capture_output=True, text=True, check=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    grown, held = map(float, run.stdout.split())
+    assert grown < 220 and held < C.REMEMBERED + C.TOGETHER * C.OVERHEAD / 4
 
 
 def test_tables(spark, pieces):
+    clash = spark.createDataFrame([(1, "Hello", 2.0, 3)], "doc_id long, text string, score double, n_pieces int")
+    assert [r.n_pieces > 0 for r in C.encode(clash, pieces).collect()] == [True]
     rows = [(1, "Hello world, hello lattice", "x"), (2, None, None), (None, "", "y"), (1, "Hello world, hello lattice", "x"), (5, "▁ literal\n", "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = C.encode(df, pieces)
