@@ -6,34 +6,37 @@ into segments of ``SEGMENT`` characters, one every ``STRIDE`` (a shorter item is
 at most k = ``BUDGET`` x length edits. By the q-gram lemma such a place shares at least length - q + 1 - k q of the
 segment's q-grams, all on diagonals of a band k wide: the segment's q-grams that are shared are counted in overlapping bands of 2k diagonals and
 k more, bands that reach the bound are aligned inside their region, and alignments within the budget stand. The filter
-loses nothing; the alignment decides.
+loses nothing; the alignment decides. The least edits of all bands are found together, a bit-parallel column a step in numpy,
+equal pairs of segment and region once; the places of those within the budget by the banded table. An item of fewer than
+``MIN_ITEM`` characters counts as found where its two or more words stand in a row.
 
 The benchmark's q-gram index goes to the workers: it is built of blocks of at most ``BLOCK_CHARS`` characters of items,
-which bounds it (some 40 bytes a character); a larger benchmark makes more passes over the documents, one a block. Whole
-texts are filtered in numpy, a few hundred thousand characters at a time.
+which bounds it (some 80 bytes a character); a larger benchmark makes more passes over the documents, one a block, and the
+driver holds one block at a time. Whole texts are filtered in numpy, a few hundred thousand characters and ``POSTINGS``
+shared q-grams at a time.
 
-Defined results: null or empty texts are clean; null or empty items and those of under ``MIN_ITEM`` characters tell
-nothing and match nothing; repeated items match alike; repeated rows are judged one by one; other columns are not read;
-an empty benchmark leaves every document clean.
+Defined results: null or empty texts are clean; null or empty items and those of one word under ``MIN_ITEM`` characters
+tell nothing and match nothing; repeated items match alike; repeated rows are judged one by one; other columns are not
+read; an empty benchmark leaves every document clean. Ids of texts and items may be of any type Arrow has.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from territory.llm.common import cut
+from territory.llm.common import cut, plain, written
 
-Q, SEGMENT, STRIDE, BUDGET, MIN_ITEM = 10, 100, 50, 0.08, 24
-BLOCK_CHARS, CHUNK = 4_000_000, 300_000
-_BITS, _BASE = 22, 0xD6E8FEB86659FD93
+Q, SEGMENT, STRIDE, BUDGET, MIN_ITEM = 10, 100, 25, 0.08, 24
+BLOCK_CHARS, CHUNK, POSTINGS, PAIRS = 2_000_000, 300_000, 1 << 20, 4096
+_BITS, _BASE, _SEGMENT_SHIFT = 22, 0xD6E8FEB86659FD93, 32
 
 _OTHER = re.compile(r"[\W_]+")
 _RUN = re.compile(r"[^\W_]+")
@@ -62,15 +65,26 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.item, self.text = [], []
+        short: dict[str, list] = {}
         for i, t in items:
             t = normal(t)
             if len(t) < MIN_ITEM:
+                if " " in t:
+                    short.setdefault(f" {t} ", []).append(i)
                 continue
             last = max(0, len(t) - SEGMENT)
             for at in sorted({*range(0, last, STRIDE), last}):
                 self.item.append(i)
                 self.text.append(t[at : at + SEGMENT])
-        size = np.array([len(t) for t in self.text], np.int64)
+        self.short = None
+        if short:
+            import ahocorasick
+
+            self.short = ahocorasick.Automaton()
+            for t, ids in short.items():
+                self.short.add_word(t, (len(t), ids))
+            self.short.make_automaton()
+        self.size = size = np.array([len(t) for t in self.text], np.int64)
         self.k = np.minimum((BUDGET * size).astype(np.int64), (size - Q) // Q)
         self.need = size - Q + 1 - self.k * Q
         hashes = [grams(t) for t in self.text]
@@ -85,65 +99,140 @@ class Index:
         self.least = int(self.need.min()) if len(self.text) else 0
         self.reach = int((size + 2 * self.k).max()) if len(self.text) else 0
 
-    def bands(self, t: str) -> Iterator[tuple[int, int, int]]:
-        """(segment, from, to): regions of a normal text that can hold a segment within its budget."""
-        h = grams(t)
+    def bands(self, t: str) -> np.ndarray:
+        """Rows (segment, from, to): regions of a normal text that can hold a segment within its budget."""
+        h, none = grams(t), np.zeros((0, 3), np.int64)
         if not len(h) or not len(self.gram):
-            return
+            return none
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
         if len(at) < self.least:
-            return
+            return none
         g = np.searchsorted(self.gram, h[at])
         g[g == len(self.gram)] = 0
         same = self.gram[g] == h[at]
         at, g = at[same], g[same]
         if len(at) < self.least:
-            return
+            return none
         # a place needs ``least`` shared q-grams within the reach of the longest segment
         many = np.zeros(len(at), bool)
         ends = np.searchsorted(at, at + self.reach, side="right")
         starts = np.flatnonzero(ends - np.arange(len(at)) >= self.least)
         if not len(starts):
-            return
+            return none
         mark = np.zeros(len(at) + 1, np.int64)
         np.add.at(mark, starts, 1)
         np.add.at(mark, ends[starts], -1)
         many = np.cumsum(mark[:-1]) > 0
         at, g = at[many], g[many]
+        every, found, lo = np.cumsum(self.n[g]), [], 0
+        while lo < len(at):  # a part of bounded size, and as much more as a place that begins in it can reach
+            hi = max(lo + 1, int(np.searchsorted(every, (every[lo - 1] if lo else 0) + POSTINGS, side="right")))
+            end = int(np.searchsorted(at, at[hi - 1] + self.reach, side="right"))
+            found.append(self._reached(at[lo:end], g[lo:end]))
+            lo = hi
+        key = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+        s, band = key >> _SEGMENT_SHIFT, key & ((1 << _SEGMENT_SHIFT) - 1)
+        k = self.k[s]
+        first = band * np.maximum(2 * k, 1) - SEGMENT
+        return np.stack([s, np.maximum(0, first - k), np.minimum(len(t), first + 4 * k + 1 + self.size[s])], axis=1)
+
+    def _reached(self, at: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """segment << _SEGMENT_SHIFT | band of the bands that hold enough of the segment's q-grams."""
         n = self.n[g]
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        post = np.repeat(self.first[g], n) + within
-        seg = self.seg[post].astype(np.int64)
-        diag = np.repeat(at, n) - self.pos[post] + SEGMENT
+        post = np.repeat(self.first[g] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        seg, place = self.seg[post].astype(np.int64), self.pos[post]
+        diag = np.repeat(at, n) - place + SEGMENT
         k = self.k[seg]
         wide = np.maximum(2 * k, 1)
         band = diag // wide
         too = (diag - band * wide < k + 1) & (band > 0)
-        key = np.concatenate([seg, seg[too]]) * (1 << 40) + np.concatenate([band, band[too] - 1])
-        place = self.pos[post]
-        pair = np.stack([key, np.concatenate([place, place[too]])])
-        pair = pair[:, np.lexsort(pair[::-1])]
-        new = np.ones(pair.shape[1], bool)  # a segment's q-gram counts once in a band
-        new[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
-        keys, counts = np.unique(pair[0][new], return_counts=True)
-        keys = keys[counts >= self.need[keys >> 40]]
-        for x in keys.tolist():
-            s, b = x >> 40, x & ((1 << 40) - 1)
-            k, m = int(self.k[s]), len(self.text[s])
-            lo = b * max(2 * k, 1) - SEGMENT
-            yield s, max(0, lo - k), min(len(t), lo + 3 * k + 1 + m + k)
+        key = (seg << _SEGMENT_SHIFT | band) << 7 | place  # a place in a segment has seven bits
+        key = np.sort(np.concatenate([key, key[too] - (1 << 7)]))
+        new = np.ones(len(key), bool)  # a segment's q-gram counts once in a band
+        new[1:] = key[1:] != key[:-1]
+        key = key[new] >> 7
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        counts, keys = np.diff(np.append(begin, len(key))), key[begin]
+        return keys[counts >= self.need[keys >> _SEGMENT_SHIFT]]
 
     def matches(self, t: str) -> list[tuple[int, int, int]]:
         """(item, from, to) in a normal text: verified places of segments, one for each that a band holds."""
-        out, sure = [], {}
-        for s, lo, hi in self.bands(t):
-            if s in sure and sure[s][0] >= lo and sure[s][1] <= hi:
-                continue  # the neighbouring band's find
-            if hit := align(self.text[s], t[lo:hi], int(self.k[s])):
-                sure[s] = lo + hit[1], lo + hit[2]
-                out.append((self.item[s], *sure[s]))
+        bands = self.bands(t).tolist()
+        pairs: dict[tuple[str, str], int] = {}
+        which = [pairs.setdefault((self.text[s], t[lo:hi]), len(pairs)) for s, lo, hi in bands]
+        least = least_edits(list(pairs))
+        out, sure, places = [], {}, {}
+        for (s, lo, hi), i in zip(bands, which, strict=True):
+            if least[i] > self.k[s] or s in sure and sure[s][0] >= lo and sure[s][1] <= hi:
+                continue  # the latter: the neighbouring band's find
+            if i not in places:
+                places[i] = align(self.text[s], t[lo:hi], int(self.k[s]))
+            sure[s] = lo + places[i][1], lo + places[i][2]
+            out.append((self.item[s], *sure[s]))
         return out
 
+    def short_matches(self, t: str) -> list[tuple[int, int, int]]:
+        """(item, from, to) of the short items in a normal text."""
+        found = self.short.iter(f" {t} ") if self.short and t else ()
+        return [(i, end + 1 - size, end - 1) for end, (size, ids) in found for i in ids]
+
+
+def least_edits(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Of every (pattern of at most 128 characters, text) the least edits of the pattern anywhere in the text."""
+    out = np.zeros(len(pairs), np.int64)
+    for lo in range(0, len(pairs), PAIRS):
+        out[lo : lo + PAIRS] = _least_edits(pairs[lo : lo + PAIRS])
+    return out
+
+
+def _codes(t: str) -> np.ndarray:
+    return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _least_edits(pairs: list[tuple[str, str]]) -> np.ndarray:
+    number: dict[str, int] = {}
+    of = np.array([number.setdefault(p, len(number)) for p, _ in pairs])
+    codes = [_codes(p) for p in number]
+    size = np.array([len(c) for c in codes])
+    letters, code = np.unique(np.concatenate(codes), return_inverse=True)
+    row, bit = np.repeat(np.arange(len(codes)), size), np.concatenate([np.arange(n) for n in size])
+    same = np.zeros((len(codes), len(letters) + 1, 2), np.uint64)  # by pattern and letter: the places of the letter, in two words
+    np.bitwise_or.at(same, (row, code, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    texts = [_codes(t) for _, t in pairs]
+    steps = max(map(len, texts))
+    grid = np.full((len(pairs), steps), len(letters))
+    for i, t in enumerate(texts):
+        at = np.searchsorted(letters, t)
+        at[at == len(letters)] = 0
+        grid[i, : len(t)] = np.where(letters[at] == t, at, len(letters))
+    one, top = np.uint64(1), np.uint64(63)
+    last = size[of] - 1
+    second, place = last >= 64, (last % 64).astype(np.uint64)
+    up = [np.full(len(pairs), ~np.uint64(0)) for _ in range(2)]  # where the column's cost rises by one, and where it falls
+    down = [np.zeros(len(pairs), np.uint64) for _ in range(2)]
+    cost = size[of].astype(np.int64)
+    least = cost.copy()
+    for j in range(steps):
+        eq = same[of, grid[:, j]]
+        more = less = None  # what the first word hands to the second
+        for w in (0, 1):
+            e, pv, mv = eq[:, w], up[w], down[w]
+            xv = e | mv
+            if w:
+                e = e | less
+            xh = (((e & pv) + pv) ^ pv) | e
+            ph, mh = mv | ~(xh | pv), pv & xh
+            mine = second == bool(w)
+            cost += np.where(mine, ((ph >> place) & one).astype(np.int64) - ((mh >> place) & one).astype(np.int64), 0)
+            out_more, out_less = ph >> top, mh >> top
+            ph, mh = ph << one, mh << one
+            if w:
+                ph, mh = ph | more, mh | less
+            up[w], down[w] = mh | ~(xv | ph), ph & xv
+            more, less = out_more, out_less
+        np.minimum(least, cost, out=least)
+    return least
+
 
 def align(pattern: str, text: str, k: int) -> tuple[int, int, int] | None:
     """(edits, from, to) of the pattern's best place in the text within k edits; only cells within k are computed."""
@@ -206,12 +295,19 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def find_all(texts: list[str | None], index: Index) -> list[list[tuple[int, int, int]]]:
     """(item, from, to) in each text as it was."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    plain = [normal(t) for t in texts]
-    for lo, part in _chunks(plain):
+    normals = [normal(t) for t in texts]
+    for lo, part in _chunks(normals):
         begins = np.cumsum([0, *(len(t) + 1 for t in part)])
-        own = sorted({int(i) for _, a, b in index.bands("\x00".join(part)) for i in range(np.searchsorted(begins, a, "right") - 1, np.searchsorted(begins, b, "right")) if i < len(part)})
+        own = [0]
+        if len(part) > 1:
+            _, a, e = index.bands("\x00".join(part)).T
+            first, last = np.searchsorted(begins, a, "right") - 1, np.searchsorted(begins, e, "right")
+            own = sorted({i for x, y in {*zip(first.tolist(), last.tolist(), strict=True)} for i in range(x, min(y, len(part)))})
         for i in own:
-            out[lo + i] = sorted({(item, *original_span(texts[lo + i], a, b)) for item, a, b in index.matches(part[i])}, key=lambda x: (x[1], x[2], x[0]))
+            out[lo + i] = list(index.matches(part[i]))
+    for i, (t, found) in enumerate(zip(normals, out, strict=True)):
+        if found := [*found, *index.short_matches(t)]:
+            out[i] = sorted({(item, *original_span(texts[i], a, b)) for item, a, b in found}, key=lambda x: (x[1], x[2], x[0] is not None, x[0]))
     return out
 
 
@@ -233,27 +329,29 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"`{id_col}` {kind}, __key long, matches array<struct<item:{item_kind},start:long,end:long>>"
     source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias("__text"), F.xxhash64(f"`{text}`").alias("__key"))
+    kinds = pa.list_(pa.struct([("item", to_arrow_type(items.schema[item_id].dataType)), ("start", pa.int64()), ("end", pa.int64())]))
 
     def passed(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kinds = None
             for b in batches:
                 found = find_all(b.column(1).to_pylist(), index)
-                kinds = kinds or pa.list_(pa.struct([("item", _arrow(item_kind)), ("start", pa.int64()), ("end", pa.int64())]))
                 rows = [[{"item": i, "start": a, "end": e} for i, a, e in f] for f in found]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, kinds)], [id_col, "__key", "matches"])
 
         return source.mapInArrow(run, schema)
 
-    passes = [passed(Index(b)) for b in _blocks(items, item_id, item_text)] or [passed(Index([]))]
-    if len(passes) == 1:
-        return passes[0].drop("__key")
-    every = reduce(DataFrame.unionAll, passes).groupBy(id_col, "__key").agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("matches")))).alias("matches"))
-    return every.select(id_col, "matches", F.explode(F.expr(f"sequence(1, int(n / {len(passes)}))"))).select(id_col, "matches")
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    blocks = _blocks(items, item_id, item_text)
+    block, after = next(blocks, []), next(blocks, None)
+    if after is None:
+        return passed(Index(block)).drop("__key")
+    every = None
+    while block:  # each block's finds are written down, so that one index is held at a time
+        found = written(passed(Index(block)).where("size(matches) > 0"))
+        every = found if every is None else every.unionAll(found)
+        block, after = after or [], next(blocks, None)
+    every = every.groupBy(F.col(f"`{id_col}`").alias("__id"), F.col("__key").alias("__k")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matches")))).alias("__m"))
+    met = source.select(id_col, "__key").join(plain(every, "__k"), F.col("__key").eqNullSafe(F.col("__k")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
+    return met.select(id_col, F.coalesce("__m", F.array()).alias("matches"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -1,4 +1,7 @@
+import datetime
+import decimal
 import random
+import time
 
 import numpy as np
 
@@ -53,6 +56,51 @@ def test_alignment_matches_the_full_table():
             assert full_cost(p, t[got[1] : got[2]]) == got[0]
 
 
+def test_least_edits_match_the_full_table():
+    r = random.Random(12)
+    pairs = []
+    for _ in range(400):
+        p = words(r, 30)[: r.choice([13, 15, 63, 64, 65, 100, 127, 128])] + "é" * (_ % 2)
+        pairs.append((p[:128], words(r, 4) + edited(r, p, r.randint(0, 12))[r.randint(0, 3) :] + words(r, r.randint(0, 6))))
+    assert D.least_edits(pairs).tolist() == [full_cost(p, t) for p, t in pairs]
+    assert D.least_edits([]).tolist() == []
+
+
+def test_phrases_of_many_items_repeated_take_little_time():
+    r = random.Random(13)
+    stock = words(r, 14)[:80]
+    items = [(i, words(r, 3)[:12] + " " + stock + " " + words(r, 30)) for i in range(400)]
+    index = D.Index(items)
+    t = " ".join(f"{stock} {words(r, 2)}" for _ in range(150))
+    began = time.process_time()
+    assert D.find_all([t], index) == [[]]
+    assert time.process_time() - began < 8  # 2 s on a free core
+    few = D.Index(items[:6])
+    for t in (f"{words(r, 3)} {items[2][1][:110]}", " ".join(f"{stock} {words(r, 2)}" for _ in range(3))):
+        want = {few.item[s] for s, p in enumerate(few.text) if full_cost(p, D.normal(t)) <= few.k[s]}
+        assert {i for i, *_ in D.find_all([t], few)[0]} == want
+
+
+def test_parts_of_postings_change_nothing(monkeypatch):
+    r = random.Random(14)
+    items = [(i, words(r, 40)) for i in range(8)]
+    index = D.Index(items)
+    texts = [" ".join(edited(r, r.choice(items)[1][50:250], 3) + words(r, 5) for _ in range(6)) for _ in range(5)]
+    want = D.find_all(texts, index)
+    assert all(want)
+    monkeypatch.setattr(D, "POSTINGS", 7)
+    assert D.find_all(texts, index) == want
+
+
+def test_short_items_match_whole_words_and_ids_are_of_any_type(spark):
+    index = D.Index([(1, "Red fox?"), (2, "fox"), (None, "the end")])
+    assert D.find_all(["A red, FOX ran", "red foxes", "fox", "red fox red fox", None, "x the end"], index) == [[(1, 2, 10)], [], [], [(1, 0, 7), (1, 8, 15)], [], [(None, 2, 9)]]
+    docs = spark.createDataFrame([("a", "one red fox"), ("b", "none")], "doc_id string, text string")
+    for kind, value in (("decimal(5,1)", decimal.Decimal("7.5")), ("string", "q"), ("smallint", 3), ("date", datetime.date(2020, 1, 2))):
+        items = spark.createDataFrame([(value, "red fox")], f"item_id {kind}, text string")
+        assert {r.doc_id: [m.item for m in r.matches] for r in D.contamination(docs, items).collect()} == {"a": [value], "b": []}
+
+
 def test_filter_loses_nothing_and_finds_nothing_else():
     r = random.Random(3)
     items = [(i, words(r, r.choice([5, 12, 20, 40]))) for i in range(25)] + [(90, None), (91, ""), (92, "short"), (3, "x")]
