@@ -46,6 +46,9 @@ REMEMBERED, LISTED, LONGEST = 28 << 20, 5_000, 48
 OVERHEAD = 190
 #: The longest unit that is solved in numpy, and about how many characters of texts are encoded together.
 VECTOR_LENGTH, TOGETHER = 28, 800_000
+#: Edges of units solved together, about, and the leading bits of the hash by which pieces are looked up.
+CELLS, _LEAD = 1 << 19, 18
+_REST = np.uint64(64 - _LEAD)
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 #: What no piece may hold for units to be apart: a line end, or a space after another character.
@@ -202,7 +205,7 @@ class Pieces:
         return Unit(np.array(self._ids(path[::-1]), "<i4").tobytes(), score[n], max(0.0, score[n] - second))
 
     def _table(self) -> tuple:
-        """The pieces' hashes in order, a bit map of them, and their ids and scores; by length of the piece, shorter ones alone matter."""
+        """The pieces' hashes in order, where those of each leading ``_LEAD`` bits begin, the most that share them, the pieces' ids and scores."""
         if self._hashed is None:
             names = list(self.piece)
             h = np.array([_hash(p) for p in names], np.uint64)
@@ -210,10 +213,11 @@ class Pieces:
             h = h[order]
             if (h[1:] == h[:-1]).any():
                 raise ValueError("two pieces share a hash")
-            bits = np.zeros(1 << 20, bool)
-            bits[(h >> np.uint64(44)).astype(np.int64)] = True
+            lead = (h >> _REST).astype(np.int64)
+            first = np.full(1 << _LEAD, -1, np.int32)
+            first[lead[::-1]] = np.arange(len(h) - 1, -1, -1)
             ids, score = (np.array([self.piece[p][k] for p in names])[order] for k in (0, 1))
-            self._hashed = h, bits, ids.astype(np.int32), score
+            self._hashed = h, first, int(np.unique(lead, return_counts=True)[1].max()), ids.astype(np.int32), score
         return self._hashed
 
     def _solved(self, units: list[str]) -> Iterator[tuple]:
@@ -226,8 +230,9 @@ class Pieces:
             else:
                 one.append(u)
         for n, us in by.items():
-            for lo in range(0, len(us), 2048):
-                odd = yield from self._solve_length(us[lo : lo + 2048], n)
+            step = max(64, CELLS // (n * n))
+            for lo in range(0, len(us), step):
+                odd = yield from self._solve_length(us[lo : lo + step], n)
                 one += odd
         for lo in range(0, len(one), 2048):
             found = [self.solve(u) for u in one[lo : lo + 2048]]
@@ -244,56 +249,53 @@ class Pieces:
 
     def _solve_length(self, us: list[str], n: int):
         """Yields a block of the units of length n; returns those whose best path goes by bytes."""
-        hashes, bits, piece_id, piece_score = self._table()
+        hashes, lead, most_shared, piece_id, piece_score = self._table()
         w, most = len(us), min(n, self.longest)
         code = np.frombuffer("".join(us).encode("utf-32-le", "surrogatepass"), "<u4").reshape(w, n).astype(np.uint64)
         wide = code + np.uint64(1)
-        edge, ids = [None] * (most + 1), [None] * (most + 1)  # by length, then by start
+        edge, ids = np.full((n, w, n + 1), -np.inf), np.full((n, w, n + 1), -1, np.int32)  # by start, unit and end
         h = np.zeros((w, n), np.uint64)
         for size in range(1, most + 1):
             h = h[:, : n - size + 1] * _MUL + wide[:, size - 1 :]
             mixed = _mix(h)
-            may = np.flatnonzero(bits[(mixed >> np.uint64(44)).astype(np.int64)])
-            at = np.searchsorted(hashes, key := mixed.ravel()[may])
-            at[at == len(hashes)] = 0
+            at = lead[(mixed >> _REST).astype(np.int64)]
+            r, c = np.nonzero(at >= 0)
+            at, key = at[r, c], mixed[r, c]
             real = hashes[at] == key
-            e, i = np.full(h.size, -np.inf), np.full(h.size, -1, np.int32)
-            e[may[real]], i[may[real]] = piece_score[at[real]], piece_id[at[real]]
-            edge[size], ids[size] = e.reshape(h.shape), i.reshape(h.shape)
-        alone = ids[1] < 0
-        edge[1][alone] = BYTE_SCORE * (1 + (code >= 0x80).astype(int) + (code >= 0x800) + (code >= 0x10000))[alone]
-        f, a = np.zeros((w, n + 1)), np.full((w, n + 1), -np.inf)
-        back = np.zeros((w, n + 1), np.int8)
+            for _ in range(most_shared - 1):
+                np.minimum(at + 1, len(hashes) - 1, out=at, where=~real)
+                real = hashes[at] == key
+            r, c, at = r[real], c[real], at[real]
+            edge[c, r, c + size], ids[c, r, c + size] = piece_score[at], piece_id[at]
+        cost = BYTE_SCORE * (1 + (code >= 0x80).astype(int) + (code >= 0x800) + (code >= 0x10000))
+        for i in range(n):
+            alone = ids[i, :, i + 1] < 0
+            edge[i, alone, i + 1] = cost[alone, i]
+        f, a, back = np.zeros((n + 1, w)), np.zeros((n + 1, w)), np.zeros((n + 1, w), np.int8)
         for j in range(1, n + 1):
-            best = np.full(w, -np.inf)
-            for size in range(min(j, most), 0, -1):
-                c = f[:, j - size] + edge[size][:, j - size]
-                better = c > best
-                best = np.where(better, c, best)
-                back[better, j] = size
-            f[:, j] = best
-        a[:, n] = 0
+            lo = max(0, j - most)
+            c = f[lo:j] + edge[lo:j, :, j]  # longer pieces first, so that the longest of equals is taken
+            back[j] = j - lo - c.argmax(axis=0)
+            f[j] = c.max(axis=0)
         for i in range(n - 1, -1, -1):
-            for size in range(1, min(n - i, most) + 1):
-                np.maximum(a[:, i], edge[size][:, i] + a[:, i + size], out=a[:, i])
-        on, pos, rows = np.zeros((w, n + 1), np.int8), np.full(w, n), np.arange(w)
-        while (live := pos > 0).any():
-            r, p = rows[live], pos[live]
-            on[r, p] = step = back[r, p]
-            pos[live] = p - step
-        second, chosen = np.full(w, -np.inf), np.full((w, n + 1), -1, np.int32)
-        for size in range(1, most + 1):
-            mine = on[:, size:] == size
-            np.maximum(second, np.where(mine, -np.inf, f[:, : n + 1 - size] + edge[size] + a[:, size:]).max(axis=1), out=second)
-            part = chosen[:, size:]
-            part[mine] = ids[size][mine]
-        path = on > 0
+            hi = min(n, i + most)
+            a[i] = (edge[i, :, i + 1 : hi + 1] + a[i + 1 : hi + 1].T).max(axis=1)
+        chosen, pos, rows = np.full((w, n + 1), -1, np.int32), np.full(w, n), np.arange(w)
+        path = np.zeros((w, n + 1), bool)
+        through = edge + f[:n, :, None] + a.T[None]  # the best path over each edge
+        while len(rows):
+            start = pos - back[pos, rows]
+            chosen[rows, pos], path[rows, pos] = ids[start, rows, pos], True
+            through[start, rows, pos] = -np.inf
+            live = start > 0
+            rows, pos = rows[live], start[live]
+        second = through.max(axis=(0, 2))
         odd = ((chosen < 0) & path).any(axis=1)
         if odd.any():
             path[odd] = False
         fine = ~odd
-        loss = np.maximum(0.0, f[:, n] - second)
-        yield [u for u, x in zip(us, fine.tolist(), strict=True) if x], chosen[path], path.sum(axis=1)[fine], f[fine, n], loss[fine]
+        loss = np.maximum(0.0, f[n] - second)
+        yield [u for u, x in zip(us, fine.tolist(), strict=True) if x], chosen[path], path.sum(axis=1)[fine], f[n, fine], loss[fine]
         return [u for u, x in zip(us, odd.tolist(), strict=True) if x]
 
     def n_best(self, u: str, n: int) -> list[tuple[float, list[int]]]:
