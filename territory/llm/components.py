@@ -1,6 +1,6 @@
 """Connected components by alternating large-star and small-star rounds, in DataFrame operations only.
 
-Every round joins the edges with each node's smallest neighbour. That is aggregated before its shuffle and written down, so
+Every round joins the edges with each node's smallest neighbour. That is aggregated before its shuffle and dealt anew, so
 the join meets plain exchanges with a unique side, and Spark splits the edges of a hub among tasks. Rounds end when the set
 of edges no longer changes, after O(log^2 n) of them. Each round's edges are cut by a reliable checkpoint. Nothing is
 collected but a count and a checksum of the edges.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territory.llm.common import cut
+from territory.llm.common import cut, plain
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -31,10 +31,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     seen = _signature(e)
     while seen[0]:
         sym = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut(sym.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        moved = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = sym.where("v > u").join(plain(low, "u"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(plain(low, "u"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct())
         now = _signature(e)
         if now == seen:

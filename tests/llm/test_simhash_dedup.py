@@ -68,12 +68,24 @@ def test_fingerprint_and_groups_match_brute_force(spark):
             assert r.component_id == by[r.fp % (1 << 64)]
             if r.doc_id is not None:
                 assert r.fp % (1 << 64) == want_fp[ts[r.doc_id]]
-    kept = S.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == {v for v in by.values() if v is not None}
+    for limit in (S.BROADCAST_BYTES, -1):
+        kept = S.keep_one(docs, broadcast_bytes=limit)
+        assert kept.columns == docs.columns
+        ids = [r.doc_id for r in kept.collect()]
+        alone = set(by) - {want_fp[t] for i, t, *_ in rows if i is not None}
+        assert sorted(i for i in ids if i is not None) == sorted({v for v in by.values() if v is not None})
+        assert ids.count(None) == len({f for f in alone if by[f] is None})
     assert S.near_groups(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_a_group_stays_whatever_its_ids(spark):
+    a, b = "one two three four five six seven", "other words of a text that is another"
+    rows = [(None, a), (None, a), (None, b), (5, b), (5, b), (5, a + " eight nine"), (9, b), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, f"n{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, __key string")
+    got = sorted(((r.doc_id, r.text) for r in S.keep_one(docs).collect()), key=str)
+    assert got == sorted([(None, a), (5, b), (5, a + " eight nine"), (None, None)], key=str)
+
+
 def test_links_lose_nothing(spark):
     r = random.Random(5)
     vals = set()
