@@ -21,16 +21,20 @@ def joined(spans: list[Span], kinds: Sequence[str]) -> str:
 
 
 def apart(added: list[Span], base: list[Span]) -> list[Span]:
-    """The added spans that overlap neither a base span nor an earlier added one."""
-    taken, out = sorted((a, b) for _, a, b in base), []
+    """The added spans that overlap neither a base span nor an earlier added one; one pass over both in order of start."""
+    taken, out, at = sorted((a, b) for _, a, b in base), [], 0
+    reach = -1  # the furthest end of the base spans that begin before the added one's end
     for s in sorted(added, key=lambda s: (s[1], s[0])):
-        if not any(a < s[2] and s[1] < b for a, b in taken) and (not out or out[-1][2] <= s[1]):
+        while at < len(taken) and taken[at][0] < s[1]:
+            reach, at = max(reach, taken[at][1]), at + 1
+        ahead = at < len(taken) and taken[at][0] < s[2]
+        if reach <= s[1] and not ahead and (not out or out[-1][2] <= s[1]):
             out.append(s)
     return out
 
 
 def find_spans(docs: DataFrame, kinds: Sequence[str], base: Callable[[str], list[Span]], method: Callable[[list[str]], list[list[Span]]], id_col: str, text: str) -> DataFrame:
-    """(id, n_<kind> of the base spans, base_sha256, spans): one row for every row of docs.
+    """(id, n_<kind> of the base spans, base_sha256, spans, n_spans of all): one row for every row of docs.
 
     ``base`` gives a text's base spans, ``method`` the added ones of a list of texts. A null text is empty.
     """
@@ -45,8 +49,9 @@ def find_spans(docs: DataFrame, kinds: Sequence[str], base: Callable[[str], list
             told = [joined(o, kinds) for o in own]
             sha = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in told], pa.string())
             full = pa.array([joined([*o, *m], kinds) if m else t for o, m, t in zip(own, more, told, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, sha, full], [id_col, *names, "base_sha256", "spans"])
+            every = pa.array([len(o) + len(m) for o, m in zip(own, more, strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), *counts, sha, full, every], [id_col, *names, "base_sha256", "spans", "n_spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, " + ", ".join(f"`{n}` long" for n in names) + ", base_sha256 string, spans string"
+    schema = f"`{id_col}` {kind}, " + ", ".join(f"`{n}` long" for n in names) + ", base_sha256 string, spans string, n_spans long"
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, schema)
