@@ -5,8 +5,9 @@ fixed seed, ``TRAIN_ROWS`` rows long, with look-alikes such as years, prices, ve
 as nothing), by full-batch gradient ascent with forward-backward in numpy. Its few thousand weights go to the workers
 with the function. Sequences to decode are the windows of ``CONTEXT`` characters around digits, ``@`` and spelt-out at and
 dot signs, over the whole of every text; windows that meet are one sequence, however long. Viterbi decodes a batch's
-windows together, those of like length side by side. Decoded spans are added where they meet no base span: phone numbers
-without ``+``, card numbers with other separators, spelt-out email addresses. Base spans always stay.
+windows together, those of like length side by side. Decoded spans are added where they have their kind's form and meet no
+base span: phone numbers without ``+``, card numbers with other separators, spelt-out email addresses, addresses of hosts
+with bracketed or spaced dots. Base spans always stay.
 
 Defined results: null text is empty and has no spans; ids may be null; repeated rows are judged one by one; other columns
 are not read; an empty table gives an empty table. The n_ columns and base_sha256 tell of the base spans alone.
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from territory.llm.spans import Span, find_spans
 
 KINDS = ("email", "ip", "card", "phone")
-TRAIN_ROWS, TRAIN_STEPS, L2 = 600, 120, 2e-4
+TRAIN_ROWS, TRAIN_STEPS, L2 = 2000, 90, 1e-4
 #: Characters of context around what makes a window, and most sequences x steps that are decoded at once.
-CONTEXT, BATCH_CELLS = 28, 200_000
+CONTEXT, BATCH_CELLS = 32, 200_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -77,8 +78,9 @@ def base_spans(t: str) -> list[Span]:
 # The field: tokens, features, training, decoding
 
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
-_MAKES_WINDOW = re.compile(r"[0-9@]+|[(\[<{](?:at|AT|dot|DOT)[)\]>}]")
-_GROUP = re.compile(r"[0-9][0-9 .\-()/]*[0-9]|[0-9]")
+_MAKES_WINDOW = re.compile(r"[0-9@]+|[(\[<{] ?(?:at|AT|dot|DOT) ?[)\]>}]|\b(?:dot|DOT)\b")
+_GROUP = re.compile(r"[0-9](?:[0-9 .\-()/_\[\]]*[0-9])?")
+_DIGITS = re.compile(r"[0-9]+")
 _CUES = {"tel", "phone", "call", "fax", "mobile", "card", "visa", "pay", "ip", "host", "mail", "email", "contact", "at", "dot", "com", "org", "net", "example", "version", "isbn", "order", "page", "year"}
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 
@@ -106,22 +108,32 @@ def features(t: str, toks: list[tuple[str, int, int]]) -> list[list[str]]:
     for m in _GROUP.finditer(t, toks[0][1], toks[-1][2]):
         d = _NOT_DIGIT.sub("", m[0])
         kind = "card" if 12 <= len(d) <= 19 and luhn(d) else "long" if len(d) >= 12 else "mid" if len(d) >= 9 else "seven" if len(d) >= 7 else "few"
-        groups.append((m.start(), m.end(), f"{kind}.{min(m[0].count('.'), 4)}.{m[0].count('-') > 0}.{m[0].count(')') > 0}"))
+        parts = [min(len(x), 9) for x in _DIGITS.findall(m[0])]
+        form = "-".join(map(str, parts)) if len(parts) < 7 else "many"
+        between = "".join(sorted({c for c in m[0] if not c.isdigit()}))
+        groups.append((m.start(), m.end(), f"{kind}.{min(m[0].count('.'), 4)}.{m[0].count('-') > 0}.{m[0].count(')') > 0}", f"{form} {between}", m[0][:2] == "00" or m[0][0] == "0" and len(parts) > 1))
     out = []
     for i, (w, a, b) in enumerate(toks):
         j = i + 2
         gap, after = (i == 0 or toks[i - 1][2] < a), (i + 1 == len(toks) or toks[i + 1][1] > b)
         while at < len(groups) and groups[at][1] <= a:
             at += 1
-        g = groups[at][2] if at < len(groups) and groups[at][0] <= a else "none"
+        inside = at < len(groups) and groups[at][0] <= a
+        g = groups[at][2] if inside else "none"
         f = ["1", f"s0={shapes[j]}", f"s-1={shapes[j - 1]}", f"s+1={shapes[j + 1]}", f"s-2={shapes[j - 2]}", f"s+2={shapes[j + 2]}", f"s-10={shapes[j - 1]} {shapes[j]}", f"s01={shapes[j]} {shapes[j + 1]}", f"g={g}", f"gs={g} {shapes[j]}", f"gap={gap}{after} {shapes[j]}"]
         f += [f"c{k}={cues[j + k]}" for k in (-2, -1, 0, 1, 2) if cues[j + k]]
+        if inside:
+            f += [f"p={groups[at][3]}", f"p0={groups[at][3]} {a == groups[at][0]}", f"z={groups[at][4]}.{len(groups[at][3])}"]
         if w.isdigit() and int(w[:4]) > 255:
             f.append("over255")
         out.append(f)
     return out
 
 
+#: Ends of the addresses made.
+TOPS = ("com", "org", "net", "de", "fr", "es", "io", "info", "co.uk", "com.br")
+
+
 def labelled_table(rows: int = TRAIN_ROWS, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """(text, its spans), made by rule: filler words, one or two entities or look-alikes, and sometimes a cue word."""
     r = random.Random(seed)
@@ -140,21 +152,56 @@ def labelled_table(rows: int = TRAIN_ROWS, seed: int = 11) -> list[tuple[str, li
     def ip() -> str:
         return ".".join(str(r.randint(0, 255)) for _ in range(4))
 
+    def name() -> str:
+        return r.choice([word(), word(), word(1, 1)]) + r.choice(["", "", "_" + word(), "-" + word(), "." + word(), "." + word(), num(2)])
+
+    def host() -> str:
+        return r.choice([word(), word(), f"{word()}-{word()}", word() + num(1)])
+
     def email() -> str:
-        return f"{word()}{r.choice(['', '.', '_'])}{num(2)}@{word()}.{r.choice(['example.com', 'org', 'net'])}"
+        return f"{name()}@{host()}.{r.choice(TOPS)}"
 
     def spelt() -> str:
-        o, c = r.choice(["()", "[]", "<>", "{}"])
-        return f"{word()} {o}at{c} {word()} {o}dot{c} {r.choice(['com', 'org', 'net'])}"
-
-    entity = [
-        lambda: (0, email()), lambda: (0, spelt()), lambda: (1, ip()), lambda: (2, card(True)), lambda: (2, split4(card(True), r.choice(" -."))),
-        lambda: (3, f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}"), lambda: (3, f"({num(3)}) {num(3)}-{num(4)}"), lambda: (3, f"{num(3)}-{num(3)}-{num(4)}"), lambda: (3, f"+{num(2)} {num(3)} {num(3)} {num(4)}"),
-    ]
+        top = r.choice(TOPS).split(".")
+        style = r.randrange(4)
+        if style < 2:
+            o, c = r.choice(["()", "[]", "<>", "{}"])
+            upper, gap = r.random() < 0.25, r.choice(["", " ", " "])
+            at, dot = ("AT", "DOT") if upper else ("at", "dot")
+            at, dot = f"{gap}{o}{at}{c}{gap}", f"{gap}{o}{dot}{c}{gap}" if r.random() < 0.8 else "."
+        else:
+            at, dot = (" at ", " dot ") if style == 2 else (" AT ", " DOT ")
+        return name() + at + dot.join([*([word()] if r.random() < 0.2 else []), host(), *top])
+
+    def separated(parts: list[str], seps: list[str]) -> str:
+        return r.choice(seps).join(parts)
+
+    def amex() -> str:
+        while not luhn(d := "3" + r.choice("47") + num(13)):
+            pass
+        return separated([d[:4], d[4:10], d[10:]], [" ", "-", ".", "/", " - "])
+
+    def phone() -> str:
+        a, b = r.choice(["", "0"]), r.choice(["49", "33", "34", "44", "39", "1"])
+        return r.choice(
+            [
+                f"+{b} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)} {num(4)}", separated([num(3), num(3), num(4)], ["-", ".", " ", "/"]), f"+{b} {num(3)} {num(3)} {num(4)}",
+                f"0{num(2)} {num(3)} {num(2)} {num(2)}", f"0{num(r.randint(2, 4))}{r.choice(['/', '-', ' ', ' / '])}{num(r.randint(6, 8))}", f"00{b} {num(r.randint(2, 3))} {num(r.randint(5, 7))}", separated([f"00{b}", num(3), num(3), num(r.randint(2, 4))], [" ", "-", "."]),
+                separated([f"0{num(1)}", num(2), num(2), num(2), num(2)], [" ", ".", "-"]), f"1{r.choice('-. ')}{num(3)}{r.choice('-. ')}{num(3)}{r.choice('-. ')}{num(4)}",
+            ]
+        )
+
+    def spaced_ip() -> str:
+        return separated(ip().split("."), ["[.]", "(.)", " . ", "[.]", " [.] ", "[dot]"])
+
+    entity = [lambda: (0, email()), lambda: (0, spelt()), lambda: (0, spelt()), lambda: (1, ip()), lambda: (1, spaced_ip()), lambda: (2, card(True)), lambda: (2, split4(card(True), r.choice([" ", "-", ".", "/", "_", "  ", " - "]))), lambda: (2, amex()), lambda: (3, phone()), lambda: (3, phone())]
     other = [
-        lambda: str(r.randint(1900, 2050)), lambda: num(r.randint(1, 6)), lambda: f"{r.randint(1, 20)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: f"{num(2)},{num(3)}.{num(2)}", lambda: card(False),
-        lambda: f"{r.randint(1, 28)}-{r.randint(1, 12)}-{r.randint(1990, 2030)}", lambda: f"{r.randint(0, 23)}:{num(2)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), lambda: f"@{word()}", lambda: f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}",
-        lambda: ".".join(str(r.randint(256, 999)) for _ in range(4)), lambda: f"{num(9)}{num(9)}{num(4)}", lambda: word() + num(3), lambda: f"§{num(3)}", lambda: f"{num(4)}/{num(2)}",
+        lambda: str(r.randint(1900, 2050)), lambda: num(r.randint(1, 6)), lambda: f"{r.randint(1, 20)}.{r.randint(0, 20)}.{r.randint(0, 9)}", lambda: f"{num(2)},{num(3)}.{num(2)}", lambda: card(False), lambda: split4(card(False), r.choice([" ", "-", ".", "/", "  "])),
+        lambda: f"{r.randint(1, 28)}-{r.randint(1, 12)}-{r.randint(1990, 2030)}", lambda: f"{r.randint(10, 28)}.{r.randint(10, 12)}.{r.randint(1990, 2030)}", lambda: f"{r.randint(1990, 2030)}-0{r.randint(1, 9)}-{r.randint(10, 28)} {r.randint(0, 23)}:{num(2)}:{num(2)}", lambda: f"{r.randint(0, 23)}:{num(2)}",
+        lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)), lambda: f"@{word()}", lambda: f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", lambda: ".".join(str(r.randint(256, 999)) for _ in range(4)), lambda: f"{num(9)}{num(9)}{num(4)}", lambda: word() + num(3), lambda: f"§{num(3)}",
+        lambda: f"{num(4)}/{num(2)}", lambda: f"{num(4)}-{num(4)}", lambda: f"{r.randint(1, 9)}.{num(3)}.{num(3)}.{num(3)}", lambda: f"{r.randint(1, 9)},{num(3)},{num(3)},{num(3)}", lambda: f"{num(1)} {num(3)} {num(3)}", lambda: " ".join(num(4) for _ in range(r.randint(2, 3))), lambda: " ".join(num(r.randint(1, 3)) for _ in range(r.randint(2, 6))),
+        lambda: f"{word()} at {word()} {word()}", lambda: f"at the dot {word()}", lambda: f"{word()} dot {word()}", lambda: f"at {num(1)} dot {num(2)}", lambda: f"{word()} at {num(2)}", lambda: f"look at {word()} . {word()}", lambda: f"({num(3)}) {num(3)}", lambda: f"{num(2)} . {num(2)}",
+        lambda: f"{num(5)}-{num(4)}", lambda: f"{num(2)}-{num(2)}-{num(2)}", lambda: f"{r.randint(1, 9)}. {word()}", lambda: f"{num(10)}", lambda: f"{num(11)}", lambda: f"({r.randint(1900, 2030)}) {num(1)}:{num(2)}", lambda: f"{word()}.{word()}/{num(3)}-{num(3)}",
     ]
     out = []
     for _ in range(rows):
@@ -301,19 +348,26 @@ def windows(t: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if a < b]
 
 
-_AT, _DOT = re.compile(r"[(\[<{]at[)\]>}]", re.I), re.compile(r"[(\[<{]dot[)\]>}]", re.I)
+_SIGN_AT, _SIGN_DOT = r"\s*[(\[<{]\s?(?:at|@)\s?[)\]>}]\s*", r"\s*(?:[(\[<{]\s?(?:dot|\.)\s?[)\]>}]|\.)\s*"
+_NAME, _PART = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?", r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+_FORMS = (
+    re.compile(rf"{_NAME}{_SIGN_AT}{_PART}(?:{_SIGN_DOT}{_PART})*{_SIGN_DOT}[A-Za-z]{{2,10}}|{_NAME}\s+at\s+{_PART}(?:\s+dot\s+{_PART})*\s+dot\s+[A-Za-z]{{2,10}}", re.I),
+    re.compile(r"[0-9]{1,3}(?:\s*(?:[(\[{]\s?(?:\.|dot)\s?[)\]}]|\.)\s*[0-9]{1,3}){3}", re.I),
+    re.compile(r"[0-9]+(?: ?[\x20.\-/_] ?[0-9]+)*"),
+    re.compile(r"[+(]?[0-9](?:[0-9 ().\-]|(?<! )/|/(?! ))*[0-9]|[0-9]+ / [0-9]+"),
+)
 
 
 def _valid(kind: int, s: str) -> bool:
+    """Has the string the form of its kind?"""
+    if not _FORMS[kind].fullmatch(s):
+        return False
     d = _NOT_DIGIT.sub("", s)
-    if kind == 0:
-        return bool(_AT.search(s)) and bool(_DOT.search(s)) and s[:1].isalnum() and s[-1:].isalnum()
     if kind == 1:
-        p = re.split(r"[^0-9]+", s)
-        return len(p) == 4 and all(p) and all(len(x) <= 3 and int(x) <= 255 for x in p)
+        return all(int(x) <= 255 for x in _DIGITS.findall(s))
     if kind == 2:
-        return 12 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9][0-9 .\-]*[0-9]", s))
-    return 9 <= len(d) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().\-]*[0-9]", s)) and not re.fullmatch(r"[0-9]+", s)
+        return 12 <= len(d) <= 19 and luhn(d)
+    return kind == 0 or 9 <= len(d) <= 15 and not s.isdigit()
 
 
 def added_spans(texts: list[str], crf: CRF) -> list[list[Span]]:

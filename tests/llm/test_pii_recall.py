@@ -1,0 +1,72 @@
+"""Recall and precision of the field on spellings that the base patterns miss, made apart from its training table."""
+
+import random
+
+from territory.llm import pii as P
+from territory.llm.spans import apart
+
+
+FIRST = "anna joerg maria.lopez kim j.smith paul_b li-wei sophie99 m.garcia tom".split()
+HOST = "mail example acme-corp uni-koeln web.de post inbox company".split()
+TLD = "com org net de fr es co.uk".split()
+PROSE = "The committee met again last week and decided that nothing would change until spring . Members who wish to speak should write before the end of May . Le conseil se réunit demain matin avec les élèves . Der Bericht wurde gestern an alle verteilt .".split()
+LEAD = ["Write to", "You can reach me:", "call", "tel.", "Card no.", "paid with", "server", "from host", "contact", "Kontakt:", "tél :", "his number is", "", "logged in from", "please use"]
+
+
+def luhn_card(r, n, lead):
+    d = [int(c) for c in lead]
+    while len(d) < n - 1:
+        d.append(r.randrange(10))
+    return next(x for c in range(10) if P.luhn(x := "".join(map(str, [*d, c]))))
+
+
+def spelled(r):
+    """(kind, spelling)"""
+    num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    u, h, t = r.choice(FIRST), r.choice(HOST), r.choice(TLD)
+    at, dot = r.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" at ", " dot "), (" AT ", " DOT ")])
+    c = luhn_card(r, 16, r.choice(["4", "51", "37", "6011"]))
+    amex, four, ip = luhn_card(r, 15, "37"), [c[i : i + 4] for i in range(0, 16, 4)], [str(r.randrange(256)) for _ in range(4)]
+    return r.choice(
+        [
+            (0, u + at + h.replace(".", dot) + dot + t.replace(".", dot)), (0, u + at + h.replace(".", dot) + dot + t.replace(".", dot)), (0, u + at + h.replace(".", dot) + dot + t.replace(".", dot)), (0, u + at + h.replace(".", dot) + dot + t.replace(".", dot)),
+            (2, ".".join(four)), (2, "/".join(four)), (2, "  ".join(four)), (2, " - ".join(four)), (2, f"{amex[:4]}.{amex[4:10]}.{amex[10:]}"),
+            (3, f"{num(3)}-{num(3)}-{num(4)}"), (3, f"({num(3)}) {num(3)}-{num(4)}"), (3, f"{num(3)}.{num(3)}.{num(4)}"), (3, f"0{num(2)} {num(3)} {num(2)} {num(2)}"), (3, f"00{r.choice(['49', '33', '34', '44'])} {num(3)} {num(7)}"),
+            (1, "[.]".join(ip)), (1, "(.)".join(ip)), (1, " . ".join(ip)),
+        ]
+    )
+
+
+def cases(n, seed):
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        kind, e = spelled(r)
+        i = r.randrange(len(PROSE) - 8)
+        before = (" ".join(PROSE[i : i + r.randint(2, 8)]) + " " + r.choice(LEAD)).strip() + " "
+        out.append((before + e + r.choice([" ", " ", ". ", ", ", " and "]) + " ".join(PROSE[i : i + r.randint(0, 6)]), (kind, len(before), len(before) + len(e))))
+    return out
+
+
+def test_recall_and_precision_on_spellings_made_apart():
+    crf, hit, found, right = P.trained(), 0, 0, 0
+    every = cases(1500, 5)
+    for (t, want), added in zip(every, P.added_spans([t for t, _ in every], crf), strict=True):
+        base = P.base_spans(t)
+        got = apart(added, base)
+        hit += want in got or want in base
+        found += len(got)
+        right += want in got
+    assert hit >= 0.93 * len(every), hit / len(every)
+    assert right >= 0.94 * found, right / found
+
+
+def test_look_alikes_and_prose_are_left_alone():
+    r = random.Random(6)
+    num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    like = [
+        lambda: f"on {r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1950, 2030)}", lambda: f"{r.randint(1950, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"version {r.randint(1, 9)}.{r.randint(0, 30)}.{r.randint(0, 9)}", lambda: f"{r.randint(1, 9)},{num(3)},{num(3)} euros",
+        lambda: f"pages {num(2)}-{num(3)}", lambda: f"at {r.randint(1, 12)}:{num(2)}", lambda: "we met at the station", lambda: "the dot com years", lambda: f"in {r.randint(1800, 1990)} and {r.randint(1991, 2020)}", lambda: f"room {num(3)}", lambda: f"{num(2)}.{num(1)} %", lambda: f"order {num(7)}",
+    ]
+    texts = [" ".join(x for _ in range(4) for x in (r.choice(PROSE), r.choice(like)(), r.choice(PROSE))) for _ in range(800)]
+    wrong = [t[a:b] for t, added in zip(texts, P.added_spans(texts, P.trained()), strict=True) for _, a, b in apart(added, P.base_spans(t))]
+    assert len(wrong) <= 0.03 * len(texts), wrong[:20]
