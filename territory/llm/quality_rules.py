@@ -43,11 +43,15 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 _SQL_WS = "".join({"\t": "\\t", "\n": "\\n", "\r": "\\r", " ": " "}.get(c, f"\\u{ord(c):04x}") for c in WS_CHARS)
 _BLANKS = r"[ \\t-\\r]+"
+_SYMBOLS = "[#*$%&|<>]"
+#: The lines that hold a word.
+_LINES = f"filter(split(t, '\\n'), l -> trim(BOTH '{_SQL_WS}' FROM l) <> '')"
 
-#: Words covered by 3-word windows that occur twice or more. ``hs`` has the windows' 64-bit hashes in order.
-_REPEATS = let(
+#: Words covered by 3-word windows that occur twice or more. ``hs`` has the windows' 64-bit hashes in order. ``v`` keeps the words
+#: in one evaluation, even where a filter on the results is pushed below their projection.
+_REPEATS = let("v", "ws", let(
     "hs",
-    "if(size(ws) < 3, cast(array() as array<bigint>), transform(sequence(0, size(ws) - 3), i -> xxhash64(ws[i], ws[i + 1], ws[i + 2])))",
+    "if(size(v) < 3, cast(array() as array<bigint>), transform(sequence(0, size(v) - 3), i -> xxhash64(v[i], v[i + 1], v[i + 2])))",
     "if(size(hs) = size(array_distinct(hs)), 0, "
     + let(
         "s",
@@ -59,27 +63,7 @@ _REPEATS = let(
         ),
     )
     + ")",
-)
-
-
-def _measures(text: str, stop_words) -> str:
-    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words)
-    words = f"filter(split({text}, '{_BLANKS}'), w -> w <> '')"
-    return let(
-        "ws",
-        words,
-        "named_struct('n_words', cast(size(ws) as bigint), "
-        f"'n_stop_words', cast(size(filter(ws, w -> rtrim('.,', w) in ({stops}))) as bigint), "
-        f"'n_repeat_words', cast({_REPEATS} as bigint))",
-    )
-
-
-def _lines(text: str) -> str:
-    return let(
-        "ls",
-        f"filter(split({text}, '\\n'), l -> translate(l, '{_SQL_WS}', '') <> '')",
-        "named_struct('n_lines', cast(size(ls) as bigint), 'n_dup_lines', cast(size(ls) - size(array_distinct(ls)) as bigint))",
-    )
+))
 
 
 def compile_rules(rules=THRESHOLDS) -> str:
@@ -95,31 +79,37 @@ def compile_rules(rules=THRESHOLDS) -> str:
 
 def judge(docs: DataFrame, text: str = "text", rules=THRESHOLDS, stop_words=STOP_WORDS) -> DataFrame:
     """The rows with their counts, ratios, ``base_failed`` and ``kept``."""
-    t = f"coalesce(`{text}`, '')"
     ratio = {
         "mean_word_chars": "word_chars / nullif(n_words, 0)",
         "symbols_per_word": "n_symbols / nullif(n_words, 0)",
         "stop_word_share": "n_stop_words / nullif(n_words, 0)",
         "dup_line_share": "n_dup_lines / nullif(n_lines, 0)",
     }
-    out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines", *ratio, "base_failed", "kept"]
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words)
+    count = {
+        "n_words": "size(ws)",
+        "word_chars": "char_length(array_join(ws, ''))",
+        "n_symbols": f"regexp_count(t, '{_SYMBOLS}')",
+        "n_dup_lines": "size(ls) - size(array_distinct(ls))",
+        "n_repeat_words": _REPEATS,
+        "n_stop_words": f"size(filter(ws, w -> rtrim('.,', w) in ({stops})))",
+        "n_lines": "size(ls)",
+    }
+    out = [*count, *ratio, "base_failed", "kept"]
     kept = [c for c in docs.columns if c not in out]
-    measured = docs.select(
-        *(F.col(f"`{c}`") for c in kept),
-        F.expr(_measures(t, stop_words)).alias("__w"),
-        F.expr(_lines(t)).alias("__l"),
-        F.expr(f"cast(char_length(translate({t}, '{_SQL_WS}', '')) as bigint)").alias("word_chars"),
-        F.expr(f"cast(char_length({t}) - char_length(translate({t}, '#*$%&|<>', '')) as bigint)").alias("n_symbols"),
-    )
-    counted = measured.select(*(F.col(f"`{c}`") for c in kept), "__w.*", "__l.*", "word_chars", "n_symbols").withColumns({k: F.expr(v) for k, v in ratio.items()})
+    # The other columns are packed away, so that none of theirs is taken for one of these; words and lines are split once.
+    row = F.struct(*(F.col(f"`{c}`") for c in kept), F.lit(None).alias("")).alias("row")
+    split = docs.select(row, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).withColumn("ws", F.expr(f"array_remove(split(t, '{_BLANKS}'), '')")).withColumn("ls", F.expr(_LINES))
+    counted = split.select("row", *(F.expr(v).cast("long").alias(k) for k, v in count.items())).withColumns({k: F.expr(v) for k, v in ratio.items()})
     failed = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words"
-    return counted.withColumn("base_failed", F.expr(failed)).withColumn("kept", F.expr(f"not base_failed and {compile_rules(rules)}")).select(*(f"`{c}`" for c in kept), *out)
+    return counted.withColumn("base_failed", F.expr(failed)).withColumn("kept", F.expr(f"not base_failed and {compile_rules(rules)}")).select(*(F.col(f"row.`{c}`").alias(c) for c in kept), *out)
 
 
 def keep(docs: DataFrame, text: str = "text", rules=THRESHOLDS, stop_words=STOP_WORDS) -> DataFrame:
     """The rows that pass every rule, with exactly the columns they came with, whatever their names."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    return judge(packed, "__text", rules, stop_words).where("kept").select("__row.*")
+    # A generator, not a filter: that would be pushed below the projections and count everything twice.
+    return judge(packed, "__text", rules, stop_words).select(F.inline(F.expr("if(kept, array(__row), null)")))
 
 
 def oracle_sql(rules=THRESHOLDS, stop_words=STOP_WORDS) -> str:

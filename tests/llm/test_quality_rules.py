@@ -26,6 +26,15 @@ def test_counts_and_verdicts(spark):
     assert R.judge(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first().n_words == 2
 
 
+def test_columns_of_any_name_pass(spark):
+    names = ["__w", "__l", "ws", "ls", "t", "row", "__row", "__text", "v", "a.b"]
+    df = spark.createDataFrame([(1, "the word " * 40, *range(len(names)))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    assert R.judge(df).columns[: len(df.columns)] == df.columns
+    got = R.judge(df).where("not kept").select(*(f"`{c}`" for c in df.columns)).first()
+    assert tuple(got) == tuple(df.first())
+    assert R.keep(df).columns == df.columns and R.keep(df, rules=()).schema.simpleString() == df.schema.simpleString()
+
+
 def test_threshold_table_compiles_to_one_expression():
     rules = (R.Rule("mean_word_chars", 1.0, None), R.Rule("dup_line_share", None, 0.5))
     assert R.compile_rules(rules) == "coalesce(mean_word_chars >= 1.0D and dup_line_share <= 0.5D, false)"
