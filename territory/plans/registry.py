@@ -19,6 +19,7 @@ from territory.operators.filters import code_rule
 from territory.operators.reader import filter_layer, union_by_name
 from territory.plans import bridge as B
 from territory.plans import sources as S
+from territory.plans.readings import readings
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -271,9 +272,9 @@ def bbox_extent(spark, d):
     return G.extent(B.points(spark, d), "x", "y", "label")
 
 
-@query("SELECT vec_id FROM (SELECT vec_id, [embedding[2 * i + 1]::DOUBLE FOR i IN range(4)] AS xs, [embedding[2 * i + 2]::DOUBLE FOR i IN range(4)] AS ys FROM embeddings) WHERE list_max(xs) >= -0.1 AND list_min(xs) <= 0.05 AND list_max(ys) >= 0.0 AND list_min(ys) <= 0.08")
+@query("SELECT vec_id FROM (SELECT vec_id, [embedding[2 * i + 1]::DOUBLE FOR i IN range(32)] AS xs, [embedding[2 * i + 2]::DOUBLE FOR i IN range(32)] AS ys FROM embeddings) WHERE list_max(xs) >= 0.25 AND list_min(xs) <= 0.4 AND list_max(ys) >= 0.26 AND list_min(ys) <= 0.45")
 def bbox_filter(spark, d):
-    return B.lines(spark, d).where(G.bbox_intersects(G.bbox_of(F.slice("points", 1, 4)), -0.1, 0.0, 0.05, 0.08)).select("vec_id")
+    return B.lines(spark, d).where(G.bbox_intersects(G.bbox_of(F.col("points")), 0.25, 0.26, 0.4, 0.45)).select("vec_id")
 
 
 @query(f"SELECT vec_id, x, y FROM points p WHERE x BETWEEN -0.2 AND 0.25 AND y BETWEEN -0.2 AND 0.24 AND {B.inside_sql('p.x', 'p.y')}", B.POINTS, B.RING_SQL)
@@ -281,22 +282,12 @@ def clip_points(spark, d):
     return G.clip_points(B.points(spark, d), "x", "y", B.RING).select("vec_id", "x", "y")
 
 
-@query(
-    "SELECT vec_id, label, box FROM points JOIN boxes ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax",
-    B.POINTS,
-    "boxes AS (SELECT vec_id AS box, least(embedding[1], embedding[3])::DOUBLE AS xmin, greatest(embedding[1], embedding[3])::DOUBLE AS xmax, least(embedding[2], embedding[4])::DOUBLE AS ymin, greatest(embedding[2], embedding[4])::DOUBLE AS ymax FROM embeddings WHERE vec_id % 20 = 0)",
-)
-def grid_join_points(spark, d):
-    polygons = B.boxes(spark, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("box"), F.col("points").alias("ring"))
-    return G.grid_join(B.points(spark, d), polygons, "x", "y", "ring", 0.05).select("vec_id", "label", "box")
-
-
 @query(
     "SELECT vec_id, label, box FROM points JOIN boxes ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax",
     B.POINTS,
     "boxes AS (SELECT vec_id AS box, least(embedding[1], embedding[3])::DOUBLE AS xmin, greatest(embedding[1], embedding[3])::DOUBLE AS xmax, least(embedding[2], embedding[4])::DOUBLE AS ymin, greatest(embedding[2], embedding[4])::DOUBLE AS ymax FROM embeddings)",
 )
-def grid_join_points_whole(spark, d):
+def grid_join_points(spark, d):
     polygons = B.boxes(spark, d).select(F.col("vec_id").alias("box"), F.col("points").alias("ring"))
     return G.grid_join(B.points(spark, d), polygons, "x", "y", "ring", 0.05).select("vec_id", "label", "box")
 
@@ -411,15 +402,8 @@ def sources_by_axis(spark, d):
     return t.select("axis", "axis_pos", F.array_join(F.transform("s", lambda x: x["id"]), ",").alias("ids"), "n").orderBy("axis_pos")
 
 
-@query("SELECT id || '_' || code_muni::VARCHAR AS layer, name || ' - ' || name_muni AS title FROM sources, municipalities WHERE protocol <> 'basemap' AND custkey % 50 = 1", B.MUNICIPALITIES, _sources_sql())
-def layer_names(spark, d):
-    m = B.municipalities(spark, d).where("custkey % 50 = 1")
-    pairs = m.crossJoin(F.broadcast(S.table(spark).where("protocol <> 'basemap'")))  # the registry's 29 rows, by design
-    return pairs.select(urls.layer_name(F.col("id"), F.col("code_muni")).alias("layer"), urls.display_name(F.col("name"), F.col("name_muni"), F.col("code_muni")).alias("title"))
-
-
 @query("SELECT id || '_' || code_muni::VARCHAR AS layer, name || ' - ' || name_muni AS title FROM sources, municipalities WHERE protocol <> 'basemap'", B.MUNICIPALITIES, _sources_sql())
-def layer_names_whole(spark, d):
+def layer_names(spark, d):
     pairs = B.municipalities(spark, d).crossJoin(F.broadcast(S.table(spark).where("protocol <> 'basemap'")))  # the registry's 29 rows, by design
     return pairs.select(urls.layer_name(F.col("id"), F.col("code_muni")).alias("layer"), urls.display_name(F.col("name"), F.col("name_muni"), F.col("code_muni")).alias("title"))
 
@@ -464,8 +448,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | {k: f for k, (f, _) in readings().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | {k: sql for k, (_, sql) in readings().items()}
