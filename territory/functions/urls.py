@@ -51,10 +51,20 @@ def clamp_timeout(c: Column) -> Column:
     return F.when(c > 0, F.greatest(F.lit(TIMEOUT_LOW), F.least(F.lit(TIMEOUT_HIGH), c))).otherwise(F.raise_error(F.lit("the timeout must be a positive integer")).cast("int"))
 
 
+#: What stands around the timeout and the box of a road query.
+_ROADS = ("[out:json][timeout:", '];(way["highway"](', ");>;);out body;")
+
+
 def overpass_query(minx: Column, miny: Column, maxx: Column, maxy: Column, timeout: Column) -> Column:
     """Roads of a box with their nodes; the box in south, west, north, east."""
-    box = bbox_text(miny, minx, maxy, maxx)
-    return F.concat(F.lit("[out:json][timeout:"), clamp_timeout(timeout).cast("string"), F.lit(']; (way["highway"]('.replace("; ", ";")), box, F.lit(");>;);out body;"))
+    a, b, c = map(F.lit, _ROADS)
+    return F.concat(a, clamp_timeout(timeout).cast("string"), b, bbox_text(miny, minx, maxy, maxx), c)
+
+
+def overpass_text(minx: float, miny: float, maxx: float, maxy: float, timeout: int = 180) -> str:
+    """The same of one box."""
+    a, b, c = _ROADS
+    return f"{a}{max(TIMEOUT_LOW, min(TIMEOUT_HIGH, timeout))}{b}{miny},{minx},{maxy},{maxx}{c}"
 
 
 def last_segment(url: Column) -> Column:

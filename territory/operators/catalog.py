@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from territory.functions.codes import CODE_TO_ABBREV
+from territory.functions.folders import written
 
+# The names of census files and the fields of a release.
 CENSUS_FILE = r"^(\d{4})_tracts_(.+?)_(v[\d.]+)\.parquet$"
 RELEASE = "array<struct<tag_name:string,assets:array<struct<name:string,browser_download_url:string>>>>"
 
@@ -61,6 +65,48 @@ def parse_census(assets: DataFrame, name: str = "name", url: str = "browser_down
     return assets.where(n.rlike(CENSUS_FILE)).select(n.alias("file_name"), F.col(url).alias("download_url"), part(1).cast("int").alias("year"), part(2).alias("dataset"), part(3).alias("version"))
 
 
+def read_census(releases: DataFrame) -> DataFrame:
+    """The census files of all releases, from the JSON list of them (column ``value``); of a table and year the best version."""
+    every = releases.select(F.explode(F.from_json("value", RELEASE)).alias("r")).select(F.explode("r.assets").alias("a")).select("a.*")
+    return best_version(parse_census(every))
+
+
+def kept_catalog(spark: SparkSession, path: str, make: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """A catalog that is asked for once: written at ``path`` and read from there; with ``refresh`` asked for again. If asking
+    fails, the older one does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    have = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    if not have or refresh:
+        try:
+            rows = written(make())  # the older copy stays until the new one is whole
+            rows.coalesce(1).write.mode("overwrite").parquet(path)
+        except Exception:  # noqa: BLE001
+            if not have:
+                raise
+    return spark.read.parquet(path)
+
+
+def tokens(catalog: DataFrame) -> DataFrame:
+    """The geographies that a catalog names."""
+    return catalog.select("geo").distinct()
+
+
+def all_years(catalog: DataFrame) -> DataFrame:
+    """(geo, year) of every geography; text that is no number is left out."""
+    text = F.col("year").cast("string")
+    return catalog.select("geo", F.when(text.rlike("^[0-9]+$"), text.try_cast("int")).alias("year")).where("year is not null").distinct()
+
+
+def datasets(census: DataFrame) -> DataFrame:
+    """(year, dataset) of the census tables there are."""
+    return census.select("year", "dataset").distinct()
+
+
+def file_counts(catalog: DataFrame) -> DataFrame:
+    """(geo, year, n_files): how many files a reading of a year would take."""
+    return catalog.groupBy("geo", "year").agg(F.count("*").alias("n_files"))
+
+
 def version_key(c: Column) -> Column:
     """Versions in order of their numbers: v0.6.0 before v0.10.0."""
     return F.transform(F.split(F.rtrim(F.substring(c, 2, 99), F.lit(".")), r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))

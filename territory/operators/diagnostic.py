@@ -8,13 +8,17 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from territory.functions import urls
 from territory.functions.codes import normalize_uf_value
+from territory.functions.folders import written
+from territory.functions.wkb import wkb_bbox
 from territory.operators import geometry as G
 from territory.operators import network as N
 from territory.operators import overlay
 from territory.operators.municipalities import in_box
 from territory.operators.reader import read_geo
 from territory.plans.sources import PROTOCOLS, Source, by_id
+from territory.sources.payloads import decode_features
 
 REPORT = "source_id string, status string, message string"
 
@@ -42,7 +46,8 @@ class LayerStore:
         fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(top):
             return set()
-        return {s.getPath().getName() for s in fs.listStatus(top) if fs.exists(self._path(s.getPath().getName(), "_SUCCESS"))}
+        names = (s.getPath().getName() for s in fs.listStatus(top))
+        return {n for n in names if n != "_raw" and fs.exists(self._path(n, "_SUCCESS"))}
 
     def write(self, name: str, layer: DataFrame) -> None:
         if not re.fullmatch(r"[\w.-]+", name):
@@ -52,6 +57,23 @@ class LayerStore:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 
+    def payloads(self, key: str, ask: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+        """A source's raw answers: those written down below ``_raw`` if there are any, else (or with ``refresh``) what ``ask``
+        gives, written first. If asking fails, older ones do."""
+        if not re.fullmatch(r"[\w.-]+", key):
+            raise ValueError(f"no payload name: {key!r}")
+        path = f"{self.root}/_raw/{key}"
+        at = self._path("_raw", key, "_SUCCESS")
+        have = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        if not have or refresh:
+            try:
+                rows = written(ask())  # an older copy stays until the new one is whole
+                rows.write.mode("overwrite").parquet(path)
+            except Exception:  # noqa: BLE001
+                if not have:
+                    raise
+        return self.spark.read.parquet(path)
+
     def register_views(self) -> list[str]:
         """Every layer as a temporary view of its name."""
         names = sorted(self.layers())
@@ -65,32 +87,64 @@ def stamped(layer: DataFrame, source: Source) -> DataFrame:
     return layer.withColumn("data_extracao", F.current_date()).withColumn("fonte", F.lit(source.protocol))
 
 
-def clip_layer(layer: DataFrame, ring: G.Ring) -> DataFrame:
-    """Cut a layer to a ring by what its geometry is: WKB (``geometry``), a line (``points``), a ring (``ring``), or x and y."""
+def clip_layer(layer: DataFrame, outline) -> DataFrame:
+    """Cut a layer to an outline (a ring of coordinate pairs, or parts of rings) by what its geometry is: WKB
+    (``geometry``), a line (``points``), a ring (``ring``), or x and y. Small rings go into the plan as expressions; outlines
+    with many vertices, parts or holes go with a function that looks their edges up."""
+    parts = overlay.as_parts(outline)
     if {"xmin", "ymin", "xmax", "ymax"} <= set(layer.columns):
-        layer = in_box(layer, *G.ring_bbox(ring))
+        (x0, y0), (x1, y1) = overlay.outline_of(parts).box
+        layer = in_box(layer, float(x0), float(y0), float(x1), float(y1))
     if "geometry" in layer.columns:
-        return overlay.clip_layer(layer, overlay.ring_overlay(ring))
+        return overlay.clip_layer(layer, parts)
+    small = G.is_small_ring(outline)
     if "ring" in layer.columns:
-        return G.clip_polygons(layer, "ring", ring)
+        return G.clip_polygons(layer, "ring", outline) if small else overlay.clip_polygons(layer, "ring", parts)
     if "points" in layer.columns:
-        return G.clip_lines(layer, "points", ring)
-    return G.clip_points(layer, "x", "y", ring)
-
-
-def fetcher(spark: SparkSession, bbox: tuple[float, float, float, float], catalogs: dict[str, DataFrame], resolve: Callable[[str], str] = lambda p: p, page_size: int = 1000, overpass: str = "https://overpass-api.de/api/interpreter") -> Callable[[Source, dict], DataFrame]:
-    """How each protocol's rows are had: by server filter or box, a catalog's files, or a road query."""
+        return G.clip_lines(layer, "points", outline) if small else overlay.clip_lines(layer, "points", parts)
+    return G.clip_points(layer, "x", "y", outline) if small else overlay.clip_points(layer, "x", "y", parts)
+
+
+def near_outline(layer: DataFrame, outline) -> DataFrame:
+    """The rows of a layer of WKB whose box meets the outline's: names of municipalities are not unique across units, so what a
+    server gives for a name is held against the place."""
+    if "geometry" not in layer.columns:
+        return layer
+    (x0, y0), (x1, y1) = overlay.outline_of(overlay.as_parts(outline)).box
+    box = wkb_bbox(F.col("geometry"))
+    return layer.withColumn("__b", box).where(F.col("__b.xmin").isNull() | G.bbox_intersects(F.col("__b"), float(x0), float(y0), float(x1), float(y1))).drop("__b")
+
+
+def fetcher(
+    spark: SparkSession,
+    bbox: tuple[float, float, float, float],
+    catalogs: dict[str, DataFrame],
+    resolve: Callable[[str], str] = lambda p: p,
+    page_size: int = 1000,
+    overpass: str = "https://overpass-api.de/api/interpreter",
+    raw: LayerStore | None = None,
+    refresh: bool = False,
+) -> Callable[[Source, dict], DataFrame]:
+    """How each protocol's rows are had: by server filter or box, a catalog's files, or a road query.
+
+    A server is asked once a page a run: its answers are written down, in ``raw`` if there is one, where later runs find
+    them (``refresh`` asks again), and decoded from there.
+    """
     box = ",".join(map(str, bbox))
 
+    def answers(s: Source, place: dict, options: dict) -> DataFrame:
+        ask = lambda: spark.read.format("payloads").options(**options).load()
+        return raw.payloads(f"{s.id}_{place['code']}", ask, refresh) if raw else written(ask())
+
     def remote(kind: str, layer_option: str, cond: str, s: Source, place: dict) -> DataFrame:
-        o = {"endpoint": s.endpoint, layer_option: s.layer.replace("{uf}", (place["uf"] or "").lower()), "srs": s.srs, "pageSize": str(page_size)}
+        o = {"kind": kind, "endpoint": s.endpoint, layer_option: s.layer.replace("{uf}", (place["uf"] or "").lower()), "srs": s.srs, "pageSize": str(page_size)}
         if s.cut == "code":
             o[cond] = f"{s.field} = {place['code']}"
         elif s.cut == "name":
             o[cond] = "{} = '{}'".format(s.field, place["name"].replace("'", "''"))
         else:
             o["bbox"] = box
-        return spark.read.format(kind).options(**o).load()
+        return decode_features(answers(s, place, o))
 
     def fetch(s: Source, place: dict) -> DataFrame:
         if s.protocol == "wfs":
@@ -99,30 +153,32 @@ def fetcher(spark: SparkSession, bbox: tuple[float, float, float, float], catalo
             return remote("arcgis", "layerId", "where", s, place)
         if s.protocol == "osm":
             west, south, east, north = bbox
-            q = f'[out:json][timeout:180];(way["highway"]({south},{west},{north},{east});>;);out body;'
-            return spark.read.format("overpass").options(endpoint=overpass, query=q).load()
+            return N.parse_elements(answers(s, place, {"kind": "overpass", "endpoint": overpass, "query": urls.overpass_text(west, south, east, north)}), "body")
         return read_geo(spark, s.layer, catalogs[s.endpoint], resolve, s.endpoint, code=place["code"] if s.cut == "code" else "all")
 
     return fetch
 
 
 def run_diagnostic(
-    spark: SparkSession, ids: Iterable[str], code_muni: int, store: LayerStore, fetch: Callable[[Source, dict], DataFrame], ring: Callable[[], G.Ring | None], name_muni: str = "", force: bool = False
+    spark: SparkSession, ids: Iterable[str], code_muni: int, store: LayerStore, fetch: Callable[[Source, dict], DataFrame], ring: Callable[[], G.Ring | overlay.Parts | None], name_muni: str = "", force: bool = False
 ) -> DataFrame:
     """Load every source that is not there yet; (source_id, status, message) of each.
 
-    ``fetch`` gives a source's rows for {code, name, uf}; ``ring`` the municipality's outline, asked for once. A source that
-    fails stops no other.
+    ``fetch`` gives a source's rows for {code, name, uf}; ``ring`` the municipality's outline (a ring, or parts
+    with holes as ``municipalities.outline`` gives them), asked for once. A source that fails stops no other.
     """
-    have, rows, outline = store.layers(), [], []
+    have, rows, outline, missing = store.layers(), [], [], []
     place = {"code": int(code_muni), "name": name_muni, "uf": normalize_uf_value(code_muni)[1]}
 
-    def polygon() -> G.Ring | None:
+    def polygon():
+        """The outline, or None; why there is none is told in ``missing``."""
         if not outline:
             try:
                 outline.append(ring())
-            except Exception:  # noqa: BLE001  remembered as missing
+                missing.append("no_polygon")
+            except Exception as e:  # noqa: BLE001  asked for once; told in the report
                 outline.append(None)
+                missing.append(f"no_polygon: {e}")
         return outline[0]
 
     def one(s: Source) -> tuple[str, str | None]:
@@ -138,7 +194,7 @@ def run_diagnostic(
         except Exception as e:  # noqa: BLE001  told in the report
             return "failed", f"fetch_error: {e}"
         if s.clipped and polygon() is None:
-            return "failed", "no_polygon"
+            return "failed", missing[0]
         try:
             if s.protocol == "osm":
                 links, nodes = N.build_network(layer, polygon())
@@ -148,6 +204,8 @@ def run_diagnostic(
             else:
                 if layer.isEmpty():
                     return "skipped", "empty"
+                if s.cut == "name" and polygon() is not None:
+                    layer = near_outline(layer, polygon())
                 outs = [clip_layer(layer, polygon()) if s.clipped else layer]
         except Exception as e:  # noqa: BLE001
             return "failed", f"clip_error: {e}"
@@ -163,3 +221,8 @@ def run_diagnostic(
     for s in by_id(ids):
         rows.append((s.id, *one(s)))
     return spark.createDataFrame(rows, REPORT)
+
+
+def run_summary(report: DataFrame) -> DataFrame:
+    """(status, n, ids): how many sources came to each status, and which."""
+    return report.groupBy("status").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("source_id")), ",").alias("ids"))

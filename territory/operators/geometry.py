@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 Ring = list[tuple[float, float]]
 
 
+#: Most vertices of a ring that is written into a plan as literals; larger ones go with a function (``overlay``).
+SMALL_RING = 64
+
+
+def is_small_ring(outline) -> bool:
+    """Is the outline one ring of few coordinate pairs?"""
+    return len(outline) <= SMALL_RING and not isinstance(outline[0], list)
+
+
 def ring_edges(ring: Ring) -> Column:
     """A literal ring as array<struct<cx,cy,dx,dy>>."""
     pts = ring if ring[0] != ring[-1] else ring[:-1]

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from territory.functions.folders import ensure_checkpoint_dir
+
 ELEMENTS = "array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>>"
 
 
 def parse_elements(payloads: DataFrame, column: str = "value") -> DataFrame:
-    """One row an element; a payload that is no JSON has none."""
-    return payloads.select(F.explode(F.from_json(column, f"struct<elements:{ELEMENTS}>", {"mode": "PERMISSIVE"})["elements"]).alias("e")).select("e.*")
+    """One row an element, ``pos`` its place in the payload; a payload that is no JSON has none."""
+    return payloads.select(F.posexplode(F.from_json(column, f"struct<elements:{ELEMENTS}>", {"mode": "PERMISSIVE"})["elements"]).alias("pos", "e")).select("e.*", F.col("pos").cast("bigint").alias("pos"))
 
 
 def ways(elements: DataFrame) -> DataFrame:
@@ -24,7 +24,9 @@ def ways(elements: DataFrame) -> DataFrame:
 
 
 def valid_nodes(elements: DataFrame, order: str | None = None) -> DataFrame:
-    """(node_id, x, y) of nodes with both coordinates; of a repeated id the last by ``order``."""
+    """(node_id, x, y) of nodes with both coordinates; of a repeated id the last by ``order``, by default the place in the
+    payload where the rows have it."""
+    order = order or ("pos" if "pos" in elements.columns else None)
     n = elements.where((F.col("type") == "node") & F.col("lat").isNotNull() & F.col("lon").isNotNull())
     place = F.struct(F.col("lon").alias("x"), F.col("lat").alias("y"))
     last = F.max_by(place, F.col(order)) if order else F.max(place)
@@ -34,7 +36,7 @@ def valid_nodes(elements: DataFrame, order: str | None = None) -> DataFrame:
 def links(roads: DataFrame, nodes: DataFrame) -> DataFrame:
     """Roads with their points in order; references to no node are left out, lines of under two points go.
 
-    A road is known by a row number of its own, so repeated way ids stay apart.
+    A road is known by a hash of all its columns, so roads of one id stay apart unless they are the same.
     """
     keyed = roads.withColumn("__w", F.xxhash64("way_id", "highway", "name", "oneway", "nodes"))
     refs = keyed.select("__w", F.posexplode("nodes").alias("pos", "node_id")).distinct()
@@ -44,26 +46,36 @@ def links(roads: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def dense_ids(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """A 0-based rank over all rows in the order of the columns, without gathering them: rows are dealt by range, numbered
-    in each partition, and shifted by the sizes of the partitions before."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    dealt = df.repartitionByRange(*columns).withColumn("__p", F.spark_partition_id()).checkpoint()
-    sizes = dealt.groupBy("__p").agg(F.count("*").alias("n"))
+    """A 0-based rank over all rows in the order of the columns, without gathering them: rows are dealt by range and sorted,
+    numbered in each partition, and shifted by the sizes of the partitions before. One shuffle."""
+    ensure_checkpoint_dir(df.sparkSession)
+    dealt = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("__m", F.monotonically_increasing_id()).checkpoint()
+    part, place = F.shiftright("__m", 33), F.col("__m").bitwiseAND((1 << 33) - 1)  # as the function is defined
+    sizes = dealt.groupBy(part.alias("__p")).agg(F.count("*").alias("n"))
     shift = sizes.select("__p", (F.sum("n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))).alias("before"))  # a row a partition
-    ranked = dealt.withColumn("__r", F.row_number().over(W.partitionBy("__p").orderBy(*columns)))
-    return ranked.join(F.broadcast(shift), "__p").withColumn(name, (F.col("__r") - 1 + F.coalesce("before", F.lit(0))).cast("bigint")).drop("__p", "__r", "before")
+    return dealt.withColumn("__p", part).join(F.broadcast(shift), "__p").withColumn(name, (place + F.coalesce("before", F.lit(0))).cast("bigint")).drop("__p", "__m", "before")
 
 
 def build_network(elements: DataFrame, ring=None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(links, nodes) of a payload's elements, links cut to a ring if there is one; nodes are the distinct ends, numbered."""
+    """(links, nodes) of a payload's elements, links cut to an outline (a ring, or parts of rings) if there is one; nodes are
+    the distinct ends, numbered."""
     from territory.operators import geometry as G
+    from territory.operators import overlay
 
     drawn = links(ways(elements), valid_nodes(elements, order))
-    drawn = drawn.withColumn("parts", F.array("points")) if ring is None else G.clip_lines(drawn, "points", ring)
+    if ring is None:
+        drawn = drawn.withColumn("parts", F.array("points"))
+    else:
+        drawn = G.clip_lines(drawn, "points", ring) if G.is_small_ring(ring) else overlay.clip_lines(drawn, "points", overlay.as_parts(ring))
     out = drawn.select("way_id", "highway", "name", "oneway", "parts")
     return out, dense_ids(G.endpoints(out, "parts"), ["x", "y"], "node_id").select("node_id", "x", "y")
+
+
+def network_stats(elements: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(n_ways, n_nodes_read, n_links, n_nodes): one row."""
+    spark = elements.sparkSession
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    read = elements.agg(F.count_if(F.col("type") == "way").alias("n_ways"), F.count_if(F.col("type") == "node").alias("n_nodes_read"))
+    every = [read, one(links, "n_links"), one(nodes, "n_nodes")]
+    rows = {k: v for df in every for k, v in df.first().asDict().items()}
+    return spark.createDataFrame([tuple(rows.values())], ", ".join(f"{k} long" for k in rows))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Names looked for where a file's metadata names no geometry column.
+# Names that are looked for, in this order, where a file's metadata names no geometry column.
 GEOMETRY_NAMES = ("geometry", "geom", "wkb_geometry", "_geometry")
 DEFAULT_CRS = 4674
 
@@ -15,10 +15,10 @@ DEFAULT_CRS = 4674
 def register(spark: SparkSession) -> None:
     """Make the Python data sources known to a session, with filters pushed down to them."""
     from territory.sources.gpkg import GeoPackage
-    from territory.sources.remote import ArcGis, GeoJson, Overpass, Wfs
+    from territory.sources.remote import ArcGis, GeoJson, Overpass, Payloads, Wfs
 
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for s in (GeoPackage, GeoJson, Wfs, ArcGis, Overpass):
+    for s in (GeoPackage, GeoJson, Wfs, ArcGis, Overpass, Payloads):
         spark.dataSource.register(s)
 
 

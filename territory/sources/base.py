@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Iterable
 
-from pyspark.sql.types import BinaryType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
+import numpy as np
+from pyspark.sql.types import BinaryType, BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
 
 from territory.functions import wkb
 
@@ -19,39 +20,46 @@ def fetch(location: str, data: bytes | None = None, timeout: float = 180) -> byt
         return r.read()
 
 
-def features(payload: bytes) -> list[dict]:
-    got = json.loads(payload)
-    if "features" not in got:
-        raise ValueError(f"no feature collection: {str(got)[:200]}")
-    return got["features"]
+def features_of(payload: dict) -> list[dict]:
+    if "features" not in payload:
+        raise ValueError(f"no feature collection: {str(payload)[:200]}")
+    return payload["features"]
 
 
-_DEPTH = {"Point": 0, "MultiPoint": 1, "LineString": 1, "MultiLineString": 2, "Polygon": 2, "MultiPolygon": 3}
+def features(body: bytes | str) -> list[dict]:
+    return features_of(json.loads(body))
 
 
 def geojson_wkb(g: dict | None) -> bytes | None:
-    """WKB of a GeoJSON geometry."""
-    if not g or g.get("type") not in _DEPTH:
+    """WKB of a GeoJSON geometry, a collection's members one by one; null for none and for empty coordinates."""
+    if not g:
         return None
-    kind, c = g["type"], g["coordinates"]
-    pt = lambda p: {"x": float(p[0]), "y": float(p[1])}
-    line = lambda ps: [pt(p) for p in ps]
-    parts = {"Point": lambda: [[[pt(c)]]], "MultiPoint": lambda: [[[pt(p)]] for p in c], "LineString": lambda: [[line(c)]], "MultiLineString": lambda: [[line(x)] for x in c], "Polygon": lambda: [[line(r) for r in c]], "MultiPolygon": lambda: [[line(r) for r in p] for p in c]}[kind]()
-    return wkb.encode(kind, parts)
+    kind = g.get("type")
+    if kind == "GeometryCollection":
+        return wkb.collection([b for b in map(geojson_wkb, g.get("geometries") or []) if b])
+    c = g.get("coordinates")
+    if not c:
+        return None
+    line = lambda ps: np.array([p[:2] for p in ps], float).reshape(-1, 2)
+    make = {"Point": lambda: [[line([c])]], "MultiPoint": lambda: [[line([p])] for p in c], "LineString": lambda: [[line(c)]], "MultiLineString": lambda: [[line(x)] for x in c], "Polygon": lambda: [[line(r) for r in c]], "MultiPolygon": lambda: [[line(r) for r in p] for p in c]}
+    if kind not in make:
+        raise ValueError(f"no geometry of GeoJSON: {str(g)[:200]}")
+    return wkb.encode(kind, make[kind]())
+
+
+def value_type(kinds: set) -> DataType:
+    """The narrowest type that holds values of all these Python types."""
+    t = kinds - {type(None)}
+    return BooleanType() if t == {bool} else LongType() if t == {int} else DoubleType() if t and t <= {int, float} else StringType()
 
 
-def infer_schema(rows: list[dict]) -> StructType:
+def infer_schema(rows: Iterable[dict]) -> StructType:
     """Properties by name with the narrowest type that holds all values; then the geometry."""
     kinds: dict[str, set] = {}
     for f in rows:
         for k, v in (f.get("properties") or {}).items():
-            kinds.setdefault(k, set()).add(type(v) if v is not None else None)
-    out = []
-    for k, t in kinds.items():
-        t = t - {None}
-        dt = BooleanType() if t == {bool} else LongType() if t == {int} else DoubleType() if t and t <= {int, float} else StringType()
-        out.append(StructField(k, dt))
-    return StructType([*out, StructField("geometry", BinaryType())])
+            kinds.setdefault(k, set()).add(type(v))
+    return StructType([*(StructField(k, value_type(t)) for k, t in kinds.items()), StructField("geometry", BinaryType())])
 
 
 def as_row(f: dict, schema: StructType) -> tuple:
@@ -68,8 +76,3 @@ def as_row(f: dict, schema: StructType) -> tuple:
         return v if not isinstance(field.dataType, StringType) or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
     return tuple(value(x) for x in schema.fields)
-
-
-def rows_of(payload: bytes, schema: StructType) -> Iterator[tuple]:
-    for f in features(payload):
-        yield as_row(f, schema)

@@ -1,18 +1,33 @@
-"""GeoPackage layers as a data source: SQLite files, dealt by ranges of row ids; geometry as WKB."""
+"""GeoPackage layers: SQLite files, geometry as WKB.
+
+The data source ``gpkg`` reads a file of a folder that the executors share, dealt by ranges of row ids. ``read_gpkg_files``
+reads files of any store that Spark reads, a file a task, through their bytes.
+"""
 
 from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from itertools import islice
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
 
-from territory.functions.wkb import gpkg_to_wkb
+from territory.functions.wkb import gpkg_to_wkb, wkb_to_gpkg
 
 ROWS_A_PARTITION = 100_000
 
 
+def _opened(blob: bytes) -> sqlite3.Connection:
+    db = sqlite3.connect(":memory:")
+    db.deserialize(blob)
+    return db
+
+
 def _connect(path: str) -> sqlite3.Connection:
     return sqlite3.connect(f"file:{path.removeprefix('file://')}?mode=ro", uri=True)
 
@@ -32,6 +47,73 @@ def _type(declared: str) -> DataType:
     return BinaryType() if "BLOB" in d else StringType()
 
 
+def _layer(db: sqlite3.Connection, want: str | None) -> tuple[str, str | None]:
+    """(table, geometry column) of a layer, by default the first."""
+    found = db.execute("SELECT c.table_name, g.column_name FROM gpkg_contents c LEFT JOIN gpkg_geometry_columns g ON g.table_name = c.table_name WHERE c.data_type IN ('features', 'attributes') ORDER BY c.rowid").fetchall()
+    for name, geom in found:
+        if want in (None, name):
+            return name, geom
+    raise ValueError(f"no layer {want!r}; there are {[n for n, _ in found]}")
+
+
+def _schema(db: sqlite3.Connection, table: str, geom: str | None) -> StructType:
+    cols = db.execute(f"PRAGMA table_info({_quoted(table)})").fetchall()
+    return StructType([StructField("geometry" if c[1] == geom else c[1], BinaryType() if c[1] == geom else _type(c[2])) for c in cols])
+
+
+def _rows(db: sqlite3.Connection, table: str, geom: str | None, kinds: StructType, where: str = "", values: tuple = ()) -> Iterator[tuple]:
+    cols = [f.name for f in kinds.fields]
+    at = cols.index("geometry") if "geometry" in cols else -1
+    names = ", ".join(_quoted(geom if c == "geometry" and geom else c) for c in cols)
+    flags = [isinstance(f.dataType, BooleanType) for f in kinds.fields]
+    floats = [isinstance(f.dataType, DoubleType) for f in kinds.fields]
+    for row in db.execute(f"SELECT {names} FROM {_quoted(table)}{where}", values):
+        yield tuple(gpkg_to_wkb(v) if i == at else None if v is None else bool(v) if flags[i] else float(v) if floats[i] else v for i, v in enumerate(row))
+
+
+def decode_files(files: DataFrame, content: str = "content", layer: str | None = None, schema: StructType | None = None) -> DataFrame:
+    """The layer's rows of every file, a row of ``files`` holding one file's bytes; all files have one schema, by default that
+    of a first one."""
+    blobs = files.select(F.col(f"`{content}`")).where(F.col(f"`{content}`").isNotNull())
+    if schema is None:
+        one = blobs.limit(1).first()
+        if one is None:
+            raise ValueError("no file to take the schema from")
+        db = _opened(bytes(one[0]))
+        schema = _schema(db, *_layer(db, layer))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0):
+                db = _opened(blob.as_py())
+                rows = _rows(db, *_layer(db, layer), schema)
+                while some := list(islice(rows, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), arrow, strict=True)], schema=arrow)
+
+    return blobs.mapInArrow(run, schema)
+
+
+def read_gpkg_files(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+    """A layer of the file or files at a path of any store."""
+    return decode_files(spark.read.format("binaryFile").load(path), layer=layer)
+
+
+def encode_file(rows: list[tuple], schema: StructType, layer: str, srs: int = 4674) -> bytes:
+    """The bytes of a GeoPackage with one layer; the column ``geometry`` holds WKB."""
+    db = sqlite3.connect(":memory:")
+    kinds = {LongType: "INTEGER", DoubleType: "REAL", BooleanType: "BOOLEAN", BinaryType: "BLOB"}
+    cols = ", ".join(f"{_quoted('geom' if f.name == 'geometry' else f.name)} {kinds.get(type(f.dataType), 'TEXT')}" for f in schema.fields)
+    db.executescript(f"CREATE TABLE gpkg_contents (table_name TEXT, data_type TEXT); CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT); CREATE TABLE {_quoted(layer)} ({cols});")
+    db.execute("INSERT INTO gpkg_contents VALUES (?, 'features')", (layer,))
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom')", (layer,))
+    at = schema.fieldNames().index("geometry")
+    packed = ([wkb_to_gpkg(bytes(v), srs) if i == at and v is not None else v for i, v in enumerate(r)] for r in rows)
+    db.executemany(f"INSERT INTO {_quoted(layer)} VALUES ({', '.join('?' * len(schema.fields))})", packed)
+    db.commit()
+    return db.serialize()
+
+
 class Rows(InputPartition):
     def __init__(self, low: int, high: int, where: str, values: tuple) -> None:
         super().__init__((low, high))
@@ -47,18 +129,11 @@ class GeoPackage(DataSource):
 
     def layer(self) -> tuple[str, str | None]:
         with _connect(self.options["path"]) as db:
-            found = db.execute("SELECT c.table_name, g.column_name FROM gpkg_contents c LEFT JOIN gpkg_geometry_columns g ON g.table_name = c.table_name WHERE c.data_type IN ('features', 'attributes') ORDER BY c.rowid").fetchall()
-        want = self.options.get("layer")
-        for name, geom in found:
-            if want in (None, name):
-                return name, geom
-        raise ValueError(f"no layer {want!r} in {self.options['path']}; there are {[n for n, _ in found]}")
+            return _layer(db, self.options.get("layer"))
 
     def schema(self) -> StructType:
-        table, geom = self.layer()
         with _connect(self.options["path"]) as db:
-            cols = db.execute(f"PRAGMA table_info({_quoted(table)})").fetchall()
-        return StructType([StructField("geometry" if c[1] == geom else c[1], BinaryType() if c[1] == geom else _type(c[2])) for c in cols])
+            return _schema(db, *_layer(db, self.options.get("layer")))
 
     def reader(self, schema: StructType) -> GeoPackageReader:
         return GeoPackageReader(self.options["path"], *self.layer(), schema)
@@ -81,19 +156,16 @@ class GeoPackageReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[InputPartition]:
+        """Ranges of row ids with ROWS_A_PARTITION rows each, however far apart the ids lie."""
         with _connect(self.path) as db:
-            low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
-        if low is None:
+            ids = f"SELECT rowid AS r, row_number() OVER (ORDER BY rowid) AS n FROM {_quoted(self.table)}"
+            starts = [r for (r,) in db.execute(f"SELECT r FROM ({ids}) WHERE (n - 1) % ? = 0 ORDER BY r", (ROWS_A_PARTITION,))]
+            (high,) = db.execute(f"SELECT max(rowid) FROM {_quoted(self.table)}").fetchone()
+        if not starts:
             return [Rows(0, -1, "", ())]
         where = "".join(f" AND {w}" for w in self.where)
-        return [Rows(a, min(high, a + ROWS_A_PARTITION - 1), where, tuple(self.values)) for a in range(low, high + 1, ROWS_A_PARTITION)]
+        return [Rows(a, b - 1, where, tuple(self.values)) for a, b in zip(starts, [*starts[1:], high + 1], strict=True)]
 
     def read(self, partition: Rows) -> Iterator[tuple]:
-        cols = [f.name for f in self.kinds.fields]
-        at = cols.index("geometry") if "geometry" in cols else -1
-        sql = f"SELECT {', '.join(map(self._column, cols))} FROM {_quoted(self.table)} WHERE rowid BETWEEN ? AND ?{partition.where}"
-        flags = [isinstance(f.dataType, BooleanType) for f in self.kinds.fields]
-        floats = [isinstance(f.dataType, DoubleType) for f in self.kinds.fields]
         with _connect(self.path) as db:
-            for row in db.execute(sql, (partition.low, partition.high, *partition.values)):
-                yield tuple(gpkg_to_wkb(v) if i == at else None if v is None else bool(v) if flags[i] else float(v) if floats[i] else v for i, v in enumerate(row))
+            yield from _rows(db, self.table, self.geom, self.kinds, f" WHERE rowid BETWEEN ? AND ?{partition.where}", (partition.low, partition.high, *partition.values))

@@ -1,4 +1,9 @@
-"""WFS, ArcGIS REST, GeoJSON and Overpass as data sources. One partition a request; pages until a page is not full."""
+"""WFS, ArcGIS REST, GeoJSON and Overpass as data sources.
+
+Paging loses nothing: where the server tells how many features match, the pages after the first are dealt to tasks, each as
+long as the server made the first one; else pages are asked for until one is empty, whatever their length. ``payloads`` gives
+the pages as they came, a row each, to be written down once and decoded from there (``sources.payloads``).
+"""
 
 from __future__ import annotations
 
@@ -9,26 +14,36 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 from pyspark.sql.types import StructType
 
-from territory.sources.base import as_row, features, fetch, infer_schema
+from territory.sources.base import as_row, features, features_of, fetch, infer_schema
 
-OVERPASS_SCHEMA = "type string, id bigint, lat double, lon double, nodes array<bigint>, tags map<string,string>"
+OVERPASS_SCHEMA = "type string, id bigint, lat double, lon double, nodes array<bigint>, tags map<string,string>, pos bigint"
 
 
 class Request(InputPartition):
-    def __init__(self, where: tuple[str, ...]) -> None:
-        super().__init__(where)
-        self.where = where
+    """The pages from ``start`` on, until ``stop`` if there is one; ``body`` is the first of them where it is there already."""
 
+    def __init__(self, where: tuple[str, ...], start: int = 0, stop: int | None = None, body: bytes | None = None) -> None:
+        super().__init__((where, start))
+        self.where, self.start, self.stop, self.body = where, start, stop, body
 
-class _Features(DataSource):
-    """``schema`` may be given; else the first page's features tell it."""
 
-    def schema(self) -> StructType:
-        return infer_schema(features(fetch(self._page(0, ()))))
+def matched(payload: dict) -> int | None:
+    """How many features the server has in all, where it tells."""
+    for k in ("numberMatched", "totalFeatures"):
+        if str(payload.get(k, "")).isdigit():
+            return int(payload[k])
+    return None
 
-    def reader(self, schema: StructType) -> FeatureReader:
-        return FeatureReader(self, schema)
 
+def _goes_on(payload: dict, n: int, at: int, size: int) -> bool:
+    """May there be more after ``at`` features, the last page having ``n``?"""
+    total = matched(payload)
+    if not n or total is not None:
+        return n > 0 and at < total
+    return bool(size or payload.get("exceededTransferLimit") or (payload.get("properties") or {}).get("exceededTransferLimit"))
+
+
+class _Paged(DataSource):
     def _page(self, start: int, where: tuple[str, ...]) -> str:
         raise NotImplementedError
 
@@ -36,6 +51,41 @@ class _Features(DataSource):
     def page_size(self) -> int:
         return int(self.options.get("pageSize", "0"))
 
+    def bodies(self, r: Request) -> Iterator[tuple[int, str, bytes]]:
+        """(start, url, body) of the request's pages."""
+        at, before = r.start, None
+        while r.stop is None or at < r.stop:
+            url = self._page(at, r.where)
+            body = r.body if at == r.start and r.body is not None else fetch(url)
+            if body == before:  # a server that does not page gives the same page again
+                return
+            payload = json.loads(body)
+            n = len(features_of(payload))
+            if n or at == r.start:
+                yield at, url, body
+            at, before = at + n, body
+            if not _goes_on(payload, n, at, self.page_size):
+                return
+
+    def requests(self, where: tuple[str, ...]) -> list[Request]:
+        body = fetch(self._page(0, where))
+        payload = json.loads(body)
+        n, total = len(features_of(payload)), matched(payload)
+        if not n or total is None or total <= n:
+            return [Request(where, 0, None, body)]
+        starts = range(n, total, n)
+        return [Request(where, 0, n, body), *(Request(where, x, y) for x, y in zip(starts, [*starts[1:], None], strict=True))]
+
+
+class _Features(_Paged):
+    """``schema`` may be given; else all pages' features tell it."""
+
+    def schema(self) -> StructType:
+        return infer_schema(f for _, _, body in self.bodies(Request(())) for f in features(body))
+
+    def reader(self, schema: StructType) -> FeatureReader:
+        return FeatureReader(self, schema)
+
 
 class FeatureReader(DataSourceReader):
     """Equality on the filter column goes to the server; Spark checks it again."""
@@ -53,17 +103,12 @@ class FeatureReader(DataSourceReader):
         self.where = tuple(pushed)
 
     def partitions(self) -> list[InputPartition]:
-        return [Request(self.where)]
+        return self.source.requests(self.where)
 
     def read(self, partition: Request) -> Iterator[tuple]:
-        start, size = 0, self.source.page_size
-        while True:
-            got = features(fetch(self.source._page(start, partition.where)))
-            for f in got:
+        for _, _, body in self.source.bodies(partition):
+            for f in features(body):
                 yield as_row(f, self.kinds)
-            if not size or len(got) < size:
-                return
-            start += size
 
 
 class GeoJson(_Features):
@@ -92,8 +137,8 @@ class Wfs(_Features):
             q["CQL_FILTER"] = " AND ".join(cql)
         elif o.get("bbox"):
             q["bbox"] = f"{o['bbox']},{q['srsName']}"
-        if self.page_size:
-            q |= {"count": str(self.page_size), "startIndex": str(start)}
+        q |= {"count": str(self.page_size)} if self.page_size else {}
+        q |= {"startIndex": str(start)} if self.page_size or start else {}
         e = o["endpoint"]
         return e + ("&" if "?" in e else "?") + urllib.parse.urlencode(q)
 
@@ -111,8 +156,8 @@ class ArcGis(_Features):
         q = {"outFields": "*", "f": "geojson", "outSR": wkid, "where": " AND ".join(c for c in (o.get("where"), *where) if c) or "1=1"}
         if o.get("bbox"):
             q |= {"geometry": o["bbox"], "geometryType": "esriGeometryEnvelope", "inSR": wkid, "spatialRel": "esriSpatialRelIntersects"}
-        if self.page_size:
-            q |= {"resultOffset": str(start), "resultRecordCount": str(self.page_size)}
+        q |= {"resultOffset": str(start)} if self.page_size or start else {}
+        q |= {"resultRecordCount": str(self.page_size)} if self.page_size else {}
         return f"{o['endpoint'].rstrip('/')}/{o['layerId']}/query?" + urllib.parse.urlencode(q)
 
 
@@ -130,17 +175,58 @@ class Overpass(DataSource):
         return OverpassReader(dict(self.options))
 
 
+def overpass_body(o: dict) -> tuple[str, bytes]:
+    """(location, body)"""
+    if "path" in o:
+        return o["path"], fetch(o["path"])
+    return o["endpoint"], fetch(o["endpoint"], urllib.parse.urlencode({"data": o["query"]}).encode())
+
+
 class OverpassReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
 
     def read(self, partition) -> Iterator[tuple]:
-        o = self.options
-        raw = fetch(o["path"]) if "path" in o else fetch(o["endpoint"], urllib.parse.urlencode({"data": o["query"]}).encode())
         try:
-            got = json.loads(raw).get("elements") or []
+            got = json.loads(overpass_body(self.options)[1]).get("elements") or []
         except (ValueError, AttributeError):
             got = []
-        for e in got:
-            num = lambda v: None if v is None else float(v)
-            yield e.get("type"), e.get("id"), num(e.get("lat")), num(e.get("lon")), e.get("nodes"), {k: str(v) for k, v in e["tags"].items()} if e.get("tags") is not None else None
+        num = lambda v: None if v is None else float(v)
+        for pos, e in enumerate(got):
+            yield e.get("type"), e.get("id"), num(e.get("lat")), num(e.get("lon")), e.get("nodes"), {k: str(v) for k, v in e["tags"].items()} if e.get("tags") is not None else None, pos
+
+
+class Payloads(DataSource):
+    """(page, url, body): what the source of option ``kind`` answers, a row a page."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "payloads"
+
+    def schema(self) -> str:
+        return "page bigint, url string, body string"
+
+    def reader(self, schema: StructType) -> PayloadReader:
+        return PayloadReader(self.options)
+
+
+class PayloadReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.options = options
+
+    def _source(self) -> _Paged | None:
+        kinds = {c.name(): c for c in (GeoJson, Wfs, ArcGis)}
+        return kinds[self.options["kind"]](self.options) if self.options["kind"] != "overpass" else None
+
+    def partitions(self) -> list[InputPartition]:
+        source = self._source()
+        return source.requests(()) if source else [Request(())]
+
+    def read(self, partition: Request) -> Iterator[tuple]:
+        source = self._source()
+        if source is None:
+            url, body = overpass_body(self.options)
+            yield 0, url, body.decode()
+            return
+        for at, url, body in source.bodies(partition):
+            yield at, url, body.decode()

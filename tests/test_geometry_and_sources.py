@@ -16,6 +16,8 @@ from territory.operators import diagnostic as D
 from territory.operators import geometry as G
 from territory.operators import network as N
 from territory.plans import sources as S
+from territory.sources.gpkg import encode_file, read_gpkg_files
+from territory.sources.payloads import decode_features
 
 RING = [(-0.2, -0.2), (0.25, -0.15), (0.05, 0.02), (0.22, 0.24), (-0.18, 0.2)]
 SQUARE = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
@@ -125,7 +127,15 @@ def server():
             if cond and cond != "1=1":
                 out = [f for f in out if f["properties"]["code"] == int(cond.split("=")[1])]
             start, n = int(q.get("startIndex", q.get("resultOffset", 0))), int(q.get("count", q.get("resultRecordCount", 99)))
-            body = json.dumps({"type": "FeatureCollection", "features": out[start : start + n]}).encode()
+            path = urlparse(self.path).path
+            if "capped" in path:  # a limit of the server's own, below any page size
+                n = min(n, 4)
+            got = {"type": "FeatureCollection", "features": out[start : start + n]}
+            if "telling" in path:
+                got["numberMatched"] = len(out)
+            if "flagging" in path and start + n < len(out):
+                got["exceededTransferLimit"] = True
+            body = json.dumps(got).encode()
             self.send_response(200)
             self.end_headers()
             self.wfile.write(body)
@@ -163,6 +173,63 @@ def test_remote_sources(spark, server, tmp_path):
     assert (got[0].a, got[0].b, got[0].g.kind, got[1].a, got[1].g.kind) == (None, "[1]", "Polygon", 1, None)
 
 
+def test_caps_below_the_page_size_lose_nothing(spark, server):
+    base, asked = server
+    sources.register(spark)
+    for path, size in (("capped", "10"), ("capped/telling", "10"), ("capped/telling", "0"), ("capped/flagging", "0"), ("capped/flagging", "7")):
+        asked.clear()
+        wfs = spark.read.format("wfs").options(endpoint=f"{base}/{path}", typeName="a:b", pageSize=size).schema("name string, v double").load()
+        assert sorted(r.name for r in wfs.collect()) == sorted(f"n{i}" for i in range(25)), (path, size)
+        arc = spark.read.format("arcgis").options(endpoint=f"{base}/{path}/MapServer", layerId="1", pageSize=size).schema("name string").load()
+        assert arc.count() == 25
+    asked.clear()
+    rows = spark.read.format("payloads").options(kind="wfs", endpoint=f"{base}/capped/telling", typeName="a:b").load().collect()
+    assert len(rows) == len(asked) == 7 and sorted(r.page for r in rows) == list(range(0, 25, 4))  # one request a page
+
+
+def test_payload_tables(spark, server, tmp_path):
+    base, asked = server
+    sources.register(spark)
+    store = D.LayerStore(spark, str(tmp_path / "store"))
+    ask = lambda: spark.read.format("payloads").options(kind="wfs", endpoint=f"{base}/capped", typeName="a:b", pageSize="10").load()
+    asked.clear()
+    layer = decode_features(store.payloads("a_1", ask))
+    assert dict(layer.dtypes) == {"code": "bigint", "name": "string", "v": "double", "geometry": "binary"}
+    assert layer.count() == 25 and layer.where("v = 0.5").count() == 1
+    n = len(asked)
+    assert decode_features(store.payloads("a_1", ask)).count() == 25 and len(asked) == n
+    broken = lambda: spark.read.format("payloads").options(kind="wfs", endpoint="http://127.0.0.1:9/", typeName="a:b").load()
+    assert store.payloads("a_1", broken, refresh=True).count() == 7  # the older answers do
+    with pytest.raises(Exception, match="refused|URLError|urlopen"):
+        store.payloads("b_1", broken)
+    assert store.layers() == set()
+    # a column that is whole numbers on one page and not on the next, a collection, an empty text
+    texts = [json.dumps({"features": [{"properties": {"a": 1, "b": True}, "geometry": None}]}), json.dumps({"features": [{"properties": {"a": 1.5, "b": "x"}, "geometry": {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [0.5, 0.5]}, {"type": "LineString", "coordinates": [[0.2, 0.2], [3, 0.2]]}]}}]}), "", None]
+    got = decode_features(spark.createDataFrame([(t,) for t in texts], "body string"))
+    assert dict(got.dtypes) == {"a": "double", "b": "string", "geometry": "binary"} and sorted((r.a, r.b) for r in got.collect()) == [(1.0, "true"), (1.5, "x")]
+    cut = D.clip_layer(got, SQUARE).collect()
+    assert [k for k, _ in wkb.members(cut[0].geometry)] == ["Point", "LineString"] and wkb.read_rings(cut[0].geometry)[1][1][0].tolist() == [[0.2, 0.2], [1.0, 0.2]]
+    with pytest.raises(Exception, match="no feature collection"):
+        decode_features(spark.createDataFrame([('{"error": 1}',)], "body string"))
+
+
+def test_geopackage_of_sparse_ids_and_by_bytes(spark, tmp_path):
+    path = str(tmp_path / "b.gpkg")
+    kinds = spark.createDataFrame([], "code long, geometry binary, name string, x double").schema
+    point = wkb.encode("Point", [[[{"x": 1.0, "y": 2.0}]]])
+    rows = [(1, point, "a", 1.0), (310620005000001, None, "b", None), (-5, point, None, 2.0)]
+    with open(path, "wb") as f:
+        f.write(encode_file(rows, kinds, "muni"))
+    with sqlite3.connect(path) as db:
+        db.executescript("CREATE TABLE m2 AS SELECT * FROM muni; DROP TABLE muni; CREATE TABLE muni (code INTEGER PRIMARY KEY, geom BLOB, name TEXT, x REAL); INSERT INTO muni SELECT * FROM m2;")
+    sources.register(spark)
+    far = spark.read.format("gpkg").load(path)
+    assert far.rdd.getNumPartitions() == 1 and sorted(r.code for r in far.collect()) == [-5, 1, 310620005000001]
+    got = read_gpkg_files(spark, path)
+    assert got.schema.simpleString() == far.schema.simpleString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(c, bytearray(g) if g else None, n, x) for c, g, n, x in rows], key=str)
+
+
 def test_geopackage(spark, tmp_path, monkeypatch):
     from territory.sources import gpkg
 
