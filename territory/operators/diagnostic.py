@@ -223,6 +223,11 @@ def run_diagnostic(
     return spark.createDataFrame(rows, REPORT)
 
 
+def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """What is wanted and not there yet, by a key."""
+    return wanted.join(done.select(key), key, "left_anti")
+
+
 def run_summary(report: DataFrame) -> DataFrame:
     """(status, n, ids): how many sources came to each status, and which."""
     return report.groupBy("status").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("source_id")), ",").alias("ids"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
@@ -39,19 +40,12 @@ def code_predicate(schema: StructType, spec: Spec, code, backend: str = "v2", pa
     uf_code, uf = normalize_uf_value(text)
 
     if parity:
-        if backend == "v1" and spec.sliced:
-            if letters or len(number) <= 2:
-                return None
-            return typed_equal(schema, "code_muni", number) if len(number) == 7 and "code_muni" in names else typed_equal(schema, own, number) if own else None
-        if backend == "v1":
-            return F.col(abbrev) == text.upper() if letters and abbrev else typed_equal(schema, own, number) if number and own else None
-        if letters:
-            return F.col(abbrev) == text.upper() if abbrev else None
-        if len(number) <= 2 and number and abbrev and int(number) in CODE_TO_ABBREV:
-            return F.col(abbrev) == CODE_TO_ABBREV[int(number)]
-        if len(number) == 7 and "code_muni" in names:
+        rule = older_rule(text, backend, spec.sliced)
+        if rule == "unit":
+            return F.col(abbrev) == (text.upper() if letters else CODE_TO_ABBREV[int(number)]) if abbrev else None
+        if rule == "code_muni" and "code_muni" in names:
             return typed_equal(schema, "code_muni", number)
-        return typed_equal(schema, own, number) if number and own else None
+        return typed_equal(schema, own, number) if rule in ("code_muni", "own_code") and own else None
 
     if "name_region" in names and own == "code_region":
         return typed_equal(schema, own, number) if number and not any(c.isalpha() for c in text) else F.lower("name_region") == text.lower()
@@ -70,16 +64,27 @@ def code_predicate(schema: StructType, spec: Spec, code, backend: str = "v2", pa
     raise ValueError(f"this layer takes no code; got {code!r}")
 
 
-def code_rule(code: Column, backend: str, sliced: bool) -> Column:
-    """The older rules as a table: what a code does on a layer with a unit, a municipality and an own code column."""
-    text = F.trim(F.coalesce(code, F.lit("")))
-    number = F.regexp_replace(text, "[^0-9]", "")
-    letters = (number == "") & text.rlike(r"^\p{L}+$")
-    short = (number != "") & (F.length(number) <= 2)
-    every = (text == "") | (F.lower(text) == "all")
-    if backend == "v1" and sliced:
-        return F.when(every | letters | (F.length(number) <= 2), "all").when(F.length(number) == 7, "code_muni").otherwise("own_code")
+def older_rule(code: str | None, backend: str, sliced: bool) -> str:
+    """What a code filters by the older rules: ``all`` (nothing), ``unit``, ``code_muni`` or ``own_code``."""
+    if _is_all(code):
+        return "all"
+    text = str(code).strip()
+    number = "".join(c for c in text if c in "0123456789")
+    letters = not number and text.isalpha()
     if backend == "v1":
-        return F.when(every, "all").when(letters, "unit").when(number != "", "own_code").otherwise("all")
-    known = number.try_cast("int").isin(list(CODE_TO_ABBREV))
-    return F.when(every, "all").when(letters, "unit").when(short & known, "unit").when(F.length(number) == 7, "code_muni").when(number != "", "own_code").otherwise("all")
+        if sliced:
+            return "all" if letters or len(number) <= 2 else "code_muni" if len(number) == 7 else "own_code"
+        return "unit" if letters else "own_code" if number else "all"
+    if letters or len(number) <= 2 and number and int(number) in CODE_TO_ABBREV:
+        return "unit"
+    return "code_muni" if len(number) == 7 else "own_code" if number else "all"
+
+
+def code_rule(code: Column, backend: str, sliced: bool) -> Column:
+    """``older_rule`` of a column of codes."""
+
+    @F.arrow_udf("string")
+    def rule(column: pa.Array) -> pa.Array:
+        return pa.array([older_rule(c, backend, sliced) for c in column.to_pylist()], pa.string())
+
+    return rule(code)

@@ -28,6 +28,23 @@ def listing(layer: DataFrame) -> DataFrame:
     return boxed.groupBy(code_text(F.col("code_muni")).alias("code")).agg(F.max("name_muni").alias("name_muni"), box).orderBy("name_muni")
 
 
+def picker(layer: DataFrame, search: str) -> DataFrame:
+    """(code, name_muni, label) of the municipalities whose name holds a text, in any case, by name."""
+    found = layer.where(F.contains(F.lower("name_muni"), F.lower(F.lit(search))))
+    return found.select(code_text(F.col("code_muni")).alias("code"), "name_muni", F.concat_ws(" - ", "abbrev_state", "name_muni").alias("label")).orderBy("name_muni")
+
+
+def first_of_units(layer: DataFrame, order: str) -> DataFrame:
+    """(code_state, first_name, first_code): the first municipality of each unit."""
+    first = F.min_by(F.struct("name_muni", "code_muni"), order)
+    return layer.groupBy("code_state").agg(first.alias("m")).select("code_state", F.col("m.name_muni").alias("first_name"), F.col("m.code_muni").alias("first_code"))
+
+
+def last_of_units(layer: DataFrame, *order: str) -> DataFrame:
+    """The row of each unit that comes last in the order of the columns: a dictionary filled row by row keeps that one."""
+    return layer.groupBy("code_state").agg(F.max_by(F.struct(*layer.columns), F.struct(*order)).alias("m")).select("m.*")
+
+
 def info(layer: DataFrame, code: int) -> tuple[str, tuple[float, float, float, float]]:
     """A municipality's name and extent; unknown codes raise."""
     r = with_bbox(layer.where(code_text(F.col("code_muni")) == str(int(code)))).agg(F.min("name_muni"), F.min("xmin"), F.min("ymin"), F.max("xmax"), F.max("ymax")).first()

@@ -152,3 +152,13 @@ def clip_sql(segments: str, edges: str, key: str, join: str = "TRUE", prefix: st
 {prefix}pairs AS (SELECT {key}, seq, t AS t1, lead(t) OVER (PARTITION BY {key}, seq ORDER BY t) AS t2 FROM {prefix}cuts),
 {prefix}mids AS (SELECT p.{key}, seq, t1, t2, ax + (t1 + t2) / 2 * (bx - ax) AS mx, ay + (t1 + t2) / 2 * (by_ - ay) AS my, ax + t1 * (bx - ax) AS sx, ay + t1 * (by_ - ay) AS sy, ax + t2 * (bx - ax) AS ex, ay + t2 * (by_ - ay) AS ey FROM {prefix}pairs p JOIN {segments} s USING ({key}, seq) WHERE t2 IS NOT NULL),
 {prefix}kept AS (SELECT * FROM {prefix}mids p WHERE {inside_sql("p.mx", "p.my", edges, where)})"""
+
+
+#: An overlay of two parts, the first with a hole: outer rings counter-clockwise, the hole clockwise.
+PARTS = [[[(-0.22, -0.2), (0.1, -0.21), (0.12, 0.19), (-0.2, 0.22)], [(-0.1, -0.1), (-0.09, 0.08), (0.05, 0.07), (0.04, -0.11)]], [[(0.15, -0.1), (0.3, -0.12), (0.28, 0.13)]]]
+_MORE = [(r, i, j) for p in PARTS for r in p for i, j in zip(r, r[1:] + r[:1], strict=True)]
+PARTS_SQL = f"ring(e, cx, cy, dx, dy) AS (VALUES {', '.join(f'({k}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE, {d!r}::DOUBLE)' for k, (_, (a, b), (c, d)) in enumerate(_MORE))})"
+
+
+def overlay_parts() -> list:
+    return [[[{"x": x, "y": y} for x, y in r] for r in p] for p in PARTS]

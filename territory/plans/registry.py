@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from territory.functions import codes, urls, wkb
+from territory.functions.folders import scratch, written
 from territory.operators import catalog as C
 from territory.operators import census as J
 from territory.operators import diagnostic as D
 from territory.operators import geometry as G
+from territory.operators import municipalities as M
 from territory.operators import network as N
 from territory.operators import overlay
 from territory.operators.filters import code_rule
@@ -20,6 +23,8 @@ from territory.operators.reader import filter_layer, union_by_name
 from territory.plans import bridge as B
 from territory.plans import sources as S
 from territory.plans.readings import readings
+from territory.sources import gpkg, read_geoparquet
+from territory.sources.payloads import decode_features, encode_features
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -113,7 +118,7 @@ def code_text_functions(spark, d):
 
 @query("SELECT DISTINCT geo, year::INTEGER AS year FROM catalog_v1", B.CATALOG_V1)
 def catalog_years(spark, d):
-    return B.catalog_v1(spark, d).where(F.col("year").rlike("^[0-9]+$")).select("geo", F.col("year").cast("int").alias("year")).distinct()
+    return C.all_years(B.catalog_v1(spark, d))
 
 
 @query("SELECT geo, max(year::INTEGER) AS latest_year FROM catalog_v1 GROUP BY geo", B.CATALOG_V1)
@@ -123,7 +128,7 @@ def catalog_latest(spark, d):
 
 @query("SELECT DISTINCT geo FROM catalog_v1", B.CATALOG_V1)
 def catalog_tokens(spark, d):
-    return B.catalog_v1(spark, d).select("geo").distinct()
+    return C.tokens(B.catalog_v1(spark, d))
 
 
 _SIMPLE = "SELECT geo, year, download_path, p_partkey FROM (SELECT *, contains(download_path, 'simplified') AS m, bool_or(contains(download_path, 'simplified')) OVER (PARTITION BY geo, year) AS any_ FROM catalog_v1)"
@@ -177,7 +182,7 @@ def census_best_version_semver(spark, d):
 
 @query("SELECT DISTINCT year, dataset FROM census_catalog", B.CENSUS_CATALOG)
 def census_datasets_by_year(spark, d):
-    return B.census_catalog(spark, d).select("year", "dataset").distinct()
+    return C.datasets(B.census_catalog(spark, d))
 
 
 # Census join
@@ -322,6 +327,14 @@ def clip_polygons(spark, d):
     return G.clip_polygons(B.boxes(spark, d), "points", B.RING).select("vec_id", F.size("edges").cast("bigint").alias("n_edges"), F.round("area", 6).alias("area"))
 
 
+def _wkb_areas(layer: DataFrame) -> DataFrame:
+    """(vec_id, area) of polygons as WKB, holes counting against their parts."""
+    cut = layer.select("vec_id", wkb.wkb_decode(F.col("geometry"))["parts"].alias("parts"))
+    edge = lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: r[i - 1]["x"] * r[i]["y"] - r[i]["x"] * r[i - 1]["y"])
+    area = F.aggregate(F.flatten(F.transform(F.flatten("parts"), edge)), F.lit(0.0), lambda s, x: s + x) / 2
+    return cut.select("vec_id", F.round(area, 6).alias("area"))
+
+
 @query(
     "SELECT vec_id, round(sum(sx * ey - ex * sy) / 2, 6) AS area FROM (SELECT vec_id, sx, sy, ex, ey FROM a_kept UNION ALL SELECT vec_id, sx, sy, ex, ey FROM b_kept) GROUP BY vec_id",
     *_BOXES,
@@ -330,10 +343,7 @@ def clip_wkb_polygons(spark, d):
     """The same through WKB, with rings put together again."""
     part = F.array(F.array(F.concat("points", F.slice("points", 1, 1))))
     layer = B.boxes(spark, d).select("vec_id", wkb.wkb_encode(F.lit("Polygon"), part).alias("geometry"))
-    cut = overlay.clip_layer(layer, overlay.ring_overlay(B.RING)).select("vec_id", wkb.wkb_decode(F.col("geometry"))["parts"].alias("parts"))
-    edge = lambda r: F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: r[i - 1]["x"] * r[i]["y"] - r[i]["x"] * r[i - 1]["y"])
-    area = F.aggregate(F.flatten(F.transform(F.flatten("parts"), edge)), F.lit(0.0), lambda s, x: s + x) / 2
-    return cut.select("vec_id", F.round(area, 6).alias("area"))
+    return _wkb_areas(overlay.clip_layer(layer, overlay.ring_overlay(B.RING)))
 
 
 # Requests and names
@@ -386,8 +396,7 @@ def mirror_urls(spark, d):
 
 @query("SELECT code_muni::VARCHAR AS code, name_muni, abbrev_state || ' - ' || name_muni AS label FROM municipalities WHERE contains(lower(name_muni), '00012') ORDER BY name_muni", B.MUNICIPALITIES)
 def muni_picker(spark, d):
-    m = B.municipalities(spark, d).where(F.contains(F.lower("name_muni"), F.lower(F.lit("00012"))))
-    return m.select(codes.code_text(F.col("code_muni")).alias("code"), "name_muni", F.concat_ws(" - ", "abbrev_state", "name_muni").alias("label")).orderBy("name_muni")
+    return M.picker(B.municipalities(spark, d), "00012")
 
 
 def _sources_sql() -> str:
@@ -411,7 +420,7 @@ def layer_names(spark, d):
 @query("SELECT code_muni FROM municipalities WHERE custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)", B.MUNICIPALITIES)
 def pending_sources(spark, d):
     done = B.read(spark, d, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("custkey"))
-    return B.municipalities(spark, d).join(done, "custkey", "left_anti").select("code_muni")
+    return D.pending(B.municipalities(spark, d), done, "custkey").select("code_muni")
 
 
 @query(
@@ -432,14 +441,164 @@ def run_summary(spark, d):
 
 @query("SELECT code_muni, name_muni, custkey FROM (SELECT *, row_number() OVER (PARTITION BY code_state ORDER BY name_muni DESC, custkey DESC) AS rn FROM municipalities) WHERE rn = 1", B.MUNICIPALITIES)
 def last_wins(spark, d):
-    m = B.municipalities(spark, d)
-    return m.groupBy("code_state").agg(F.max_by(F.struct("code_muni", "name_muni", "custkey"), F.struct("name_muni", "custkey")).alias("m")).select("m.*")
+    return M.last_of_units(B.municipalities(spark, d).select("code_state", "code_muni", "name_muni", "custkey"), "name_muni", "custkey").drop("code_state")
 
 
 @query("SELECT code_state, name_muni AS first_name, code_muni AS first_code FROM (SELECT *, row_number() OVER (PARTITION BY code_state ORDER BY custkey) AS rn FROM municipalities) WHERE rn = 1", B.MUNICIPALITIES)
 def first_row(spark, d):
-    w = W.partitionBy("code_state").orderBy("custkey")
-    return B.municipalities(spark, d).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("code_state", F.col("name_muni").alias("first_name"), F.col("code_muni").alias("first_code"))
+    return M.first_of_units(B.municipalities(spark, d), "custkey")
+
+
+# Sources, stores and the diagnostic
+
+
+def _point_wkb(x: str, y: str):
+    return wkb.wkb_encode(F.lit("Point"), F.array(F.array(F.array(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))))))
+
+
+def _xy(layer: DataFrame, *columns: str) -> DataFrame:
+    p = wkb.wkb_decode(F.col("geometry"))["parts"][0][0][0]
+    return layer.select(*columns, p["x"].alias("x"), p["y"].alias("y"))
+
+
+@query("SELECT vec_id, label, x, y FROM points", B.POINTS)
+def source_gpkg(spark, d):
+    """Points through GeoPackage files, one a label, and back."""
+    layer = B.points(spark, d).select("vec_id", "label", _point_wkb("x", "y").alias("geometry"))
+    kinds = StructType([StructField("vec_id", LongType()), StructField("label", LongType()), StructField("geometry", BinaryType())])
+    pack = lambda df: pd.DataFrame({"content": [gpkg.encode_file(list(df.itertuples(index=False, name=None)), kinds, "points")]})
+    files = written(layer.groupBy("label").applyInPandas(lambda df: pack(df[["vec_id", "label", "geometry"]]), "content binary"))
+    return _xy(gpkg.decode_files(files, layer="points"), "vec_id", F.col("label").cast(B.points(spark, d).schema["label"].dataType).alias("label"))
+
+
+@query("SELECT vec_id, label, x, y FROM points", B.POINTS)
+def source_geojson(spark, d):
+    """Points through feature collections, one a label, and back."""
+    p = B.points(spark, d)
+    text = F.concat(F.lit('{"type":"Point","coordinates":['), F.col("x").cast("string"), F.lit(","), F.col("y").cast("string"), F.lit("]}"))
+    bodies = written(encode_features(p.select("vec_id", "label", F.col("label").alias("k"), text.alias("geometry_json")), by="k"))
+    return _xy(decode_features(bodies), "vec_id", F.col("label").cast(p.schema["label"].dataType).alias("label"))
+
+
+_LINE_BOX = "SELECT vec_id, list_min(xs) AS xmin, list_min(ys) AS ymin, list_max(xs) AS xmax, list_max(ys) AS ymax FROM (SELECT vec_id, [embedding[2 * i + 1]::DOUBLE FOR i IN range(32)] AS xs, [embedding[2 * i + 2]::DOUBLE FOR i IN range(32)] AS ys FROM embeddings)"
+
+
+@query(_LINE_BOX)
+def source_geoparquet(spark, d):
+    """Lines as WKB in parquet, found by the file's metadata, and their boxes."""
+    path = scratch(spark, "lines")
+    B.lines(spark, d).select("vec_id", wkb.wkb_encode(F.lit("LineString"), F.array(F.array("points"))).alias("geom")).write.parquet(path)
+    layer = read_geoparquet(spark, path, '{"primary_column": "geom"}')
+    return M.with_bbox(layer).drop("geometry")
+
+
+@query("SELECT 'label_' || label::VARCHAR AS layer, count(*)::BIGINT AS n FROM points GROUP BY label", B.POINTS)
+def layer_store(spark, d):
+    """A layer a label is written, listed and read again."""
+    store = D.LayerStore(spark, scratch(spark, "store"))
+    p = B.points(spark, d)
+    for (label,) in p.select("label").distinct().collect():
+        store.write(f"label_{label}", p.where(F.col("label") == label))
+    counts = [store.read(n).agg(F.lit(n).alias("layer"), F.count("*").alias("n")) for n in sorted(store.layers())]
+    return union_by_name(counts)
+
+
+@query(_BEST.format(o="version_key").replace("FROM census_catalog", "FROM found").replace("SELECT dataset, year, version, file_name", "SELECT file_name, 'https://files.example.org/' || file_name AS download_url, year, dataset, version"), B.ASSETS, "found AS (SELECT name AS file_name, regexp_extract(name, '{r}', 1)::INTEGER AS year, regexp_extract(name, '{r}', 2) AS dataset, regexp_extract(name, '{r}', 3) AS version, split_part(regexp_extract(name, '{r}', 3), '.', 2)::INTEGER AS version_key FROM assets WHERE regexp_matches(name, '{r}'))".replace("{r}", C.CENSUS_FILE))
+def census_catalog_of_releases(spark, d):
+    """The census tables of all releases, kept and read again."""
+    a = B.assets(spark, d).withColumn("tag", F.concat(F.lit("v"), F.pmod(F.xxhash64("name"), F.lit(7)).cast("string")))
+    release = F.struct(F.first("tag").alias("tag_name"), F.collect_list(F.struct("name", "browser_download_url")).alias("assets"))
+    texts = a.groupBy("tag").agg(F.concat(F.lit("["), F.to_json(release), F.lit("]")).alias("value"))
+    return C.kept_catalog(spark, scratch(spark, "catalog"), lambda: C.read_census(texts))
+
+
+@query("SELECT geo, year, count(*)::BIGINT AS n_files FROM catalog_v1 GROUP BY geo, year", B.CATALOG_V1)
+def catalog_file_counts(spark, d):
+    return C.file_counts(B.catalog_v1(spark, d))
+
+
+_PARTS_BOXES = tuple(c.replace(B.RING_SQL, B.PARTS_SQL) for c in _BOXES)
+
+
+@query("SELECT vec_id, round(sum(sx * ey - ex * sy) / 2, 6) AS area FROM (SELECT vec_id, sx, sy, ex, ey FROM a_kept UNION ALL SELECT vec_id, sx, sy, ex, ey FROM b_kept) GROUP BY vec_id", *_PARTS_BOXES)
+def clip_wkb_by_parts(spark, d):
+    """Boxes cut to an outline of two parts, one of them with a hole."""
+    part = F.array(F.array(F.concat("points", F.slice("points", 1, 1))))
+    layer = B.boxes(spark, d).select("vec_id", wkb.wkb_encode(F.lit("Polygon"), part).alias("geometry"))
+    return _wkb_areas(overlay.clip_layer(layer, B.overlay_parts()))
+
+
+@query(f"SELECT vec_id, x, y FROM points p WHERE {B.inside_sql('p.x', 'p.y')}", B.POINTS, B.PARTS_SQL)
+def clip_points_by_parts(spark, d):
+    return overlay.clip_points(B.points(spark, d), "x", "y", B.overlay_parts()).select("vec_id", "x", "y")
+
+
+@query(
+    "SELECT vec_id, count(*) FILTER (before IS NULL OR before <> seq + t1)::BIGINT AS n_parts, round(sum(sqrt((ex - sx) ** 2 + (ey - sy) ** 2)), 6) AS length FROM (SELECT *, lag(seq + t2) OVER (PARTITION BY vec_id ORDER BY seq, t1) AS before FROM kept) GROUP BY vec_id",
+    B.LINE_SEGMENTS,
+    B.PARTS_SQL,
+    B.clip_sql("vertices", "ring", "vec_id"),
+)
+def clip_lines_by_parts(spark, d):
+    cut = overlay.clip_lines(B.lines(spark, d).select("vec_id", "points"), "points", B.overlay_parts())
+    return cut.select("vec_id", F.col("n_parts").cast("bigint").alias("n_parts"), F.round("length", 6).alias("length"))
+
+
+@query("SELECT event_id % 1000 AS node_id, arg_max(json_extract_string(props, '$.k')::DOUBLE, event_id) AS x, arg_max(value, event_id) AS y FROM events WHERE value IS NOT NULL AND json_extract_string(props, '$.k') IS NOT NULL GROUP BY event_id % 1000")
+def osm_nodes_last_wins(spark, d):
+    """Of repeated node ids the last in the payload."""
+    e = B.read(spark, d, "events").select(F.lit("node").alias("type"), (F.col("event_id") % 1000).alias("id"), F.col("value").alias("lat"), F.get_json_object("props", "$.k").cast("double").alias("lon"), F.col("event_id").alias("pos"))
+    return N.valid_nodes(e)
+
+
+@query("SELECT (SELECT count(DISTINCT user_id) FROM events)::BIGINT AS n_ways, (SELECT count(*) FROM events)::BIGINT AS n_nodes_read, (SELECT count(*) FROM osm_links)::BIGINT AS n_links, (SELECT count(*) FROM osm_ends)::BIGINT AS n_nodes", B.NETWORK)
+def osm_network_stats(spark, d):
+    e = B.elements(spark, d)
+    return N.network_stats(e, *N.build_network(e))
+
+
+_AXES = ", ".join(f"('{k}', '{v}')" for k, v in S.AXIS_TITLES.items())
+
+
+@query("SELECT DISTINCT s.axis, coalesce(t.title, upper(substr(s.axis, 1, 1)) || lower(substr(s.axis, 2))) AS label FROM sources s LEFT JOIN titles t USING (axis)", _sources_sql(), f"titles(axis, title) AS (VALUES {_AXES})")
+def axis_labels(spark, d):
+    return S.table(spark).select("axis", S.axis_label(F.col("axis")).alias("label")).distinct()
+
+
+_UNITS27 = ", ".join(f"({c}, '{a}', '{n}')" for c, a, n in codes.UF)
+
+
+@query("SELECT code_state, abbrev_state, name_state, abbrev_state || ' - ' || name_state AS label FROM units27", f"units27(code_state, abbrev_state, name_state) AS (VALUES {_UNITS27})")
+def unit_labels(spark, d):
+    return codes.uf_dimension(spark)
+
+
+#: Sources of the diagnostic below, each with the labels of the points that stand for its rows.
+_DIAGNOSED = (("dnit_snv", "label % 3 = 0"), ("sgb_rios", "label % 3 = 1"), ("sgb_bacias", "label < 0"), ("sicar_imoveis", "label % 3 = 2"), ("icmbio_uc", "label = -1 OR x > 1e9"))
+
+
+def _diagnosed(spark: SparkSession, d: str) -> tuple[DataFrame, D.LayerStore]:
+    p, rows = B.points(spark, d), dict(_DIAGNOSED)
+    store = D.LayerStore(spark, scratch(spark, "store"))
+    return D.run_diagnostic(spark, [*rows, "basemap_satelite"], 3106200, store, lambda s, place: p.where(rows[s.id]), B.overlay_parts), store
+
+
+@query(
+    "SELECT source_id, CASE WHEN n_fetched > 0 THEN 'ok' ELSE 'skipped' END AS status, CASE WHEN n_fetched = 0 THEN 'empty' END AS message, n FROM (SELECT source_id, count(vec_id) AS n_fetched, count(*) FILTER (vec_id IS NOT NULL AND (cut OR within))::BIGINT AS n FROM (VALUES "
+    + ", ".join(f"('{i}', {'TRUE' if S.by_id([i])[0].cut == 'code' else 'FALSE'})" for i, _ in _DIAGNOSED)
+    + ") s(source_id, cut) LEFT JOIN (SELECT *, "
+    + B.inside_sql("p.x", "p.y")
+    + " AS within, CASE "
+    + " ".join(f"WHEN {c} THEN '{i}'" for i, c in _DIAGNOSED)
+    + " END AS of FROM points p) q ON q.of = s.source_id GROUP BY source_id) UNION ALL SELECT 'basemap_satelite', 'skipped', 'basemap', 0",
+    B.POINTS,
+    B.PARTS_SQL,
+)
+def diagnostic_layers(spark, d):
+    """A diagnostic over an outline with parts and a hole: what became of each source, and the rows of its layer."""
+    report, store = _diagnosed(spark, d)
+    counts = [store.read(n).agg(F.lit(n.removesuffix("_3106200")).alias("source_id"), F.count("*").alias("n")) for n in sorted(store.layers())]
+    return report.join(union_by_name(counts), "source_id", "left").select("source_id", "status", "message", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,19 @@ PROTOCOLS = ("wfs", "arcgis", "geo", "osm")
 AXES = ("transportes", "saneamento", "demografia", "ambiental", "educacao", "saude", "urbano", "pol-admin", "contexto")
 
 
+# The axes' titles. Others are titled by their own id.
+AXIS_TITLES = {
+    "transportes": "1. Transport",
+    "saneamento": "2. Drainage & Sanitation",
+    "demografia": "3. Demography",
+    "ambiental": "4. Environment",
+    "educacao": "5. Education",
+    "saude": "6. Health",
+    "urbano": "7. Urban",
+    "pol-admin": "8. Administrative",
+}
+
+
 @dataclass(frozen=True)
 class Source:
     """``cut`` is code, name or bbox: how its rows are limited to a municipality, by the column ``field`` if not by box."""
@@ -32,24 +45,22 @@ class Source:
         return self.cut == "bbox"
 
 
-_INDE, _SGB, _ARC = "https://geoservicos.inde.gov.br/geoserver", "https://opendata.sgb.gov.br/geoserver/ows", "https://pamgia.ibama.gov.br/server/rest/services"
-
 # Public services and their layers. Ids of layers read through the catalogs begin with geo_.
 SOURCES = (
-    Source("dnit_snv", "transportes", "DNIT — SNV (rodovias federais)", "wfs", f"{_INDE}/DNIT/ows", "DNIT:snv_202507a"),
-    Source("minfra_ferrovias", "transportes", "MInfra — Ferrovias", "wfs", f"{_INDE}/ows", "MInfra:Ferrovias", "name", "municipio"),
+    Source("dnit_snv", "transportes", "DNIT — SNV (rodovias federais)", "wfs", "https://geoservicos.inde.gov.br/geoserver/DNIT/ows", "DNIT:snv_202507a"),
+    Source("minfra_ferrovias", "transportes", "MInfra — Ferrovias", "wfs", "https://geoservicos.inde.gov.br/geoserver/ows", "MInfra:Ferrovias", "name", "municipio"),
     Source("der_mg_rodovias", "transportes", "DER-MG — Rodovias estaduais", "wfs", "https://geoserver.meioambiente.mg.gov.br/IDE/wfs", "IDE:ide_0401_mg_rodovias_lin"),
     Source("osm_vias", "transportes", "OSM — Vias urbanas (Overpass)", "osm", license="OpenStreetMap contributors"),
-    Source("sgb_rios", "saneamento", "SGB/CPRM — Rios (BC250)", "wfs", _SGB, "p3m:vw_ibge_rios"),
-    Source("sgb_bacias", "saneamento", "SGB/CPRM — Bacias hidrograficas", "wfs", _SGB, "p3m:vw_ibge_bacia_hidro_6"),
+    Source("sgb_rios", "saneamento", "SGB/CPRM — Rios (BC250)", "wfs", "https://opendata.sgb.gov.br/geoserver/ows", "p3m:vw_ibge_rios"),
+    Source("sgb_bacias", "saneamento", "SGB/CPRM — Bacias hidrograficas", "wfs", "https://opendata.sgb.gov.br/geoserver/ows", "p3m:vw_ibge_bacia_hidro_6"),
     Source("sicar_imoveis", "ambiental", "SICAR — Imoveis (CAR)", "wfs", "https://geoserver.car.gov.br/geoserver/sicar/wfs", "sicar:sicar_imoveis_{uf}", "code", "cod_municipio_ibge"),
-    Source("icmbio_embargos", "ambiental", "ICMBio — Embargos", "wfs", f"{_INDE}/ICMBio/ows", "ICMBio:embargos_icmbio", "name", "municipio"),
-    Source("icmbio_uc", "ambiental", "ICMBio — UCs federais", "wfs", f"{_INDE}/ICMBio/ows", "ICMBio:limiteucsfederais_a"),
+    Source("icmbio_embargos", "ambiental", "ICMBio — Embargos", "wfs", "https://geoservicos.inde.gov.br/geoserver/ICMBio/ows", "ICMBio:embargos_icmbio", "name", "municipio"),
+    Source("icmbio_uc", "ambiental", "ICMBio — UCs federais", "wfs", "https://geoservicos.inde.gov.br/geoserver/ICMBio/ows", "ICMBio:limiteucsfederais_a"),
     Source("ana_hidrografia", "saneamento", "ANA — Hidrografia", "arcgis", "https://www.snirh.gov.br/arcgis/rest/services/DADOSABERTOS/Hidrografia/MapServer", "0"),
-    Source("ibama_autos", "ambiental", "IBAMA — Autos de infracao/embargos", "arcgis", f"{_ARC}/app_dadosabertos/adm_auto_infracao_p/MapServer", "0", "code", "cod_municipio"),
-    Source("ibama_esgoto", "saneamento", "IBAMA — Esgotamento sanitario", "arcgis", f"{_ARC}/SIGAGEO/Sistema_de_Esgotamento_Sanit%C3%A1rio/MapServer", "6"),
-    Source("ibama_agua", "saneamento", "IBAMA — Abastecimento de agua", "arcgis", f"{_ARC}/SIGAGEO/Sistema_de_Abastecimento_de_%C3%81gua/MapServer", "5"),
-    Source("ibama_aterro", "saneamento", "IBAMA — Aterro sanitario", "arcgis", f"{_ARC}/SIGAGEO/Aterro_Sanit%C3%A1rio/MapServer", "8"),
+    Source("ibama_autos", "ambiental", "IBAMA — Autos de infracao/embargos", "arcgis", "https://pamgia.ibama.gov.br/server/rest/services/app_dadosabertos/adm_auto_infracao_p/MapServer", "0", "code", "cod_municipio"),
+    Source("ibama_esgoto", "saneamento", "IBAMA — Esgotamento sanitario", "arcgis", "https://pamgia.ibama.gov.br/server/rest/services/SIGAGEO/Sistema_de_Esgotamento_Sanit%C3%A1rio/MapServer", "6"),
+    Source("ibama_agua", "saneamento", "IBAMA — Abastecimento de agua", "arcgis", "https://pamgia.ibama.gov.br/server/rest/services/SIGAGEO/Sistema_de_Abastecimento_de_%C3%81gua/MapServer", "5"),
+    Source("ibama_aterro", "saneamento", "IBAMA — Aterro sanitario", "arcgis", "https://pamgia.ibama.gov.br/server/rest/services/SIGAGEO/Aterro_Sanit%C3%A1rio/MapServer", "8"),
     Source("geo_municipio", "demografia", "Limite municipal", "geo", "v1", "municipality", "code", "code_muni"),
     Source("geo_setores", "demografia", "Setores censitarios", "geo", "v1", "census_tract", "code", "code_muni"),
     Source("geo_ponderacao", "demografia", "Areas de ponderacao", "geo", "v1", "weighting_area", "code", "code_muni"),
@@ -82,6 +93,12 @@ def table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, " + ", ".join(f"{n} string" for n in names) + ", clipped boolean, axis_pos int")
 
 
+def axis_label(axis: Column) -> Column:
+    """An axis' title; one without has its id, the first letter large."""
+    titles = F.create_map(*(F.lit(x) for p in AXIS_TITLES.items() for x in p))
+    return F.coalesce(F.try_element_at(titles, axis), F.concat(F.upper(F.substring(axis, 1, 1)), F.lower(F.substring(axis, 2, 1 << 20))))
+
+
 def server_filter(cut: Column, field: Column, code: Column, name: Column) -> Column:
     """The text of a source's filter, quotes doubled; null means by box."""
     by_code = F.concat(field, F.lit(" = "), code.cast("bigint").cast("string"))
