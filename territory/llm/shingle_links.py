@@ -6,6 +6,12 @@ a similar one, so sets with fewer shingles that any other set has are left out,
 first ``m - ceil(4 m / 5) + 1`` in the order of (number of sets, hash). Sets that share such a one are put into a component
 by stars, never by pairs. Within a component, pairs not joined yet are compared exactly; a component of more than
 ``UNIT_LIMIT`` shingles is split into parts, and each pair of parts is a unit of its own.
+
+Most texts are ruled out before that by a longer prefix in the order of hashes alone: of two similar sets' shared shingles
+the first l are among the first ``m - ceil(4 m / 5) + l`` of either. With l a tenth of m, at least one, a first round sends
+these, three of ten shingles, and goes on with the texts that have a tenth of the least possible partner's size of them in
+common with other texts, which a passage or two does not make. What a shuffle makes is written down and the shuffle's files
+are freed before the next step.
 """
 
 from __future__ import annotations
@@ -22,16 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territory.llm.common import cut
+from territory.llm.common import plain, written
 from territory.llm.components import connected_components
 
 SHINGLE, SEED = 5, 42
-#: Least similarity, as a fraction.
-TOP, BOTTOM = 4, 5
+#: Least similarity, as a fraction, and the part of a set that the first round's prefixes are longer by.
+TOP, BOTTOM, EXTRA = 4, 5, 10
 #: Most shingles in one part of a component.
-UNIT_LIMIT = 1 << 21
-#: Rows sent to Spark at a time.
-BATCH = 1 << 18
+UNIT_LIMIT = 1 << 20
+#: Shingles sent to Spark at a time, about, and most names of texts that a task remembers to have sent.
+BATCH, SEEN = 1 << 18, 1 << 17
+#: Most bytes of names of texts that are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -49,65 +57,107 @@ def signature(found: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(rows: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-        m = [len(x) for _, x in rows]
-        names, sizes = np.repeat(np.array([s for s, _ in rows], np.int64), m), np.repeat(np.array(m, np.int32), m)
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes), pa.array(np.concatenate([x for _, x in rows]).view(np.int64))], ["s", "m", "h"])
+def _binaries(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
+
+
+def _emitted(batches: Iterator[pa.RecordBatch], rows_of) -> Iterator[pa.RecordBatch]:
+    """A row for every hash that ``rows_of`` gives a text, as (name, size, hashes), each name once in a while."""
+    seen: set[int] = set()
+    rows, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        size = [len(x) for *_, x in rows]
+        columns = [np.repeat(np.array([s for s, *_ in rows], np.int64), size), np.repeat(np.array([m for _, m, _ in rows], np.int32), size), np.concatenate([x for *_, x in rows]).view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["s", "m", "h"])
 
     for b in batches:
-        rows, n = [], 0
-        for t in b.column(0).cast(pa.large_binary() if pa.types.is_large_string(b.column(0).type) else pa.binary()).to_pylist():
-            if len(x := shingle_set(t)):
-                rows.append((signature(x), x))
-                n += len(x)
+        for row in rows_of(b):
+            if row[0] in seen or not len(row[2]):
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(row[0])
+            rows.append(row)
+            n += len(row[2])
             if n >= BATCH:
-                yield out(rows)
+                yield out()
                 rows, n = [], 0
-        if rows:
-            yield out(rows)
+    if rows:
+        yield out()
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, m, h): the first hashes of the texts, named by the texts' hashes; m is the sets' size."""
+
+    def rows_of(b):
+        for t, k in zip(_binaries(b.column(0)), b.column(1).to_pylist(), strict=True):
+            x = shingle_set(t)
+            yield k, len(x), x[: len(x) - -(-TOP * len(x) // BOTTOM) + -(-len(x) // EXTRA)]
+
+    return _emitted(batches, rows_of)
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, m, h): all hashes of the texts' sets, named by the sets' signatures."""
+
+    def rows_of(b):
+        for x in map(shingle_set, _binaries(b.column(0))):
+            yield signature(x), len(x), x
+
+    return _emitted(batches, rows_of)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (h, s), once each, those whose h another s has; the last row waits for the next batch."""
     held, met = None, False
     for b in batches:
-        s, m, h = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-        if not len(h):
+        columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not len(columns[0]):
             continue
         if held is not None:
-            s, m, h = np.append(held[0], s), np.append(held[1], m), np.append(held[2], h)
+            columns = [np.append(x, c) for x, c in zip(held, columns, strict=True)]
+        s, _, h = columns
         new = np.append(True, (h[1:] != h[:-1]) | (s[1:] != s[:-1]))
-        s, m, h = s[new], m[new], h[new]
+        columns = [c[new] for c in columns]
+        h = columns[-1]
         same = h[1:] == h[:-1]
         hit = np.append(met, same)
         hit[:-1] |= same
-        held, met = (s[-1:], m[-1:], h[-1:]), bool(hit[-1])
+        held, met = [c[-1:] for c in columns], bool(hit[-1])
         go = np.flatnonzero(hit[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (s, m, h)], ["s", "m", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[go]) for c in columns], ["s", "m", "h"])
     if met:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["s", "m", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["s", "m", "h"])
 
 
 def unit_links(names: list[int], sizes: list[int], sets: list[np.ndarray], side: list[int]) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the similar sets: of side 0 with side 1, or among all if there is no side 1. A set is
-    its shared hashes in the global order and its full size."""
+    its shared hashes and its full size. The prefixes are those of the unit's own order, rarest first."""
     own, label = not any(side), np.arange(len(names))
-    ordered, index = [np.sort(x) for x in sets], defaultdict(list)
-    edges = []
+    size = np.array(sizes)
+    need = -(-TOP * size // BOTTOM)
+    every, number, df = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    rank = np.empty(len(every), np.int64)
+    rank[np.lexsort((every, df))] = np.arange(len(every))
+    rank = np.where(df > 1, rank, -1)[number]  # a hash of one set alone joins nothing
+    ordered, lo, index, edges = [], 0, defaultdict(list), []
+    for x in sets:
+        r = rank[lo : lo + len(x)]
+        ordered.append(np.sort(r[r >= 0]))
+        lo += len(x)
     for i in sorted(range(len(names)), key=lambda i: side[i]):
-        prefix = sets[i][: len(sets[i]) - -(-TOP * sizes[i] // BOTTOM) + 1].tolist()
+        prefix = ordered[i][: max(0, len(ordered[i]) - int(need[i]) + 1)].tolist()
         if own or side[i]:
             near = np.unique(np.fromiter(chain.from_iterable(index[h] for h in prefix if h in index), np.int64))
-            near = near[label[near] != label[i]]
+            near = near[(label[near] != label[i]) & (np.minimum(size[near], size[i]) * BOTTOM >= TOP * np.maximum(size[near], size[i]))]
             while len(near):
                 j, near = near[0], near[1:]
-                if min(sizes[i], sizes[j]) * BOTTOM >= TOP * max(sizes[i], sizes[j]):
-                    both = len(np.intersect1d(ordered[i], ordered[j], assume_unique=True))
-                    if both * BOTTOM >= TOP * (sizes[i] + sizes[j] - both):
-                        edges.append((names[i], names[j]))
-                        label[label == label[i]] = label[j]
-                        near = near[label[near] != label[i]]
+                both = len(np.intersect1d(ordered[i], ordered[j], assume_unique=True))
+                if both * BOTTOM >= TOP * (size[i] + size[j] - both):
+                    edges.append((names[i], names[j]))
+                    label[label == label[i]] = label[j]
+                    near = near[label[near] != label[i]]
         if own or not side[i]:
             for h in prefix:
                 index[h].append(i)
@@ -118,23 +168,35 @@ def _unit(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(unit_links(df["s"].tolist(), df["m"].tolist(), [np.asarray(x, np.int64) for x in df["hs"]], df["side"].tolist()), columns=["a", "b"], dtype="int64")
 
 
+def _freed(df: DataFrame) -> DataFrame:
+    """The same. Spark removes a shuffle's files once the driver's JVM collects its plan, so that is asked of it."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def similar_links(texts: DataFrame, unit_limit: int = UNIT_LIMIT) -> DataFrame:
     """Edges (a, b) between the signatures of column ``t``'s sets, whose components are those of all similar pairs."""
-    shared = cut(texts.select("t").mapInArrow(_exploded, "s long, m int, h long").repartition("h").sortWithinPartitions("h", "s").mapInArrow(_shared, "s long, m int, h long"))
-    # Spark removes a shuffle's files once the driver's JVM collects its plan; without this the largest shuffle, of all shingles, would lie on disk to the end.
-    gc.collect()
-    texts.sparkSession.sparkContext._jvm.System.gc()
+    texts = texts.select("t", F.xxhash64("t").alias("k"))
+    rows = "s long, m int, h long"
+    first = texts.mapInArrow(_prefixes, rows).repartition("h").sortWithinPartitions("h", "s").mapInArrow(_shared, rows)
+    # A partner of m shingles or more than 4 m / 5 of them has sent at least a tenth of that.
+    least = F.ceil(F.ceil(F.col("m") * TOP / BOTTOM) / EXTRA)
+    near = _freed(written(first.groupBy("s", "m").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("s")))
+    near = F.broadcast(near) if near.count() * 16 <= BROADCAST_BYTES else near.hint("shuffle_hash")
+    dealt = texts.join(near, F.col("k") == F.col("s"), "left_semi").select("t").mapInArrow(_exploded, rows).repartition("h")
+    shared = _freed(written(dealt.sortWithinPartitions("h", "s").mapInArrow(_shared, rows)))
     enough = F.col("n") * BOTTOM >= F.col("m") * TOP
     able = shared.groupBy("s", "m").agg(F.count("*").alias("n")).where(enough).select("s")
-    left = cut(shared.join(able, "s", "left_semi"))
+    left = _freed(written(shared.join(plain(able, "s"), "s", "left_semi")))
     held = left.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    listed = left.join(held, "h").groupBy("s", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
-    sets = cut(listed.withColumn("n", F.size("x")).where(enough).select("s", "m", "n", F.transform("x", lambda v: v["h"]).alias("hs")))
+    listed = left.join(plain(held, "h"), "h").groupBy("s", "m").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("x"))
+    sets = _freed(written(listed.withColumn("n", F.size("x")).where(enough).select("s", "m", "n", F.transform("x", lambda v: v["h"]).alias("hs"))))
     prefix = sets.select("s", F.explode(F.slice("hs", F.lit(1), F.col("n") - F.ceil(F.col("m") * TOP / BOTTOM).cast("int") + 1)).alias("h"))
-    star = prefix.join(prefix.groupBy("h").agg(F.min("s").alias("low")), "h").select("s", "low")
-    placed = cut(sets.join(connected_components(star, "s", "low").select(F.col("node").alias("s"), F.col("component").alias("c")), "s"))
+    star = prefix.join(plain(prefix.groupBy("h").agg(F.min("s").alias("low")), "h"), "h").select("s", "low")
+    placed = _freed(written(sets.join(connected_components(star, "s", "low").select(F.col("node").alias("s"), F.col("component").alias("c")), "s")))
     full = placed.groupBy("c").agg(F.sum("n").alias("all")).where(F.col("all") > unit_limit).select("c", F.ceil(F.col("all") / unit_limit).cast("int").alias("parts"))
-    parted = placed.join(full, "c", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
+    parted = placed.join(plain(full, "c"), "c", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
     units = parted.select("s", "m", "hs", "c", "p", F.explode(F.expr("sequence(0, parts - 1)")).alias("q")).select(
         "c", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"), "s", "m", "hs"
     )

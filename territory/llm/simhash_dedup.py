@@ -13,8 +13,8 @@ a unit of its own (the tree of one, searched for the other's rows), so no task h
 stars of its components, at most one edge a fingerprint, from which distributed star rounds make the components. How many
 blocks there are follows the number of fingerprints: it changes the plan and never the links.
 
-Copies share a fingerprint and are counted once; the classes are written down before the copies meet them, so that Spark
-splits the copies of one fingerprint among tasks. Defined results: a row with a null id takes part and gets its group's
+Copies share a fingerprint and are counted once; the classes are dealt anew before the copies meet them, so that Spark splits
+the copies of one fingerprint among tasks. Defined results: a row with a null id takes part and gets its group's
 smallest id; repeated rows stay repeated; an empty table gives an empty table; other columns are not read.
 """
 
@@ -31,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from territory.llm.common import cut
+from territory.llm.common import cut, plain, written
 from territory.llm.components import connected_components
 from territory.llm.shingle_links import shingle_set, signature, similar_links
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 #: Most fingerprints in one BK-tree.
 TREE_LIMIT = 32_768
+#: Most bytes of names of rows that leave, with which the texts stay where they are.
+BROADCAST_BYTES = 32 << 20
 #: Searches of fewer rows than this go down the tree one by one, larger ones together.
 SMALL = 24
 
@@ -59,19 +61,21 @@ def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, named: bool = False) -> DataFrame:
-    """(id, fp long) of every row; with ``named`` also s, the signature of its set of five-word shingles."""
+    """(id, key, fp long) of every row, key a hash of id and text; with ``named`` also s, the signature of its set of five-word
+    shingles."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary() if pa.types.is_large_string(b.column(1).type) else pa.binary())
+            texts = b.column(2).cast(pa.large_binary() if pa.types.is_large_string(b.column(2).type) else pa.binary())
             texts = texts.to_pylist()
             made = [pa.array((fingerprint(t, size) for t in texts), pa.int64())]
             if named:
                 made.append(pa.array((signature(shingle_set(t)) for t in texts), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *made], ["id", "fp", "s"][: 1 + len(made)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["id", "key", "fp", "s"][: 2 + len(made)])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"id {kind.simpleString()}, fp long" + ", s long" * named)
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{id_col}`", f"`{text}`").alias("key"), F.col(f"`{text}`").cast("string").alias("t"))
+    return source.mapInArrow(run, f"id {kind.simpleString()}, key long, fp long" + ", s long" * named)
 
 
 class BKTree:
@@ -223,22 +227,26 @@ def _set_edges(ids: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     sets = connected_components(similar_links(docs.select(F.col(text).cast("string").alias("t"))))
     pairs = ids.select("fp", "s").distinct().join(sets, F.col("s") == F.col("node"), "left").select("fp", F.coalesce("component", "s").alias("c"))
     lows = pairs.groupBy("c").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b <> top").select("c", "b")
-    return cut(pairs.join(lows, "c").where("fp <> b").select(F.col("fp").alias("a"), "b"))
+    return cut(pairs.join(plain(lows, "c"), "c").where("fp <> b").select(F.col("fp").alias("a"), "b"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, tree_limit: int = TREE_LIMIT, similar: bool = False) -> DataFrame:
-    """(id, fp, component_id): component_id is the smallest id that the row's fingerprint reaches; with ``similar`` also over
-    texts whose five-word shingles have a Jaccard similarity of 0.8."""
+def _grouped(docs: DataFrame, id_col: str, text: str, size: int = SHINGLE, radius: int = RADIUS, tree_limit: int = TREE_LIMIT, similar: bool = False) -> DataFrame:
+    """(id, key, fp, root, component_id) of every row; rows of one group share their root."""
     ids = cut(fingerprints(docs, id_col, text, size, similar))
     distinct = cut(ids.groupBy("fp").agg(F.min("id").alias("low")))
     edges = links(distinct.select("fp"), radius, tree_limit)
     linked = connected_components(edges.unionAll(_set_edges(ids, docs, text)) if similar else edges)
     rooted = linked.join(distinct, linked.node == distinct.fp).select("fp", "low", F.col("component").alias("root"))
-    # The smallest ids of the classes are written down, so that the join below meets plain exchanges, whose hot keys Spark splits.
-    smallest = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")))
-    found = rooted.join(smallest, "root").select("fp", "component_id")
-    groups = cut(distinct.join(found, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
-    return ids.join(groups.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    found = rooted.join(plain(smallest, "root"), "root").select("fp", "root", "component_id")
+    groups = distinct.join(plain(found, "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
+    return ids.join(plain(groups, "fp"), "fp").select("id", "key", "fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(id, fp, component_id): component_id is the smallest id that the row's fingerprint reaches; with ``similar`` also over
+    texts whose five-word shingles have a Jaccard similarity of 0.8."""
+    return _grouped(docs, id_col, text, **options).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex_digits(fp):
@@ -246,8 +254,20 @@ def hex_digits(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of each group's smallest id, with their columns; rows without an id, whose copies cannot be told, stay."""
-    groups = near_groups(docs, id_col, text, **options)
-    leaving = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(leaving, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES, **options) -> DataFrame:
+    """One row of each group, with its columns: that of the smallest id (a null one last), then of the smallest text hash; of
+    repeated rows any one. The texts do not move while the rows that leave have at most ``broadcast_bytes`` of names."""
+    each = cut(_grouped(docs, id_col, text, **options).groupBy("root", "id", "key").agg(F.count("*").alias("n")))
+    low = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("low"))
+    stays = F.col("id").eqNullSafe(F.col("low.id")) & (F.col("key") == F.col("low.key"))
+    told = written(each.join(plain(low, "root"), "root").select(F.col("id").alias("__gid"), F.col("key").alias("__gkey"), "n", stays.alias("__stays")).where("not __stays or n > 1"))
+    rows, repeated = told.agg(F.count("*"), F.count_if("__stays")).first()
+    leaving = F.broadcast(told) if rows * 64 <= broadcast_bytes else told.hint("shuffle_hash")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    packed = docs.select(row, F.col(f"`{id_col}`").alias("__id"), F.xxhash64(f"`{id_col}`", f"`{text}`").alias("__key"))
+    met = (F.col("__key") == F.col("__gkey")) & F.col("__id").eqNullSafe(F.col("__gid"))
+    out = packed.join(leaving, met, "left_anti").select("__row")
+    if repeated:  # of the rows that stay and are repeated, one each
+        same = packed.join(told.where("__stays"), met, "left_semi")
+        out = out.unionAll(same.groupBy("__id", "__key").agg(F.first("__row").alias("__row")).select("__row"))
+    return out.select("__row.*")
