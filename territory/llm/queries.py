@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from territory.llm import decontamination, html_extract, line_dedup, piece_codec, pii, quality_rules, secret_scan, simhash_dedup, toxicity, url_filters
 from territory.llm.common import table
+from territory.llm.components import connected_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,10 +62,59 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lit(True).alias("contaminated"), items.alias("item_ids"), spans.alias("spans"))
 
 
+# Parts of the operators that SQL can express
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 5's counts of base spans."""
+    return pii.find(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", *(f"n_{k}" for k in pii.KINDS))
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 7's counts of base spans."""
+    return secret_scan.find(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", *(f"n_{k}" for k in secret_scan.KINDS))
+
+
+#: Values that stand for fingerprints: of equal remainder mod 97 they differ in their six last bits, else in many more.
+_VALUES = "(doc_id % 97) * 2654435761 * 64 + doc_id % 64"
+
+
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 4's links and components of given values."""
+    fps = table(spark, sf_dir, "documents", "doc_id").selectExpr(f"{_VALUES} as fp").distinct()
+    found = connected_components(simhash_dedup.links(fps))
+    return fps.join(found, fps.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_PII_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ips AS (SELECT doc_id, unnest(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')) AS x FROM t),
+cards AS (SELECT doc_id, {_DIGITS} AS d FROM (SELECT doc_id, unnest(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+')) AS x FROM t)),
+phones AS (SELECT doc_id, {_DIGITS} AS d FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]')) AS x FROM t)),
+luhn AS (SELECT doc_id, d, list_sum([CASE WHEN i % 2 = 0 THEN substr(d, (length(d) - i)::BIGINT, 1)::INTEGER WHEN substr(d, (length(d) - i)::BIGINT, 1)::INTEGER > 4 THEN 2 * substr(d, (length(d) - i)::BIGINT, 1)::INTEGER - 9 ELSE 2 * substr(d, (length(d) - i)::BIGINT, 1)::INTEGER END FOR i IN range(length(d))]) AS total FROM cards WHERE length(d) BETWEEN 12 AND 19),
+i AS (SELECT doc_id, count(*) AS n FROM ips WHERE len([p FOR p IN string_split(x, '.') IF length(ltrim(p, '0')) > 3 OR coalesce(try_cast(ltrim(p, '0') AS INTEGER), 0) > 255]) = 0 GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n FROM luhn WHERE total % 10 = 0 GROUP BY doc_id),
+p AS (SELECT doc_id, count(*) AS n FROM phones WHERE length(d) BETWEEN 9 AND 15 GROUP BY doc_id)
+SELECT t.doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email, coalesce(i.n, 0)::BIGINT AS n_ip, coalesce(c.n, 0)::BIGINT AS n_card, coalesce(p.n, 0)::BIGINT AS n_phone
+FROM t LEFT JOIN i USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN p USING (doc_id)"""
+_SECRET_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len([x FOR x IN regexp_extract_all(t, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2) IF length(x) >= 12])::BIGINT AS n_assign,
+  len([x FOR x IN regexp_extract_all(t, 'AKIA[A-Z0-9]+') IF length(x) >= 18])::BIGINT AS n_access, len([x FOR x IN regexp_extract_all(t, '[0-9a-f]+') IF length(x) >= 16])::BIGINT AS n_hex
+FROM t"""
+_NEAR_SQL = f"""
+WITH RECURSIVE v AS (SELECT DISTINCT {_VALUES} AS fp FROM documents),
+near AS (SELECT a.fp AS a, b.fp AS b FROM v a JOIN v b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 3),
+walk(a, b) AS (SELECT a, b FROM near UNION SELECT walk.a, near.b FROM walk JOIN near ON walk.b = near.a)
+SELECT fp, least(fp, coalesce(min(b), fp)) AS component FROM v LEFT JOIN walk ON fp = a GROUP BY fp"""
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_url_filters, op2_html_extraction, op3_piece_codec, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_line_dedup, op10_decontamination)
+    every = (op1_url_filters, op2_html_extraction, op3_piece_codec, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_line_dedup, op10_decontamination, pii_base_counts, secret_base_counts, near_fingerprints)
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filters.oracle_sql(), "op6_quality_rules": quality_rules.oracle_sql(), "op9_line_dedup": line_dedup.oracle_sql()}
+    own = {"op1_url_filters": url_filters.oracle_sql(), "op6_quality_rules": quality_rules.oracle_sql(), "op9_line_dedup": line_dedup.oracle_sql()}
+    return own | {"pii_base_counts": _PII_SQL, "secret_base_counts": _SECRET_SQL, "near_fingerprints": _NEAR_SQL}

@@ -12,7 +12,8 @@ a weight: less for a misspelling, much less inside quotation marks or after a wo
 the second person. The evidence is the sum of the weights, that sum a word, and the number of different terms.
 
 Defined results: null and empty texts have no evidence and get the score of that; ids may be null (crc32 of null is null:
-held_out is then false and the row is never trained on); repeated rows are scored one by one; labels of unknown ids are
+held_out is then false and the row is never trained on); of several texts of a labelled id the one of the least hash is
+trained on; repeated rows are scored one by one; labels of unknown ids are
 ignored, of several labels for an id the greatest holds; no labels at all give a score of 0 everywhere; other columns are
 not read.
 """
@@ -31,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from territory.llm.common import written
+
 TRAIN_ROWS = 1_500
-MIN_ODDS, MIN_SUPPORT, MIN_SHARE, MAX_TERMS = 2.5, 5, 0.008, 500
+MIN_ODDS, MIN_SUPPORT, MIN_SHARE = 2.5, 5, 0.008
 STEM_WORDS, STEM_LENGTHS = 4, range(4, 9)
 FUZZY_LENGTH = 5  # shorter terms are matched exactly
 FUZZY, QUOTED, DIRECT, WINDOW = 0.8, 0.3, 1.2, 80
@@ -83,7 +86,7 @@ class Lexicon:
     def __init__(self, terms: list[str], stems: list[str], exact_only: list[str] = ()) -> None:
         self.terms, self.stems, self.exact_only = sorted(terms), sorted(stems), sorted(exact_only)
         fuzzy = [t for t in self.terms if len(t) >= FUZZY_LENGTH and t not in set(exact_only)]
-        self.exact, self.trie = set(terms), Trie(fuzzy)
+        self.exact, self.trie, self.longest = set(terms), Trie(fuzzy), max(map(len, fuzzy), default=0)
         heads, tails = set(), set()
         self.swapped = set()
         for t in fuzzy:  # one edit leaves a half whole, but for a swap over the middle
@@ -100,8 +103,10 @@ class Lexicon:
         """(term, weight) of a word."""
         if w in self.exact:
             return w, 1.0
-        if w not in self.swapped and (len(w) > 64 or not self._may.match(w)):
-            return self._stem_hit(w) if len(w) > 64 else None
+        if len(w) > self.longest + 1:  # no term is within an edit; stems match words of any length
+            return self._stem_hit(w)
+        if w not in self.swapped and not self._may.match(w):
+            return None
         if w not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
@@ -195,8 +200,7 @@ def learn_lexicon(texts: list[str], toxic: list[int]) -> Lexicon:
         wide = len(n) >= STEM_WORDS and n.most_common(1)[0][1] <= 0.6 * sum(n.values())
         if wide and not any(st.startswith(c) for c in chosen):
             chosen.append(st)
-    terms = [w for w in sorted(words, key=lambda w: (-words[w], w)) if not any(w.startswith(c) for c in chosen)][:MAX_TERMS]
-    chosen = chosen[:MAX_TERMS]
+    terms = [w for w in sorted(words, key=lambda w: (-words[w], w)) if not any(w.startswith(c) for c in chosen)]
     near = {c: Counter() for c in (0, 1)}  # terms whose neighbours are words of clean texts are matched exactly
     every = Lexicon(terms, chosen)
     for c, sets in ((0, neg), (1, pos)):
@@ -244,11 +248,12 @@ def _held_out(id_col: str):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` labelled rows a class, never a held-out one."""
     known = labels.select(F.col(id_col).alias("id"), F.col(toxic).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~_held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
-    here = known.join(docs.select(F.col(id_col).alias("id")).where("id is not null").distinct(), "id", "left_semi")
+    here = written(known.join(docs.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").distinct(), "id", "left_semi"))
     totals = {r.y: r["count"] for r in here.groupBy("y").count().collect()}
     pick = [here.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(rows) for c in (0, 1)]
     wanted = F.broadcast(pick[0].unionAll(pick[1]))  # 2 x rows ids at most
-    got = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("t")).join(wanted, "id").dropDuplicates(["id"]).orderBy("id").collect()
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("t")).join(wanted, "id")
+    got = texts.groupBy("id", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).orderBy("id").collect()
     return fit([r.t or "" for r in got], [r.y for r in got], (totals.get(0, 0), totals.get(1, 0)))
 
 

@@ -48,25 +48,21 @@ _REFRESH = r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?\s*refresh\b"""
 _TARGET = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*\burl\s*=\s*["']?\s*([^"'>\s]+)"""
 
 
-class _Dialect(NamedTuple):
-    """What differs between Spark's SQL and DuckDB's."""
+def _text(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    spark: bool
 
-    def text(self, s: str) -> str:
-        return "'" + (s.replace("\\", "\\\\").replace("'", "\\'") if self.spark else s.replace("'", "''")) + "'"
+def _group(value: str, pattern: str, g: int) -> str:
+    return f"regexp_extract({value}, {_text(pattern)}, {g})"
 
-    def group(self, value: str, pattern: str, g: int) -> str:
-        return f"regexp_extract({value}, {self.text(pattern)}, {g})"
 
-    def like(self, value: str, pattern: str) -> str:
-        return f"{value} RLIKE {self.text(pattern)}" if self.spark else f"regexp_matches({value}, {self.text(pattern)})"
+def _like(value: str, pattern: str) -> str:
+    return f"{value} RLIKE {_text(pattern)}"
 
-    def any_of(self, tag: str) -> str:
-        return f"CASE WHEN {self.like(tag, _CANONICAL)} THEN {self.group(tag, _HREF, 1)} WHEN {self.like(tag, _REFRESH)} THEN {self.group(tag, _TARGET, 1)} END"
 
-
-_SPARK, _DUCK = _Dialect(True), _Dialect(False)
+def _link(tag: str) -> str:
+    """The target of a canonical link or a refresh, else null."""
+    return f"CASE WHEN {_like(tag, _CANONICAL)} THEN {_group(tag, _HREF, 1)} WHEN {_like(tag, _REFRESH)} THEN {_group(tag, _TARGET, 1)} END"
 
 
 def _lower(value: str) -> str:
@@ -77,30 +73,30 @@ def _rest(url: str) -> str:
     return f"CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
 
 
-def _host(d: _Dialect, url: str) -> str:
-    return f"coalesce({_lower(d.group(_rest(url), '^[^/?#]*', 0))}, '')"
+def _host(url: str) -> str:
+    return f"coalesce({_lower(_group(_rest(url), '^[^/?#]*', 0))}, '')"
 
 
-def _path(d: _Dialect, url: str) -> str:
-    return f"coalesce({d.group(_rest(url), '^[^/?#]*([^?#]*)', 1)}, '')"
+def _path(url: str) -> str:
+    return f"coalesce({_group(_rest(url), '^[^/?#]*([^?#]*)', 1)}, '')"
 
 
 _SCHEME = "[A-Za-z][A-Za-z0-9+.-]*"
 
 
-def _node(d: _Dialect, url: str) -> str:
+def _node(url: str) -> str:
     """The url with a lower-case scheme and host, a path and no fragment; null without a scheme and ``://``."""
-    head, tail = d.group(url, f"^{_SCHEME}://[^/?#]*", 0), d.group(url, f"^{_SCHEME}://[^/?#]*([^#]*)", 1)
-    return f"CASE WHEN {d.like(url, f'^{_SCHEME}://')} THEN concat({_lower(head)}, CASE WHEN {tail} LIKE '/%' THEN '' ELSE '/' END, {tail}) END"
+    head, tail = _group(url, f"^{_SCHEME}://[^/?#]*", 0), _group(url, f"^{_SCHEME}://[^/?#]*([^#]*)", 1)
+    return f"CASE WHEN {_like(url, f'^{_SCHEME}://')} THEN concat({_lower(head)}, CASE WHEN {tail} LIKE '/%' THEN '' ELSE '/' END, {tail}) END"
 
 
-def _absolute(d: _Dialect, base: str, target: str) -> str:
+def _absolute(base: str, target: str) -> str:
     """The target of a link, seen from a base url that is a node."""
-    root, path = d.group(base, f"^{_SCHEME}://[^/]*", 0), d.group(base, f"^{_SCHEME}://[^/]*([^?]*)", 1)
+    root, path = _group(base, f"^{_SCHEME}://[^/]*", 0), _group(base, f"^{_SCHEME}://[^/]*([^?]*)", 1)
     return (
-        f"CASE WHEN {target} = '' OR {target} LIKE '#%' THEN NULL WHEN {d.like(target, f'^{_SCHEME}://')} THEN {target} "
-        f"WHEN {target} LIKE '//%' THEN concat({d.group(base, f'^{_SCHEME}:', 0)}, {target}) WHEN {target} LIKE '/%' THEN concat({root}, {target}) "
-        f"WHEN {target} LIKE '?%' THEN concat({root}, {path}, {target}) ELSE concat({root}, {d.group(path, '^.*/', 0)}, {target}) END"
+        f"CASE WHEN {target} = '' OR {target} LIKE '#%' THEN NULL WHEN {_like(target, f'^{_SCHEME}://')} THEN {target} "
+        f"WHEN {target} LIKE '//%' THEN concat({_group(base, f'^{_SCHEME}:', 0)}, {target}) WHEN {target} LIKE '/%' THEN concat({root}, {target}) "
+        f"WHEN {target} LIKE '?%' THEN concat({root}, {path}, {target}) ELSE concat({root}, {_group(path, '^.*/', 0)}, {target}) END"
     )
 
 
@@ -118,41 +114,56 @@ def _action(rule: str, rules) -> str:
 
 def edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): pairs of different urls that a canonical link or a refresh redirect joins."""
-    d = _SPARK
-    tags = f"filter(transform(regexp_extract_all(html, {d.text(_TAG)}, 0), g -> replace({d.any_of('g')}, '&amp;', '&')), x -> x <> '')"
-    found = pages.selectExpr(f"{_node(d, f'`{url}`')} as a", f"explode({tags.replace('(html', f'(`{html}`')}) as target").where("a is not null")
-    return found.selectExpr("a", f"{_absolute(d, 'a', 'target')} as t").selectExpr("a", f"{_node(d, 't')} as b").where("a <> b").distinct()
+    tags = f"filter(transform(regexp_extract_all(html, {_text(_TAG)}, 0), g -> replace({_link('g')}, '&amp;', '&')), x -> x <> '')"
+    found = pages.selectExpr(f"{_node(f'`{url}`')} as a", f"explode({tags.replace('(html', f'(`{html}`')}) as target").where("a is not null")
+    return found.selectExpr("a", f"{_absolute('a', 'target')} as t").selectExpr("a", f"{_node('t')} as b").where("a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url", html: str = "html", id_col: str = "page_id") -> DataFrame:
     """(id, url, host, path, rule, alias_of, verdict) of every row."""
     if any(set("'%_\\") & set(r.rule) for r in rules):
         raise ValueError("a rule holds a character that this compiler does not take")
-    d = _SPARK
     aliases = connected_components(cut(edges(pages, url, html)))
-    parts = aliases.selectExpr("node", "component", f"{_host(d, 'node')} as host", f"{_path(d, 'node')} as path")
+    parts = aliases.selectExpr("node", "component", f"{_host('node')} as host", f"{_path('node')} as path")
     acts = parts.selectExpr("node", "component", f"{_rule('host', 'path', rules)} as rule").selectExpr("node", "component", f"{_action('rule', rules)} as action")
     classes = acts.groupBy("component").agg(F.coalesce(F.bool_or(F.col("action") == "block"), F.lit(False)).alias("blocked"), F.coalesce(F.bool_or(F.col("action") == "allow"), F.lit(False)).alias("allowed"))
     told = acts.join(classes, "component").selectExpr("node", "component as alias_of", "blocked and not allowed as passes_block")
-    parsed = pages.selectExpr(f"`{id_col}`", f"`{url}` as url", f"{_host(d, f'`{url}`')} as host", f"{_path(d, f'`{url}`')} as path")
-    ruled = parsed.selectExpr("*", f"{_rule('host', 'path', rules)} as rule", f"{_node(d, 'url')} as __node")
+    parsed = pages.selectExpr(f"`{id_col}`", f"`{url}` as url", f"{_host(f'`{url}`')} as host", f"{_path(f'`{url}`')} as path")
+    ruled = parsed.selectExpr("*", f"{_rule('host', 'path', rules)} as rule", f"{_node('url')} as __node")
     joined = ruled.join(told, ruled["__node"] == told["node"], "left")
     verdict = f"coalesce({_action('rule', rules)}, CASE WHEN passes_block THEN 'block' ELSE 'allow' END)"
     return joined.selectExpr(f"`{id_col}`", "url", "host", "path", "rule", "alias_of", f"{verdict} as verdict")
 
 
 def oracle_sql(rules=RULES) -> str:
-    """DuckDB SQL of the query's rows; classes by a recursive walk."""
-    d = _DUCK
-    return f"""
-WITH RECURSIVE tags AS (SELECT {_node(d, "url")} AS a, unnest(regexp_extract_all(html, {d.text(_TAG)})) AS tag FROM pages),
-targets AS (SELECT a, replace({d.any_of("tag")}, '&amp;', '&') AS target FROM tags WHERE a IS NOT NULL),
-full_targets AS (SELECT a, {_absolute(d, "a", "target")} AS t FROM targets WHERE target <> ''),
-e AS (SELECT DISTINCT a, {_node(d, "t")} AS b FROM full_targets),
+    """DuckDB SQL of the query's rows, written apart from the expressions above: urls are cut with string functions, rules
+    are a table, classes come from a recursive walk."""
+    listed = ", ".join(f"('{r.rule}', '{r.host}', '{r.path}', '{r.action}')" for r in rules)
+    value = """("[^"]*"|'[^']*'|[^\\s>"']+)""".replace("'", "''")
+    return rf"""
+WITH RECURSIVE rules(rule, rule_host, rule_path, action) AS (VALUES {listed}),
+links AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*>')) AS tag FROM pages),
+metas AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*>')) AS tag FROM pages),
+canonical AS (SELECT url, regexp_extract(tag, '(?i)\bhref\s*=\s*{value}', 1) AS t FROM links WHERE regexp_matches(regexp_extract(tag, '(?i)\brel\s*=\s*{value}', 1), '(?i)\bcanonical\b')),
+refreshed AS (SELECT url, regexp_extract(regexp_extract(tag, '(?i)\bcontent\s*=\s*{value}', 1), '(?i)\burl\s*=\s*([^\s"''>]+)', 1) AS t FROM metas WHERE regexp_matches(regexp_extract(tag, '(?i)\bhttp-equiv\s*=\s*{value}', 1), '(?i)refresh')),
+found AS (SELECT url, replace(trim(t, '"'' '), '&amp;', '&') AS t FROM (SELECT * FROM canonical UNION ALL SELECT * FROM refreshed)),
+own AS (SELECT DISTINCT url AS u, split_part(url, '#', 1) AS c FROM pages WHERE regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://')),
+own_cut AS (SELECT u, split_part(c, '://', 1) AS scheme, substr(c, strpos(c, '://') + 3) AS r FROM own),
+own_node AS (SELECT u, translate(scheme || '://' || split_part(split_part(r, '/', 1), '?', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS origin, substr(r, length(split_part(split_part(r, '/', 1), '?', 1)) + 1) AS tail, scheme FROM own_cut),
+nodes AS (SELECT u, origin, scheme, CASE WHEN starts_with(tail, '/') THEN tail ELSE '/' || tail END AS tail FROM own_node),
+based AS (SELECT origin || tail AS a, origin, lower(scheme) AS scheme, split_part(tail, '?', 1) AS path, t FROM found JOIN nodes ON url = u WHERE t <> '' AND NOT starts_with(t, '#')),
+whole AS (SELECT a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN origin || t WHEN starts_with(t, '?') THEN origin || path || t
+  ELSE origin || substr(path, 1, length(path) - strpos(reverse(path), '/') + 1) || t END AS t FROM based),
+far AS (SELECT a, split_part(t, '://', 1) AS scheme, split_part(substr(t, strpos(t, '://') + 3), '#', 1) AS r FROM whole),
+far_cut AS (SELECT a, scheme, r, split_part(split_part(r, '/', 1), '?', 1) AS h FROM far),
+e AS (SELECT DISTINCT a, translate(scheme || '://' || h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || CASE WHEN starts_with(substr(r, length(h) + 1), '/') THEN '' ELSE '/' END || substr(r, length(h) + 1) AS b FROM far_cut),
 sym AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
 walk(a, b) AS (SELECT a, b FROM sym UNION SELECT walk.a, sym.b FROM walk JOIN sym ON walk.b = sym.a),
-acts AS (SELECT a, {_action(_rule(_host(d, "b"), _path(d, "b"), rules), rules)} AS action FROM walk),
-told AS (SELECT a, bool_or(action = 'block') AND NOT coalesce(bool_or(action = 'allow'), false) AS passes_block FROM acts GROUP BY a),
-p AS (SELECT page_id, url, {_host(d, "url")} AS host, {_path(d, "url")} AS path FROM pages),
-r AS (SELECT *, {_rule("host", "path", rules)} AS rule, {_node(d, "url")} AS node FROM p)
-SELECT page_id, host, path, rule, coalesce({_action("rule", rules)}, CASE WHEN passes_block THEN 'block' ELSE 'allow' END) AS verdict FROM r LEFT JOIN told ON node = a"""
+every AS (SELECT url AS u FROM pages UNION SELECT b FROM walk),
+rest AS (SELECT u, CASE WHEN strpos(u, '://') > 0 THEN substr(u, strpos(u, '://') + 3) ELSE '' END AS r FROM every),
+cut AS (SELECT u, r, split_part(split_part(split_part(r, '/', 1), '?', 1), '#', 1) AS h FROM rest),
+placed AS (SELECT u, translate(coalesce(h, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(split_part(split_part(substr(r, length(h) + 1), '?', 1), '#', 1), '') AS path FROM cut),
+fitting AS (SELECT u, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM placed JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY u),
+told AS (SELECT a, bool_or(action = 'block') AND NOT bool_or(action = 'allow') AS passes_block FROM walk JOIN fitting ON b = u GROUP BY a)
+SELECT page_id, placed.host, placed.path, fitting.rule, coalesce(fitting.action, CASE WHEN passes_block THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages JOIN placed ON placed.u IS NOT DISTINCT FROM pages.url LEFT JOIN fitting ON fitting.u = pages.url LEFT JOIN nodes ON nodes.u = pages.url LEFT JOIN told ON a = nodes.origin || nodes.tail"""
