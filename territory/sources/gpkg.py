@@ -7,7 +7,7 @@ reads files of any store that Spark reads, a file a task, through their bytes.
 from __future__ import annotations
 
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from territory.functions.wkb import gpkg_to_wkb, wkb_to_gpkg
 
@@ -99,21 +99,56 @@ def read_gpkg_files(spark: SparkSession, path: str, layer: str | None = None) ->
     return decode_files(spark.read.format("binaryFile").load(path), layer=layer)
 
 
-def encode_file(rows: list[tuple], schema: StructType, layer: str, srs: int = 4674) -> bytes:
-    """The bytes of a GeoPackage with one layer; the column ``geometry`` holds WKB."""
+def encode_layers(layers: dict[str, tuple[Iterable[tuple], StructType]], srs: int = 4674) -> bytes:
+    """The bytes of a GeoPackage of layers given as rows and schema; the column ``geometry``, if there is one, holds WKB."""
     db = sqlite3.connect(":memory:")
-    kinds = {LongType: "INTEGER", DoubleType: "REAL", BooleanType: "BOOLEAN", BinaryType: "BLOB"}
-    cols = ", ".join(f"{_quoted('geom' if f.name == 'geometry' else f.name)} {kinds.get(type(f.dataType), 'TEXT')}" for f in schema.fields)
-    db.executescript(f"CREATE TABLE gpkg_contents (table_name TEXT, data_type TEXT); CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT); CREATE TABLE {_quoted(layer)} ({cols});")
-    db.execute("INSERT INTO gpkg_contents VALUES (?, 'features')", (layer,))
-    db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom')", (layer,))
-    at = schema.fieldNames().index("geometry")
-    packed = ([wkb_to_gpkg(bytes(v), srs) if i == at and v is not None else v for i, v in enumerate(r)] for r in rows)
-    db.executemany(f"INSERT INTO {_quoted(layer)} VALUES ({', '.join('?' * len(schema.fields))})", packed)
+    db.executescript("CREATE TABLE gpkg_contents (table_name TEXT, data_type TEXT); CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT);")
+    kinds = {LongType: "INTEGER", IntegerType: "INTEGER", DoubleType: "REAL", BooleanType: "BOOLEAN", BinaryType: "BLOB"}
+    for layer, (rows, schema) in layers.items():
+        names = schema.fieldNames()
+        at = names.index("geometry") if "geometry" in names else -1
+        cols = ", ".join(f"{_quoted('geom' if i == at else f.name)} {kinds.get(type(f.dataType), 'TEXT')}" for i, f in enumerate(schema.fields))
+        db.execute(f"CREATE TABLE {_quoted(layer)} ({cols})")
+        db.execute("INSERT INTO gpkg_contents VALUES (?, ?)", (layer, "features" if at >= 0 else "attributes"))
+        if at >= 0:
+            db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom')", (layer,))
+        plain = [type(f.dataType) in kinds for f in schema.fields]
+        value = lambda i, v: None if v is None else wkb_to_gpkg(bytes(v), srs) if i == at else v if plain[i] else str(v)  # noqa: E731, B023
+        db.executemany(f"INSERT INTO {_quoted(layer)} VALUES ({', '.join('?' * len(names))})", (tuple(value(i, v) for i, v in enumerate(r)) for r in rows))
     db.commit()
     return db.serialize()
 
 
+def encode_file(rows: list[tuple], schema: StructType, layer: str, srs: int = 4674) -> bytes:
+    """The bytes of a GeoPackage with one layer."""
+    return encode_layers({layer: (rows, schema)}, srs)
+
+
+def with_suffix(path: str) -> str:
+    """The path with ``.gpkg`` at its end, in any case."""
+    return path if path.lower().endswith(".gpkg") else f"{path}.gpkg"
+
+
+def write_gpkg(layers: dict[str, DataFrame], path: str, most_rows: int = 1_000_000) -> str:
+    """Write layers into one GeoPackage file of any store, for other programs; the path that was written.
+
+    One file is made by one writer, the driver, so this is for the layers of a municipality: more than ``most_rows`` rows
+    raise before anything is sent.
+    """
+    path = with_suffix(path)
+    for name, layer in layers.items():
+        if (n := layer.limit(most_rows + 1).count()) > most_rows:
+            raise ValueError(f"layer {name!r} has more than {most_rows} rows ({n} seen); keep it in the layer store")
+    data = encode_layers({name: (map(tuple, layer.toLocalIterator()), layer.schema) for name, layer in layers.items()})
+    spark = next(iter(layers.values())).sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    for lo in range(0, len(data), 1 << 22):
+        out.write(bytearray(data[lo : lo + (1 << 22)]))
+    out.close()
+    return path
+
+
 class Rows(InputPartition):
     def __init__(self, low: int, high: int, where: str, values: tuple) -> None:
         super().__init__((low, high))

@@ -16,7 +16,7 @@ from territory.operators import diagnostic as D
 from territory.operators import geometry as G
 from territory.operators import network as N
 from territory.plans import sources as S
-from territory.sources.gpkg import encode_file, read_gpkg_files
+from territory.sources.gpkg import encode_file, read_gpkg_files, with_suffix, write_gpkg
 from territory.sources.payloads import decode_features
 
 RING = [(-0.2, -0.2), (0.25, -0.15), (0.05, 0.02), (0.22, 0.24), (-0.18, 0.2)]
@@ -230,6 +230,17 @@ def test_geopackage_of_sparse_ids_and_by_bytes(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(c, bytearray(g) if g else None, n, x) for c, g, n, x in rows], key=str)
 
 
+def test_geopackage_of_several_layers(spark, tmp_path):
+    a = spark.createDataFrame([(1, "x", True, bytearray(wkb.encode("Point", [[[{"x": 1.0, "y": 2.0}]]]))), (2, None, None, None)], "id int, name string, ok boolean, geometry binary")
+    b = spark.sql("select 1L as id, date'2020-01-02' as day")
+    path = write_gpkg({"links": a, "days": b}, str(tmp_path / "out"))
+    assert path.endswith("out.gpkg") and with_suffix("A.GPKG") == "A.GPKG"
+    assert sorted(map(tuple, read_gpkg_files(spark, path, "links").collect())) == sorted(map(tuple, a.collect()))
+    assert read_gpkg_files(spark, path, "days").collect() == [(1, "2020-01-02")]
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        write_gpkg({"links": a}, path, most_rows=1)
+
+
 def test_geopackage(spark, tmp_path, monkeypatch):
     from territory.sources import gpkg
 
