@@ -1,21 +1,20 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
 
 1. quality rules drop the documents that fail; 2. line dedup removes repeated three-line passages from the texts; 3. SimHash
-near-dedup, with the exact links of five-word shingles, keeps the smallest id of each group of near copies; 4. benchmark decontamination drops documents that hold a
-passage of a benchmark item; 5. SentencePiece encoding gives what is left as ids, with the next best segmentations.
+near-dedup, with the exact links of five-word shingles, keeps one document of each group of near copies; 4. benchmark
+decontamination drops documents that hold a passage of a benchmark item; 5. SentencePiece encoding gives what is left as ids,
+with the next best segmentations.
 
 All stages but the last return the columns of documents. ``n_chars`` follows the text where a stage changes it.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from territory.llm import decontamination, line_dedup, piece_codec, quality_rules, simhash_dedup
-from territory.llm.common import ensure_checkpoint_dir, table
+from territory.llm.common import scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what each stage makes is written below the shared checkpoint folder and read again."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows. What each stage makes is written below the shared checkpoint folder, read again, and deleted when
+    the driver ends."""
+    base = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")
