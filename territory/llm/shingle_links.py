@@ -4,8 +4,11 @@ Words are those of op 4; a text of fewer words has one shingle of them all. Text
 as one. The search is a prefix filter and loses nothing: of a set of m, at least ``ceil(4 m / 5)`` shingles are shared with
 a similar one, so sets with fewer shingles that any other set has are left out, and two similar sets share one of the
 first ``m - ceil(4 m / 5) + 1`` in the order of (number of sets, hash). Sets that share such a one are put into a component
-by stars, never by pairs. Within a component, pairs not joined yet are compared exactly; a component of more than
-``UNIT_LIMIT`` shingles is split into parts, and each pair of parts is a unit of its own.
+by stars, never by pairs. Within a component, pairs not joined yet are compared exactly, by an index of the unit's rarest
+shingles. A component of more than ``UNIT_LIMIT`` shingles is split into parts. First each part is compared with the next
+one, which makes one class of a large group of near copies, whatever its size; then the sets outside a component's largest
+class are compared with all its parts. Sets of that class need no more, so what is sent grows with a group's size and not
+with its square.
 
 Most texts are ruled out before that by a longer prefix in the order of hashes alone: of two similar sets' shared shingles
 the first l are among the first ``m - ceil(4 m / 5) + l`` of either. With l a tenth of m, at least one, a first round sends
@@ -35,7 +38,7 @@ SHINGLE, SEED = 5, 42
 #: Least similarity, as a fraction, and the part of a set that the first round's prefixes are longer by.
 TOP, BOTTOM, EXTRA = 4, 5, 10
 #: Most shingles in one part of a component.
-UNIT_LIMIT = 1 << 20
+UNIT_LIMIT = 1 << 16
 #: Shingles sent to Spark at a time, about, and most names of texts that a task remembers to have sent.
 BATCH, SEEN = 1 << 18, 1 << 17
 #: Most bytes of names of texts that are broadcast.
@@ -197,7 +200,18 @@ def similar_links(texts: DataFrame, unit_limit: int = UNIT_LIMIT) -> DataFrame:
     placed = _freed(written(sets.join(connected_components(star, "s", "low").select(F.col("node").alias("s"), F.col("component").alias("c")), "s")))
     full = placed.groupBy("c").agg(F.sum("n").alias("all")).where(F.col("all") > unit_limit).select("c", F.ceil(F.col("all") / unit_limit).cast("int").alias("parts"))
     parted = placed.join(plain(full, "c"), "c", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int"))
-    units = parted.select("s", "m", "hs", "c", "p", F.explode(F.expr("sequence(0, parts - 1)")).alias("q")).select(
-        "c", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"), "s", "m", "hs"
-    )
-    return units.groupBy("c", "i", "j").applyInPandas(_unit, "a long, b long")
+    # A unit u holds the parts u and u + 1.
+    ends = F.array_distinct(F.array(F.greatest(F.col("p") - 1, F.lit(0)), F.least("p", F.greatest(F.col("parts") - 2, F.lit(0)))))
+    chained = parted.select("c", F.explode(ends).alias("u"), F.lit(0).alias("v"), F.lit(0).alias("side"), "s", "m", "hs")
+    edges = _freed(written(chained.repartition("c", "u", "v").groupBy("c", "u", "v").applyInPandas(_unit, "a long, b long")))
+    large = parted.where("parts > 2")
+    if large.isEmpty():
+        return edges
+    classes = connected_components(edges)
+    member = written(large.join(classes, F.col("s") == F.col("node"), "left").select("c", "parts", "p", "s", "m", "n", "hs", F.coalesce("component", "s").alias("k")))
+    most = member.groupBy("c", "k").agg(F.sum("n").alias("w")).groupBy("c").agg(F.max_by("k", "w").alias("largest"))
+    outside = member.join(plain(most, "c"), "c").where("k <> largest").drop("largest", "k")
+    sizes = outside.groupBy("c").agg(F.ceil(F.sum("n") / unit_limit).cast("int").alias("others"))
+    one = member.join(plain(sizes, "c"), "c").select("c", F.col("p").alias("u"), F.explode(F.expr("sequence(0, others - 1)")).alias("v"), F.lit(0).alias("side"), "s", "m", "hs")
+    other = outside.join(plain(sizes, "c"), "c").select("c", F.explode(F.expr("sequence(0, parts - 1)")).alias("u"), F.pmod(F.xxhash64("s"), F.col("others")).cast("int").alias("v"), F.lit(1).alias("side"), "s", "m", "hs")
+    return edges.unionAll(one.unionAll(other).repartition("c", "u", "v").groupBy("c", "u", "v").applyInPandas(_unit, "a long, b long"))

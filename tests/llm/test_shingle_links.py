@@ -49,10 +49,35 @@ def test_links_of_parts_lose_nothing(spark):
     names = sorted(sets)
     at = {s: i for i, s in enumerate(names)}
     want = components(len(names), [(at[a], at[b]) for a, b in combinations(names, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
-    for limit in (1 << 21, 300):
+    for limit in (1 << 21, 300, 90):
         assert components(len(names), [(at[r.a], at[r.b]) for r in L.similar_links(docs, limit).collect()]) == want
 
 
+def test_a_group_of_many_parts_loses_nothing(spark):
+    """Near copies of one text, chains that leave it step by step, and sets that only touch it."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(120)]
+    ts = []
+    for k in (1, 1, 2, 2, 2, 3, 3, 8, 30, 60) * 6:
+        c = list(base)
+        for i in r.sample(range(120), k):
+            c[i] = word()
+        ts.append(" ".join(c))
+    c = list(base)
+    for i in range(0, 120, 3):  # a chain: each like the one before, the last unlike the first
+        c[i] = word()
+        ts.append(" ".join(c))
+    docs = spark.createDataFrame([(t,) for t in ts], "t string")
+    sets = {L.signature(x): set(x.tolist()) for x in (L.shingle_set(t.encode()) for t in ts)}
+    names = sorted(sets)
+    at = {s: i for i, s in enumerate(names)}
+    want = components(len(names), [(at[a], at[b]) for a, b in combinations(names, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    assert 1 < len(set(want)) < len(names)
+    for limit in (1 << 21, 1500, 400):
+        assert components(len(names), [(at[x.a], at[x.b]) for x in L.similar_links(docs, limit).collect()]) == want
+
+
 def test_op4_query_keeps_its_contract(spark):
     docs = spark.createDataFrame(list(enumerate(edited())), "doc_id long, text string")
     assert S.near_groups(docs).columns == ["doc_id", "fp", "component_id"]
