@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from territory.llm.common import cut, plain, written
 
 Q, SEGMENT, STRIDE, BUDGET, MIN_ITEM = 10, 100, 25, 0.08, 24
-BLOCK_CHARS, CHUNK, POSTINGS, PAIRS = 2_000_000, 300_000, 1 << 20, 4096
+BLOCK_CHARS, CHUNK, POSTINGS, PAIRS = 2_000_000, 300_000, 1 << 20, 8192
 _BITS, _BASE, _SEGMENT_SHIFT = 22, 0xD6E8FEB86659FD93, 32
 
 _OTHER = re.compile(r"[\W_]+")
@@ -200,7 +200,7 @@ def _least_edits(pairs: list[tuple[str, str]]) -> np.ndarray:
     np.bitwise_or.at(same, (row, code, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
     texts = [_codes(t) for _, t in pairs]
     steps = max(map(len, texts))
-    grid = np.full((len(pairs), steps), len(letters))
+    grid = np.full((len(pairs), steps), len(letters), np.int32)
     for i, t in enumerate(texts):
         at = np.searchsorted(letters, t)
         at[at == len(letters)] = 0

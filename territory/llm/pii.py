@@ -229,6 +229,25 @@ def _tag(toks, spans) -> list[int]:
     return y
 
 
+def expectations(em: np.ndarray, tr: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Under the field's distribution the probability of each label at each step of each sequence, and how often each label
+    is expected to follow each other one in all; forward and backward, scaled to a sum of 1 at each step. ``mask`` tells
+    which steps a sequence has, from the first on."""
+    n, size, k = em.shape
+    x, e = np.exp(em - em.max(axis=2, keepdims=True)), np.exp(tr)
+    al, be, c = np.zeros_like(x), np.ones_like(x), np.ones((n, size, 1))
+    for t in range(size):
+        step = (al[:, t - 1] @ e) * x[:, t] if t else x[:, 0]
+        live = mask[:, t, None]
+        c[:, t] = np.where(live, step.sum(axis=1, keepdims=True), 1)
+        al[:, t] = np.where(live, step / c[:, t], al[:, t - 1])
+    for t in range(size - 2, -1, -1):
+        step = (x[:, t + 1] * be[:, t + 1]) @ e.T / c[:, t + 1]
+        be[:, t] = np.where(mask[:, t + 1, None], step, 1)
+    after = (x * be / c)[:, 1:] * mask[:, 1:, None]
+    return al * be * mask[..., None], e * (al[:, :-1].reshape(-1, k).T @ after.reshape(-1, k))
+
+
 class CRF:
     """``names``: feature -> row of ``w``; ``trans``: label to label."""
 
@@ -262,20 +281,7 @@ class CRF:
         for _ in range(steps):
             em = np.zeros((n * size, k))
             np.add.at(em, where, w[what])
-            x = np.exp(em - em.max(axis=1, keepdims=True)).reshape(n, size, k)
-            e = np.exp(tr)
-            al, be, c = np.zeros_like(x), np.ones_like(x), np.ones((n, size, 1))
-            for t in range(size):  # scaled to a sum of 1 at each step
-                step = (al[:, t - 1] @ e) * x[:, t] if t else x[:, 0]
-                live = mask[:, t, None]
-                c[:, t] = np.where(live, step.sum(axis=1, keepdims=True), 1)
-                al[:, t] = np.where(live, step / c[:, t], al[:, t - 1])
-            for t in range(size - 2, -1, -1):
-                step = (x[:, t + 1] * be[:, t + 1]) @ e.T / c[:, t + 1]
-                be[:, t] = np.where(mask[:, t + 1, None], step, 1)
-            p = al * be * mask[..., None]
-            after = (x * be / c)[:, 1:] * pairs[..., None]
-            edge = e * (al[:, :-1].reshape(-1, k).T @ after.reshape(-1, k))
+            p, edge = expectations(em.reshape(n, size, k), tr, mask)
             gw = np.zeros_like(w)
             np.add.at(gw, what, (gold - p.reshape(-1, k))[where])
             gw, gt = gw / n - L2 * w, (gold_t - edge) / n - L2 * tr

@@ -1,10 +1,13 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
+from territory.llm import components
 from territory.llm import simhash_dedup as S
 from territory.llm.components import connected_components
+from tests.llm.test_line_dedup import SKEW
 
 
 def brute_fingerprint(text):
@@ -86,6 +89,21 @@ def test_one_row_of_a_group_stays_whatever_its_ids(spark):
     assert got == sorted([(None, a), (5, b), (5, a + " eight nine"), (None, None)], key=str)
 
 
+def test_copies_of_one_text_are_split_among_tasks(spark):
+    keys = SKEW | {"spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(0, 9000, 1, 8).selectExpr("id as doc_id", "if(id % 3 = 0, concat('a text of its own ', id, ' and ', id * 7), 'one text that all the others are copies of') as text")
+        got = S.near_groups(docs)
+        assert {r.component_id for r in got.collect() if r.doc_id % 3} == {1}
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_links_lose_nothing(spark):
     r = random.Random(5)
     vals = set()
@@ -122,7 +140,9 @@ def test_bk_tree_searches():
     assert [sorted(g) for g in got] == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [1 << 18, 0])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (7, 7), (None, 3), (5, None)] + [(200, 200 + i) for i in range(1, 300)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     want = {i: 1 for i in range(1, 61)} | {100: 100, 101: 100} | {200 + i: 200 for i in range(300)}

@@ -75,6 +75,24 @@ def test_viterbi_is_exact_and_the_field_learns():
     assert right >= 0.95 * total and wrong <= 0.03 * total
 
 
+def test_expectations_match_every_labelling():
+    rng = np.random.default_rng(3)
+    k, lens = 3, (1, 2, 4)
+    em, tr, mask = rng.normal(size=(3, 4, k)), rng.normal(size=(k, k)), np.zeros((3, 4), bool)
+    want_p, want_e = np.zeros((3, 4, k)), np.zeros((k, k))
+    for i, n in enumerate(lens):
+        mask[i, :n] = True
+        every = list(itertools.product(range(k), repeat=n))
+        weight = np.array([math.exp(sum(em[i, t, y[t]] for t in range(n)) + sum(tr[a, b] for a, b in itertools.pairwise(y))) for y in every])
+        for y, q in zip(every, weight / weight.sum(), strict=True):
+            for t in range(n):
+                want_p[i, t, y[t]] += q
+            for a, b in itertools.pairwise(y):
+                want_e[a, b] += q
+    p, e = P.expectations(em, tr, mask)
+    assert np.allclose(p, want_p) and np.allclose(e, want_e)
+
+
 def test_pii_table(spark):
     texts = ["mail joe@example.com from 10.0.0.1, call (017) 555-7713 é", None, "", "Joe [at] mail [dot] com", "plain words only", "4111 1111 1111 1111"]
     rows = [(i if i != 2 else None, t, 1, "x") for i, t in enumerate(texts)]

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 from zlib import crc32
 
 from territory.llm import toxicity as X
@@ -36,6 +38,44 @@ def test_automaton_on_trie_and_filter_match_brute_force():
     assert lex.hit("morbid") == ("morb", 1.0) and lex.hit("morb" + "x" * 100) == ("morb", 1.0) and lex.hit("clean") is None
 
 
+def brute_evidence(t, terms, stems, exact):
+    """The evidence of a text by the module's docstring, place by place."""
+    low = t.lower()
+    places = [(m.start(), m.end()) for m in re.finditer(r"\w+(?:[*@$!]\w+)*", low)]
+    total, seen = 0.0, set()
+    for lo, hi in places:
+        w = low[lo:hi]
+        near = [(distance(w, x), x) for x in terms if len(x) >= 5 and x not in exact and len(w) >= 4]
+        stem = next((s for s in sorted(stems) if w.startswith(s)), None)
+        if w in terms:
+            term, weight = w, 1.0
+        elif stem:
+            term, weight = stem, 1.0
+        elif near and min(near)[0] <= 1:
+            term, weight = min(near)[1], 0.8
+        else:
+            continue
+        left, right = low[max(0, lo - 80) : lo].split("\n")[-1], low[hi : hi + 80].split("\n")[0]
+        quoted = any(left.count(q) % 2 and q in right for q in "\"'") or any(left.rfind(a) > left.rfind(b) and b in right for a, b in ("“”", "«»"))
+        before, after = [x for x in re.findall(r"\w+(?:[*@$!]\w+)*", left)][-3:], re.findall(r"\w+(?:[*@$!]\w+)*", right)[:3]
+        if quoted or X._REPORTS & set(before):
+            weight *= 0.3
+        elif X._SECOND & {*before, *after}:
+            weight *= 1.2
+        total, seen = total + weight, seen | {term}
+    return (math.log1p(total), math.log1p(100 * total / len(places)), math.log1p(len(seen))) if seen else (0.0, 0.0, 0.0)
+
+
+def test_evidence_matches_brute_force():
+    r = random.Random(11)
+    lex = X.Lexicon(TERMS, ["morb"], ["worthless"])
+    parts = [*TERMS, "idoit", "stupidd", "worthles", "scums", "morbid", "you", "du", "said", "calls", "wort", "the", "of", "clean", "words", '"', "'", "“", "”", "«", "»", "\n", ",", "."]
+    for _ in range(600):
+        t = " ".join(r.choice(parts) for _ in range(r.randint(0, 40)))
+        got, want = X.evidence(t, lex), brute_evidence(t, TERMS, ["morb"], ["worthless"])
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True)), (t, got, want)
+
+
 def test_context():
     w = lambda t: X.context_weight(t, t.index("idiot"), t.index("idiot") + 5)
     assert w("they wrote idiot on it") == w('the word "idiot" is old') == w("« un idiot » ici") == X.QUOTED
