@@ -40,6 +40,8 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 TREE_LIMIT = 32_768
 #: Most bytes of names of rows that leave, with which the texts stay where they are.
 BROADCAST_BYTES = 32 << 20
+#: Links of a value that are joined one by one, more of them by their labels.
+FEW = 8
 #: Searches of fewer rows than this go down the tree one by one, larger ones together.
 SMALL = 24
 
@@ -154,6 +156,10 @@ def spanning_links(tree: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.
     else:
         hits = bk.near_all(seek, radius)
     for n, found in hits:
+        if len(found) <= FEW:
+            for i in seek_at[found].tolist():
+                forest.join(node_at[n], i)
+            continue
         met = np.append(seek_at[found], node_at[n])
         known = np.unique(label[met])  # values of one label are joined already: a dense unit costs a join a label, not a link
         for x in known[1:].tolist():
