@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territory.llm import decontamination, html_extract, line_dedup, piece_codec, pii, quality_rules, secret_scan, simhash_dedup, toxicity, url_filters
+from territory.llm import decontamination, divergence, html_extract, line_dedup, piece_codec, pii, quality_rules, resampling, secret_scan, simhash_dedup, token_counts, toxicity, url_filters
 from territory.llm.common import table
 from territory.llm.components import connected_components
 
@@ -62,6 +63,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lit(True).alias("contaminated"), items.alias("item_ids"), spans.alias("spans"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
 # Parts of the operators that SQL can express
 
 
@@ -111,10 +125,10 @@ SELECT fp, least(fp, coalesce(min(b), fp)) AS component FROM v LEFT JOIN walk ON
 
 
 def queries() -> dict[str, Query]:
-    every = (op1_url_filters, op2_html_extraction, op3_piece_codec, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_line_dedup, op10_decontamination, pii_base_counts, secret_base_counts, near_fingerprints)
+    every = (op1_url_filters, op2_html_extraction, op3_piece_codec, op4_simhash_dedup, op5_pii, op6_quality_rules, op7_secret_scans, op8_toxicity, op9_line_dedup, op10_decontamination, op11_resampling, op12_token_counts, op13_divergence, pii_base_counts, secret_base_counts, near_fingerprints)
     return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"op1_url_filters": url_filters.oracle_sql(), "op6_quality_rules": quality_rules.oracle_sql(), "op9_line_dedup": line_dedup.oracle_sql()}
+    own = {"op1_url_filters": url_filters.oracle_sql(), "op6_quality_rules": quality_rules.oracle_sql(), "op9_line_dedup": line_dedup.oracle_sql(), "op11_resampling": resampling.oracle_sql(), "op13_divergence": divergence.oracle_sql()}
     return own | {"pii_base_counts": _PII_SQL, "secret_base_counts": _SECRET_SQL, "near_fingerprints": _NEAR_SQL}

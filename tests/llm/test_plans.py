@@ -30,7 +30,8 @@ def test_native_operators_run_no_python(spark, sf, name):
 @pytest.mark.parametrize("name", [n for n in Q.queries() if n != "pipeline"])
 def test_queries_read_the_columns_they_need(spark, sf, name):
     for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan(Q.queries()[name](spark, sf))):
-        assert not {"lang", "source", "n_chars", "quality"} & {c.split(":")[0] for c in schema.split(",")}
+        own = {"lang", "source"} if name == "op13_divergence" else set()  # its groups
+        assert not ({"lang", "source", "n_chars", "quality"} - own) & {c.split(":")[0] for c in schema.split(",")}
 
 
 @pytest.mark.parametrize("name", list(Q.queries()))

@@ -1,0 +1,71 @@
+"""Token counts against the library that reads the same file."""
+
+import random
+
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from territory.llm import token_counts as T
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(PATH, encoding="utf-8") as f:
+        return T.Vocabulary(f.read())
+
+
+def library(texts):
+    return [len(e.ids) for e in Tokenizer.from_file(PATH).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def odd_texts(r, n):
+    stock = ["the", " quick", "'s", "'LL", "日本語", "é", "é", "\U0001f600", "\n", "\r\n", " ", "   ", "\t", " ", " ", "1234", "½", "<|endoftext|>", "<|endof", "_", "--", "\x00", "‍", "ſ", "İ"]
+    return ["".join(r.choice(stock) for _ in range(r.randrange(40))) for _ in range(n)]
+
+
+def test_counts_are_the_librarys(vocabulary):
+    texts = odd_texts(random.Random(1), 3000) + [None, "", "<|endoftext|>" * 3, " <|endoftext|> "]
+    assert T.Counts(vocabulary).batch(texts) == library(texts)
+
+
+def test_every_plane_of_characters(vocabulary):
+    texts = [f"a{c} {c}{c}1{c}  {c}" for c in map(chr, range(0, 0x110000, 37)) if not 0xD800 <= ord(c) < 0xE000]
+    assert T.Counts(vocabulary).batch(texts) == library(texts)
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefghijklmnopqrstuvwxyz", "eé日", " ", "=-"])
+def test_long_words_without_a_break(vocabulary, letters):
+    r = random.Random(letters)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for n in (1, 2, 3, 1023, 1024, 1025, 30000)]
+    assert T.Counts(vocabulary).batch(texts) == library(texts)
+    spelt = [t.encode() for t in texts[:-1]]
+    if letters != " ":  # white space is cut by the pattern
+        assert [T.merge_long(s, vocabulary) for s in spelt] == T.merge(spelt, vocabulary).tolist()
+
+
+def test_the_table_may_be_emptied_at_any_time(vocabulary, monkeypatch):
+    texts = odd_texts(random.Random(2), 400)
+    monkeypatch.setattr(T, "KNOWN", 20)
+    monkeypatch.setattr(T, "BATCH", 7)
+    assert T.Counts(vocabulary).batch(texts) == library(texts)
+
+
+def test_vocabularies_that_merge_otherwise_are_refused():
+    with open(PATH, encoding="utf-8") as f:
+        text = f.read()
+    for part, other in (('"add_prefix_space":false', '"add_prefix_space":true'), ('"add_prefix_space": false', '"add_prefix_space": true')):
+        if part in text:
+            with pytest.raises(ValueError):
+                T.Vocabulary(text.replace(part, other, 1))
+
+
+def test_rows(spark):
+    rows = [(1, "héllo wörld", "x"), (2, None, "y"), (3, "", None), (3, "", None), (None, "<|endoftext|>a", "z"), (4, "w " * 1024, "k"), (5, "w " * 512, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(3)
+    got = sorted(map(tuple, T.count_tokens(df, PATH).collect()), key=repr)
+    n = dict(zip([r[1] for r in rows], library([r[1] for r in rows]), strict=True))
+    assert got == sorted(((i, len((t or "").encode()), n[t], n[t] > 1024) for i, t, _ in rows), key=repr)
+    assert T.count_tokens(df.limit(0), PATH).collect() == [] and T.count_tokens(df, PATH).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
