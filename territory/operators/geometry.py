@@ -14,6 +14,8 @@ Ring = list[tuple[float, float]]
 
 #: Most vertices of a ring that is written into a plan as literals; larger ones go with a function (``overlay``).
 SMALL_RING = 64
+#: How far apart places may be that count as one, by the size of the ring's coordinates.
+TOL = 1e-11
 
 
 def is_small_ring(outline) -> bool:
@@ -68,39 +70,91 @@ def _bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _cuts(s: Column, edges: Column) -> Column:
-    """Sorted parameters in [0, 1] at which a segment (ax, ay, ux, uy: start and direction) meets the edges, with both ends."""
+def tolerance(ring: Ring) -> float:
+    """How far apart places may be that count as one."""
+    return TOL * max(max(abs(float(x)), abs(float(y))) for x, y in ring)
+
+
+def _turned(s: Column, e: Column) -> tuple[Column, Column]:
+    """Of an edge's ends, the cross products with a segment's direction."""
+    start = (e["cx"] - s["ax"]) * s["uy"] - (e["cy"] - s["ay"]) * s["ux"]
+    return start, start + (e["dx"] - e["cx"]) * s["uy"] - (e["dy"] - e["cy"]) * s["ux"]
+
+
+def _place(s: Column, x: Column, y: Column) -> Column:
+    """Where a point stands along a segment."""
+    return ((x - s["ax"]) * s["ux"] + (y - s["ay"]) * s["uy"]) / F.nullif(s["len"] * s["len"], F.lit(0.0))
 
-    def cross(e: Column) -> Column:
-        ex, ey, gx, gy = e["dx"] - e["cx"], e["dy"] - e["cy"], e["cx"] - s["ax"], e["cy"] - s["ay"]
-        terms = F.struct(F.nullif(s["ux"] * ey - s["uy"] * ex, F.lit(0.0)).alias("dn"), (gx * ey - gy * ex).alias("t"), (gx * s["uy"] - gy * s["ux"]).alias("u"))
-        t = lambda q: q["t"] / q["dn"]
-        return _bind(terms, lambda q: F.when((t(q) > 0) & (t(q) < 1) & (q["u"] / q["dn"]).between(0, 1), t(q)))
 
-    met = F.array_compact(F.transform(edges, cross))
-    return F.when(F.size(met) == 0, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), met))))
+def _along(s: Column, edges: Column, tol: float) -> Column:
+    """The edges that lie on the segment's line and cover some of it, with the places from t0 to t1 that they cover."""
 
+    def one(e: Column) -> Column:
+        start, end = _turned(s, e)
+        return (F.abs(start) <= tol * s["len"]) & (F.abs(end) <= tol * s["len"]) & (s["len"] > 0)
 
-def _pieces(points: Column, edges: Column, closed: bool = False) -> Column:
-    """array<struct<t1,t2,sx,sy,ex,ey>>: the stretches of a line, or of a ring, inside the edges; t counts segments."""
+    def span(e: Column) -> Column:
+        p, q = _place(s, e["cx"], e["cy"]), _place(s, e["dx"], e["dy"])
+        return F.struct(*(e[k].alias(k) for k in ("cx", "cy", "dx", "dy")), F.least(p, q).alias("t0"), F.greatest(p, q).alias("t1"))
+
+    return F.filter(F.transform(F.filter(edges, one), span), lambda e: (F.least(e["t1"], F.lit(1.0)) - F.greatest(e["t0"], F.lit(0.0))) * s["len"] > tol)
+
+
+def _cuts(s: Column, edges: Column, along: Column, tol: float) -> Column:
+    """Sorted parameters in [0, 1] at which a segment (ax, ay, ux, uy, len: start, direction and length) meets the edges and at
+    which those along it begin and end, with both ends."""
+
+    def cross(e: Column) -> Column:
+        ex, ey, gx, gy = e["dx"] - e["cx"], e["dy"] - e["cy"], e["cx"] - s["ax"], e["cy"] - s["ay"]
+        terms = F.struct(F.nullif(s["ux"] * ey - s["uy"] * ex, F.lit(0.0)).alias("dn"), (gx * ey - gy * ex).alias("t"), (gx * s["uy"] - gy * s["ux"]).alias("u"), (tol / F.nullif(F.hypot(ex, ey), F.lit(0.0))).alias("slack"))
+        t = lambda q: q["t"] / q["dn"]
+        lies = lambda q: (F.abs(q["u"]) <= tol * s["len"]) & (F.abs(q["u"] - q["dn"]) <= tol * s["len"])
+        return _bind(terms, lambda q: F.when((t(q) > 0) & (t(q) < 1) & (q["u"] / q["dn"]).between(-q["slack"], 1 + q["slack"]) & ~lies(q), t(q)))
+
+    met = F.array_compact(F.concat(F.transform(edges, cross), F.transform(along, lambda e: e["t0"]), F.transform(along, lambda e: e["t1"])))
+    inner = F.array_sort(F.filter(met, lambda t: (t * s["len"] > tol) & ((1 - t) * s["len"] > tol)))
+    apart = _bind(inner, lambda ts: F.filter(ts, lambda t, i: (i == 0) | ((t - F.get(ts, i - 1)) * s["len"] > tol)))
+    return F.concat(F.array(F.lit(0.0)), apart, F.array(F.lit(1.0)))
+
+
+def _kept(s: Column, x: Column, y: Column, edges: Column, own: Column, side: str) -> Column:
+    """Does a stretch stay whose middle is x, y and on which the edges ``own`` lie? Off them: if it is inside. On them: if the
+    inside is on its ``side``, which is "left", "open" (the half-open rule of points) or "none"."""
+    if side == "none":
+        return (F.size(own) == 0) & inside(x, y, edges)
+    swapped = lambda es: F.transform(es, lambda e: F.struct(e["cy"].alias("cx"), e["cx"].alias("cy"), e["dy"].alias("dx"), e["dx"].alias("dy")))
+    flat = F.abs(s["uy"]) <= F.abs(s["ux"])
+    # a ray across the stretch, its own edges left out: inside above a flat stretch, on the right of a steep one
+    beyond = F.when(flat, inside(y, x, swapped(edges)) != inside(y, x, swapped(own))).otherwise(inside(x, y, edges) != inside(x, y, own))
+    other = beyond != (F.size(own) % 2 == 1)
+    left = F.when(flat, s["ux"] > 0).otherwise(s["uy"] < 0)
+    wants_left = F.lit(True) if side == "left" else (s["uy"] < 0) | ((s["uy"] == 0) & (s["ux"] > 0))
+    return F.when(F.size(own) == 0, inside(x, y, edges)).when(left == wants_left, beyond).otherwise(other)
+
+
+def _pieces(points: Column, edges: Column, tol: float, side: str, closed: bool = False) -> Column:
+    """array<struct<t1,t2,sx,sy,ex,ey>>: the stretches of a line, or of a ring, inside the edges; t counts segments. What lies
+    on the edges stays by ``side`` (``_kept``)."""
     n = F.size(points)
     last = n - 1 if closed else n - 2
 
     def segment(i: Column) -> Column:
         a, b = points[i], points[(i + 1) % n]
-        whole = F.struct(a["x"].alias("ax"), a["y"].alias("ay"), (b["x"] - a["x"]).alias("ux"), (b["y"] - a["y"]).alias("uy"))
+        ux, uy = b["x"] - a["x"], b["y"] - a["y"]
+        whole = F.struct(a["x"].alias("ax"), a["y"].alias("ay"), ux.alias("ux"), uy.alias("uy"), F.hypot(ux, uy).alias("len"))
 
-        def stretches(s: Column) -> Column:
+        def stretches(s: Column, along: Column) -> Column:
             def one(ts: Column, k: Column) -> Column:
                 mid = (ts[k] + ts[k + 1]) / 2
-                m = F.struct((s["ax"] + mid * s["ux"]).alias("x"), (s["ay"] + mid * s["uy"]).alias("y"))
+                own = F.filter(along, lambda e: mid.between(e["t0"], e["t1"]))
+                m = F.struct((s["ax"] + mid * s["ux"]).alias("x"), (s["ay"] + mid * s["uy"]).alias("y"), own.alias("own"))
                 x, y = lambda t: s["ax"] + t * s["ux"], lambda t: s["ay"] + t * s["uy"]
                 piece = F.struct((i + ts[k]).alias("t1"), (i + ts[k + 1]).alias("t2"), x(ts[k]).alias("sx"), y(ts[k]).alias("sy"), x(ts[k + 1]).alias("ex"), y(ts[k + 1]).alias("ey"))
-                return F.when(_bind(m, lambda q: inside(q["x"], q["y"], edges)), piece)
+                return F.when(_bind(m, lambda q: _kept(s, q["x"], q["y"], edges, q["own"], side)), piece)
 
-            return _bind(_cuts(s, edges), lambda ts: F.array_compact(F.transform(F.sequence(F.lit(0), F.size(ts) - 2), lambda k: one(ts, k))))
+            return _bind(_cuts(s, edges, along, tol), lambda ts: F.array_compact(F.transform(F.sequence(F.lit(0), F.size(ts) - 2), lambda k: one(ts, k))))
 
-        return _bind(whole, stretches)
+        return _bind(whole, lambda s: _bind(_along(s, edges, tol), lambda along: stretches(s, along)))
 
     none = "array<struct<t1:double,t2:double,sx:double,sy:double,ex:double,ey:double>>"
     return F.when(n >= 2, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), segment))).otherwise(F.array().cast(none))
@@ -108,7 +162,7 @@ def _pieces(points: Column, edges: Column, closed: bool = False) -> Column:
 
 def clip_lines(df: DataFrame, points: str, ring: Ring) -> DataFrame:
     """Lines cut to a ring: ``pieces`` (stretches inside, in order), ``parts`` (runs of stretches that touch, as points),
-    ``length``. Lines with nothing inside go. Row by row: nothing is shuffled."""
+    ``length``. Lines with nothing inside go; along an edge they are half-open, as points are. Row by row: nothing is shuffled."""
     a, b, c, d = ring_bbox(ring)
     near = df.where(bbox_intersects(bbox_of(F.col(points)), a, b, c, d))
     empty = F.array().cast("array<struct<pts:array<struct<x:double,y:double>>,t2:double>>")
@@ -126,7 +180,7 @@ def clip_lines(df: DataFrame, points: str, ring: Ring) -> DataFrame:
         length = F.aggregate(pieces, F.lit(0.0), lambda s, p: s + F.hypot(p["ex"] - p["sx"], p["ey"] - p["sy"]))
         return F.struct(pieces.alias("pieces"), F.size(parts).alias("n_parts"), length.alias("length"), parts.alias("parts"))
 
-    return _once(near, _pieces(F.col(points), ring_edges(ring)), told)
+    return _once(near, _pieces(F.col(points), ring_edges(ring), tolerance(ring), "open"), told)
 
 
 def _once(df: DataFrame, pieces: Column, told) -> DataFrame:
@@ -138,13 +192,15 @@ def _once(df: DataFrame, pieces: Column, told) -> DataFrame:
 def clip_polygons(df: DataFrame, points: str, ring: Ring) -> DataFrame:
     """Rings (counter-clockwise) cut to a ring: the kept edges of both outlines, and the area they enclose.
 
-    Both outlines keep their direction, so the area needs no assembly. Outlines that share collinear edges are not handled.
+    Both outlines keep their direction, so the area needs no assembly. Of edges that both share those of the ring column stay
+    where both insides are on one side, and none where they only touch.
     """
     a, b, c, d = ring_bbox(ring)
     pts = ring if ring[0] != ring[-1] else ring[:-1]
     over = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in pts))
     near = df.where(bbox_intersects(bbox_of(F.col(points)), a, b, c, d))
-    edges = F.concat(_pieces(F.col(points), ring_edges(ring), True), _pieces(over, edges_of(F.col(points)), True))
+    tol = tolerance(ring)
+    edges = F.concat(_pieces(F.col(points), ring_edges(ring), tol, "left", True), _pieces(over, edges_of(F.col(points)), tol, "none", True))
     area = lambda x: F.aggregate(x, F.lit(0.0), lambda s, e: s + e["sx"] * e["ey"] - e["ex"] * e["sy"]) / 2
     return _once(near, edges, lambda x: F.struct(x.alias("edges"), area(x).alias("area")))
 

@@ -162,3 +162,44 @@ PARTS_SQL = f"ring(e, cx, cy, dx, dy) AS (VALUES {', '.join(f'({k}, {a!r}::DOUBL
 
 def overlay_parts() -> list:
     return [[[{"x": x, "y": y} for x, y in r] for r in p] for p in PARTS]
+
+
+# Boxes and outlines on one grid, whose edges coincide
+
+GRID = 16
+#: Rectangles (sign, x0, y0, x1, y1) in grid steps: an L, and two parts with a common edge, the first with a hole.
+L_SHAPE = [(1, -3, -3, 3, 0), (1, -3, 0, 0, 3)]
+L_RING = [(x / GRID, y / GRID) for x, y in ((-3, -3), (3, -3), (3, 0), (0, 0), (0, 3), (-3, 3))]
+BLOCKS = [(1, -4, -4, 2, 4), (-1, -2, -2, 0, 2), (1, 2, -1, 4, 1)]
+
+
+def _corners(x0: int, y0: int, x1: int, y1: int) -> list[dict]:
+    return [{"x": x / GRID, "y": y / GRID} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+
+
+def block_parts() -> list:
+    outer, hole, other = (_corners(*r) for _, *r in BLOCKS)
+    return [[outer, hole], [other]]
+
+
+def grid_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counter-clockwise rectangles of four coordinates, each moved down to the grid."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", *((F.floor(F.col("embedding")[i].cast("double") * GRID) / GRID).alias(f"c{i}") for i in range(4)))
+    x0, x1, y0, y1 = F.least("c0", "c2"), F.greatest("c0", "c2"), F.least("c1", "c3"), F.greatest("c1", "c3")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return e.where("c0 <> c2 and c1 <> c3").select("vec_id", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("points"))
+
+
+_AT = ", ".join(f"floor(embedding[{i + 1}]::DOUBLE * {GRID}) / {GRID} AS c{i}" for i in range(4))
+GRID_BOXES = f"grid_boxes AS (SELECT vec_id, least(c0, c2) AS x0, least(c1, c3) AS y0, greatest(c0, c2) AS x1, greatest(c1, c3) AS y1 FROM (SELECT vec_id, {_AT} FROM embeddings) WHERE c0 <> c2 AND c1 <> c3)"
+
+
+def rectangles_sql(rectangles: list[tuple[int, int, int, int, int]]) -> str:
+    return f"rectangles(sign, a0, b0, a1, b1) AS (VALUES {', '.join(f'({s}, {a / GRID!r}::DOUBLE, {b / GRID!r}::DOUBLE, {c / GRID!r}::DOUBLE, {d / GRID!r}::DOUBLE)' for s, a, b, c, d in rectangles)})"
+
+
+#: What rectangles share with boxes, and with the boxes' four sides by the half-open rule.
+_WIDE, _HIGH = "greatest(0, least(x1, a1) - greatest(x0, a0))", "greatest(0, least(y1, b1) - greatest(y0, b0))"
+SHARED_AREA = f"SELECT vec_id, round(sum(sign * {_WIDE} * {_HIGH}), 6) AS area FROM grid_boxes, rectangles GROUP BY vec_id HAVING sum(sign * {_WIDE} * {_HIGH}) > 0"
+_SIDES = " + ".join([*(f"CASE WHEN b0 <= {y} AND {y} < b1 THEN {_WIDE} ELSE 0 END" for y in ("y0", "y1")), *(f"CASE WHEN a0 <= {x} AND {x} < a1 THEN {_HIGH} ELSE 0 END" for x in ("x0", "x1"))])
+SHARED_LENGTH = f"SELECT vec_id, round(sum(sign * ({_SIDES})), 6) AS length FROM grid_boxes, rectangles GROUP BY vec_id HAVING sum(sign * ({_SIDES})) > 0"

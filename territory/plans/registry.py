@@ -335,6 +335,34 @@ def _wkb_areas(layer: DataFrame) -> DataFrame:
     return cut.select("vec_id", F.round(area, 6).alias("area"))
 
 
+@query(B.SHARED_AREA, B.GRID_BOXES, B.rectangles_sql(B.L_SHAPE))
+def clip_shared_polygons(spark, d):
+    """Boxes and an outline whose edges coincide in part."""
+    return G.clip_polygons(B.grid_boxes(spark, d), "points", B.L_RING).select("vec_id", F.round("area", 6).alias("area"))
+
+
+@query(B.SHARED_LENGTH, B.GRID_BOXES, B.rectangles_sql(B.L_SHAPE))
+def clip_shared_lines(spark, d):
+    """The boxes' sides, some of them along the outline."""
+    return G.clip_lines(_sides(spark, d), "points", B.L_RING).select("vec_id", F.round("length", 6).alias("length"))
+
+
+def _sides(spark, d) -> DataFrame:
+    return B.grid_boxes(spark, d).select("vec_id", F.concat("points", F.slice("points", 1, 1)).alias("points"))
+
+
+@query(B.SHARED_AREA, B.GRID_BOXES, B.rectangles_sql(B.BLOCKS))
+def clip_shared_by_parts(spark, d):
+    """The same through WKB, with neighbouring parts and a hole."""
+    layer = _sides(spark, d).select("vec_id", wkb.wkb_encode(F.lit("Polygon"), F.array(F.array("points"))).alias("geometry"))
+    return _wkb_areas(overlay.clip_layer(layer, B.block_parts()))
+
+
+@query(B.SHARED_LENGTH, B.GRID_BOXES, B.rectangles_sql(B.BLOCKS))
+def clip_shared_lines_by_parts(spark, d):
+    return overlay.clip_lines(_sides(spark, d), "points", B.block_parts()).select("vec_id", F.round("length", 6).alias("length"))
+
+
 @query(
     "SELECT vec_id, round(sum(sx * ey - ex * sy) / 2, 6) AS area FROM (SELECT vec_id, sx, sy, ex, ey FROM a_kept UNION ALL SELECT vec_id, sx, sy, ex, ey FROM b_kept) GROUP BY vec_id",
     *_BOXES,
