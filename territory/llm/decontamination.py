@@ -6,7 +6,9 @@ into segments of ``SEGMENT`` characters, one every ``STRIDE`` (a shorter item is
 at most k = ``BUDGET`` x length edits. By the q-gram lemma such a place shares at least length - q + 1 - k q of the
 segment's q-grams, all on diagonals of a band k wide: the segment's q-grams that are shared are counted in overlapping bands of 2k diagonals and
 k more, bands that reach the bound are aligned inside their region, and alignments within the budget stand. The filter
-loses nothing; the alignment decides. The least edits of all bands are found together, a bit-parallel column a step in numpy,
+loses nothing; the alignment decides. Before that the rests of the segment on both sides of what a band shares are held against the band's
+surroundings, which costs less and rules out most places that share a phrase with many items. The least edits of all
+bands left are found together, a bit-parallel column a step in numpy,
 equal pairs of segment and region once; the places of those within the budget by the banded table. An item of fewer than
 ``MIN_ITEM`` characters counts as found where its two or more words stand in a row.
 
@@ -32,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from territory.llm.common import cut, plain, written
+from territory.llm.common import plain, written
 
 Q, SEGMENT, STRIDE, BUDGET, MIN_ITEM = 10, 100, 25, 0.08, 24
-BLOCK_CHARS, CHUNK, POSTINGS, PAIRS = 2_000_000, 300_000, 1 << 20, 8192
+BLOCK_CHARS, CHUNK, POSTINGS, PAIRS, WORD = 2_000_000, 300_000, 1 << 20, 8192, 64
 _BITS, _BASE, _SEGMENT_SHIFT = 22, 0xD6E8FEB86659FD93, 32
 
 _OTHER = re.compile(r"[\W_]+")
@@ -100,8 +102,9 @@ class Index:
         self.reach = int((size + 2 * self.k).max()) if len(self.text) else 0
 
     def bands(self, t: str) -> np.ndarray:
-        """Rows (segment, from, to): regions of a normal text that can hold a segment within its budget."""
-        h, none = grams(t), np.zeros((0, 3), np.int64)
+        """Rows (segment, from, to, first, last): regions of a normal text that can hold a segment within its budget, and
+        where in the segment the q-grams that are shared there begin and end."""
+        h, none = grams(t), np.zeros((0, 5), np.int64)
         if not len(h) or not len(self.gram):
             return none
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
@@ -130,14 +133,16 @@ class Index:
             end = int(np.searchsorted(at, at[hi - 1] + self.reach, side="right"))
             found.append(self._reached(at[lo:end], g[lo:end]))
             lo = hi
-        key = np.unique(np.concatenate(found)) if len(found) > 1 else found[0]
+        key, begin, end = np.concatenate(found, axis=1)
+        key, one = np.unique(key, return_index=True)
         s, band = key >> _SEGMENT_SHIFT, key & ((1 << _SEGMENT_SHIFT) - 1)
         k = self.k[s]
         first = band * np.maximum(2 * k, 1) - SEGMENT
-        return np.stack([s, np.maximum(0, first - k), np.minimum(len(t), first + 4 * k + 1 + self.size[s])], axis=1)
+        return np.stack([s, np.maximum(0, first - k), np.minimum(len(t), first + 4 * k + 1 + self.size[s]), begin[one], end[one]], axis=1)
 
     def _reached(self, at: np.ndarray, g: np.ndarray) -> np.ndarray:
-        """segment << _SEGMENT_SHIFT | band of the bands that hold enough of the segment's q-grams."""
+        """segment << _SEGMENT_SHIFT | band of the bands that hold enough of the segment's q-grams, and from where to where in the
+        segment these go."""
         n = self.n[g]
         post = np.repeat(self.first[g] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         seg, place = self.seg[post].astype(np.int64), self.pos[post]
@@ -150,14 +155,37 @@ class Index:
         key = np.sort(np.concatenate([key, key[too] - (1 << 7)]))
         new = np.ones(len(key), bool)  # a segment's q-gram counts once in a band
         new[1:] = key[1:] != key[:-1]
-        key = key[new] >> 7
+        key = key[new]
+        key, place = key >> 7, key & 127
         begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        counts, keys = np.diff(np.append(begin, len(key))), key[begin]
-        return keys[counts >= self.need[keys >> _SEGMENT_SHIFT]]
+        end = np.append(begin[1:], len(key))
+        enough = end - begin >= self.need[key[begin] >> _SEGMENT_SHIFT]
+        begin, end = begin[enough], end[enough]
+        return np.stack([key[begin], place[begin], place[end - 1] + Q])
+
+    def hopeful(self, t: str, bands: np.ndarray) -> np.ndarray:
+        """The bands that the rests on both sides of what is shared do not rule out: within a place of the segment its rests
+        cost no less than they do at the best places near it. Two neighbouring bands are asked together."""
+        s, lo, hi, first, last = bands.T
+        follows = np.append(False, (s[1:] == s[:-1]) & (lo[1:] - lo[:-1] <= 2 * self.k[s[1:]]))
+        run = np.arange(len(s)) - np.maximum.accumulate(np.where(follows, 0, np.arange(len(s))))
+        group = np.cumsum(~follows | (run % 2 == 0)) - 1
+        one = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        k, size, low, high = self.k[s[one]], self.size[s[one]], lo[one], hi[np.append(one[1:], len(s)) - 1]
+        cost, number = np.zeros(len(one), np.int64), s[one].tolist()
+        for begin, end in ((np.maximum(0, first[one] - WORD), first[one]), (last[one], np.minimum(size, last[one] + WORD))):
+            a, b = np.maximum(0, low + begin - k), np.maximum(0, high - size + end + k)
+            some = np.flatnonzero(end > begin)
+            pairs: dict[tuple[str, str], int] = {}
+            parts = zip(some.tolist(), begin[some].tolist(), end[some].tolist(), a[some].tolist(), b[some].tolist(), strict=True)
+            which = [pairs.setdefault((self.text[number[i]][x:y], t[c:d]), len(pairs)) for i, x, y, c, d in parts]
+            cost[some] += least_edits(list(pairs))[which] if which else 0
+        return bands[cost[group] <= self.k[s]]
 
     def matches(self, t: str) -> list[tuple[int, int, int]]:
         """(item, from, to) in a normal text: verified places of segments, one for each that a band holds."""
-        bands = self.bands(t).tolist()
+        bands = self.bands(t)
+        bands = self.hopeful(t, bands)[:, :3].tolist() if len(bands) else []
         pairs: dict[tuple[str, str], int] = {}
         which = [pairs.setdefault((self.text[s], t[lo:hi]), len(pairs)) for s, lo, hi in bands]
         least = least_edits(list(pairs))
@@ -185,26 +213,29 @@ def least_edits(pairs: list[tuple[str, str]]) -> np.ndarray:
     return out
 
 
-def _codes(t: str) -> np.ndarray:
-    return np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _grid(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in its text, code) of every character."""
+    size = np.array([len(t) for t in texts])
+    row = np.repeat(np.arange(len(texts)), size)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size), np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _least_edits(pairs: list[tuple[str, str]]) -> np.ndarray:
     number: dict[str, int] = {}
     of = np.array([number.setdefault(p, len(number)) for p, _ in pairs])
-    codes = [_codes(p) for p in number]
-    size = np.array([len(c) for c in codes])
-    letters, code = np.unique(np.concatenate(codes), return_inverse=True)
-    row, bit = np.repeat(np.arange(len(codes)), size), np.concatenate([np.arange(n) for n in size])
-    same = np.zeros((len(codes), len(letters) + 1, 2), np.uint64)  # by pattern and letter: the places of the letter, in two words
-    np.bitwise_or.at(same, (row, code, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
-    texts = [_codes(t) for _, t in pairs]
-    steps = max(map(len, texts))
-    grid = np.full((len(pairs), steps), len(letters), np.int32)
-    for i, t in enumerate(texts):
-        at = np.searchsorted(letters, t)
-        at[at == len(letters)] = 0
-        grid[i, : len(t)] = np.where(letters[at] == t, at, len(letters))
+    size = np.array([len(p) for p in number])
+    row, bit, code = _grid(list(number))
+    letters, code = np.unique(code, return_inverse=True)
+    width = len(letters) + 1
+    words = range(1 + int(size.max() > WORD))
+    same = np.zeros((len(words), len(number) * width), np.uint64)  # by pattern and letter: the places of the letter
+    np.bitwise_or.at(same, (bit // WORD, row * width + code), np.uint64(1) << (bit % WORD).astype(np.uint64))
+    row, place, code = _grid([t for _, t in pairs])
+    steps = int(place.max()) + 1 if len(place) else 0
+    at = np.searchsorted(letters, code)
+    at[at == len(letters)] = 0
+    grid = np.repeat((of * width + len(letters))[None, :], steps, axis=0)
+    grid[place, row] = (of * width)[row] + np.where(letters[at] == code, at, len(letters))
     one, top = np.uint64(1), np.uint64(63)
     last = size[of] - 1
     second, place = last >= 64, (last % 64).astype(np.uint64)
@@ -213,17 +244,17 @@ def _least_edits(pairs: list[tuple[str, str]]) -> np.ndarray:
     cost = size[of].astype(np.int64)
     least = cost.copy()
     for j in range(steps):
-        eq = same[of, grid[:, j]]
+        cell = grid[j]
         more = less = None  # what the first word hands to the second
-        for w in (0, 1):
-            e, pv, mv = eq[:, w], up[w], down[w]
+        for w in words:
+            e, pv, mv = same[w][cell], up[w], down[w]
             xv = e | mv
             if w:
                 e = e | less
             xh = (((e & pv) + pv) ^ pv) | e
             ph, mh = mv | ~(xh | pv), pv & xh
-            mine = second == bool(w)
-            cost += np.where(mine, ((ph >> place) & one).astype(np.int64) - ((mh >> place) & one).astype(np.int64), 0)
+            change = ((ph >> place) & one).view(np.int64) - ((mh >> place) & one).view(np.int64)
+            cost += change if len(words) == 1 else np.where(second == bool(w), change, 0)
             out_more, out_less = ph >> top, mh >> top
             ph, mh = ph << one, mh << one
             if w:
@@ -300,7 +331,7 @@ def find_all(texts: list[str | None], index: Index) -> list[list[tuple[int, int,
         begins = np.cumsum([0, *(len(t) + 1 for t in part)])
         own = [0]
         if len(part) > 1:
-            _, a, e = index.bands("\x00".join(part)).T
+            _, a, e, _, _ = index.bands("\x00".join(part)).T
             first, last = np.searchsorted(begins, a, "right") - 1, np.searchsorted(begins, e, "right")
             own = sorted({i for x, y in {*zip(first.tolist(), last.tolist(), strict=True)} for i in range(x, min(y, len(part)))})
         for i in own:
@@ -324,46 +355,58 @@ def _blocks(items: DataFrame, id_col: str, text: str) -> Iterator[list[tuple[int
         yield block
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, matches array<struct<item, start, end>>) of every row; places in code points of the whole text."""
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, __key long, matches array<struct<item:{item_kind},start:long,end:long>>"
-    source = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias("__text"), F.xxhash64(f"`{text}`").alias("__key"))
-    kinds = pa.list_(pa.struct([("item", to_arrow_type(items.schema[item_id].dataType)), ("start", pa.int64()), ("end", pa.int64())]))
+def _passed(source: DataFrame, index: Index, id_col: str, item_type) -> DataFrame:
+    """(id, __key, matches) of rows (id, __text, __key)."""
+    schema = f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, __key long, matches array<struct<item:{item_type.simpleString()},start:long,end:long>>"
+    kinds = pa.list_(pa.struct([("item", to_arrow_type(item_type)), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def passed(index: Index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = find_all(b.column(1).to_pylist(), index)
-                rows = [[{"item": i, "start": a, "end": e} for i, a, e in f] for f in found]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, kinds)], [id_col, "__key", "matches"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = find_all(b.column(1).to_pylist(), index)
+            rows = [[{"item": i, "start": a, "end": e} for i, a, e in f] for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(rows, kinds)], [id_col, "__key", "matches"])
 
-        return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
-    blocks = _blocks(items, item_id, item_text)
-    block, after = next(blocks, []), next(blocks, None)
-    if after is None:
-        return passed(Index(block)).drop("__key")
+
+def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`").cast("string").alias("__text"), F.xxhash64(f"`{text}`").alias("__key"))
+
+
+def _finds(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_id: str, item_text: str) -> DataFrame:
+    """(__id, __k, matches): what each block of items finds, written down block by block, so that one index is held at a time."""
     every = None
-    while block:  # each block's finds are written down, so that one index is held at a time
-        found = written(passed(Index(block)).where("size(matches) > 0"))
+    for block in _blocks(items, item_id, item_text):
+        found = written(_passed(_source(docs, id_col, text), Index(block), id_col, items.schema[item_id].dataType).where("size(matches) > 0"))
         every = found if every is None else every.unionAll(found)
-        block, after = after or [], next(blocks, None)
-    every = every.groupBy(F.col(f"`{id_col}`").alias("__id"), F.col("__key").alias("__k")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matches")))).alias("__m"))
+    return every.select(F.col(f"`{id_col}`").alias("__id"), F.col("__key").alias("__k"), "matches")
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(id, matches array<struct<item, start, end>>) of every row; places in code points of the whole text."""
+    blocks = _blocks(items, item_id, item_text)
+    block, more = next(blocks, []), next(blocks, None)
+    source = _source(docs, id_col, text)
+    if more is None:
+        return _passed(source, Index(block), id_col, items.schema[item_id].dataType).drop("__key")
+    every = _finds(docs, items, id_col, text, item_id, item_text).groupBy("__id", "__k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("matches")))).alias("__m"))
     met = source.select(id_col, "__key").join(plain(every, "__k"), F.col("__key").eqNullSafe(F.col("__k")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left")
     return met.select(id_col, F.coalesce("__m", F.array()).alias("matches"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows that hold no passage of an item, with their columns; between two blocks of items the rest is written down."""
+    """The rows that hold no passage of an item, with their columns. A benchmark of one block is one filter; of a larger one
+    the contaminated rows are found block by block, their ids and hashes written down, and left out by one join."""
+    blocks = _blocks(items, item_id, item_text)
+    block, more = next(blocks, []), next(blocks, None)
+    if more is None:
+        index = Index(block)
 
-    def keeps(index: Index):
         @F.pandas_udf("boolean")
         def is_clean(t: pd.Series) -> pd.Series:
             return pd.Series([not f for f in find_all(t.tolist(), index)])
 
-        return is_clean(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-
-    for n, block in enumerate(_blocks(items, item_id, item_text)):
-        docs = (cut(docs) if n else docs).where(keeps(Index(block)))
-    return docs
+        return docs.where(is_clean(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    dirty = _finds(docs, items, id_col, text, item_id, item_text).select("__id", "__k").distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.xxhash64(f"`{text}`").alias("__key"))
+    return rows.join(plain(dirty, "__k"), F.col("__key").eqNullSafe(F.col("__k")) & F.col(f"__row.`{id_col}`").eqNullSafe(F.col("__id")), "left_anti").select("__row.*")
