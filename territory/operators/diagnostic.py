@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from territory.functions import urls
+from territory.functions import crs, urls
 from territory.functions.codes import normalize_uf_value
 from territory.functions.folders import written
 from territory.functions.wkb import wkb_bbox
@@ -87,10 +87,12 @@ def stamped(layer: DataFrame, source: Source) -> DataFrame:
     return layer.withColumn("data_extracao", F.current_date()).withColumn("fonte", F.lit(source.protocol))
 
 
-def clip_layer(layer: DataFrame, outline) -> DataFrame:
+def clip_layer(layer: DataFrame, outline, outline_crs: str | int = crs.DEFAULT) -> DataFrame:
     """Cut a layer to an outline (a ring of coordinate pairs, or parts of rings) by what its geometry is: WKB
     (``geometry``), a line (``points``), a ring (``ring``), or x and y. Small rings go into the plan as expressions; outlines
-    with many vertices, parts or holes go with a function that looks their edges up."""
+    with many vertices, parts or holes go with a function that looks their edges up. The outline is brought to the layer's
+    coordinate system, which the metadata of its geometry column names, vertex by vertex; a layer of an unknown system raises."""
+    outline = crs.project_outline(outline, outline_crs, crs.layer_crs(layer))
     parts = overlay.as_parts(outline)
     if {"xmin", "ymin", "xmax", "ymax"} <= set(layer.columns):
         (x0, y0), (x1, y1) = overlay.outline_of(parts).box
@@ -105,11 +107,12 @@ def clip_layer(layer: DataFrame, outline) -> DataFrame:
     return G.clip_points(layer, "x", "y", outline) if small else overlay.clip_points(layer, "x", "y", parts)
 
 
-def near_outline(layer: DataFrame, outline) -> DataFrame:
+def near_outline(layer: DataFrame, outline, outline_crs: str | int = crs.DEFAULT) -> DataFrame:
     """The rows of a layer of WKB whose box meets the outline's: names of municipalities are not unique across units, so what a
     server gives for a name is held against the place."""
     if "geometry" not in layer.columns:
         return layer
+    outline = crs.project_outline(outline, outline_crs, crs.layer_crs(layer))
     (x0, y0), (x1, y1) = overlay.outline_of(overlay.as_parts(outline)).box
     box = wkb_bbox(F.col("geometry"))
     return layer.withColumn("__b", box).where(F.col("__b.xmin").isNull() | G.bbox_intersects(F.col("__b"), float(x0), float(y0), float(x1), float(y1))).drop("__b")
@@ -144,7 +147,7 @@ def fetcher(
             o[cond] = "{} = '{}'".format(s.field, place["name"].replace("'", "''"))
         else:
             o["bbox"] = box
-        return decode_features(answers(s, place, o))
+        return crs.with_crs(decode_features(answers(s, place, o)), s.srs)
 
     def fetch(s: Source, place: dict) -> DataFrame:
         if s.protocol == "wfs":
@@ -160,12 +163,12 @@ def fetcher(
 
 
 def run_diagnostic(
-    spark: SparkSession, ids: Iterable[str], code_muni: int, store: LayerStore, fetch: Callable[[Source, dict], DataFrame], ring: Callable[[], G.Ring | overlay.Parts | None], name_muni: str = "", force: bool = False
+    spark: SparkSession, ids: Iterable[str], code_muni: int, store: LayerStore, fetch: Callable[[Source, dict], DataFrame], ring: Callable[[], G.Ring | overlay.Parts | None], name_muni: str = "", force: bool = False, ring_crs: str | int = crs.DEFAULT
 ) -> DataFrame:
     """Load every source that is not there yet; (source_id, status, message) of each.
 
     ``fetch`` gives a source's rows for {code, name, uf}; ``ring`` the municipality's outline (a ring, or parts
-    with holes as ``municipalities.outline`` gives them), asked for once. A source that fails stops no other.
+    with holes as ``municipalities.outline`` gives them) in the system ``ring_crs``, asked for once. A source that fails stops no other.
     """
     have, rows, outline, missing = store.layers(), [], [], []
     place = {"code": int(code_muni), "name": name_muni, "uf": normalize_uf_value(code_muni)[1]}
@@ -197,7 +200,7 @@ def run_diagnostic(
             return "failed", missing[0]
         try:
             if s.protocol == "osm":
-                links, nodes = N.build_network(layer, polygon())
+                links, nodes = N.build_network(layer, crs.project_outline(polygon(), ring_crs, crs.DEFAULT))
                 if links.isEmpty():
                     return "skipped", "empty"
                 outs = [links, nodes]
@@ -205,8 +208,8 @@ def run_diagnostic(
                 if layer.isEmpty():
                     return "skipped", "empty"
                 if s.cut == "name" and polygon() is not None:
-                    layer = near_outline(layer, polygon())
-                outs = [clip_layer(layer, polygon()) if s.clipped else layer]
+                    layer = near_outline(layer, polygon(), ring_crs)
+                outs = [clip_layer(layer, polygon(), ring_crs) if s.clipped else layer]
         except Exception as e:  # noqa: BLE001
             return "failed", f"clip_error: {e}"
         try:

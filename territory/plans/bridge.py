@@ -203,3 +203,33 @@ _WIDE, _HIGH = "greatest(0, least(x1, a1) - greatest(x0, a0))", "greatest(0, lea
 SHARED_AREA = f"SELECT vec_id, round(sum(sign * {_WIDE} * {_HIGH}), 6) AS area FROM grid_boxes, rectangles GROUP BY vec_id HAVING sum(sign * {_WIDE} * {_HIGH}) > 0"
 _SIDES = " + ".join([*(f"CASE WHEN b0 <= {y} AND {y} < b1 THEN {_WIDE} ELSE 0 END" for y in ("y0", "y1")), *(f"CASE WHEN a0 <= {x} AND {x} < a1 THEN {_HIGH} ELSE 0 END" for x in ("x0", "x1"))])
 SHARED_LENGTH = f"SELECT vec_id, round(sum(sign * ({_SIDES})), 6) AS length FROM grid_boxes, rectangles GROUP BY vec_id HAVING sum(sign * ({_SIDES})) > 0"
+
+
+# Places in two coordinate systems
+
+UTM = 31983
+WINDOW = [(-45.4, -17.0), (-44.2, -16.5), (-44.5, -12.0), (-45.6, -13.0)]
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points around 45 W 15 S, in degrees."""
+    return points(spark, sf_dir).select("vec_id", (F.col("x") * 5 - 45).alias("x"), (F.col("y") * 40 - 15).alias("y"))
+
+
+def utm_sql(source: str, name: str) -> str:
+    """CTE ``name``: the rows of ``source`` (with lon and lat in degrees) with x and y in zone 23 south, by way of the conformal
+    latitude in its closed form."""
+    n, e = "(1 / 298.257222101::DOUBLE / (2 - 1 / 298.257222101::DOUBLE))", "sqrt(1 / 298.257222101::DOUBLE * (2 - 1 / 298.257222101::DOUBLE))"
+    a = f"({n} / 2 - 2 * {n}**2 / 3 + 5 * {n}**3 / 16 + 41 * {n}**4 / 180)", f"(13 * {n}**2 / 48 - 3 * {n}**3 / 5 + 557 * {n}**4 / 1440)", f"(61 * {n}**3 / 240 - 103 * {n}**4 / 140)", f"(49561 * {n}**4 / 161280)"
+    xi = " + ".join(f"{c} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(a, 1))
+    eta = " + ".join(f"{c} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(a, 1))
+    k = f"(0.9996 * 6378137 / (1 + {n}) * (1 + {n}**2 / 4 + {n}**4 / 64))"
+    return f"""{name}_chi AS (SELECT *, 2 * atan(tan(pi() / 4 + radians(lat) / 2) * ((1 - {e} * sin(radians(lat))) / (1 + {e} * sin(radians(lat)))) ** ({e} / 2)) - pi() / 2 AS chi, radians(lon + 45) AS lam FROM {source}),
+{name}_sphere AS (SELECT * EXCLUDE (chi, lam), atan2(tan(chi), cos(lam)) AS xi, atanh(cos(chi) * sin(lam)) AS eta FROM {name}_chi),
+{name} AS (SELECT * EXCLUDE (xi, eta), 500000 + {k} * (eta + {eta}) AS x, 10000000 + {k} * (xi + {xi}) AS y FROM {name}_sphere)"""
+
+
+PLACES = "places AS (SELECT vec_id, embedding[1]::DOUBLE * 5 - 45 AS lon, embedding[2]::DOUBLE * 40 - 15 AS lat FROM embeddings)"
+WINDOW_SQL = f"""corners AS (SELECT * FROM (VALUES {', '.join(f'({i}, {x!r}::DOUBLE, {y!r}::DOUBLE)' for i, (x, y) in enumerate(WINDOW))}) v(e, lon, lat)),
+{utm_sql("corners", "flat")},
+ring AS (SELECT a.e, a.x AS cx, a.y AS cy, b.x AS dx, b.y AS dy FROM flat a JOIN flat b ON b.e = (a.e + 1) % {len(WINDOW)})"""

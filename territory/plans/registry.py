@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from territory.functions import codes, urls, wkb
+from territory.functions import codes, crs, urls, wkb
 from territory.functions.folders import scratch, written
 from territory.operators import catalog as C
 from territory.operators import census as J
@@ -335,6 +335,24 @@ def _wkb_areas(layer: DataFrame) -> DataFrame:
     return cut.select("vec_id", F.round(area, 6).alias("area"))
 
 
+@query("SELECT vec_id, round(x, 3) AS x, round(y, 3) AS y FROM flat_places", B.PLACES, B.utm_sql("places", "flat_places"))
+def project_points(spark, d):
+    """Degrees to metres of a UTM zone."""
+    return crs.reproject(B.places(spark, d), B.UTM).select("vec_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query("SELECT vec_id, round(lon, 7) AS x, round(lat, 7) AS y FROM places", B.PLACES)
+def project_points_back(spark, d):
+    """Metres of a zone beside, to degrees."""
+    return crs.reproject(crs.reproject(B.places(spark, d), B.UTM - 1), crs.DEFAULT).select("vec_id", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
+
+
+@query(f"SELECT vec_id FROM flat_places p WHERE {B.inside_sql('p.x', 'p.y')}", B.PLACES, B.utm_sql("places", "flat_places"), B.WINDOW_SQL)
+def clip_other_crs(spark, d):
+    """A layer in metres, clipped by an outline in degrees."""
+    return D.clip_layer(crs.reproject(B.places(spark, d), B.UTM), B.WINDOW).select("vec_id")
+
+
 @query(B.SHARED_AREA, B.GRID_BOXES, B.rectangles_sql(B.L_SHAPE))
 def clip_shared_polygons(spark, d):
     """Boxes and an outline whose edges coincide in part."""

@@ -35,17 +35,44 @@ def geometry_of(names: list[str], geo_metadata: str | bytes | None) -> tuple[str
     return column, int(code) if code is not None else DEFAULT_CRS
 
 
+def parquet_metadata(spark: SparkSession, path: str, key: str = "geo") -> str | None:
+    """A text of the key-value metadata of a Parquet file, or of the first file of a folder, in any store that Spark reads:
+    the footer alone is read, by its place at the file's end."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((str(s.getPath()), s.getLen()) for s in (fs.globStatus(at) or ()) if s.isFile()) or []
+    if not files:
+        found = fs.listFiles(at, True)
+        while found.hasNext():
+            s = found.next()
+            name = s.getPath().getName()
+            if name.endswith(".parquet") and not name.startswith(("_", ".")):
+                files.append((str(s.getPath()), s.getLen()))
+    if not files:
+        return None
+    name, size = min(files)
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(name))
+    try:
+        read = lambda start, n: (stream.seek(start), bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, n)))[1]
+        tail = read(size - 8, 8)
+        n = int.from_bytes(tail[:4], "little")
+        footer = read(size - 8 - n, n)
+    finally:
+        stream.close()
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    text = (pq.read_metadata(pa.BufferReader(b"PAR1" + footer + tail)).metadata or {}).get(key.encode())
+    return text.decode() if text is not None else None
+
+
 def read_geoparquet(spark: SparkSession, path: str, footer: str | None = None) -> DataFrame:
     """A layer with its geometry as WKB in ``geometry``, the CRS in the column's metadata. ``footer`` is the ``geo`` text
-    where the caller has it; a local file's own is read."""
+    where the caller has it; else one file's own is read, in whatever store it is."""
     df = spark.read.parquet(path)
-    if footer is None and "://" not in path:
-        import os
-
-        import pyarrow.parquet as pq
-
-        one = path if os.path.isfile(path) else next((os.path.join(path, n) for n in sorted(os.listdir(path)) if n.endswith(".parquet")), None)
-        footer = (pq.read_schema(one).metadata or {}).get(b"geo") if one else None
+    if footer is None:
+        footer = parquet_metadata(spark, path)
     column, code = geometry_of(df.columns, footer)
     if column is None:
         return df
