@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,47 +33,93 @@ def report(states: DataFrame) -> DataFrame:
 
 
 class LayerStore:
-    """One parquet table a layer below a folder, read and written through Spark's file systems."""
+    """Layers below a folder, read and written through Spark's file systems, in versions that come into being at once.
+
+    A version is a folder of Parquet files of its own (``data-...``); it counts once an empty marker with its number stands below
+    ``_versions``, which is created after the last file. Readers take the version of the highest marker, so they see a
+    whole layer or the one before, whatever becomes of a run that writes; nothing is renamed or written over. Of two runs
+    that write at once both stand, and the higher marker counts. Each write leaves ``KEEP`` versions, for readers that are on
+    their way; folders without a marker are left for ``vacuum``.
+    """
+
+    KEEP = 2
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        #: Payloads whose server failed in this run, so that older answers stood in: why.
+        self.stale: dict[str, str] = {}
 
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
-    def layers(self) -> set[str]:
-        """Names of the layers that were written to the end."""
+    def _fs(self):
         top = self._path()
-        fs = top.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(top):
-            return set()
-        names = (s.getPath().getName() for s in fs.listStatus(top))
-        return {n for n in names if n != "_raw" and fs.exists(self._path(n, "_SUCCESS"))}
+        return top.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, *parts: str) -> list[str]:
+        fs, at = self._fs(), self._path(*parts)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def versions(self, name: str) -> list[tuple[int, str]]:
+        """(number, folder) of every whole version, the newest last."""
+        return [(int(n[:12]), f"{self.root}/{name}/data-{n[13:]}") for n in self._names(*name.split("/"), "_versions") if n[:12].isdigit()]
+
+    def layers(self) -> set[str]:
+        """Names of the layers that have a whole version."""
+        return {n for n in self._names() if n != "_raw" and self.versions(n)}
+
+    def _write(self, name: str, rows: DataFrame) -> None:
+        mark = uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/{name}/data-{mark}")
+        number = max((n for n, _ in self.versions(name)), default=0) + 1
+        self._fs().create(self._path(name, "_versions", f"{number:012d}-{mark}"), False).close()
+        for _, folder in self.versions(name)[: -self.KEEP]:
+            self._drop(name, folder)
+
+    def _drop(self, name: str, folder: str) -> None:
+        """Take a version away, its marker first."""
+        fs, mark = self._fs(), folder.rpartition("data-")[2]
+        for n in self._names(*name.split("/"), "_versions"):
+            if n.endswith(mark):
+                fs.delete(self._path(name, "_versions", n), False)
+        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(folder), True)
+
+    def vacuum(self, name: str) -> int:
+        """Delete all but the newest version and what broken runs left; how many folders. For times when no run writes."""
+        whole = [folder for _, folder in self.versions(name)]
+        left = [f"{self.root}/{name}/{n}" for n in self._names(*name.split("/")) if n.startswith("data-")]
+        gone = [f for f in left if f not in whole[-1:]]
+        for folder in gone:
+            self._drop(name, folder)
+        return len(gone)
 
     def write(self, name: str, layer: DataFrame) -> None:
         if not re.fullmatch(r"[\w.-]+", name):
             raise ValueError(f"no layer name: {name!r}")
-        layer.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        self._write(name, layer)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        whole = self.versions(name)
+        if not whole:
+            raise ValueError(f"no layer: {name!r}")
+        return self.spark.read.parquet(whole[-1][1])
 
     def payloads(self, key: str, ask: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
         """A source's raw answers: those written down below ``_raw`` if there are any, else (or with ``refresh``) what ``ask``
-        gives, written first. If asking fails, older ones do."""
+        gives, written first. If asking fails, older ones do, and ``stale`` says why."""
         if not re.fullmatch(r"[\w.-]+", key):
             raise ValueError(f"no payload name: {key!r}")
-        path = f"{self.root}/_raw/{key}"
-        at = self._path("_raw", key, "_SUCCESS")
-        have = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        name = f"_raw/{key}"
+        have = bool(self.versions(name))
         if not have or refresh:
             try:
-                rows = written(ask())  # an older copy stays until the new one is whole
-                rows.write.mode("overwrite").parquet(path)
-            except Exception:  # noqa: BLE001
+                self._write(name, ask())
+                self.stale.pop(key, None)
+            except Exception as e:  # noqa: BLE001
                 if not have:
                     raise
-        return self.spark.read.parquet(path)
+                self.stale[key] = str(e).splitlines()[0] if str(e) else type(e).__name__
+        return self.read(name)
 
     def register_views(self) -> list[str]:
         """Every layer as a temporary view of its name."""
@@ -196,6 +243,7 @@ def run_diagnostic(
             layer = fetch(s, place)
         except Exception as e:  # noqa: BLE001  told in the report
             return "failed", f"fetch_error: {e}"
+        told = store.stale.get(f"{s.id}_{code_muni}")
         if s.clipped and polygon() is None:
             return "failed", missing[0]
         try:
@@ -219,7 +267,7 @@ def run_diagnostic(
             return "failed", f"write_error: {e}"
         if store.read(names[0]).isEmpty():
             return "skipped", "empty_after_clip"
-        return "ok", None
+        return "ok", f"older_answers: {told}" if told else None
 
     for s in by_id(ids):
         rows.append((s.id, *one(s)))

@@ -162,7 +162,7 @@ class ArcGis(_Features):
 
 
 class Overpass(DataSource):
-    """Elements of a payload at ``path``, or of a query posted to ``endpoint``; a payload that is no JSON has none."""
+    """Elements of a payload at ``path``, or of a query posted to ``endpoint``; an answer that is no payload, or tells of an error, fails."""
 
     @classmethod
     def name(cls) -> str:
@@ -182,15 +182,26 @@ def overpass_body(o: dict) -> tuple[str, bytes]:
     return o["endpoint"], fetch(o["endpoint"], urllib.parse.urlencode({"data": o["query"]}).encode())
 
 
+def overpass_elements(body: bytes | str) -> list[dict]:
+    """The elements of an answer; an answer that is none, or that tells of an error of the server, raises."""
+    text = body if isinstance(body, str) else body.decode("utf-8", "replace")
+    try:
+        got = json.loads(text)
+    except ValueError:
+        raise ValueError(f"no map payload: {text[:200]!r}") from None
+    if not isinstance(got, dict) or "elements" not in got:
+        raise ValueError(f"no map payload: {text[:200]!r}")
+    if "error" in str(got.get("remark", "")).lower():
+        raise ValueError(f"the server gave up: {got['remark']}")
+    return got["elements"] or []
+
+
 class OverpassReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
 
     def read(self, partition) -> Iterator[tuple]:
-        try:
-            got = json.loads(overpass_body(self.options)[1]).get("elements") or []
-        except (ValueError, AttributeError):
-            got = []
+        got = overpass_elements(overpass_body(self.options)[1])
         num = lambda v: None if v is None else float(v)
         for pos, e in enumerate(got):
             yield e.get("type"), e.get("id"), num(e.get("lat")), num(e.get("lon")), e.get("nodes"), {k: str(v) for k, v in e["tags"].items()} if e.get("tags") is not None else None, pos
@@ -226,6 +237,7 @@ class PayloadReader(DataSourceReader):
         source = self._source()
         if source is None:
             url, body = overpass_body(self.options)
+            overpass_elements(body)  # an error page is not written down
             yield 0, url, body.decode()
             return
         for at, url, body in source.bodies(partition):

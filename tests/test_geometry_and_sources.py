@@ -167,7 +167,8 @@ def test_remote_sources(spark, server, tmp_path):
     op = spark.read.format("overpass").options(endpoint=f"{base}/api", query="x").load()
     assert op.collect()[0][:4] == ("node", 1, 1.0, 2.0)
     (tmp_path / "bad.json").write_text("not json")
-    assert spark.read.format("overpass").load(str(tmp_path / "bad.json")).count() == 0
+    with pytest.raises(Exception, match="no map payload"):
+        spark.read.format("overpass").load(str(tmp_path / "bad.json")).count()
     (tmp_path / "f.json").write_text(json.dumps({"features": [{"properties": {"a": None, "b": [1]}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}}, {"properties": {"a": 1}, "geometry": None}]}))
     got = spark.read.format("geojson").load(str(tmp_path / "f.json")).select("a", "b", wkb.wkb_decode(F.col("geometry")).alias("g")).collect()
     assert (got[0].a, got[0].b, got[0].g.kind, got[1].a, got[1].g.kind) == (None, "[1]", "Polygon", 1, None)
