@@ -1,9 +1,11 @@
 """Op 2. HTML extraction by tag-path ratios.
 
 One pass over the page keeps the stack of open elements. A tag path goes from the root to the element that holds a text
-node; a step is the tag, for containers with its id or class. Menus, headers, footers, sidebars, notices, adverts, forms,
-comments, hidden and raw elements are boilerplate by tag, role, class or id, and their text takes no part. For every other
-path the text's length and punctuation are summed over its text nodes. The score of every page's every path is made so:
+node; a step is the tag, for containers with its id or class. Menus, footers, sidebars, hidden and raw elements are boilerplate
+by tag, and their text takes no part. Forms, and elements that a role, class or id calls a menu, header, sidebar, notice,
+advert or comment, are marked so; a mark holds unless the page's content is below it (``Marks``: a main element, an article,
+or half of the page's weight), as it is where a wrapper tells of its layout; classes like ``has-sidebar`` mark nothing. Text
+below marks that hold takes no part. For every other path the text's length and punctuation are summed over its text nodes. The score of every page's every path is made so:
 
 1. ratios: characters a node and punctuation marks a node;
 2. smoothing: both over the paths next to it in the page (Gaussian weights, ``REACH`` to each side);
@@ -47,13 +49,19 @@ BLOCKS = set(
     "search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-BOILER = set("nav footer aside form head script style noscript template iframe svg math canvas object select option button textarea menu dialog audio video search title".split())
+BOILER = set("nav footer aside head script style noscript template iframe svg math canvas object select option button textarea menu dialog audio video search title".split())
 BOILER_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu footer sidebar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "signup login share sharing social related recommended recommendations comment comments commentlist respond reply replies disqus breadcrumb breadcrumbs pagination pager widget widgets toolbar masthead topbar disclaimer".split()
 )
 #: Of these, the ones that make an article element boilerplate.
 ARTICLE_BOILER = {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "sponsored", "promo", "related", "recommended"}
+#: Marks by these words hold whatever the weight below them: readers write a lot.
+STRONG_WORDS = ARTICLE_BOILER | {"commentlist", "respond", "disqus", "adverts", "advertisement", "adsense", "share", "sharing", "newsletter", "cookie", "cookies", "consent", "gdpr", "recommendations"}
+#: Words that a section of an article may be about, as its id tells: its ratios decide then.
+TOPIC_WORDS = set("notice notices alert widget widgets banner disclaimer menu navigation overlay popup modal toolbar social login promotion subscription advertising".split())
+#: A class that begins so tells what stands beside or around an element, not what it is.
+BESIDE_WORDS = {"has", "have", "no", "not", "with", "without", "show", "hide", "is", "enable", "disable"}
 #: Words that say nothing beside boilerplate's: with these alone a class is boilerplate for sure.
 NEUTRAL_WORDS = set(
     "list lists box boxes container wrapper wrap section sections area block blocks bar links link posts post articles items item site page top bottom left right inner outer holder panel unit units slot slots form thread "
@@ -61,6 +69,8 @@ NEUTRAL_WORDS = set(
     "google media inline".split()
 )
 BOILER_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Elements beyond which an inline closing tag closes nothing.
+_BOUNDS = {"article", "main", "body"}
 #: Elements that a new one of the same group closes, as browsers do.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -76,12 +86,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Tags that can be a content root, whose class or id is part of the path.
 CONTAINERS = set("article center div dl main ol section table tbody td tr ul blockquote details fieldset figure".split())
 
-_CLEAR, _SUSPECT, _BOILER = 0, 1, 2
+_CLEAR, _SUSPECT, _SOFT, _BOILER = 0, 1, 2, 3
 
 
 class _Open(NamedTuple):
-    """What stands on the stack: path is a number of ``Paths``, boiler one of the three above, article 2 inside an article
-    element and 1 inside another mark of the article."""
+    """What stands on the stack: path is a number of ``Paths``, boiler one of the four above, article 2 inside an article
+    element and 1 inside another mark of the article, mark a number of ``Marks``."""
 
     tag: str
     path: int
@@ -89,6 +99,41 @@ class _Open(NamedTuple):
     article: int
     header: bool
     heading: bool
+    mark: int
+
+
+class Marks:
+    """Elements that a class, an id, a role or a form marks as boilerplate or as a header. A mark does not hold where the page's
+    content is below it: where a main element is, or, unless its words are strong, an article or half of the page's weight
+    (characters that are not below a strong mark). Number 0 is no mark."""
+
+    def __init__(self) -> None:
+        self.parent, self.header, self.strong = [0], [False], [False]
+        self.main, self.article, self.weight = [False], [False], [0]
+
+    def add(self, parent: int, header: bool, strong: bool) -> int:
+        for of, x in ((self.parent, parent), (self.header, header), (self.strong, strong), (self.main, False), (self.article, False), (self.weight, 0)):
+            of.append(x)
+        return len(self.parent) - 1
+
+    def held(self) -> tuple[list[bool], list[bool]]:
+        """By number: is there a mark of boilerplate, and one of a header, that holds, there or around it?"""
+        n = len(self.parent)
+        below_strong = list(self.strong)
+        for m in range(1, n):
+            below_strong[m] = below_strong[m] or below_strong[self.parent[m]]
+        for m in range(n - 1, 0, -1):  # a mark's number is larger than its parent's
+            p = self.parent[m]
+            self.main[p] = self.main[p] or self.main[m]
+            if not self.strong[m]:
+                self.article[p] = self.article[p] or self.article[m]
+                self.weight[p] += self.weight[m]
+        boiler, header = [False] * n, [False] * n
+        for m in range(1, n):
+            around = self.main[m] or not self.strong[m] and (self.article[m] or not below_strong[m] and self.weight[m] >= SHARE * self.weight[0] > 0)
+            boiler[m] = boiler[self.parent[m]] or not around and not self.header[m]
+            header[m] = header[self.parent[m]] or not around and self.header[m]
+        return boiler, header
 
 
 class Paths:
@@ -106,50 +151,118 @@ class Paths:
         return at
 
 
-def _named(values: list[str]) -> int:
-    """Whether classes and ids name boilerplate: for sure if one has no word of its own beside it."""
-    found = _CLEAR
+def _words(value: str) -> set[str]:
+    return {w.lower() for w in _WORD.findall(value) if not w.isdigit()}
+
+
+def _named(values: list[str]) -> tuple[int, set[str]]:
+    """Whether classes and ids name boilerplate, softly (other marks of the page can overrule it) if one has no word of its own
+    beside it; and the words of boilerplate among them."""
+    found, said = _CLEAR, set()
     for token in " ".join(values).split():
-        words = {w.lower() for w in _WORD.findall(token) if not w.isdigit()}
+        first = _WORD.match(token)
+        words = _words(token)
+        if first and first[0].lower() in BESIDE_WORDS:
+            continue
         if own := words & BOILER_WORDS:
-            if words - own <= NEUTRAL_WORDS:
-                return _BOILER
-            found = _SUSPECT
-    return found
+            said |= own
+            found = max(found, _SOFT if words - own <= NEUTRAL_WORDS else _SUSPECT)
+    return found, said
 
 
-def _opened(tag: str, attrs: str, inside: _Open, paths: Paths) -> _Open:
-    boiler, article, header = inside.boiler, inside.article, inside.header
-    plain, names, marked = tag in ("html", "body"), [], tag in ("article", "main")
+def _opened(tag: str, attrs: str, inside: _Open, paths: Paths, marks: Marks) -> _Open:
+    boiler, article, mark = inside.boiler, inside.article, inside.mark
+    plain, names, marked, soft, said, ids = tag in ("html", "body"), [], tag in ("article", "main"), tag == "form", set(), False
     if boiler < _BOILER and tag in BOILER:
         boiler = _BOILER
+    header = False
     if boiler < _BOILER and attrs and not attrs.isspace():
+        classes = False
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id"):
                 names.append(value)
+                classes, ids = classes or name == "class", ids or name == "id"
             elif name == "role" and (role := value.strip().lower()) and not plain:
                 marked = marked or role in ("main", "article")
-                if role in BOILER_ROLES:
-                    boiler = _BOILER
+                soft = soft or role in BOILER_ROLES
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
                 boiler = _BOILER
         if names and not plain and tag != "main":
             # an article may be called after its place or its topic, if it isn't called a comment or an advert
-            named = _named(names)
-            if tag != "article" or {w.lower() for v in names for w in _WORD.findall(v)} & ARTICLE_BOILER:
-                boiler = max(boiler, named)
+            named, said = _named(names)
+            if tag == "article" and not said & ARTICLE_BOILER:
+                named, said = _CLEAR, set()
+            if named == _SOFT and ids and not classes and article and tag in ("section", "p", "div") and said <= TOPIC_WORDS:
+                named = _SUSPECT
+            soft = soft or named == _SOFT
+            boiler = max(boiler, _SUSPECT) if named == _SUSPECT else boiler
+            header = tag not in HEADINGS and any("header" in _words(t) and (m := _WORD.match(t)) and m[0].lower() not in BESIDE_WORDS for v in names for t in v.split())
     if tag == "article" and article == 2:
         boiler = _BOILER  # an article inside an article is a comment on it
+    if boiler < _BOILER:
+        if soft or header:
+            mark = marks.add(mark, header and not soft, bool(said & STRONG_WORDS))
+        if tag == "main" or marked and tag != "article":
+            marks.main[mark] = True
+        elif tag == "article" and not said:
+            marks.article[mark] = True
     heading = inside.heading or tag in HEADINGS
-    words = {w.lower() for v in names for w in _WORD.findall(v)} if names and tag not in HEADINGS and not plain else ()
     path = paths.step(inside.path, tag, " ".join(names) if tag in CONTAINERS else "") if boiler < _BOILER else inside.path
-    return _Open(tag, path, boiler, max(article, 2 if tag == "article" else int(marked)), header or tag == "header" or "header" in words, heading)
+    return _Open(tag, path, boiler, max(article, 2 if tag == "article" else int(marked)), inside.header or tag == "header", heading, mark)
 
 
-def chunks(page: str, paths: Paths) -> Iterator[tuple[_Open | None, str]]:
+class _Stack:
+    """The open elements, and where each tag, each block and each boundary stands among them, so that a tag asks for no more
+    than what it closes."""
+
+    def __init__(self) -> None:
+        self.open: list[_Open] = [_Open("", 0, _CLEAR, 0, False, False, 0)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.bounds: list[int] = []
+
+    def push(self, el: _Open) -> None:
+        i = len(self.open)
+        self.at.setdefault(el.tag, []).append(i)
+        if el.tag in BLOCKS:
+            self.blocks.append(i)
+        if el.tag in _BOUNDS:
+            self.bounds.append(i)
+        self.open.append(el)
+
+    def cut(self, i: int) -> None:
+        """Close all from the i-th on."""
+        for el in self.open[i:]:
+            self.at[el.tag].pop()
+        for of in (self.blocks, self.bounds):
+            while of and of[-1] >= i:
+                of.pop()
+        del self.open[i:]
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def close(self, tag: str) -> None:
+        """A closing tag: what no open element has closes nothing, and an inline one nothing beyond its article."""
+        i = self.last((tag,))
+        if i and (tag in BLOCKS or not self.bounds or self.bounds[-1] <= i):
+            self.cut(i)
+
+    def make_room(self, tag: str) -> None:
+        """What a new element closes: a block an open paragraph, an item the one before."""
+        if tag in BLOCKS and self.blocks and self.open[self.blocks[-1]].tag == "p":
+            self.cut(self.blocks[-1])
+        while tag in _CLOSES and (i := self.last(_CLOSES[tag])) > self.last(_STOPS[tag]):
+            self.cut(i)
+            if tag != "tr":
+                break
+
+
+def chunks(page: str, paths: Paths, marks: Marks) -> Iterator[tuple[_Open | None, str]]:
     """The page's text nodes with the innermost open element; (None, "") where a block begins or ends."""
-    stack: list[_Open] = [_Open("", 0, _CLEAR, 0, False, False)]
+    elements = _Stack()
+    stack, unclosed = elements.open, set()
     lower, pos, n, quotes = None, 0, len(page), True
     while pos < n:
         lt = page.find("<", pos)
@@ -188,29 +301,11 @@ def chunks(page: str, paths: Paths) -> Iterator[tuple[_Open | None, str]]:
                 yield None, ""
             if tag == "br":
                 yield stack[-1], " "
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "main", "body") and tag not in BLOCKS:
-                    break
+            elements.close(tag)
             continue
         if tag in BLOCKS:
             yield None, ""
-            for i in range(len(stack) - 1, 0, -1):  # a block closes an open paragraph
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
-        if tag in _CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in _CLOSES[tag]:
-                    del stack[i:]
-                    if tag != "tr":
-                        break
-                elif stack[i][0] in _STOPS[tag]:
-                    break
+        elements.make_room(tag)
         attrs = page[name.end() : end - 1]
         if tag in VOID:
             if tag == "br":
@@ -219,8 +314,9 @@ def chunks(page: str, paths: Paths) -> Iterator[tuple[_Open | None, str]]:
         if tag in RAW:
             if lower is None:
                 lower = page.lower() if page.isascii() else page.translate(_ASCII_LOWER)
-            close = lower.find(f"</{tag}", end)
+            close = -1 if tag in unclosed else lower.find(f"</{tag}", end)
             if close < 0:
+                unclosed.add(tag)
                 if tag in ("svg", "math", "template", "noscript"):
                     continue
                 return
@@ -229,7 +325,7 @@ def chunks(page: str, paths: Paths) -> Iterator[tuple[_Open | None, str]]:
             continue
         if attrs.endswith("/") and tag not in BLOCKS:
             continue
-        stack.append(_opened(tag, attrs, stack[-1], paths))
+        elements.push(_opened(tag, attrs, stack[-1], paths, marks))
 
 
 _ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -298,16 +394,24 @@ def extract(page: str | None) -> str:
     nodes: list[tuple[tuple[int, bool, bool] | None, str]] = []
     sums: dict[tuple[int, bool, bool], list[int]] = {}
     headings: set[tuple[int, bool, bool]] = set()
-    paths = Paths()
-    for el, raw in chunks(page, paths):
+    paths, marks, met = Paths(), Marks(), []
+    for el, raw in chunks(page, paths, marks):
+        if el is None or el.boiler < _BOILER and not (el.header and (not el.heading or not el.article)):
+            text = _html.unescape(raw) if "&" in raw else raw
+            met.append((el, text))
+            if el is not None:
+                marks.weight[el.mark] += len(text.strip())
+        elif el.boiler < _BOILER and not raw.strip() and el.heading:
+            met.append((el, raw))
+    boiler, header = marks.held()
+    for el, text in met:
         if el is None:
             if nodes and nodes[-1][0] is not None:
                 nodes.append((None, ""))
             continue
-        if el.boiler == _BOILER or el.header and not el.heading:
+        if boiler[el.mark] or header[el.mark] and not el.heading:
             continue
-        text = _html.unescape(raw) if "&" in raw else raw
-        if el.header and not el.article and text.strip():
+        if header[el.mark] and not el.article and text.strip():
             continue  # the heading of the site's own header
         key = el.path, el.article > 0, el.boiler == _SUSPECT
         nodes.append((key, text))
