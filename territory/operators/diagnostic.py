@@ -14,8 +14,8 @@ from territory.functions.codes import normalize_uf_value
 from territory.functions.folders import written
 from territory.functions.wkb import wkb_bbox
 from territory.operators import geometry as G
+from territory.operators import layout, overlay
 from territory.operators import network as N
-from territory.operators import overlay
 from territory.operators.municipalities import in_box
 from territory.operators.reader import read_geo
 from territory.plans.sources import PROTOCOLS, Source, by_id
@@ -93,16 +93,19 @@ class LayerStore:
             self._drop(name, folder)
         return len(gone)
 
-    def write(self, name: str, layer: DataFrame) -> None:
+    def write(self, name: str, layer: DataFrame, by_place: bool = False) -> None:
+        """A new version of a layer; ``by_place`` lays it out along a curve, with boxes, for ``read(name, box)``."""
         if not re.fullmatch(r"[\w.-]+", name):
             raise ValueError(f"no layer name: {name!r}")
-        self._write(name, layer)
+        self._write(name, layout.by_place(layer) if by_place else layer)
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+        """A layer's newest whole version; with a box, of a layer written by place the rows whose box meets it."""
         whole = self.versions(name)
         if not whole:
             raise ValueError(f"no layer: {name!r}")
-        return self.spark.read.parquet(whole[-1][1])
+        rows = self.spark.read.parquet(whole[-1][1])
+        return layout.in_box(rows, *box) if box else rows
 
     def payloads(self, key: str, ask: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
         """A source's raw answers: those written down below ``_raw`` if there are any, else (or with ``refresh``) what ``ask``

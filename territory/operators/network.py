@@ -56,9 +56,23 @@ def dense_ids(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return dealt.withColumn("__p", part).join(F.broadcast(shift), "__p").withColumn(name, (place + F.coalesce("before", F.lit(0))).cast("bigint")).drop("__p", "__m", "before")
 
 
-def build_network(elements: DataFrame, ring=None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+def extend_ids(known: DataFrame | None, ends: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The known ids and, after them, those of the rows of ``ends`` that have none yet: an id once given stays, and together
+    they are dense. Ends that are known move only to the join that leaves them out; new ones are numbered as ``dense_ids`` does.
+
+    ``known`` has the columns and ``name``, ids from 0 without a gap; None stands for an empty one.
+    """
+    if known is None:
+        return dense_ids(ends.select(*columns).distinct(), columns, name).select(*columns, name)
+    first = known.agg(F.coalesce(F.max(name) + 1, F.lit(0))).first()[0]
+    new = ends.select(*columns).distinct().join(known.select(*columns), columns, "left_anti")
+    numbered = dense_ids(new, columns, name).select(*columns, (F.col(name) + first).alias(name))
+    return known.select(*columns, name).unionAll(numbered)
+
+
+def build_network(elements: DataFrame, ring=None, order: str | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, nodes) of a payload's elements, links cut to an outline (a ring, or parts of rings) if there is one; nodes are
-    the distinct ends, numbered."""
+    the distinct ends, numbered; with ``known`` nodes, these and the new ends after them."""
     from territory.operators import geometry as G
     from territory.operators import overlay
 
@@ -68,7 +82,9 @@ def build_network(elements: DataFrame, ring=None, order: str | None = None) -> t
     else:
         drawn = G.clip_lines(drawn, "points", ring) if G.is_small_ring(ring) else overlay.clip_lines(drawn, "points", overlay.as_parts(ring))
     out = drawn.select("way_id", "highway", "name", "oneway", "parts")
-    return out, dense_ids(G.endpoints(out, "parts"), ["x", "y"], "node_id").select("node_id", "x", "y")
+    ends = G.endpoints(out, "parts")
+    nodes = dense_ids(ends, ["x", "y"], "node_id") if known is None else extend_ids(known, ends, ["x", "y"], "node_id")
+    return out, nodes.select("node_id", "x", "y")
 
 
 def network_stats(elements: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:

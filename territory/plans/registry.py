@@ -264,6 +264,17 @@ def osm_node_ids(spark, d):
     return N.build_network(B.elements(spark, d))[1]
 
 
+_FIRST_ENDS = "first_ends AS (SELECT DISTINCT x, y FROM (SELECT x0 AS x, y0 AS y FROM osm_links WHERE way_id % 2 = 0 UNION ALL SELECT x1, y1 FROM osm_links WHERE way_id % 2 = 0))"
+
+
+@query("SELECT (row_number() OVER (ORDER BY f.x IS NULL, e.x, e.y) - 1)::BIGINT AS node_id, e.x, e.y FROM osm_ends e LEFT JOIN first_ends f ON e.x = f.x AND e.y = f.y", B.NETWORK, _FIRST_ENDS)
+def osm_stable_ids(spark, d):
+    """Two payloads of the same roads, the first with every other one: its ends keep their ids in the second."""
+    every = B.elements(spark, d)
+    _, known = N.build_network(every.where("type = 'node' or id % 2 = 0"))
+    return N.build_network(every, known=written(known))[1]
+
+
 # Geometry
 
 
@@ -421,10 +432,10 @@ def arcgis_urls(spark, d):
     return m.select("code_muni", urls.arcgis_url(F.lit("https://y.example.org/MapServer/"), F.col("code_muni") % 9, F.lit("EPSG:4674"), where, box).alias("url"))
 
 
-@query("SELECT code_muni, '[out:json][timeout:' || greatest(10, least(600, custkey))::VARCHAR || '];(way[\"highway\"](' || code_region::VARCHAR || ',' || code_state::VARCHAR || ',3,' || custkey::VARCHAR || ');>;);out body;' AS ql FROM municipalities WHERE custkey > 0", B.MUNICIPALITIES)
+@query("SELECT code_muni, '[out:json][timeout:' || greatest(10, least(600, custkey + 1))::VARCHAR || '];(way[\"highway\"](' || code_region::VARCHAR || ',' || code_state::VARCHAR || ',3,' || custkey::VARCHAR || ');>;);out body;' AS ql FROM municipalities", B.MUNICIPALITIES)
 def overpass_ql(spark, d):
-    m = B.municipalities(spark, d).where("custkey > 0")
-    return m.select("code_muni", urls.overpass_query(F.col("code_state"), F.col("code_region"), F.col("custkey"), F.lit(3), F.col("custkey").cast("int")).alias("ql"))
+    m = B.municipalities(spark, d)
+    return m.select("code_muni", urls.overpass_query(F.col("code_state"), F.col("code_region"), F.col("custkey"), F.lit(3), (F.col("custkey") + 1).cast("int")).alias("ql"))
 
 
 @query("SELECT code_muni, CASE WHEN custkey % 3 = 0 THEN 'cod = ' || code_muni::VARCHAR WHEN custkey % 3 = 1 THEN 'municipio = ''' || replace(replace(name_muni, '#', ''''), '''', '''''') || '''' END AS filter FROM municipalities", B.MUNICIPALITIES)
@@ -451,10 +462,19 @@ def _sources_sql() -> str:
     return f"sources(pos, id, axis, name, protocol, cut, axis_pos) AS (VALUES {rows})"
 
 
-@query("SELECT axis, axis_pos, string_agg(id, ',' ORDER BY pos) AS ids, count(*)::BIGINT AS n FROM sources GROUP BY axis, axis_pos ORDER BY axis_pos", _sources_sql())
+def _asked(spark, d) -> DataFrame:
+    """A row an event: the source it asks for, by its place in the registry."""
+    at = (F.col("event_id") % len(S.SOURCES)).cast("int").alias("pos")
+    return B.read(spark, d, "events").select("event_id", at).join(F.broadcast(S.table(spark)), "pos")
+
+
+_ASKED = f"asked AS (SELECT event_id, s.* FROM events JOIN sources s ON event_id % {len(S.SOURCES)} = pos)"
+
+
+@query("SELECT axis, axis_pos, string_agg(DISTINCT id, ',' ORDER BY id) AS ids, count(*)::BIGINT AS n FROM asked GROUP BY axis, axis_pos", _sources_sql(), _ASKED)
 def sources_by_axis(spark, d):
-    t = S.table(spark).groupBy("axis", "axis_pos").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"), F.count("*").alias("n"))
-    return t.select("axis", "axis_pos", F.array_join(F.transform("s", lambda x: x["id"]), ",").alias("ids"), "n").orderBy("axis_pos")
+    """What was asked for, by axis: the sources and how often."""
+    return _asked(spark, d).groupBy("axis", "axis_pos").agg(F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids"), F.count("*").alias("n"))
 
 
 @query("SELECT id || '_' || code_muni::VARCHAR AS layer, name || ' - ' || name_muni AS title FROM sources, municipalities WHERE protocol <> 'basemap'", B.MUNICIPALITIES, _sources_sql())
@@ -606,40 +626,43 @@ def osm_network_stats(spark, d):
 _AXES = ", ".join(f"('{k}', '{v}')" for k, v in S.AXIS_TITLES.items())
 
 
-@query("SELECT DISTINCT s.axis, coalesce(t.title, upper(substr(s.axis, 1, 1)) || lower(substr(s.axis, 2))) AS label FROM sources s LEFT JOIN titles t USING (axis)", _sources_sql(), f"titles(axis, title) AS (VALUES {_AXES})")
+@query("SELECT a.axis, coalesce(t.title, upper(substr(a.axis, 1, 1)) || lower(substr(a.axis, 2))) AS label, count(*)::BIGINT AS n FROM asked a LEFT JOIN titles t USING (axis) GROUP BY ALL", _sources_sql(), _ASKED, f"titles(axis, title) AS (VALUES {_AXES})")
 def axis_labels(spark, d):
-    return S.table(spark).select("axis", S.axis_label(F.col("axis")).alias("label")).distinct()
+    return _asked(spark, d).groupBy("axis").agg(F.count("*").alias("n")).select("axis", S.axis_label(F.col("axis")).alias("label"), "n")
 
 
 _UNITS27 = ", ".join(f"({c}, '{a}', '{n}')" for c, a, n in codes.UF)
 
 
-@query("SELECT code_state, abbrev_state, name_state, abbrev_state || ' - ' || name_state AS label FROM units27", f"units27(code_state, abbrev_state, name_state) AS (VALUES {_UNITS27})")
+@query("SELECT u.code_state, u.abbrev_state, name_state, u.abbrev_state || ' - ' || name_state AS label, count(*)::BIGINT AS n FROM municipalities m JOIN units27 u ON u.code_state = m.code_state GROUP BY ALL", B.MUNICIPALITIES, f"units27(code_state, abbrev_state, name_state) AS (VALUES {_UNITS27})")
 def unit_labels(spark, d):
-    return codes.uf_dimension(spark)
+    """The labels of the units that have municipalities, and how many."""
+    n = B.municipalities(spark, d).groupBy(F.col("code_state").cast("int").alias("code_state")).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(codes.uf_dimension(spark)), "code_state").select("code_state", "abbrev_state", "name_state", "label", "n")
 
 
 #: Sources of the diagnostic below, each with the labels of the points that stand for its rows.
 _DIAGNOSED = (("dnit_snv", "label % 3 = 0"), ("sgb_rios", "label % 3 = 1"), ("sgb_bacias", "label < 0"), ("sicar_imoveis", "label % 3 = 2"), ("icmbio_uc", "label = -1 OR x > 1e9"))
 
 
-def _diagnosed(spark: SparkSession, d: str) -> tuple[DataFrame, D.LayerStore]:
+def _diagnosed(spark: SparkSession, d: str, store: D.LayerStore | None = None) -> tuple[DataFrame, D.LayerStore]:
     p, rows = B.points(spark, d), dict(_DIAGNOSED)
-    store = D.LayerStore(spark, scratch(spark, "store"))
+    store = store or D.LayerStore(spark, scratch(spark, "store"))
     return D.run_diagnostic(spark, [*rows, "basemap_satelite"], 3106200, store, lambda s, place: p.where(rows[s.id]), B.overlay_parts), store
 
 
-@query(
+_DIAGNOSED_SQL = (
     "SELECT source_id, CASE WHEN n_fetched > 0 THEN 'ok' ELSE 'skipped' END AS status, CASE WHEN n_fetched = 0 THEN 'empty' END AS message, n FROM (SELECT source_id, count(vec_id) AS n_fetched, count(*) FILTER (vec_id IS NOT NULL AND (cut OR within))::BIGINT AS n FROM (VALUES "
     + ", ".join(f"('{i}', {'TRUE' if S.by_id([i])[0].cut == 'code' else 'FALSE'})" for i, _ in _DIAGNOSED)
     + ") s(source_id, cut) LEFT JOIN (SELECT *, "
     + B.inside_sql("p.x", "p.y")
     + " AS within, CASE "
     + " ".join(f"WHEN {c} THEN '{i}'" for i, c in _DIAGNOSED)
-    + " END AS of FROM points p) q ON q.of = s.source_id GROUP BY source_id) UNION ALL SELECT 'basemap_satelite', 'skipped', 'basemap', 0",
-    B.POINTS,
-    B.PARTS_SQL,
+    + " END AS of FROM points p) q ON q.of = s.source_id GROUP BY source_id) UNION ALL SELECT 'basemap_satelite', 'skipped', 'basemap', 0"
 )
+
+
+@query(_DIAGNOSED_SQL, B.POINTS, B.PARTS_SQL)
 def diagnostic_layers(spark, d):
     """A diagnostic over an outline with parts and a hole: what became of each source, and the rows of its layer."""
     report, store = _diagnosed(spark, d)
@@ -647,6 +670,40 @@ def diagnostic_layers(spark, d):
     return report.join(union_by_name(counts), "source_id", "left").select("source_id", "status", "message", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query(f"SELECT status, count(*)::BIGINT AS n, string_agg(source_id, ',' ORDER BY source_id) AS ids FROM ({_DIAGNOSED_SQL}) GROUP BY status", B.POINTS, B.PARTS_SQL)
+def diagnostic_summary(spark, d):
+    return D.run_summary(_diagnosed(spark, d)[0])
+
+
+@query(f"SELECT source_id, 'skipped' AS status, coalesce(message, 'exists') AS message FROM ({_DIAGNOSED_SQL})", B.POINTS, B.PARTS_SQL)
+def diagnostic_again(spark, d):
+    """A second run over the same store: what has a layer is there already."""
+    _, store = _diagnosed(spark, d)
+    return _diagnosed(spark, d, store)[0]
+
+
+@query("SELECT vec_id FROM points WHERE x BETWEEN -0.05 AND 0.11 AND y BETWEEN 0.02 AND 0.3", B.POINTS)
+def box_of_written_points(spark, d):
+    """A layer written along a curve, and of it the rows in a box."""
+    store = D.LayerStore(spark, scratch(spark, "store"))
+    store.write("points", B.points(spark, d), by_place=True)
+    return store.read("points", (-0.05, 0.02, 0.11, 0.3)).select("vec_id")
+
+
+@query("SELECT vec_id FROM corners WHERE x1 >= -0.05 AND x0 <= 0.11 AND y1 >= 0.02 AND y0 <= 0.3", _BOXES[0])
+def box_of_written_polygons(spark, d):
+    store = D.LayerStore(spark, scratch(spark, "store"))
+    store.write("boxes", B.boxes(spark, d).withColumnRenamed("points", "ring"), by_place=True)
+    return store.read("boxes", (-0.05, 0.02, 0.11, 0.3)).select("vec_id")
+
+
+@query("SELECT dataset, year, version, file_name FROM census_catalog WHERE year = 2010 AND dataset = 'Brand#11' ORDER BY split_part(version, '.', 2)::INTEGER DESC, file_name DESC LIMIT 1", B.CENSUS_CATALOG)
+def census_table_picked(spark, d):
+    """The best file of one census table."""
+    census = B.census_catalog(spark, d)
+    return spark.createDataFrame([C.select_census(census, 2010, "Brand#11")], census.schema).select("dataset", "year", "version", "file_name")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracts with their census table's columns."""
     return join_census_first(spark, sf_dir)
