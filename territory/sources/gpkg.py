@@ -1,7 +1,9 @@
 """GeoPackage layers: SQLite files, geometry as WKB.
 
-The data source ``gpkg`` reads a file of a folder that the executors share, dealt by ranges of row ids. ``read_gpkg_files``
-reads files of any store that Spark reads, a file a task, through their bytes.
+The data source ``gpkg`` reads a file of a folder that the executors share, dealt by ranges of row ids. With the option
+``boxes`` each row has its box beside it, and filters on the box go to the file's R-tree where it has one, so that rows are
+dealt, and read, inside the box alone. ``read_gpkg_files`` reads files of any store that Spark reads, a file a task, through
+their bytes.
 """
 
 from __future__ import annotations
@@ -10,16 +12,21 @@ import sqlite3
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from territory.functions.wkb import gpkg_to_wkb, wkb_to_gpkg
+from territory.functions.wkb import gpkg_to_wkb, read_rings, wkb_to_gpkg
 
 ROWS_A_PARTITION = 100_000
+#: The columns of a row's box, and of those of the R-tree what a filter on each may ask: its boxes are no smaller than the rows'.
+BOX = ("xmin", "ymin", "xmax", "ymax")
+_TREE = {"xmin": ("minx", "<"), "ymin": ("miny", "<"), "xmax": ("maxx", ">"), "ymax": ("maxy", ">")}
+_COMPARE = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
 def _opened(blob: bytes) -> sqlite3.Connection:
@@ -63,12 +70,24 @@ def _schema(db: sqlite3.Connection, table: str, geom: str | None) -> StructType:
 
 def _rows(db: sqlite3.Connection, table: str, geom: str | None, kinds: StructType, where: str = "", values: tuple = ()) -> Iterator[tuple]:
     cols = [f.name for f in kinds.fields]
+    boxed = cols[-4:] == list(BOX) and geom is not None and not {*BOX} & {c[1] for c in db.execute(f"PRAGMA table_info({_quoted(table)})")}
+    cols = cols[:-4] if boxed else cols
     at = cols.index("geometry") if "geometry" in cols else -1
     names = ", ".join(_quoted(geom if c == "geometry" and geom else c) for c in cols)
     flags = [isinstance(f.dataType, BooleanType) for f in kinds.fields]
     floats = [isinstance(f.dataType, DoubleType) for f in kinds.fields]
     for row in db.execute(f"SELECT {names} FROM {_quoted(table)}{where}", values):
-        yield tuple(gpkg_to_wkb(v) if i == at else None if v is None else bool(v) if flags[i] else float(v) if floats[i] else v for i, v in enumerate(row))
+        out = tuple(gpkg_to_wkb(v) if i == at else None if v is None else bool(v) if flags[i] else float(v) if floats[i] else v for i, v in enumerate(row))
+        yield (*out, *_box(out[at])) if boxed else out
+
+
+def _box(b: bytes | None) -> tuple[float | None, ...]:
+    """xmin, ymin, xmax, ymax; nulls for null or empty geometries."""
+    g = read_rings(b)
+    rings = [r for p in g[1] for r in p if len(r)] if g else []
+    if not rings:
+        return None, None, None, None
+    return (*map(float, np.min([r.min(axis=0) for r in rings], axis=0)), *map(float, np.max([r.max(axis=0) for r in rings], axis=0)))
 
 
 def decode_files(files: DataFrame, content: str = "content", layer: str | None = None, schema: StructType | None = None) -> DataFrame:
@@ -156,7 +175,7 @@ class Rows(InputPartition):
 
 
 class GeoPackage(DataSource):
-    """Options path and layer (default: the first feature table)."""
+    """Options path, layer (default: the first feature table) and boxes (true: with the columns of ``BOX``)."""
 
     @classmethod
     def name(cls) -> str:
@@ -168,38 +187,55 @@ class GeoPackage(DataSource):
 
     def schema(self) -> StructType:
         with _connect(self.options["path"]) as db:
-            return _schema(db, *_layer(db, self.options.get("layer")))
+            table, geom = _layer(db, self.options.get("layer"))
+            kinds = _schema(db, table, geom)
+        if self.options.get("boxes", "false").lower() != "true" or geom is None:
+            return kinds
+        if taken := {*BOX} & {*kinds.names}:
+            raise ValueError(f"the layer has columns of its own called {sorted(taken)}")
+        return StructType([*kinds.fields, *(StructField(c, DoubleType()) for c in BOX)])
 
     def reader(self, schema: StructType) -> GeoPackageReader:
         return GeoPackageReader(self.options["path"], *self.layer(), schema)
 
 
 class GeoPackageReader(DataSourceReader):
-    """Equalities go to SQLite, where an index may serve them; Spark checks them again."""
+    """Comparisons of columns go to SQLite, where an index may serve them, and those of the box to the layer's R-tree; Spark
+    checks them all again."""
 
     def __init__(self, path: str, table: str, geom: str | None, schema: StructType) -> None:
         self.path, self.table, self.geom, self.kinds, self.where, self.values = path, table, geom, schema, [], []
-
-    def _column(self, name: str) -> str:
-        return _quoted(self.geom if name == "geometry" and self.geom else name)
+        with _connect(path) as db:
+            self.own = {c[1] for c in db.execute(f"PRAGMA table_info({_quoted(table)})")}
+            tree = f"rtree_{table}_{geom}"
+            self.tree = tree if db.execute("SELECT 1 FROM sqlite_master WHERE type = 'table' AND name = ?", (tree,)).fetchone() else None
+        self.inside: list[str] = []
+        self.limits: list[float] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802  Spark's name
         for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and isinstance(f.value, int | float | str) and f.attribute[0] != "geometry":
-                self.where.append(f"{self._column(f.attribute[0])} = ?")
-                self.values.append(f.value)
+            sign = _COMPARE.get(type(f))
+            if sign and len(f.attribute) == 1:
+                name, number = f.attribute[0], isinstance(f.value, int | float) and not isinstance(f.value, bool)
+                if name in self.own and name != self.geom and (number or sign == "=" and isinstance(f.value, int | str)):
+                    self.where.append(f"{_quoted(name)} {sign} ?")
+                    self.values.append(f.value)
+                elif name in _TREE and name not in self.own and number and self.tree and sign[0] == _TREE[name][1]:
+                    self.inside.append(f"{_TREE[name][0]} {sign} ?")
+                    self.limits.append(float(f.value))
             yield f
 
     def partitions(self) -> list[InputPartition]:
-        """Ranges of row ids with ROWS_A_PARTITION rows each, however far apart the ids lie."""
+        """Ranges of row ids with ROWS_A_PARTITION rows each of those that the R-tree leaves, however far apart the ids lie."""
+        tree = f" WHERE rowid IN (SELECT id FROM {_quoted(self.tree)} WHERE {' AND '.join(self.inside)})" if self.inside else ""
         with _connect(self.path) as db:
-            ids = f"SELECT rowid AS r, row_number() OVER (ORDER BY rowid) AS n FROM {_quoted(self.table)}"
-            starts = [r for (r,) in db.execute(f"SELECT r FROM ({ids}) WHERE (n - 1) % ? = 0 ORDER BY r", (ROWS_A_PARTITION,))]
-            (high,) = db.execute(f"SELECT max(rowid) FROM {_quoted(self.table)}").fetchone()
+            ids = f"SELECT rowid AS r, row_number() OVER (ORDER BY rowid) AS n FROM {_quoted(self.table)}{tree}"
+            starts = [r for (r,) in db.execute(f"SELECT r FROM ({ids}) WHERE (n - 1) % ? = 0 ORDER BY r", (*self.limits, ROWS_A_PARTITION))]
+            (high,) = db.execute(f"SELECT max(rowid) FROM {_quoted(self.table)}{tree}", self.limits).fetchone()
         if not starts:
             return [Rows(0, -1, "", ())]
-        where = "".join(f" AND {w}" for w in self.where)
-        return [Rows(a, b - 1, where, tuple(self.values)) for a, b in zip(starts, [*starts[1:], high + 1], strict=True)]
+        where = "".join(f" AND {w}" for w in [*self.where, *([tree.removeprefix(" WHERE ")] if tree else [])])
+        return [Rows(a, b - 1, where, (*self.values, *self.limits)) for a, b in zip(starts, [*starts[1:], high + 1], strict=True)]
 
     def read(self, partition: Rows) -> Iterator[tuple]:
         with _connect(self.path) as db:
