@@ -177,11 +177,13 @@ def fetcher(
     overpass: str = "https://overpass-api.de/api/interpreter",
     raw: LayerStore | None = None,
     refresh: bool = False,
+    tiles: bool = False,
 ) -> Callable[[Source, dict], DataFrame]:
     """How each protocol's rows are had: by server filter or box, a catalog's files, or a road query.
 
     A server is asked once a page a run: its answers are written down, in ``raw`` if there is one, where later runs find
-    them (``refresh`` asks again), and decoded from there.
+    them (``refresh`` asks again), and decoded from there. With ``tiles`` a box is asked for tile by tile, by many tasks, of
+    servers that do not tell how much there is.
     """
     box = ",".join(map(str, bbox))
 
@@ -196,8 +198,8 @@ def fetcher(
         elif s.cut == "name":
             o[cond] = "{} = '{}'".format(s.field, place["name"].replace("'", "''"))
         else:
-            o["bbox"] = box
-        return crs.with_crs(decode_features(answers(s, place, o)), s.srs)
+            o |= {"bbox": box} | ({"tiles": "true"} if tiles else {})
+        return crs.with_crs(decode_features(answers(s, place, o), one_an_id="tiles" in o), s.srs)
 
     def fetch(s: Source, place: dict) -> DataFrame:
         if s.protocol == "wfs":

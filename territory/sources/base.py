@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import urllib.request
 from collections.abc import Iterable
@@ -20,6 +21,17 @@ def fetch(location: str, data: bytes | None = None, timeout: float = 180) -> byt
         return r.read()
 
 
+#: The column of a feature's id, where it is asked for.
+FEATURE_ID = "feature_id"
+
+
+def id_of(f: dict) -> str:
+    """A feature's own id, else a hash of what it holds."""
+    if f.get("id") is not None:
+        return str(f["id"])
+    return hashlib.sha256(json.dumps([f.get("properties"), f.get("geometry")], sort_keys=True).encode()).hexdigest()
+
+
 def features_of(payload: dict) -> list[dict]:
     if "features" not in payload:
         raise ValueError(f"no feature collection: {str(payload)[:200]}")
@@ -68,6 +80,8 @@ def as_row(f: dict, schema: StructType) -> tuple:
     def value(field: StructField):
         if field.name == "geometry":
             return geojson_wkb(f.get("geometry"))
+        if field.name == FEATURE_ID and FEATURE_ID not in p:
+            return id_of(f)
         v = p.get(field.name)
         if v is None:
             return None

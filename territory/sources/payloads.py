@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from territory.sources.base import as_row, features, value_type
+from territory.sources.base import FEATURE_ID, as_row, features, value_type
 
 #: Features decoded at a time.
 BATCH = 2000
@@ -41,10 +41,13 @@ def feature_schema(payloads: DataFrame, body: str = "body") -> StructType:
     return StructType([*(StructField(r.name, value_type({_TYPES[k] for k in r.kinds})) for r in told), StructField("geometry", BinaryType())])
 
 
-def decode_features(payloads: DataFrame, body: str = "body", schema: StructType | None = None) -> DataFrame:
+def decode_features(payloads: DataFrame, body: str = "body", schema: StructType | None = None, one_an_id: bool = False) -> DataFrame:
     """The features of all pages: properties as columns, geometry as WKB. An empty text has none; a text that is no feature
-    collection fails with what it says."""
+    collection fails with what it says. ``one_an_id`` adds each feature's ``feature_id`` and keeps one row of each, as answers
+    of neighbouring tiles need it."""
     kinds = schema or feature_schema(payloads, body)
+    if one_an_id and FEATURE_ID not in kinds.names:
+        kinds = StructType([*kinds.fields, StructField(FEATURE_ID, StringType())])
     arrow = to_arrow_schema(kinds)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +58,8 @@ def decode_features(payloads: DataFrame, body: str = "body", schema: StructType
                     got = [as_row(f, kinds) for f in every[lo : lo + BATCH]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*got, strict=True), arrow, strict=True)], schema=arrow)
 
-    return payloads.select(F.col(f"`{body}`")).mapInArrow(rows, kinds)
+    out = payloads.select(F.col(f"`{body}`")).mapInArrow(rows, kinds)
+    return out.dropDuplicates([FEATURE_ID]) if one_an_id else out
 
 
 def encode_features(layer: DataFrame, geometry: str = "geometry_json", by: str | None = None) -> DataFrame:
