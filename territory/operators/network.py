@@ -12,8 +12,11 @@ ELEMENTS = "array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array
 
 
 def parse_elements(payloads: DataFrame, column: str = "value") -> DataFrame:
-    """One row an element, ``pos`` its place in the payload; a payload that is no JSON has none."""
-    return payloads.select(F.posexplode(F.from_json(column, f"struct<elements:{ELEMENTS}>", {"mode": "PERMISSIVE"})["elements"]).alias("pos", "e")).select("e.*", F.col("pos").cast("bigint").alias("pos"))
+    """One row an element, ``pos`` its place in the payload, or in all pages of it where these tell theirs (``page``); a payload
+    that is no JSON has none."""
+    first = F.col("page") if "page" in payloads.columns else F.lit(0)
+    found = F.posexplode(F.from_json(column, f"struct<elements:{ELEMENTS}>", {"mode": "PERMISSIVE"})["elements"]).alias("__n", "e")
+    return payloads.select(first.alias("__first"), found).select("e.*", (F.col("__first") + F.col("__n")).cast("bigint").alias("pos"))
 
 
 def ways(elements: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import urllib.request
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql.types import BinaryType, BooleanType, DataType, DoubleType, LongType, StringType, StructField, StructType
@@ -13,14 +14,27 @@ from pyspark.sql.types import BinaryType, BooleanType, DataType, DoubleType, Lon
 from territory.functions import wkb
 
 
-def fetch(location: str, data: bytes | None = None, timeout: float = 180) -> bytes:
-    """Bytes of a local path, file:// or http(s):// location; http errors raise."""
+def _open(location: str, data: bytes | None, timeout: float):
     if "://" not in location:
         location = f"file://{location}"
-    with urllib.request.urlopen(urllib.request.Request(location, data=data, headers={"User-Agent": "territory"}), timeout=timeout) as r:  # noqa: S310
+    return urllib.request.urlopen(urllib.request.Request(location, data=data, headers={"User-Agent": "territory"}), timeout=timeout)  # noqa: S310
+
+
+def fetch(location: str, data: bytes | None = None, timeout: float = 180) -> bytes:
+    """Bytes of a local path, file:// or http(s):// location; http errors raise."""
+    with _open(location, data, timeout) as r:
         return r.read()
 
 
+def fetch_parts(location: str, data: bytes | None = None, timeout: float = 180, size: int = 1 << 20) -> Iterator[str]:
+    """The same as text, a part of at most ``size`` bytes at a time."""
+    decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+    with _open(location, data, timeout) as r:
+        while part := r.read(size):
+            yield decode(part)
+    yield decode(b"", True)
+
+
 #: The column of a feature's id, where it is asked for.
 FEATURE_ID = "feature_id"
 

@@ -13,16 +13,21 @@ edges of tiles come more than once: with tiles each row has its ``feature_id``,
 from __future__ import annotations
 
 import json
+import re
 import urllib.parse
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
-from territory.sources.base import FEATURE_ID, as_row, features, features_of, fetch, infer_schema
+from territory.sources.base import FEATURE_ID, as_row, features, features_of, fetch, fetch_parts, infer_schema
 
 TILE_LEVEL, TILE_DEPTH = 2, 24
+#: Elements of a page of a map payload, and characters within which its elements begin.
+PAGE, HEAD = 5000, 1 << 20
+_ELEMENTS = re.compile(r'\s*\{(?:\s*"(?:[^"\\]|\\.)*"\s*:\s*(?:"(?:[^"\\]|\\.)*"|\{[^{}]*\}|[^\s"{}\[\],]+)\s*,)*\s*("elements")\s*:\s*\[')
+_BETWEEN = re.compile(r"[\s,]*")
 OVERPASS_SCHEMA = "type string, id bigint, lat double, lon double, nodes array<bigint>, tags map<string,string>, pos bigint"
 
 
@@ -254,25 +259,50 @@ class Overpass(DataSource):
         return OverpassReader(dict(self.options))
 
 
-def overpass_body(o: dict) -> tuple[str, bytes]:
-    """(location, body)"""
+def overpass_parts(o: dict) -> tuple[str, Iterator[str]]:
+    """(location, the answer's text in parts)"""
     if "path" in o:
-        return o["path"], fetch(o["path"])
-    return o["endpoint"], fetch(o["endpoint"], urllib.parse.urlencode({"data": o["query"]}).encode())
+        return o["path"], fetch_parts(o["path"])
+    return o["endpoint"], fetch_parts(o["endpoint"], urllib.parse.urlencode({"data": o["query"]}).encode())
 
 
-def overpass_elements(body: bytes | str) -> list[dict]:
-    """The elements of an answer; an answer that is none, or that tells of an error of the server, raises."""
-    text = body if isinstance(body, str) else body.decode("utf-8", "replace")
+def element_texts(parts: Iterable[str]) -> Iterator[tuple[dict, str]]:
+    """(element, its text) of a map payload that comes in parts; no more of it is held than a part and an element.
+
+    A text without elements (an error page), one that ends too early, and one whose remark tells of an error raise: the
+    last ones after the elements they have.
+    """
+    parts = iter(parts)
+    text = next(parts, "")
+    while not (begin := _ELEMENTS.match(text)) and len(text) < HEAD and (more := next(parts, None)) is not None:
+        text += more
+    if not begin:
+        raise ValueError(f"no map payload: {text[:200]!r}")
+    head, at, decode = text[: begin.start(1)], begin.end(), json.JSONDecoder().raw_decode
+    while True:
+        at = _BETWEEN.match(text, at).end()
+        if at < len(text):
+            if text[at] == "]":
+                break
+            try:
+                element, end = decode(text, at)
+            except ValueError:
+                end = None
+            if end is not None and end < len(text):
+                yield element, text[at:end]
+                at = end
+                continue
+        more = next(parts, None)
+        if more is None:
+            raise ValueError(f"no map payload: it ends within its elements, after {text[max(0, at - 100) : at]!r}")
+        text, at = text[at:] + more, 0
+    rest = text[at + 1 :] + "".join(parts)
     try:
-        got = json.loads(text)
+        around = json.loads(f'{head}"elements": []{rest}')
     except ValueError:
-        raise ValueError(f"no map payload: {text[:200]!r}") from None
-    if not isinstance(got, dict) or "elements" not in got:
-        raise ValueError(f"no map payload: {text[:200]!r}")
-    if "error" in str(got.get("remark", "")).lower():
-        raise ValueError(f"the server gave up: {got['remark']}")
-    return got["elements"] or []
+        raise ValueError(f"no map payload: {rest[:200]!r}") from None
+    if "error" in str(around.get("remark", "")).lower():
+        raise ValueError(f"the server gave up: {around['remark']}")
 
 
 class OverpassReader(DataSourceReader):
@@ -280,12 +310,27 @@ class OverpassReader(DataSourceReader):
         self.options = options
 
     def read(self, partition) -> Iterator[tuple]:
-        got = overpass_elements(overpass_body(self.options)[1])
         num = lambda v: None if v is None else float(v)
-        for pos, e in enumerate(got):
+        for pos, (e, _) in enumerate(element_texts(overpass_parts(self.options)[1])):
             yield e.get("type"), e.get("id"), num(e.get("lat")), num(e.get("lon")), e.get("nodes"), {k: str(v) for k, v in e["tags"].items()} if e.get("tags") is not None else None, pos
 
 
+def element_pages(o: dict) -> Iterator[tuple[int, str, str]]:
+    """(place of the first element, location, text) of an answer as payloads of ``PAGE`` elements each; one without elements
+    has one page."""
+    url, parts = overpass_parts(o)
+    page: list[str] = []
+    n = 0
+    for _, text in element_texts(parts):
+        page.append(text)
+        n += 1
+        if len(page) == PAGE:
+            yield n - PAGE, url, f'{{"elements":[{",".join(page)}]}}'
+            page = []
+    if page or not n:
+        yield n - len(page), url, f'{{"elements":[{",".join(page)}]}}'
+
+
 class Payloads(DataSource):
     """(page, url, body): what the source of option ``kind`` answers, a row a page."""
 
@@ -315,9 +360,7 @@ class PayloadReader(DataSourceReader):
     def read(self, partition: Request) -> Iterator[tuple]:
         source = self._source()
         if source is None:
-            url, body = overpass_body(self.options)
-            overpass_elements(body)  # an error page is not written down
-            yield 0, url, body.decode()
+            yield from element_pages(self.options)
             return
         for at, url, body in source.bodies(partition):
             yield at, url, body.decode()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from territory.operators import diagnostic as D
 from territory.plans import sources as S
-from territory.sources.remote import overpass_elements
+from territory.sources.remote import element_texts
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -91,7 +91,7 @@ def test_error_pages_are_failures(spark, tmp_path):
     from territory.sources import register
 
     register(spark)
-    assert overpass_elements(b'{"elements": []}') == []
+    assert list(element_texts(['{"elements": []}'])) == []
     pages = {"html": "<html>busy</html>", "remark": json.dumps({"elements": [], "remark": "runtime error: Query timed out"}), "list": "[]", "empty": ""}
     for name, text in pages.items():
         (tmp_path / name).write_text(text)
