@@ -72,7 +72,8 @@ def read_census(releases: DataFrame) -> DataFrame:
 
 
 def kept_catalog(spark: SparkSession, path: str, make: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-    """A catalog that is asked for once: written at ``path`` and read from there; with ``refresh`` asked for again. If asking
+    """A catalog that is asked for once (a refresh that costs a body only where the server's has changed is
+    ``LayerStore.text``): written at ``path`` and read from there; with ``refresh`` asked for again. If asking
     fails, the older one does."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     have = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -19,6 +19,7 @@ from territory.operators import network as N
 from territory.operators.municipalities import in_box
 from territory.operators.reader import read_geo
 from territory.plans.sources import PROTOCOLS, Source, by_id
+from territory.sources.base import fetch_changed
 from territory.sources.payloads import decode_features
 
 REPORT = "source_id string, status string, message string"
@@ -124,6 +125,26 @@ class LayerStore:
                 self.stale[key] = str(e).splitlines()[0] if str(e) else type(e).__name__
         return self.read(name)
 
+    def text(self, key: str, url: str, refresh: bool = False) -> DataFrame:
+        """One row (url, value, etag, modified): the text at a url, such as a catalog's list of releases, kept below ``_raw`` with the
+        validators its server gave. With ``refresh`` the server is asked whether these still hold, and sends the text only if not; a
+        text that is the same makes no new version. If asking fails, the kept one does, and ``stale`` says why."""
+        if not re.fullmatch(r"[\w.-]+", key):
+            raise ValueError(f"no payload name: {key!r}")
+        name = f"_raw/{key}"
+        have = self.read(name).where(F.col("url") == url).first() if self.versions(name) else None
+        if have is None or refresh:
+            try:
+                got = fetch_changed(url, have and have.etag, have and have.modified)
+                self.stale.pop(key, None)
+                if got and (have is None or got[0].decode() != have.value or got[1:] != (have.etag, have.modified)):
+                    self._write(name, self.spark.createDataFrame([(url, got[0].decode(), *got[1:])], "url string, value string, etag string, modified string"))
+            except Exception as e:  # noqa: BLE001
+                if have is None:
+                    raise
+                self.stale[key] = str(e).splitlines()[0] if str(e) else type(e).__name__
+        return self.read(name)
+
     def register_views(self) -> list[str]:
         """Every layer as a temporary view of its name."""
         names = sorted(self.layers())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import urllib.error
 import urllib.request
 from collections.abc import Iterable, Iterator
 
@@ -26,6 +27,21 @@ def fetch(location: str, data: bytes | None = None, timeout: float = 180) -> byt
         return r.read()
 
 
+def fetch_changed(location: str, etag: str | None = None, modified: str | None = None, timeout: float = 180) -> tuple[bytes, str | None, str | None] | None:
+    """(bytes, ETag, Last-Modified) of a location, or None if the server says that what these validators stand for still holds:
+    then no body is sent."""
+    headers = {"User-Agent": "territory"} | ({"If-None-Match": etag} if etag else {}) | ({"If-Modified-Since": modified} if modified else {})
+    if "://" not in location:
+        location = f"file://{location}"
+    try:
+        with urllib.request.urlopen(urllib.request.Request(location, headers=headers), timeout=timeout) as r:  # noqa: S310
+            return r.read(), r.headers.get("ETag"), r.headers.get("Last-Modified")
+    except urllib.error.HTTPError as e:
+        if e.code == 304 and (etag or modified):
+            return None
+        raise
+
+
 def fetch_parts(location: str, data: bytes | None = None, timeout: float = 180, size: int = 1 << 20) -> Iterator[str]:
     """The same as text, a part of at most ``size`` bytes at a time."""
     decode = codecs.getincrementaldecoder("utf-8")("replace").decode

@@ -1,0 +1,61 @@
+"""Catalog texts asked for again by their validators."""
+
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
+
+import pytest
+
+from territory.operators import catalog as C
+from territory.operators.diagnostic import LayerStore
+
+
+@pytest.fixture
+def server():
+    state = {"text": "", "etag": None, "modified": None, "fails": False, "bodies": 0, "asked": []}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            state["asked"].append((self.headers.get("If-None-Match"), self.headers.get("If-Modified-Since")))
+            same = state["etag"] and self.headers.get("If-None-Match") == state["etag"] or not state["etag"] and state["modified"] and self.headers.get("If-Modified-Since") == state["modified"]
+            self.send_response(503 if state["fails"] else 304 if same else 200)
+            for name, value in (("ETag", state["etag"]), ("Last-Modified", state["modified"])):
+                if value:
+                    self.send_header(name, value)
+            self.end_headers()
+            if not same and not state["fails"]:
+                state["bodies"] += 1
+                self.wfile.write(state["text"].encode())
+
+        def log_message(self, *a):
+            pass
+
+    s = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{s.server_port}/releases", state
+    s.shutdown()
+
+
+def release(*names):
+    return json.dumps({"tag_name": "v2", "assets": [{"name": n, "browser_download_url": f"https://files.example.org/{n}"} for n in names]})
+
+
+@pytest.mark.parametrize("etag,modified", [('"a1"', None), (None, "Wed, 01 Jan 2025 00:00:00 GMT"), ('W/"b"', "Wed, 01 Jan 2025 00:00:00 GMT"), (None, None)])
+def test_what_has_not_changed_costs_no_body(spark, tmp_path, server, etag, modified):
+    url, state = server
+    state.update(text=release("states_2020.parquet", "states_2010_simplified.parquet"), etag=etag, modified=modified)
+    store = LayerStore(spark, str(tmp_path))
+    years = lambda refresh: {r.year for r in C.read_v2(store.text("releases", url, refresh)).collect()}
+    assert years(False) == years(False) == {2020, 2010} and state["bodies"] == len(state["asked"]) == 1
+    assert years(True) == {2020, 2010} and len(state["asked"]) == 2
+    assert state["bodies"] == (1 if etag or modified else 2) and state["asked"][1] == (etag, modified)
+    assert len(store.versions("_raw/releases")) == 1  # the same text is no new version
+    state.update(text=release("states_2022.parquet"), etag=etag and '"a2"', modified=modified and "Thu, 02 Jan 2025 00:00:00 GMT")
+    n = state["bodies"]
+    assert years(True) == {2022} and state["bodies"] == n + 1 and len(store.versions("_raw/releases")) == 2
+    state["fails"] = True
+    assert years(True) == {2022} and "503" in store.stale["releases"] and store.layers() == set()
+    with pytest.raises(Exception, match="503"):
+        store.text("other", url)
+    state["fails"] = False
+    assert years(True) == {2022} and not store.stale
