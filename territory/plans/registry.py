@@ -533,7 +533,7 @@ def source_gpkg(spark, d):
     layer = B.points(spark, d).select("vec_id", "label", _point_wkb("x", "y").alias("geometry"))
     kinds = StructType([StructField("vec_id", LongType()), StructField("label", LongType()), StructField("geometry", BinaryType())])
     pack = lambda df: pd.DataFrame({"content": [gpkg.encode_file(list(df.itertuples(index=False, name=None)), kinds, "points")]})
-    files = written(layer.groupBy("label").applyInPandas(lambda df: pack(df[["vec_id", "label", "geometry"]]), "content binary"))
+    files = written(layer.groupBy("label", F.floor(F.col("vec_id") / 50_000)).applyInPandas(lambda df: pack(df[["vec_id", "label", "geometry"]]), "content binary"))
     return _xy(gpkg.decode_files(files, layer="points"), "vec_id", F.col("label").cast(B.points(spark, d).schema["label"].dataType).alias("label"))
 
 
@@ -704,6 +704,44 @@ def census_table_picked(spark, d):
     return spark.createDataFrame([C.select_census(census, 2010, "Brand#11")], census.schema).select("dataset", "year", "version", "file_name")
 
 
+#: Sources that are asked for here and what of the points stands for their rows, and a municipality that holds all roads.
+_ANSWERED = {"dnit_snv": "label % 3 = 0", "ibama_autos": "label % 3 = 1", "minfra_ferrovias": "label % 3 = 2"}
+_PLACE = (0.0, 0.0, 100.0, 1000.0)
+
+
+def _answers(spark: SparkSession, d: str, store: D.LayerStore) -> None:
+    """The answers of three servers, written down as a run before would have: pages of features, and of a map payload's
+    elements."""
+    p = B.points(spark, d)
+    text = F.concat(F.lit('{"type":"Point","coordinates":['), F.col("x").cast("string"), F.lit(","), F.col("y").cast("string"), F.lit("]}"))
+    for source, rows in _ANSWERED.items():
+        layer = p.where(rows).select("vec_id", F.floor(F.col("vec_id") / 500).alias("page"), text.alias("geometry_json"))
+        store.payloads(f"{source}_3106200", lambda layer=layer: encode_features(layer, by="page").select("page", F.lit("").alias("url"), "body"))
+    elements = B.elements(spark, d).select((F.floor(F.col("id") / 2000) * 2 + (F.col("type") == "way").cast("int")).alias("page"), F.to_json(F.struct("type", "id", "lat", "lon", "nodes", "tags")).alias("e"))
+    body = F.concat(F.lit('{"elements":['), F.array_join(F.collect_list("e"), ","), F.lit("]}")).alias("body")
+    store.payloads("osm_vias_3106200", lambda: elements.groupBy("page").agg(body).select("page", F.lit("").alias("url"), "body"))
+
+
+@query(
+    "SELECT 'dnit_snv' AS layer, count(*) FILTER (label % 3 = 0 AND x >= 0 AND y >= 0)::BIGINT AS n FROM points UNION ALL SELECT 'ibama_autos', count(*) FILTER (label % 3 = 1) FROM points UNION ALL SELECT 'minfra_ferrovias', count(*) FILTER (label % 3 = 2 AND x >= 0 AND y >= 0) FROM points UNION ALL SELECT 'osm_links', count(*) FROM osm_links UNION ALL SELECT 'osm_nodes', count(*) FROM osm_ends",
+    B.POINTS,
+    B.NETWORK,
+)
+def diagnostic_of_answers(spark, d):
+    """A diagnostic of servers' answers, by protocol: features by box, by code and by name, and roads; the outline is read from a
+    layer of municipalities. Links and nodes are a source's two layers."""
+    store = D.LayerStore(spark, scratch(spark, "store"))
+    _answers(spark, d, store)
+    x0, y0, x1, y1 = map(F.lit, _PLACE)
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    own = B.boxes(spark, d).limit(1).select(F.lit(3106200).cast("bigint").alias("code_muni"), F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0)).alias("r"))
+    others = B.boxes(spark, d).select(F.col("vec_id").alias("code_muni"), F.concat("points", F.slice("points", 1, 1)).alias("r"))
+    places = others.unionAll(own).select("code_muni", wkb.wkb_encode(F.lit("Polygon"), F.array(F.array("r"))).alias("geometry"))
+    fetch = D.fetcher(spark, _PLACE, {}, raw=store)
+    D.run_diagnostic(spark, [*_ANSWERED, "osm_vias"], 3106200, store, fetch, lambda: M.outline(places, 3106200), "Belo")
+    return union_by_name([store.read(n).agg(F.lit(n.removesuffix("_3106200")).alias("layer"), F.count("*").alias("n")) for n in sorted(store.layers())])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracts with their census table's columns."""
     return join_census_first(spark, sf_dir)
