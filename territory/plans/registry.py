@@ -11,6 +11,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from territory.functions import codes, crs, urls, wkb
 from territory.functions.folders import scratch, written
+from territory.functions.types import widen
 from territory.operators import catalog as C
 from territory.operators import census as J
 from territory.operators import diagnostic as D
@@ -704,6 +705,57 @@ def census_table_picked(spark, d):
     return spark.createDataFrame([C.select_census(census, 2010, "Brand#11")], census.schema).select("dataset", "year", "version", "file_name")
 
 
+def _mapped(spark, d) -> DataFrame:
+    """Municipalities with an outline: the box of the vector of their number."""
+    part = F.array(F.array(F.concat("points", F.slice("points", 1, 1))))
+    shapes = B.boxes(spark, d).select(F.col("vec_id").alias("custkey"), wkb.wkb_encode(F.lit("Polygon"), part).alias("geometry"))
+    return B.municipalities(spark, d).join(shapes, "custkey").select("code_muni", "name_muni", "geometry")
+
+
+_MAPPED = "mapped AS (SELECT code_muni, name_muni, x0 AS xmin, y0 AS ymin, x1 AS xmax, y1 AS ymax FROM municipalities JOIN corners ON custkey = vec_id)"
+
+
+@query("SELECT code_muni::VARCHAR AS code, name_muni, xmin, ymin, xmax, ymax FROM mapped", B.MUNICIPALITIES, _BOXES[0], _MAPPED)
+def municipality_listing(spark, d):
+    return M.listing(_mapped(spark, d)).select("code", "name_muni", "box.*")
+
+
+@query("SELECT * FROM mapped ORDER BY code_muni LIMIT 1", B.MUNICIPALITIES, _BOXES[0], _MAPPED)
+def municipality_info(spark, d):
+    """Name and extent of the municipality of the least code."""
+    layer = _mapped(spark, d)
+    code = layer.agg(F.min("code_muni")).first()[0]
+    name, box = M.info(layer, code)
+    return spark.createDataFrame([(code, name, *box)], "code_muni long, name_muni string, xmin double, ymin double, xmax double, ymax double")
+
+
+@query("SELECT 'label_' || label::VARCHAR AS layer, count(*)::BIGINT AS n, min(x) AS least FROM points GROUP BY label", B.POINTS)
+def layer_views(spark, d):
+    """Layers of a store as views, asked in SQL."""
+    store, p = D.LayerStore(spark, scratch(spark, "store")), B.points(spark, d)
+    for (label,) in p.select("label").distinct().collect():
+        store.write(f"label_{label}", p.where(F.col("label") == label))
+    every = " UNION ALL ".join(f"SELECT '{n}' AS layer, count(*) AS n, min(x) AS least FROM {n}" for n in store.register_views())
+    return spark.sql(every)
+
+
+@query("SELECT name AS file_name FROM assets WHERE ends_with(name, '.parquet') AND length(name) % 7 = 3", B.ASSETS)
+def release_by_tag(spark, d):
+    """The files of a tagged release, where the latest one has none that can be read."""
+    a = B.assets(spark, d).withColumn("tag", F.concat(F.lit("t"), (F.char_length("name") % 7).cast("string")))
+    releases = a.groupBy("tag").agg(F.to_json(F.struct(F.first("tag").alias("tag_name"), F.collect_list(F.struct("name", "browser_download_url")).alias("assets"))).alias("r"))
+    texts = releases.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("r")), ","), F.lit("]")).alias("value"))
+    latest = texts.select(F.lit('{"tag_name": "t9", "assets": [{"name": "readme.txt", "browser_download_url": "x"}]}').alias("value"))
+    return C.read_v2(latest, texts, "t3").select("file_name")
+
+
+@query("SELECT p_partkey::BIGINT AS p_partkey, p_name, p_brand, p_type, p_size::BIGINT AS p_size, p_retailprice::DOUBLE AS p_retailprice FROM part")
+def widened_types(spark, d):
+    """Rows in the older, wider field types."""
+    p = B.read(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", F.col("p_size").cast("smallint").alias("p_size"), F.col("p_retailprice").cast("decimal(12,2)").alias("p_retailprice"))
+    return widen(p)
+
+
 #: Sources that are asked for here and what of the points stands for their rows, and a municipality that holds all roads.
 _ANSWERED = {"dnit_snv": "label % 3 = 0", "ibama_autos": "label % 3 = 1", "minfra_ferrovias": "label % 3 = 2"}
 _PLACE = (0.0, 0.0, 100.0, 1000.0)
