@@ -220,7 +220,7 @@ def links(fps: DataFrame, radius: int = RADIUS, tree_limit: int = TREE_LIMIT, bl
     sharded = fps.select("fp", F.inline(names))
     full = sharded.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > tree_limit).select("t", "k", F.ceil(F.col("n") / tree_limit).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    placed = sharded.join(full, ["t", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", part)
+    placed = sharded.join(plain(full, "t", "k"), ["t", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", part)
     units = placed.select("fp", "t", "k", "p", F.explode(F.expr("sequence(0, parts - 1)")).alias("q")).select(
         "t", "k", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") > F.col("q")).cast("int").alias("side"), "fp"
     )
