@@ -35,10 +35,14 @@ def edges_of(points: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(points[i]["x"].alias("cx"), points[i]["y"].alias("cy"), points[(i + 1) % n]["x"].alias("dx"), points[(i + 1) % n]["y"].alias("dy")))
 
 
+def crosses(e: Column, x: Column, y: Column) -> Column:
+    """Does the ray from a point to the right cross an edge?"""
+    return ((e["cy"] > y) != (e["dy"] > y)) & (x < (e["dx"] - e["cx"]) * (y - e["cy"]) / F.nullif(e["dy"] - e["cy"], F.lit(0.0)) + e["cx"])
+
+
 def inside(x: Column, y: Column, edges: Column) -> Column:
     """Even-odd test of a point against edges."""
-    hits = F.size(F.filter(edges, lambda e: ((e["cy"] > y) != (e["dy"] > y)) & (x < (e["dx"] - e["cx"]) * (y - e["cy"]) / F.nullif(e["dy"] - e["cy"], F.lit(0.0)) + e["cx"])))
-    return hits % 2 == 1
+    return F.size(F.filter(edges, lambda e: crosses(e, x, y))) % 2 == 1
 
 
 def bbox_of(points: Column) -> Column:
@@ -217,13 +221,62 @@ def cells(xmin: Column, ymin: Column, xmax: Column, ymax: Column, size: float) -
     return F.flatten(F.transform(F.sequence(lo(xmin), lo(xmax)), lambda i: F.transform(F.sequence(lo(ymin), lo(ymax)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
 
 
+def _sides(points: Column) -> Column:
+    """The edges of a ring that a ray to the right can cross: not level, with all coordinates."""
+    return F.filter(edges_of(points), lambda e: (e["cy"] != e["dy"]) & e["cx"].isNotNull() & e["dx"].isNotNull())
+
+
+def _met_cells(points: Column, size: float) -> Column:
+    """array<struct<i,j,odd,edges>>: the grid cells a ring may hold points of. For points of the cell, ``edges`` are those whose
+    crossing is open, and ``odd`` tells whether an odd number of the others is crossed by every point's ray. Cells go by the
+    quotient that puts points into them, which grows with the coordinate, so the parity is that of all edges to the last bit."""
+    lo = lambda c: F.floor(c / size)
+
+    def spanned(e: Column) -> Column:
+        slack = F.when(e["cx"] == e["dx"], 0).otherwise(1)  # where a slanted edge is crossed is rounded
+        x0, x1, y0, y1 = F.least(e["cx"], e["dx"]), F.greatest(e["cx"], e["dx"]), F.least(e["cy"], e["dy"]), F.greatest(e["cy"], e["dy"])
+        return F.struct(e.alias("e"), (lo(x0) - slack).alias("i0"), (lo(x1) + slack).alias("i1"), lo(y0).alias("j0"), lo(y1).alias("j1"), F.isnan(e["cx"] + e["cy"] + e["dx"] + e["dy"]).alias("wild"))
+
+    def told(c: Column, every: Column) -> Column:
+        i, j = c["i"], c["j"]
+        always = lambda s: ~s["wild"] & (i < s["i0"]) & (s["j0"] < j) & (j < s["j1"])
+        may = lambda s: s["wild"] | (j.between(s["j0"], s["j1"]) & (i <= s["i1"]))
+        open_ = F.transform(F.filter(every, lambda s: may(s) & ~always(s)), lambda s: s["e"])
+        return F.struct(i.alias("i"), j.alias("j"), (F.size(F.filter(every, always)) % 2 == 1).alias("odd"), open_.alias("edges"))
+
+    b = bbox_of(points)
+    touched = cells(b["xmin"], b["ymin"], b["xmax"], b["ymax"], size)
+    met = _bind(F.transform(_sides(points), spanned), lambda every: F.transform(touched, lambda c: told(c, every)))
+    return F.filter(met, lambda c: c["odd"] | (F.size(c["edges"]) > 0))
+
+
+#: Points of a grid cell that are joined as one group; more are dealt to several.
+CROWD = 1000
+
+
 def grid_join(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, size: float) -> DataFrame:
     """Points with the polygons they are in, by an equi-join on grid cells and the exact test; ``ring`` is a column of points.
 
-    A point is in one cell, so no pair comes twice. Cells of a fitting size keep the join far from all pairs; a crowded
-    cell is an ordinary skewed key, which Spark splits.
+    A point is in one cell, so no pair comes twice. The test takes only the edges whose crossing is open in the cell: none in
+    cells that a polygon covers, and up to two, as nearly everywhere else, in plain columns. Points of a crowded cell are dealt
+    to groups of about ``CROWD``, with the cell's polygons beside each, so that no task has a whole crowd.
     """
-    b = bbox_of(F.col(ring))
-    cut = polygons.select("*", F.explode(cells(b["xmin"], b["ymin"], b["xmax"], b["ymax"], size)).alias("__c")).select("*", F.col("__c.i").alias("__i"), F.col("__c.j").alias("__j")).drop("__c")
-    put = points.withColumn("__i", F.floor(F.col(x) / size)).withColumn("__j", F.floor(F.col(y) / size))
-    return put.join(cut, ["__i", "__j"]).where(inside(F.col(x), F.col(y), edges_of(F.col(ring)))).drop("__i", "__j")
+    px, py = F.col(x), F.col(y)
+    put = points.where(~F.isnan(px) & ~F.isnan(py)).withColumn("__i", F.floor(px / size)).withColumn("__j", F.floor(py / size))
+    groups = put.groupBy("__i", "__j").agg(F.ceil(F.count("*") / CROWD).alias("__n")).where("__n > 1")  # a row a crowd
+    n = F.coalesce("__n", F.lit(1))
+    of = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in points.dtypes if "map<" not in kind)), n)
+    dealt = put.join(F.broadcast(groups), ["__i", "__j"], "left").withColumn("__g", of).drop("__n")
+
+    def met(some: DataFrame, *tests: Column) -> DataFrame:
+        cut = some.select("*", F.explode(_met_cells(F.col(ring), size)).alias("__c")).select("*", F.col("__c.i").alias("__i"), F.col("__c.j").alias("__j"))
+        return cut.join(F.broadcast(groups), ["__i", "__j"], "left").withColumn("__g", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))).drop("__n").select("*", *tests).drop("__c")
+
+    edges, odd = F.col("__c.edges"), F.col("__c.odd").alias("__odd")
+    few = met(polygons, F.size(edges).alias("__k"), odd, F.get(edges, 0).alias("__a"), F.get(edges, 1).alias("__b")).where("__k <= 2")
+    many = met(polygons.where(F.size(_sides(F.col(ring))) > 2), F.size(edges).alias("__k"), odd, edges.alias("__e")).where("__k > 2")
+    crossed = lambda e: F.coalesce(crosses(F.col(e), px, py), F.lit(False))
+    keys, own = ["__i", "__j", "__g"], ["__i", "__j", "__g", "__k", "__odd"]
+    few, many = few.hint("merge"), many.hint("merge")  # what cells unfold to is not in Spark's estimates: never broadcast
+    plain = dealt.join(few, keys).where((F.col("__odd") != crossed("__a")) != crossed("__b")).drop(*own, "__a", "__b")
+    return plain.unionAll(dealt.join(many, keys).where(F.col("__odd") != inside(px, py, F.col("__e"))).drop(*own, "__e"))
