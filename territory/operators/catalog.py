@@ -173,11 +173,12 @@ def select_files(catalog: DataFrame, geo: str, year: int | None = None, simplifi
 
 
 def select_census(census: DataFrame, year: int, dataset: str):
-    """The best file of a census table; errors tell what there is."""
-    in_year = best_version(census.where(F.col("year") == year)).collect()
-    if not in_year:
+    """The best file of a census table: of the greatest version by number the last file name; errors tell what there is."""
+    in_year = census.where(F.col("year") == year)
+    best = in_year.where(F.col("dataset") == dataset).orderBy(version_key(F.col("version")).desc(), F.col("file_name").desc()).first()
+    if best:
+        return best
+    known = sorted(r.dataset for r in in_year.where("dataset is not null").select("dataset").distinct().collect())
+    if not known:
         raise ValueError(f"no census tables of {year}; years: {[r.year for r in census.select('year').distinct().orderBy('year').collect()]}")
-    got = [r for r in in_year if r.dataset == dataset]
-    if not got:
-        raise ValueError(f"{year} has no {dataset!r}; it has {sorted(r.dataset for r in in_year)}")
-    return got[0]
+    raise ValueError(f"{year} has no {dataset!r}; it has {known}")

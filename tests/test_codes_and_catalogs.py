@@ -93,6 +93,17 @@ def test_assets_and_versions(spark):
             C.select_census(census, *bad)
 
 
+def test_census_file_among_equal_versions(spark):
+    rows = [("a", 2010, "v0.6.0", "f1"), ("a", 2010, "v0.10.0", "f2"), ("a", 2010, "v0.10.0", "f4"), ("a", 2010, "v0.10.0", "f3"), ("a", 2010, "v0.9.0", "f9"), ("b", 2010, "v1.0.0", "f8"), ("a", 2000, "v2.0.0", "f7")]
+    census = spark.createDataFrame(rows, "dataset string, year int, version string, file_name string")
+    assert tuple(C.select_census(census, 2010, "a")) == ("a", 2010, "v0.10.0", "f4")
+    assert {r.file_name for r in C.best_version(census).collect()} == {"f2", "f8", "f7"}  # the list of best versions has the first
+    with pytest.raises(ValueError, match=r"2010 has no 'c'; it has \['a', 'b'\]"):
+        C.select_census(census, 2010, "c")
+    with pytest.raises(ValueError, match=r"years: \[2000, 2010\]"):
+        C.select_census(census, 1999, "a")
+
+
 def test_release_fallback(spark):
     import json
 
