@@ -229,7 +229,8 @@ def fetcher(
             return remote("arcgis", "layerId", "where", s, place)
         if s.protocol == "osm":
             west, south, east, north = bbox
-            return N.parse_elements(answers(s, place, {"kind": "overpass", "endpoint": overpass, "query": urls.overpass_text(west, south, east, north)}), "body")
+            told = answers(s, place, {"kind": "overpass", "endpoint": overpass, "query": urls.overpass_text(west, south, east, north)})
+            return written(N.parse_elements(told, "body"))  # nodes and roads are looked up in it several times, the text is parsed once
         return read_geo(spark, s.layer, catalogs[s.endpoint], resolve, s.endpoint, code=place["code"] if s.cut == "code" else "all")
 
     return fetch

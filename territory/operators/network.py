@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from territory.functions.folders import ensure_checkpoint_dir
+from territory.functions.folders import ensure_checkpoint_dir, written
 
 ELEMENTS = "array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>>"
 
@@ -42,7 +42,7 @@ def links(roads: DataFrame, nodes: DataFrame) -> DataFrame:
     A road is known by a hash of all its columns, so roads of one id stay apart unless they are the same.
     """
     keyed = roads.withColumn("__w", F.xxhash64("way_id", "highway", "name", "oneway", "nodes"))
-    refs = keyed.select("__w", F.posexplode("nodes").alias("pos", "node_id")).distinct()
+    refs = keyed.dropDuplicates(["__w"]).select("__w", F.posexplode("nodes").alias("pos", "node_id"))
     met = refs.join(nodes, "node_id").groupBy("__w").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("p"))
     drawn = met.select("__w", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points")).where(F.size("points") >= 2)
     return keyed.join(drawn, "__w").drop("__w", "nodes")
@@ -75,7 +75,11 @@ def extend_ids(known: DataFrame | None, ends: DataFrame, columns: list[str], nam
 
 def build_network(elements: DataFrame, ring=None, order: str | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(links, nodes) of a payload's elements, links cut to an outline (a ring, or parts of rings) if there is one; nodes are
-    the distinct ends, numbered; with ``known`` nodes, these and the new ends after them."""
+    the distinct ends, numbered; with ``known`` nodes, these and the new ends after them.
+
+    Links are drawn once and written down: their ends, the sample that deals these by range, and whoever takes the links
+    read them from there.
+    """
     from territory.operators import geometry as G
     from territory.operators import overlay
 
@@ -84,7 +88,7 @@ def build_network(elements: DataFrame, ring=None, order: str | None = None, know
         drawn = drawn.withColumn("parts", F.array("points"))
     else:
         drawn = G.clip_lines(drawn, "points", ring) if G.is_small_ring(ring) else overlay.clip_lines(drawn, "points", overlay.as_parts(ring))
-    out = drawn.select("way_id", "highway", "name", "oneway", "parts")
+    out = written(drawn.select("way_id", "highway", "name", "oneway", "parts"))
     ends = G.endpoints(out, "parts")
     nodes = dense_ids(ends, ["x", "y"], "node_id") if known is None else extend_ids(known, ends, ["x", "y"], "node_id")
     return out, nodes.select("node_id", "x", "y")
