@@ -6,7 +6,7 @@ on a left or lower edge is inside, on a right or upper one outside.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Ring = list[tuple[float, float]]
@@ -250,8 +250,8 @@ def _met_cells(points: Column, size: float) -> Column:
     return F.filter(met, lambda c: c["odd"] | (F.size(c["edges"]) > 0))
 
 
-#: Points of a grid cell that are joined as one group; more are dealt to several.
-CROWD = 1000
+#: Points of a grid cell that are joined as one group, and polygons as one part; more are dealt to several.
+CROWD, PART = 20000, 1000
 
 
 def grid_join(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str, size: float) -> DataFrame:
@@ -259,24 +259,39 @@ def grid_join(points: DataFrame, polygons: DataFrame, x: str, y: str, ring: str,
 
     A point is in one cell, so no pair comes twice. The test takes only the edges whose crossing is open in the cell: none in
     cells that a polygon covers, and up to two, as nearly everywhere else, in plain columns. Points of a crowded cell are dealt
-    to groups of about ``CROWD``, with the cell's polygons beside each, so that no task has a whole crowd.
+    to groups of about ``CROWD``, its polygons to parts of about ``PART``, and each group meets each part, so that no task has a
+    whole crowd and a point never meets more than a part at once. A part is in order of where its edges cut the cell, so that
+    one point after the other is in the same runs of polygons, which files keep in far fewer bytes.
     """
     px, py = F.col(x), F.col(y)
+    b = bbox_of(F.col(ring))
     put = points.where(~F.isnan(px) & ~F.isnan(py)).withColumn("__i", F.floor(px / size)).withColumn("__j", F.floor(py / size))
-    groups = put.groupBy("__i", "__j").agg(F.ceil(F.count("*") / CROWD).alias("__n")).where("__n > 1")  # a row a crowd
-    n = F.coalesce("__n", F.lit(1))
-    of = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in points.dtypes if "map<" not in kind)), n)
-    dealt = put.join(F.broadcast(groups), ["__i", "__j"], "left").withColumn("__g", of).drop("__n")
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(b[lo] / size), F.floor(b[hi] / size)))
+    touched = polygons.select(ring, span("xmin", "xmax").alias("__i")).select("__i", span("ymin", "ymax"), F.lit(0), F.lit(1))
+    both = put.select("__i", "__j", F.lit(1).alias("__n"), F.lit(0).alias("__m")).unionAll(touched)
+    crowds = both.groupBy("__i", "__j").agg(*(F.greatest(F.ceil(F.sum(c) / k), F.lit(1)).alias(c) for c, k in (("__n", CROWD), ("__m", PART)))).where("__n > 1 OR __m > 1")  # a row a crowd
+    n, m = F.coalesce("__n", F.lit(1)), F.coalesce("__m", F.lit(1))
+
+    def dealt(cut: DataFrame, rows: DataFrame, own: tuple[str, Column], others: tuple[str, Column]) -> DataFrame:
+        """Rows of cells, each in one share of its own kind, beside all shares of the other."""
+        of = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind)), own[1])
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), others[1] - 1))
+        return cut.join(F.broadcast(crowds), ["__i", "__j"], "left").withColumn(own[0], of).withColumn(others[0], every).drop("__n", "__m")
 
     def met(some: DataFrame, *tests: Column) -> DataFrame:
         cut = some.select("*", F.explode(_met_cells(F.col(ring), size)).alias("__c")).select("*", F.col("__c.i").alias("__i"), F.col("__c.j").alias("__j"))
-        return cut.join(F.broadcast(groups), ["__i", "__j"], "left").withColumn("__g", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))).drop("__n").select("*", *tests).drop("__c")
+        return dealt(cut, polygons, ("__h", m), ("__g", n)).select("*", *tests).drop("__c")
 
     edges, odd = F.col("__c.edges"), F.col("__c.odd").alias("__odd")
+    put = dealt(put, points, ("__g", n), ("__h", m))
     few = met(polygons, F.size(edges).alias("__k"), odd, F.get(edges, 0).alias("__a"), F.get(edges, 1).alias("__b")).where("__k <= 2")
     many = met(polygons.where(F.size(_sides(F.col(ring))) > 2), F.size(edges).alias("__k"), odd, edges.alias("__e")).where("__k > 2")
     crossed = lambda e: F.coalesce(crosses(F.col(e), px, py), F.lit(False))
-    keys, own = ["__i", "__j", "__g"], ["__i", "__j", "__g", "__k", "__odd"]
+    keys, own = ["__i", "__j", "__g", "__h"], ["__i", "__j", "__g", "__h", "__k", "__odd"]
+    near = lambda c, k: F.least(F.greatest(F.col(c), F.col(k) * size), (F.col(k) + 1) * size)
+    cuts = [near(f"{e}.{c}", k) for e in ("__a", "__b") for c, k in (("cx", "__i"), ("cy", "__j"), ("dy", "__j"))]
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("__k", "__odd", *cuts))
+    few = few.withColumn("__r", order).where("__r > 0")  # numbered for the order alone, in which the join then takes them
     few, many = few.hint("merge"), many.hint("merge")  # what cells unfold to is not in Spark's estimates: never broadcast
-    plain = dealt.join(few, keys).where((F.col("__odd") != crossed("__a")) != crossed("__b")).drop(*own, "__a", "__b")
-    return plain.unionAll(dealt.join(many, keys).where(F.col("__odd") != inside(px, py, F.col("__e"))).drop(*own, "__e"))
+    plain = put.join(few, keys).where((F.col("__odd") != crossed("__a")) != crossed("__b")).drop(*own, "__a", "__b", "__r")
+    return plain.unionAll(put.join(many, keys).where(F.col("__odd") != inside(px, py, F.col("__e"))).drop(*own, "__e"))

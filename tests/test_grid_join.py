@@ -1,5 +1,6 @@
 import math
 import random
+from itertools import groupby, pairwise
 
 from pyspark.sql import functions as F
 
@@ -60,3 +61,15 @@ def test_cells_that_a_ring_covers_have_no_edges(spark):
     cells = spark.range(1).select(F.explode(G._met_cells(ring, 1.0)).alias("c")).select("c.*").collect()
     assert len(cells) == 100 and {(c.i, c.j) for c in cells if not c.edges} == {(i, j) for i in range(1, 9) for j in range(1, 9)}
     assert all(c.odd for c in cells if not c.edges) and max(len(c.edges) for c in cells) == 2
+
+
+def test_a_point_meets_a_part_of_a_crowd_at_a_time(spark, monkeypatch):
+    """400 boxes over a cell: no run of one point's pairs is as long, and the boxes of a run are in the order of their cuts."""
+    monkeypatch.setattr(G, "PART", 50, raising=False)
+    rings = [(k, [(0.0004 * k, -0.1), (0.3, -0.1), (0.3, 0.3), (0.0004 * k, 0.3)]) for k in random.Random(3).sample(range(1, 401), 400)]
+    pts = [(i, 0.01 * i, 0.1) for i in range(1, 21)]
+    got = joined(spark, pts, rings, 0.25)
+    assert sorted(got) == sorted((i, k) for i, x, y in pts for k, p in rings if crossings(x, y, p))
+    runs = [[k for _, k in run] for _, run in groupby(got, key=lambda pair: pair[0])]
+    assert max(map(len, runs)) < 200
+    assert all(sum(a > b for a, b in pairwise(run)) <= 1 for run in runs)  # two parts may meet at a point
